@@ -28,10 +28,21 @@ def kept_tags(pred: DataFrame, st: TagSettings) -> DataFrame:
 
 
 def _lists(pred: DataFrame, st: TagSettings, shift: float) -> DataFrame:
+    """One sorted tag list per file of ``pred`` (an empty list for files with no kept tag).
+
+    Files without kept tags are carried into the same ``groupBy(file_id)`` as null entries, which
+    ``collect_list`` skips, instead of a distinct + outer join: one shuffle for both."""
     kept = kept_tags(pred, st)
     ranked = T.union_categories(kept.where(F.col("category") == CHARACTER),
                                 kept.where(F.col("category") == GENERAL), shift=shift)
-    return T.collect_tag_lists(ranked)
+    entry = F.struct((-F.col("s")).alias("k"), F.col("cat"), F.col("ord").alias("o"), F.col("tag"),
+                     F.col("s").alias("score"))
+    etype = ranked.select(entry.alias("e")).schema["e"].dataType
+    every = pred.select("file_id", F.lit(None).cast(etype).alias("e"))
+    rows = ranked.select("file_id", entry.alias("e")).unionByName(every)
+    return (rows.groupBy("file_id").agg(F.array_sort(F.collect_list("e")).alias("_e"))
+            .select("file_id", F.transform("_e", lambda x: F.struct(x["tag"].alias("tag"),
+                                                                     x["score"].alias("score"))).alias("tags")))
 
 
 def n_files(pred: DataFrame) -> DataFrame:
@@ -41,10 +52,7 @@ def n_files(pred: DataFrame) -> DataFrame:
 def captions(pred: DataFrame, st: TagSettings = TagSettings()) -> DataFrame:
     """``(file_id, caption)`` for every file of the prediction table."""
     lists = _lists(pred, st, shift=-1.0)
-    every = pred.select("file_id").distinct()
-    arr = F.coalesce(F.col("tags"), F.array().cast("array<struct<tag:string,score:double>>"))
-    return (every.join(lists, "file_id", "left")
-            .select("file_id", T.join_caption(T.caption_list(arr, st), st.escape_brackets).alias("caption")))
+    return lists.select("file_id", T.join_caption(T.caption_list(F.col("tags"), st), st.escape_brackets).alias("caption"))
 
 
 def result_scores(pred: DataFrame, st: TagSettings = TagSettings()) -> DataFrame:

@@ -1 +1,281 @@
 """Registered queries of the wiki build and search workloads (W1, W2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tagloom.functions.jaro import jaro_winkler_udf
+from tagloom.functions.text import SKIPPED_NAMESPACES, normalise_text, query_terms
+from tagloom.operators.markup import extract_headings, extract_wiki_links, plain_text, plain_text_sql
+from tagloom.operators.render import render_markdown
+from tagloom.plans import wiki as W
+from tagloom.plans.oracle import FIX, sql_list, with_
+from tagloom.plans.registry import register, r6
+from tagloom.sources import fixtures as X
+from tagloom.sources.tables import table
+
+# Fixed query parameters.
+SEARCH = "red widget"
+TITLE_TERMS = ["red", "widgit"]
+TEXT_SEARCH = "the"
+BM25_SEARCH = "the and of"
+TEXT_TITLE_TERMS = ["bolt"]
+ROUTE = '"small gizmo" and'
+LOOKUP = "red_widget"
+LIMIT = 20
+GROUP = "promo"
+
+
+def _wiki(spark, d):
+    return W.build_wiki(X.wiki_raw(spark, d), X.tags_raw(spark, d))
+
+
+_NS = " AND ".join(f"NOT starts_with(p.title, '{p}')" for p in SKIPPED_NAMESPACES)
+WIKI_CTES = f""",
+t AS (SELECT name, max(post_count) AS post_count FROM tags_raw GROUP BY name),
+w AS (SELECT p.id, greatest(t.post_count, 1) AS post_count, p.title,
+             regexp_replace(lower(p.title), '[^a-z0-9]+', ' ', 'g') AS search_title,
+             regexp_replace(lower({plain_text_sql('p.body')}), '[^a-z0-9]+', ' ', 'g') AS search_text
+      FROM wiki_raw p LEFT JOIN t ON p.title = t.name WHERE {_NS})"""
+
+INDEX_CTES = WIKI_CTES + """,
+tok AS (SELECT id, 'search_title' AS field, unnest(string_split(search_title, ' ')) AS term FROM w
+        UNION ALL SELECT id, 'search_text' AS field, unnest(string_split(search_text, ' ')) AS term FROM w),
+tf AS (SELECT field, term, id, count(*) AS tf FROM tok WHERE term <> '' GROUP BY field, term, id),
+dl AS (SELECT id, sum(tf) AS doc_len FROM tf GROUP BY id),
+post AS (SELECT tf.field, tf.term, tf.id, tf.tf, dl.doc_len FROM tf JOIN dl ON dl.id = tf.id)"""
+
+
+def _w(extra: str = "") -> str:
+    return "WITH " + FIX["tags_raw"] + ",\n" + FIX["wiki_raw"] + extra + "\n"
+
+
+def bm25_sql(terms: list[str], specs: dict[str, tuple[str, float, float, bool]]) -> str:
+    q = sorted(set(terms))
+    cols = []
+    for name, (field, k, b, conj) in specs.items():
+        wexpr = (f"idf * tf * {k + 1} / (tf + {k} * (1 - {b} + {b} * doc_len / "
+                 f"((SELECT sum(tf) FROM post) / (SELECT count(*) FROM w))))")
+        s = f"sum(CASE WHEN field = '{field}' THEN {wexpr} END)"
+        if conj:
+            s = f"CASE WHEN count(DISTINCT CASE WHEN field = '{field}' THEN term END) = {len(q)} THEN {s} END"
+        cols.append(f"{s} AS {name}")
+    return f""",
+hits AS (SELECT * FROM post WHERE term IN ({sql_list(q)})),
+dfs AS (SELECT term, count(DISTINCT id) AS df FROM hits GROUP BY term),
+h AS (SELECT hits.*, log10(((SELECT count(*) FROM w) - dfs.df + 0.5) / (dfs.df + 0.5) + 1) AS idf
+      FROM hits JOIN dfs ON dfs.term = hits.term),
+s AS (SELECT id, {', '.join(cols)} FROM h GROUP BY id)"""
+
+
+# ---- scans and build --------------------------------------------------------------------------
+
+@register("scan_tags", _w() + "SELECT name, post_count FROM tags_raw")
+def q_scan_tags(spark, d):
+    return X.tags_raw(spark, d)
+
+
+@register("scan_wiki_pages", _w() + "SELECT id, title, body FROM wiki_raw")
+def q_scan_pages(spark, d):
+    return X.wiki_raw(spark, d)
+
+
+@register("scan_tag_groups", with_("tag_groups") + "SELECT DISTINCT tag_group FROM tag_groups")
+def q_scan_groups(spark, d):
+    return X.tag_groups(spark, d).select("tag_group").distinct()
+
+
+@register("tags_in_group", with_("tag_groups") + f"SELECT DISTINCT tag FROM tag_groups WHERE tag_group = '{GROUP}'")
+def q_tags_in_group(spark, d):
+    return X.tag_groups(spark, d).where(F.col("tag_group") == GROUP).select("tag").distinct()
+
+
+@register("tags_max_count", _w() + "SELECT name, max(post_count) AS post_count FROM tags_raw GROUP BY name")
+def q_tags_max(spark, d):
+    return W.tags_max_count(X.tags_raw(spark, d))
+
+
+@register("filter_namespaces", _w() + f"SELECT p.id, p.title FROM wiki_raw p WHERE {_NS}")
+def q_filter_ns(spark, d):
+    return W.filter_namespaces(X.wiki_raw(spark, d)).select("id", "title")
+
+
+@register("join_pages_counts", _w(""",
+t AS (SELECT name, max(post_count) AS post_count FROM tags_raw GROUP BY name)""") + """
+SELECT p.id, p.title, t.post_count FROM wiki_raw p LEFT JOIN t ON p.title = t.name""")
+def q_join_counts(spark, d):
+    return W.join_pages_counts(X.wiki_raw(spark, d).select("id", "title"), X.tags_raw(spark, d)) \
+        .select("id", "title", "post_count")
+
+
+@register("clamp_post_count", _w(WIKI_CTES) + "SELECT id, post_count FROM w")
+def q_clamp(spark, d):
+    return _wiki(spark, d).select("id", "post_count")
+
+
+@register("build_wiki", _w(WIKI_CTES) + "SELECT id, post_count, title, search_title, search_text FROM w")
+def q_build_wiki(spark, d):
+    """The page table without the rendered markdown (see ``render_corpus``)."""
+    return _wiki(spark, d).select("id", "post_count", "title", "search_title", "search_text")
+
+
+@register("count_pages", _w(WIKI_CTES) + "SELECT count(*) AS n_pages FROM w")
+def q_count_pages(spark, d):
+    return W.count_pages(_wiki(spark, d))
+
+
+@register("lookup_title", _w(WIKI_CTES) + f"""
+SELECT id, title, post_count FROM w WHERE title = '{LOOKUP}' ORDER BY id LIMIT 1""")
+def q_lookup(spark, d):
+    w = _wiki(spark, d)
+    return w.where(F.col("title") == LOOKUP).orderBy("id").limit(1).select("id", "title", "post_count")
+
+
+@register("fn_normalise_text", _w() + """
+SELECT id, regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') AS search_title FROM wiki_raw""")
+def q_normalise(spark, d):
+    return X.wiki_raw(spark, d).select("id", normalise_text(F.col("title")).alias("search_title"))
+
+
+@register("plain_text_corpus", f"""
+SELECT doc_id, {plain_text_sql('text')} AS plain FROM documents""")
+def q_plain_text(spark, d):
+    """Searchable plain text of every document, whole texts."""
+    return table(spark, d, "documents").select("doc_id", plain_text(F.col("text")).alias("plain"))
+
+
+@register("extract_headings")
+def q_headings(spark, d):
+    """Heading edge table over all documents (driver texts carry no headings; goldens in tests)."""
+    return extract_headings(table(spark, d, "documents"), id_col="doc_id", body_col="text")
+
+
+@register("extract_wiki_links")
+def q_links(spark, d):
+    """Link edge table over all documents (driver texts only carry ``@`` mentions inside e-mail
+    addresses; the other link kinds are covered by goldens in tests)."""
+    return extract_wiki_links(table(spark, d, "documents"), id_col="doc_id", body_col="text")
+
+
+@register("render_corpus")
+def q_render(spark, d):
+    """Markdown of every wiki page (native expression chain; goldens in tests)."""
+    return X.wiki_raw(spark, d).select("id", render_markdown(F.col("body")).alias("markdown"))
+
+
+# ---- index and search -------------------------------------------------------------------------
+
+@register("build_search_index", _w(INDEX_CTES) + "SELECT field, term, id, tf, doc_len FROM post")
+def q_index(spark, d):
+    return W.build_search_index(_wiki(spark, d))
+
+
+@register("bm25", _w(INDEX_CTES + bm25_sql(W.term_list(BM25_SEARCH), {"score": ("search_text", 1.2, 0.0, False)}))
+          + "SELECT id, round(score, 6) AS score FROM s WHERE score IS NOT NULL")
+def q_bm25(spark, d):
+    w = _wiki(spark, d)
+    s = W.bm25_scores(w, W.build_search_index(w), W.term_list(BM25_SEARCH), {"score": W.BM25(W.TEXT, 1.2, 0.0)})
+    return s.where(F.col("score").isNotNull()).select("id", r6("score").alias("score"))
+
+
+def query_wiki_sql(search: str, limit: int) -> str:
+    terms = W.term_list(search)
+    if not terms:
+        body = """,
+r AS (SELECT id, title, post_count, CAST(0.1 AS DOUBLE) AS t0, CAST(0.1 AS DOUBLE) AS t1,
+             CAST(0.1 AS DOUBLE) AS text_score FROM w)"""
+        thr = 0.0
+    else:
+        body = bm25_sql(terms, {"t0": ("search_title", 0.0, 0.5, True), "t1": ("search_title", 0.0, 0.5, False),
+                                "tx": ("search_text", 1.2, 0.0, False)}) + """,
+r AS (SELECT w.id, w.title, w.post_count, greatest(0.1, s.t0) AS t0, greatest(0.1, s.t1) AS t1,
+             greatest(0.0, s.tx) + 0.1 AS text_score FROM s JOIN w ON w.id = s.id)"""
+        thr = 0.1
+    return _w(INDEX_CTES + body) + f"""
+SELECT title, post_count, round(t0 + t1, 6) AS title_score, round(text_score, 6) AS text_score,
+       round(t0 + t1 + text_score * log10(post_count), 6) AS total_score
+FROM r WHERE t0 > {thr} OR t1 > {thr} OR text_score > {thr}
+ORDER BY t0 DESC, t0 + t1 + text_score * log10(post_count) DESC, title, id LIMIT {limit}"""
+
+
+def _round_search(df):
+    return df.select(*[r6(c).alias(c) if c.endswith("_score") else F.col(c) for c in df.columns])
+
+
+@register("query_wiki", query_wiki_sql(SEARCH, LIMIT))
+def q_query_wiki(spark, d):
+    w = _wiki(spark, d)
+    return _round_search(W.query_wiki(w, W.build_search_index(w), SEARCH, LIMIT))
+
+
+@register("query_wiki_popular", query_wiki_sql("", LIMIT))
+def q_query_wiki_empty(spark, d):
+    """Empty search: every page qualifies, ordered by popularity."""
+    w = _wiki(spark, d)
+    return _round_search(W.query_wiki(w, W.build_search_index(w), "", LIMIT))
+
+
+def title_score_ctes(terms: list[str]) -> str:
+    vals = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms))
+    return f""",
+tt AS (SELECT id, title, post_count, unnest(regexp_split_to_array(title, '[^a-z0-9]+')) AS token FROM w),
+qt AS (SELECT * FROM (VALUES {vals}) v(qi, term)),
+best AS (SELECT id, title, post_count, qi, max(jaro_winkler_similarity(term, token)) AS sim
+         FROM tt, qt GROUP BY id, title, post_count, qi),
+sc AS (SELECT id, title, post_count, sum(sim) / {len(terms)} AS title_score FROM best GROUP BY id, title, post_count)"""
+
+
+@register("title_similarity", _w(WIKI_CTES + title_score_ctes(TITLE_TERMS))
+          + "SELECT id, round(title_score, 6) AS title_score FROM sc")
+def q_title_sim(spark, d):
+    """Mean over query terms of the best Jaro-Winkler similarity to a title token, every page."""
+    s = W.title_similarity(_wiki(spark, d), TITLE_TERMS)
+    return s.select("id", r6("title_score").alias("title_score"))
+
+
+@register("query_title", _w(WIKI_CTES + title_score_ctes(TITLE_TERMS)) + f"""
+SELECT title, post_count, round(title_score, 6) AS title_score FROM sc WHERE title_score >= 0.8
+ORDER BY floor(round(title_score, 6) * 100) DESC, post_count DESC, title, id LIMIT {LIMIT}""")
+def q_query_title(spark, d):
+    return _round_search(W.query_title(_wiki(spark, d), TITLE_TERMS, LIMIT))
+
+
+def query_title_text_sql(search: str, title_terms: list[str], limit: int) -> str:
+    return _w(INDEX_CTES + title_score_ctes(title_terms)
+              + bm25_sql(W.term_list(search), {"tx": ("search_text", 1.2, 0.0, False)})) + f"""
+SELECT sc.title, sc.post_count, round(greatest(0.0, s.tx) + 0.1, 6) AS text_score, round(sc.title_score, 6) AS title_score
+FROM sc JOIN s ON s.id = sc.id
+WHERE sc.title_score >= 0.8 AND s.tx IS NOT NULL AND greatest(0.0, s.tx) + 0.1 > 0.1
+ORDER BY floor(round(sc.title_score, 6) * 100) DESC, sc.post_count DESC, sc.title, sc.id LIMIT {limit}"""
+
+
+@register("query_title_text", query_title_text_sql(TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT))
+def q_query_title_text(spark, d):
+    w = _wiki(spark, d)
+    return _round_search(W.query_title_text(w, W.build_search_index(w), TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT))
+
+
+_RT, _RTT = W.split_search(ROUTE)
+
+
+@register("route_query", "SELECT title, post_count FROM (" + query_title_text_sql(_RT, _RTT, LIMIT) + ") x")
+def q_route(spark, d):
+    """Search-box routing: quoted title terms + free text -> fuzzy-title + text search."""
+    w = _wiki(spark, d)
+    return W.route_query(w, W.build_search_index(w), ROUTE, LIMIT)
+
+
+@register("fn_query_terms", """
+SELECT item_id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS terms FROM benchmark""")
+def q_terms(spark, d):
+    return table(spark, d, "benchmark").select("item_id", query_terms(F.col("text")).alias("terms"))
+
+
+@register("fn_jaro_winkler", """
+SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b,
+       round(jaro_winkler_similarity(split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)), 6) AS sim
+FROM part""")
+def q_jw(spark, d):
+    p = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"),
+                                       F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b")).distinct()
+    return p.select("a", "b", r6(jaro_winkler_udf(F.col("a"), F.col("b"))).alias("sim"))

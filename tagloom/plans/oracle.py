@@ -35,7 +35,12 @@ FIX = {
     "label_vocab": """label_vocab AS (
         SELECT r AS idx, concat(CASE WHEN r < 4 THEN 'rating_' ELSE 'tag_' END, CAST(r AS VARCHAR)) AS name,
                CASE WHEN r < 4 THEN 9 WHEN r < 52 THEN 0 ELSE 4 END AS category
-        FROM range(64) t(r))""",
+        FROM (SELECT DISTINCT t.r FROM embeddings, range(len(embedding)) t(r)) w)""",
+    "file_edits": """file_edits AS (
+        SELECT o_orderkey AS file_id, 'edited, widget' AS previous_edit,
+               CASE WHEN o_orderkey % 20 = 0 THEN concat_ws(', ', 'edited', lower(o_orderpriority))
+                    ELSE concat_ws(', ', 'edited', lower(o_orderstatus)) END AS new_edit
+        FROM orders WHERE o_orderkey % 10 = 0)""",
     "score_long": """score_long AS (
         SELECT vec_id, i - 1 AS idx, round(1 / (1 + exp(-10 * CAST(embedding[i] AS DOUBLE))), 6) AS score
         FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding))""",

@@ -273,7 +273,7 @@ def q_decode(spark, d):
 
 
 @register("decode_caption_scores", with_("captions") + """
-SELECT DISTINCT file_id, 'general' AS category, trim(t.tag) AS tag, 1.0 AS score
+SELECT DISTINCT file_id, 'general' AS category, trim(t.tag) AS tag, CAST(1.0 AS DOUBLE) AS score
 FROM captions, unnest(string_split(caption, ',')) t(tag)""")
 def q_decode_caption(spark, d):
     return decode_caption_scores(X.captions(spark, d))

@@ -1 +1,186 @@
-"""Registered queries: scalar functions, sources, markup, merges, streams."""
+"""Registered queries: caption merge and whitelist, caption sinks, sources, formatting functions,
+streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tagloom.functions.text import BREAK, escape_brackets, human_bytes, natural_sort_key, selection_label, \
+    selection_title
+from tagloom.operators import merge as M
+from tagloom.operators import state as S
+from tagloom.operators.tags import TagSettings
+from tagloom.plans import dataset as D
+from tagloom.plans.oracle import FIX, with_
+from tagloom.plans.q_dataset import caption_ctes
+from tagloom.plans.registry import register
+from tagloom.sources import fixtures as X
+from tagloom.sources.tables import table
+from tagloom.streaming.incremental import stream_incremental_scores, stream_latest_settings
+
+# Fixed query parameters.
+WL_TAGS = "widget, bolt"
+WL_GROUP = "promo"
+
+
+def _auto(spark, d):
+    return D.captions(X.pred(spark, d), TagSettings())
+
+
+# ---- merge base and merges ---------------------------------------------------------------------
+
+BASE_SQL = with_("pred", "captions", "file_edits", extra=caption_ctes()) + """,
+j AS (SELECT c.file_id, c.caption AS auto, s.caption AS side, e.previous_edit, e.new_edit
+      FROM cap c LEFT JOIN captions s ON s.file_id = c.file_id LEFT JOIN file_edits e ON e.file_id = c.file_id),
+b AS (SELECT *, previous_edit IS NOT NULL AS has_edit,
+             previous_edit IS NOT NULL AND side IS NOT NULL AND new_edit <> side AS refresh,
+             previous_edit IS NULL AND coalesce(side, '') <> '' AS side_only FROM j)
+"""
+
+
+@register("choose_merge_base", BASE_SQL + """
+SELECT file_id,
+       CASE WHEN refresh THEN auto WHEN has_edit THEN previous_edit WHEN side_only THEN auto ELSE '' END AS initial,
+       CASE WHEN refresh THEN side WHEN has_edit THEN new_edit WHEN side_only THEN side ELSE '' END AS edited,
+       auto AS new
+FROM b""")
+def q_merge_base(spark, d):
+    """Caption context per file (model caption, sidecar caption, stored edit) -> merge inputs."""
+    b = M.choose_merge_base(_auto(spark, d), X.captions(spark, d), X.file_edits(spark, d))
+    return b.select("file_id", "initial", "edited", "new")
+
+
+@register("merge_captions")
+def q_merge_captions(spark, d):
+    """Three-way merge of every file's caption with its human edits (diff-based helper on the
+    edited rows only; goldens in tests)."""
+    b = M.choose_merge_base(_auto(spark, d), X.captions(spark, d), X.file_edits(spark, d))
+    return M.merge_captions(b).select("file_id", "merged")
+
+
+WL_SQL_CTE = f"""wl AS (SELECT DISTINCT replace(tag, '_', ' ') AS tag FROM (
+        SELECT trim(unnest(string_split('{WL_TAGS}, {BREAK}', ','))) AS tag
+        UNION ALL SELECT tag FROM tag_groups WHERE tag_group = '{WL_GROUP}') u)"""
+
+
+def _whitelist(spark, d):
+    return M.whitelist_tags(WL_TAGS, WL_GROUP, X.tag_groups(spark, d), extras=(BREAK,), replace_underscores=True)
+
+
+@register("whitelist_tags", with_("tag_groups", extra=WL_SQL_CTE) + "SELECT tag FROM wl")
+def q_whitelist(spark, d):
+    """Allowed tags: the list, the tags of a tag group, ``BREAK`` (underscores replaced)."""
+    return _whitelist(spark, d)
+
+
+@register("merge_whitelist", with_("pred", "tag_groups", extra=caption_ctes() + ",\n" + WL_SQL_CTE) + """,
+t0 AS (SELECT file_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS tag
+       FROM (SELECT file_id, string_split(caption, ',') AS parts FROM cap) x),
+t AS (SELECT file_id, pos, trim(tag) AS tag FROM t0 WHERE trim(tag) <> '')
+SELECT c.file_id, coalesce(string_agg(t.tag, ', ' ORDER BY t.pos) FILTER (WHERE t.tag IN (SELECT tag FROM wl)), '') AS caption
+FROM cap c LEFT JOIN t ON t.file_id = c.file_id GROUP BY c.file_id""")
+def q_merge_whitelist(spark, d):
+    """Merge of files without human edits under a whitelist: the model caption filtered to the
+    allowed tags, order kept (native, semi-join on the allowed set)."""
+    return M.filter_to_whitelist(_auto(spark, d), _whitelist(spark, d))
+
+
+# ---- caption sinks -----------------------------------------------------------------------------
+
+@register("write_captions", with_("pred", "captions", extra=caption_ctes()) + """
+SELECT file_id, caption FROM captions
+UNION ALL SELECT file_id, caption FROM cap c WHERE NOT EXISTS (SELECT 1 FROM captions s WHERE s.file_id = c.file_id)""")
+def q_write_captions(spark, d):
+    """Caption files after a run without overwrite: existing files are kept, missing ones written."""
+    from tagloom.sources.folder import merge_caption_files
+    return merge_caption_files(_auto(spark, d), X.captions(spark, d), overwrite=False)
+
+
+@register("write_captions_overwrite", with_("pred", "captions", extra=caption_ctes()) + """
+SELECT coalesce(c.file_id, s.file_id) AS file_id, coalesce(c.caption, s.caption) AS caption
+FROM cap c FULL OUTER JOIN captions s ON s.file_id = c.file_id""")
+def q_write_captions_overwrite(spark, d):
+    from tagloom.sources.folder import merge_caption_files
+    return merge_caption_files(_auto(spark, d), X.captions(spark, d), overwrite=True)
+
+
+# ---- sources -----------------------------------------------------------------------------------
+
+@register("content_hash", with_("files") + "SELECT file_id, hash, n_bytes FROM files")
+def q_content_hash(spark, d):
+    """sha256 of every file's bytes as its identity."""
+    return X.files(spark, d)
+
+
+@register("scan_label_table", with_("label_vocab") + """
+SELECT idx, name, CASE category WHEN 9 THEN 'rating' WHEN 0 THEN 'general' WHEN 4 THEN 'character' END AS category
+FROM label_vocab""")
+def q_labels(spark, d):
+    from tagloom.sources.labels import category_names
+    return category_names(X.label_vocab(spark, d))
+
+
+# ---- formatting functions ----------------------------------------------------------------------
+
+@register("fn_human_bytes", with_("cache_log", extra="""
+cache AS (SELECT hash, repo_name, CAST(strlen(arg_min(data, seq)) AS INTEGER) AS n_bytes FROM cache_log GROUP BY hash, repo_name),
+u AS (SELECT repo_name, sum(n_bytes) * 1000 AS b FROM cache GROUP BY repo_name)""") + """
+SELECT repo_name, CASE WHEN b < 1024 THEN printf('%.2f B', b)
+                       WHEN b < 1048576 THEN printf('%.2f KiB', b / 1024.0)
+                       WHEN b < 1073741824 THEN printf('%.2f MiB', b / 1048576.0)
+                       WHEN b < 1099511627776 THEN printf('%.2f GiB', b / 1073741824.0)
+                       ELSE printf('%.2f TiB', b / 1099511627776.0) END AS size
+FROM u""")
+def q_human_bytes(spark, d):
+    """Cache usage per model as a human-readable size (scaled x1000 to reach the larger units)."""
+    u = S.usage_by_repo(S.insert_cache(X.cache_log(spark, d)))
+    return u.select("repo_name", human_bytes(F.col("bytes") * 1000).alias("size"))
+
+
+@register("natural_sort", """
+SELECT title, list_transform(regexp_extract_all(title, '([0-9]+|[^0-9]+)', 1),
+                             lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 20, '0') ELSE lower(x) END) AS sort_key
+FROM (SELECT DISTINCT url AS title FROM pages) t""")
+def q_natural_sort(spark, d):
+    """Sort key comparing digit runs as numbers and text case-insensitively (page URLs)."""
+    t = table(spark, d, "pages").select(F.col("url").alias("title")).distinct()
+    return t.select("title", natural_sort_key(F.col("title")).alias("sort_key"))
+
+
+@register("parse_selection", with_("tags_raw", "wiki_raw") + """,
+t AS (SELECT name, max(post_count) AS post_count FROM tags_raw GROUP BY name),
+l AS (SELECT p.id, printf('%s (%d)', p.title, greatest(t.post_count, 1)) AS label
+      FROM wiki_raw p LEFT JOIN t ON p.title = t.name)
+SELECT id, label, regexp_extract(label, '^(.+?) \\(.+\\)', 1) AS title FROM l""")
+def q_parse_selection(spark, d):
+    """Search-result labels ``"title (count)"`` and the title parsed back out of them."""
+    from tagloom.plans.wiki import clamp_post_count, join_pages_counts
+    w = join_pages_counts(X.wiki_raw(spark, d).select("id", "title"), X.tags_raw(spark, d))
+    lab = w.select("id", selection_label(F.col("title"), clamp_post_count("post_count")).alias("label"))
+    return lab.select("id", "label", selection_title(F.col("label")).alias("title"))
+
+
+@register("fn_escape_title", with_("wiki_raw") + """
+SELECT id, replace(replace(title, '(', '\\('), ')', '\\)') AS escaped FROM wiki_raw""")
+def q_escape_title(spark, d):
+    return X.wiki_raw(spark, d).select("id", escape_brackets(F.col("title")).alias("escaped"))
+
+
+# ---- streams -----------------------------------------------------------------------------------
+
+@register("stream_incremental_scores", with_("cache_log", extra="""
+cache AS (SELECT hash, repo_name, arg_min(data, seq) AS data, CAST(strlen(arg_min(data, seq)) AS INTEGER) AS n_bytes
+          FROM cache_log GROUP BY hash, repo_name)""") + "SELECT hash, repo_name, data, n_bytes FROM cache")
+def q_stream_scores(spark, d):
+    """Incremental cache fill as a stream over the events files (equals the batch
+    ``insert_cache``; checked in tests)."""
+    path = stream_incremental_scores(spark, d)
+    return spark.read.parquet(path).select("hash", "repo_name", "data", "n_bytes")
+
+
+@register("stream_latest_settings", with_("settings_log") + """
+SELECT dataset, key, arg_max(value, seq) AS value FROM settings_log GROUP BY dataset, key""")
+def q_stream_settings(spark, d):
+    """Last write per (dataset, key) as a streaming aggregation (equals ``upsert_settings``)."""
+    path = stream_latest_settings(spark, d)
+    return spark.read.parquet(path).select("dataset", "key", "value")

@@ -42,7 +42,7 @@ INDEX_CTES = WIKI_CTES + """,
 tok AS (SELECT id, 'search_title' AS field, unnest(string_split(search_title, ' ')) AS term FROM w
         UNION ALL SELECT id, 'search_text' AS field, unnest(string_split(search_text, ' ')) AS term FROM w),
 tf AS (SELECT field, term, id, count(*) AS tf FROM tok WHERE term <> '' GROUP BY field, term, id),
-dl AS (SELECT id, sum(tf) AS doc_len FROM tf GROUP BY id),
+dl AS (SELECT id, CAST(sum(tf) AS INTEGER) AS doc_len FROM tf GROUP BY id),
 post AS (SELECT tf.field, tf.term, tf.id, tf.tf, dl.doc_len FROM tf JOIN dl ON dl.id = tf.id)"""
 
 

@@ -43,14 +43,15 @@ def tag_groups(spark: SparkSession, d: str) -> DataFrame:
             .distinct())
 
 
-def label_vocab(spark: SparkSession, d: str, n: int = 64) -> DataFrame:
-    """Model label vocabulary ``(idx, name, category)`` sized to the embedding width.
-
-    Category codes: 9 rating, 0 general, 4 character. (The driver's own ``labels`` table is a
-    different thing: document quality labels.)"""
-    idx = F.col("id")
-    return spark.range(n).select(
-        idx.alias("idx"),
+def label_vocab(spark: SparkSession, d: str) -> DataFrame:
+    """Model label vocabulary ``(idx, name, category)``, one label per position of the score
+    vectors (width read from the data). Category codes: 9 rating, 0 general, 4 character. (The
+    driver's own ``labels`` table is a different thing: document quality labels.)"""
+    e = table(spark, d, "embeddings").select("embedding")
+    idx = F.col("idx")
+    width = e.select(F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("idx")).distinct()
+    return width.select(
+        idx.cast("long").alias("idx"),
         F.concat(F.when(idx < 4, F.lit("rating_")).otherwise(F.lit("tag_")), idx.cast("string")).alias("name"),
         F.when(idx < 4, 9).when(idx < 52, 0).otherwise(4).alias("category"))
 
@@ -135,3 +136,15 @@ def edit_log(spark: SparkSession, d: str) -> DataFrame:
                      F.sha2(F.col("user_id").cast("string"), 256).alias("hash"),
                      F.col("event_type").alias("previous_edit"), F.col("props").alias("new_edit"),
                      F.col("event_id").alias("seq"))
+
+
+def file_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Stored manual edits per file ``(file_id, previous_edit, new_edit)`` for a tenth of the files;
+    half of them still equal the sidecar caption, the other half are stale."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return (o.where(F.col("o_orderkey") % 10 == 0)
+            .select(F.col("o_orderkey").alias("file_id"),
+                    F.concat_ws(", ", F.lit("edited"), F.lit("widget")).alias("previous_edit"),
+                    F.when(F.col("o_orderkey") % 20 == 0,
+                           F.concat_ws(", ", F.lit("edited"), F.lower("o_orderpriority")))
+                    .otherwise(F.concat_ws(", ", F.lit("edited"), F.lower("o_orderstatus"))).alias("new_edit")))

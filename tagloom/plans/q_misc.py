@@ -24,7 +24,8 @@ WL_GROUP = "promo"
 
 
 def _auto(spark, d):
-    return D.captions(X.pred(spark, d), TagSettings())
+    from tagloom.plans.q_dataset import _pred
+    return D.captions(_pred(spark, d), TagSettings())
 
 
 # ---- merge base and merges ---------------------------------------------------------------------

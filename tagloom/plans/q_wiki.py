@@ -12,6 +12,7 @@ from tagloom.plans import wiki as W
 from tagloom.plans.oracle import FIX, sql_list, with_
 from tagloom.plans.registry import register, r6
 from tagloom.sources import fixtures as X
+from tagloom.session import materialize, spread
 from tagloom.sources.tables import table
 
 # Fixed query parameters.
@@ -30,6 +31,15 @@ def _wiki(spark, d):
     return W.build_wiki(X.wiki_raw(spark, d), X.tags_raw(spark, d))
 
 
+def _search_tables(spark, d):
+    """Build the page table and its index once per query and persist both in the shared
+    checkpoint folder (the index clustered by term), as the build job would; the search then reads
+    them several times (hits, statistics) without recomputing the corpus."""
+    w = materialize(_wiki(spark, d).select("id", "post_count", "title", W.TITLE, W.TEXT), "wiki")
+    p = materialize(W.build_search_index(w), "postings", sort_by=["term"])
+    return w, p
+
+
 _NS = " AND ".join(f"NOT starts_with(p.title, '{p}')" for p in SKIPPED_NAMESPACES)
 WIKI_CTES = f""",
 t AS (SELECT name, max(post_count) AS post_count FROM tags_raw GROUP BY name),
@@ -141,20 +151,20 @@ def q_normalise(spark, d):
 SELECT doc_id, {plain_text_sql('text')} AS plain FROM documents""")
 def q_plain_text(spark, d):
     """Searchable plain text of every document, whole texts."""
-    return table(spark, d, "documents").select("doc_id", plain_text(F.col("text")).alias("plain"))
+    return spread(table(spark, d, "documents")).select("doc_id", plain_text(F.col("text")).alias("plain"))
 
 
 @register("extract_headings")
 def q_headings(spark, d):
     """Heading edge table over all documents (driver texts carry no headings; goldens in tests)."""
-    return extract_headings(table(spark, d, "documents"), id_col="doc_id", body_col="text")
+    return extract_headings(spread(table(spark, d, "documents")), id_col="doc_id", body_col="text")
 
 
 @register("extract_wiki_links")
 def q_links(spark, d):
     """Link edge table over all documents (driver texts only carry ``@`` mentions inside e-mail
     addresses; the other link kinds are covered by goldens in tests)."""
-    return extract_wiki_links(table(spark, d, "documents"), id_col="doc_id", body_col="text")
+    return extract_wiki_links(spread(table(spark, d, "documents")), id_col="doc_id", body_col="text")
 
 
 @register("render_corpus")
@@ -173,8 +183,8 @@ def q_index(spark, d):
 @register("bm25", _w(INDEX_CTES + bm25_sql(W.term_list(BM25_SEARCH), {"score": ("search_text", 1.2, 0.0, False)}))
           + "SELECT id, round(score, 6) AS score FROM s WHERE score IS NOT NULL")
 def q_bm25(spark, d):
-    w = _wiki(spark, d)
-    s = W.bm25_scores(w, W.build_search_index(w), W.term_list(BM25_SEARCH), {"score": W.BM25(W.TEXT, 1.2, 0.0)})
+    w, p = _search_tables(spark, d)
+    s = W.bm25_scores(w, p, W.term_list(BM25_SEARCH), {"score": W.BM25(W.TEXT, 1.2, 0.0)})
     return s.where(F.col("score").isNotNull()).select("id", r6("score").alias("score"))
 
 
@@ -204,15 +214,15 @@ def _round_search(df):
 
 @register("query_wiki", query_wiki_sql(SEARCH, LIMIT))
 def q_query_wiki(spark, d):
-    w = _wiki(spark, d)
-    return _round_search(W.query_wiki(w, W.build_search_index(w), SEARCH, LIMIT))
+    w, p = _search_tables(spark, d)
+    return _round_search(W.query_wiki(w, p, SEARCH, LIMIT))
 
 
 @register("query_wiki_popular", query_wiki_sql("", LIMIT))
 def q_query_wiki_empty(spark, d):
     """Empty search: every page qualifies, ordered by popularity."""
-    w = _wiki(spark, d)
-    return _round_search(W.query_wiki(w, W.build_search_index(w), "", LIMIT))
+    w, p = _search_tables(spark, d)
+    return _round_search(W.query_wiki(w, p, "", LIMIT))
 
 
 def title_score_ctes(terms: list[str]) -> str:
@@ -251,8 +261,8 @@ ORDER BY floor(round(sc.title_score, 6) * 100) DESC, sc.post_count DESC, sc.titl
 
 @register("query_title_text", query_title_text_sql(TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT))
 def q_query_title_text(spark, d):
-    w = _wiki(spark, d)
-    return _round_search(W.query_title_text(w, W.build_search_index(w), TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT))
+    w, p = _search_tables(spark, d)
+    return _round_search(W.query_title_text(w, p, TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT))
 
 
 _RT, _RTT = W.split_search(ROUTE)
@@ -261,8 +271,8 @@ _RT, _RTT = W.split_search(ROUTE)
 @register("route_query", "SELECT title, post_count FROM (" + query_title_text_sql(_RT, _RTT, LIMIT) + ") x")
 def q_route(spark, d):
     """Search-box routing: quoted title terms + free text -> fuzzy-title + text search."""
-    w = _wiki(spark, d)
-    return W.route_query(w, W.build_search_index(w), ROUTE, LIMIT)
+    w, p = _search_tables(spark, d)
+    return W.route_query(w, p, ROUTE, LIMIT)
 
 
 @register("fn_query_terms", """

@@ -92,25 +92,42 @@ def write_wiki(wiki: DataFrame, path: str) -> None:
 # inverted index
 # ---------------------------------------------------------------------------------------------
 
+def _tokens(c: str):
+    """Tokens of a normalised search column (single spaces, maybe one leading/trailing space)."""
+    return F.split(F.trim(F.col(c)), " ")
+
+
+def token_count(c: str) -> F.Column:
+    return F.when(F.trim(F.col(c)) == "", F.lit(0)).otherwise(F.size(_tokens(c)))
+
+
 def build_search_index(wiki: DataFrame, fields=(TITLE, TEXT)) -> DataFrame:
     """``postings(field, term, id, tf, doc_len)``; ``doc_len`` counts the tokens of all fields.
 
-    ``doc_len`` is a per-row expression (sizes of the token arrays) and the term counts are a
-    partial aggregate whose keys start with ``id``: a page's tokens are combined map-side in the
-    task that read it, so the shuffle carries postings, not tokens."""
-    toks = {f: F.filter(F.split(F.col(f), " "), lambda t: F.length(t) > 0) for f in fields}
+    ``doc_len`` is a per-row expression and the term counts are a partial aggregate whose keys
+    start with ``id``: a page's tokens are combined map-side in the task that read it, so the
+    shuffle carries postings, not tokens."""
     doc_len = None
     for f in fields:
-        doc_len = F.size(toks[f]) if doc_len is None else doc_len + F.size(toks[f])
-    base = wiki.select("id", doc_len.alias("doc_len"), *[toks[f].alias(f) for f in fields])
-    parts = [base.select("id", "doc_len", F.lit(f).alias("field"), F.explode(f).alias("term")) for f in fields]
+        doc_len = token_count(f) if doc_len is None else doc_len + token_count(f)
+    base = wiki.select("id", doc_len.alias("doc_len"), *fields)
+    parts = [base.select("id", "doc_len", F.lit(f).alias("field"), F.explode(_tokens(f)).alias("term"))
+             for f in fields]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return (rows.groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    return (rows.where(F.col("term") != "")
+            .groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
             .select("field", "term", "id", "tf", "doc_len"))
 
 
+def doc_lengths(wiki: DataFrame, fields=(TITLE, TEXT)) -> F.Column:
+    out = None
+    for f in fields:
+        out = token_count(f) if out is None else out + token_count(f)
+    return out
+
+
 def write_search_index(postings: DataFrame, path: str) -> None:
     """Persist postings clustered by term: a query's ``term IN (...)`` then prunes row groups."""
     postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
@@ -119,7 +136,7 @@ def write_search_index(postings: DataFrame, path: str) -> None:
 def corpus_stats(wiki: DataFrame, postings: DataFrame) -> DataFrame:
     """One row: ``n_docs``, ``avg_len`` (tokens of all fields per document)."""
     n = wiki.select(F.count(F.lit(1)).alias("n")).scalar()
-    total = postings.select(F.sum("tf").alias("t")).scalar()
+    total = wiki.select(F.sum(doc_lengths(wiki)).alias("t")).scalar()
     return wiki.sparkSession.range(1).select(n.alias("n_docs"), (total / n).alias("avg_len"))
 
 
@@ -144,8 +161,9 @@ def bm25_scores(wiki: DataFrame, postings: DataFrame, terms: list[str], specs: d
     for a conjunctive spec, one lacking a distinct query term in that field) scores NULL."""
     q = sorted(set(terms))
     hits = postings.where(F.col("term").isin(q))
+    # corpus statistics from the page table (per-row token counts), not from the postings
     n = wiki.select(F.count(F.lit(1)).alias("n")).scalar()
-    avg_len = postings.select(F.sum("tf").alias("t")).scalar() / n
+    avg_len = wiki.select(F.sum(doc_lengths(wiki)).alias("t")).scalar() / n
     df = hits.groupBy("term").agg(F.countDistinct("id").alias("df"))  # at most len(q) rows
     idf = F.log10((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     h = hits.join(F.broadcast(df.select("term", idf.alias("idf"))), "term")

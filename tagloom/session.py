@@ -59,3 +59,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, factor: int = 1) -> DataFrame:
+    """Give CPU-heavy per-row work at least ``defaultParallelism * factor`` tasks.
+
+    A large input already arrives in many file splits and is returned as is (no shuffle); only a
+    scan with fewer splits than the cluster has cores (e.g. a single-row-group file) is
+    redistributed round-robin."""
+    want = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def materialize(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
+
+    Used where one job reads an expensive intermediate several times (an index scanned by a query
+    and by its statistics): the written table cuts the lineage, survives executor loss, and its
+    reads get filter pushdown (``sort_by`` clusters the rows so a pushed ``IN`` prunes row groups)."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    out = df
+    if sort_by:
+        out = out.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+    out.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.session import spread
 from tagloom.sources.tables import table
 
 
@@ -25,7 +26,7 @@ def tags_raw(spark: SparkSession, d: str) -> DataFrame:
 
 def wiki_raw(spark: SparkSession, d: str) -> DataFrame:
     """Wiki page table ``(id, title, body)``; titles carry namespaces and qualifiers."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
     p = table(spark, d, "part").select("p_partkey", "p_name")
     title = F.concat(
         F.when(F.col("source") == "src0", F.lit("help:")).when(F.col("source") == "src1", F.lit("api:"))
@@ -67,8 +68,8 @@ def pred(spark: SparkSession, d: str) -> DataFrame:
     """Per-file predictions in long form ``(file_id, category, tag, score)``.
 
     One row per (file, category, tag), max score over three derivations from ``lineitem ⨝ part``."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_discount", "l_tax", "l_quantity",
-                                            "l_returnflag")
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_discount", "l_tax", "l_quantity",
+                                                   "l_returnflag"))
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
     # all per-row expressions in one code-generated projection; the three derivations are then plain
     # column selections (a generator over an array of structs evaluates them interpreted)

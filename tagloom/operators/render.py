@@ -31,7 +31,13 @@ RENDER_RULES: list[tuple[str, str]] = [
     (r"\[url=([^\]]+)\]([\s\S]*?)\[/url\]", "<a href=\"$1\">$2</a>"),
     (r"\[url\]([\s\S]*?)\[/url\]", "<a href=\"$1\">$1</a>"),
     (r"\[(table|/table|tr|/tr|th|/th|td|/td)\]", "<$1>"),
-    (r"\[/?(thead|tbody|colgroup)\]\n?", ""),
+    (r"\[/?(thead|tbody)\]", "\u0007"),
+    (r"\[/?colgroup\]", ""),
+    # inside a table every text run between structural tags is one newline; a match consumes its
+    # leading tag, so neighbouring runs need a second pass
+    (r"(<table>|<tr>|</tr>|</th>|</td>|\u0007)[^<\u0007]+(?=<tr>|</tr>|<th>|<td>|</table>|\u0007)", "$1\n"),
+    (r"(<table>|<tr>|</tr>|</th>|</td>|\u0007)[^<\u0007]+(?=<tr>|</tr>|<th>|<td>|</table>|\u0007)", "$1\n"),
+    (r"\u0007", ""),
     (r"h([0-9])#([^.\"\n]+)\.[ \t]*([^\n]*?)[ \t]*(?=\n|$)", "<h$1 id=\"$2\">$3</h$1>"),
     (r"h([0-9])\.[ \t]*([^\n]*?)[ \t]*(?=\n|$)", "<h$1>$2</h$1>"),
     (r"\"([^\"]+?)\":\[([^\]]+?)\]", "\u0001a href=\u0002$2\u0002\u0003$1\u0001/a\u0003"),
@@ -55,8 +61,8 @@ def _links(c: Column) -> Column:
     wiki = r"([a-zA-Z0-9]*)\[\[([^\]|#]+?)(?:#([A-Z][^\]|]*))?\]\]([a-zA-Z0-9]*)"
     c = F.regexp_replace(c, r"([a-zA-Z0-9]*)\[\[([^\]|]+?)\|\s*([^\]]+?)\s*\]\]([a-zA-Z0-9]*)",
                          "\u0001a href=\u0002" + WIKI_URL + "\u0004$2\u0004\u0002\u0003$1$3$4\u0001/a\u0003")
-    c = F.regexp_replace(c, r"([a-zA-Z0-9]*)\[\[([^\]|]+?)\s*(\([^\]]*\))?\s*\|\]\]([a-zA-Z0-9]*)",
-                         "\u0001a href=\u0002" + WIKI_URL + "\u0004$2$3\u0004\u0002\u0003$1$2$4\u0001/a\u0003")
+    c = F.regexp_replace(c, r"([a-zA-Z0-9]*)\[\[(([^\]|(]*?)\s*(\([^\]|]*\))?)\s*\|\]\]([a-zA-Z0-9]*)",
+                         "\u0001a href=\u0002" + WIKI_URL + "\u0004$2\u0004\u0002\u0003$1$3$5\u0001/a\u0003")
     c = F.regexp_replace(c, wiki, "\u0001a href=\u0002" + WIKI_URL + "\u0004$2\u0004\u0005$3\u0005\u0002\u0003$1$2$4\u0001/a\u0003")
     c = F.regexp_replace(c, r"\{\{([^}|]+?)\|([^}]*)\}\}", "\u0001a href=\u0002" + SEARCH_URL + "\u0006$1\u0006\u0002\u0003$2\u0001/a\u0003")
     c = F.regexp_replace(c, r"\{\{([^}|]+?)\}\}", "\u0001a href=\u0002" + SEARCH_URL + "\u0006$1\u0006\u0002\u0003$1\u0001/a\u0003")
@@ -93,7 +99,9 @@ def _lists(c: Column) -> Column:
         opens = F.when(cur > prev, F.repeat(F.lit("<ul>\n"), cur - prev)).otherwise(F.lit(""))
         closes = F.when(nxt < cur, F.repeat(F.lit("\n</ul>"), cur - nxt)).otherwise(F.lit(""))
         item = F.concat(opens, F.lit("<li>"), F.trim(F.regexp_replace(s, r"^\*+", "")), F.lit("</li>"), closes)
-        return F.when(cur > 0, item).otherwise(s)
+        after_list = (i > 0) & (prev > 0) & (s == "")
+        return F.when(cur > 0, item).when(after_list, F.lit(None)).otherwise(s)
+    # array_join skips the NULL lines
     return F.array_join(F.transform(lines, render), "\n")
 
 

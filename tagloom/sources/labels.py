@@ -22,12 +22,12 @@ def category_names(labels: DataFrame) -> DataFrame:
 
 def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header (``name``, ``category`` at least). The score index is the row position in
-    the file; it is taken from the file offset order (``_metadata.row_index``), never from a
-    monotonically increasing id, so it is stable however the file is split."""
+    the file: ``zipWithIndex`` numbers rows in partition (= file offset) order, so the index is
+    stable however the file is split (never a ``monotonically_increasing_id``, which has gaps)."""
     df = spark.read.option("header", "true").csv(path).select(
-        "name", F.col("category").cast("int").alias("category"),
-        F.col("_metadata.row_index").alias("idx"))
-    return df.select(F.col("idx").cast("long").alias("idx"), "name", "category")
+        "name", F.col("category").cast("int").alias("category"))
+    indexed = df.rdd.zipWithIndex().map(lambda r: (r[1], r[0]["name"], r[0]["category"]))
+    return spark.createDataFrame(indexed, "idx long, name string, category int")
 
 
 def read_label_json(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tagloom.operators.tags import TagSettings, csv_list
 from tagloom.plans import dataset as D
 from tagloom.plans.oracle import FIX, kept_ctes, rus, sql_list, with_
 from tagloom.plans.registry import register, r6
-from tagloom.session import materialize
+from tagloom.session import materialize_once
 from tagloom.sources import fixtures as X
 
 DEFAULT = TagSettings()
@@ -68,8 +68,10 @@ cap AS (SELECT f.file_id, coalesce({joined}, '') AS caption
 def _pred(spark, d):
     """The prediction table. The tagging job reads it several times (kept tags, both sides of the
     trim join, vocabulary, file count, ratings), so it is written once to the shared checkpoint
-    folder, as the scoring job would store it, and scanned from there."""
-    return materialize(X.pred(spark, d), "pred")
+    folder, as the scoring job would store it, and scanned from there (once per application and
+    input version)."""
+    return materialize_once(spark, "pred", [f"{d}/lineitem.parquet", f"{d}/part.parquet"],
+                            lambda: X.pred(spark, d))
 
 
 # ---- flagship -------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from tagloom.plans import wiki as W
 from tagloom.plans.oracle import FIX, sql_list, with_
 from tagloom.plans.registry import register, r6
 from tagloom.sources import fixtures as X
-from tagloom.session import materialize, spread
+from tagloom.session import materialize_once, spread
 from tagloom.sources.tables import table
 
 # Fixed query parameters.
@@ -35,8 +35,10 @@ def _search_tables(spark, d):
     """Build the page table and its index once per query and persist both in the shared
     checkpoint folder (the index clustered by term), as the build job would; the search then reads
     them several times (hits, statistics) without recomputing the corpus."""
-    w = materialize(_wiki(spark, d).select("id", "post_count", "title", W.TITLE, W.TEXT), "wiki")
-    p = materialize(W.build_search_index(w), "postings", sort_by=["term"])
+    inputs = [f"{d}/{t}.parquet" for t in ("documents", "part", "lineitem")]
+    w = materialize_once(spark, "wiki", inputs,
+                         lambda: _wiki(spark, d).select("id", "post_count", "title", W.TITLE, W.TEXT))
+    p = materialize_once(spark, "postings", inputs, lambda: W.build_search_index(w), sort_by=["term"])
     return w, p
 
 
@@ -289,3 +291,39 @@ def q_jw(spark, d):
     p = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"),
                                        F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b")).distinct()
     return p.select("a", "b", r6(jaro_winkler_udf(F.col("a"), F.col("b"))).alias("sim"))
+
+
+BATCH_LIMIT = 5
+
+
+@register("batch_search", _w(INDEX_CTES + f""",
+qt AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS terms FROM benchmark),
+qq AS (SELECT qid, len(terms) AS nq, unnest(terms) AS term FROM qt),
+hits AS (SELECT * FROM post WHERE term IN (SELECT term FROM qq)),
+dfs AS (SELECT term, count(DISTINCT id) AS df FROM hits GROUP BY term),
+h AS (SELECT qq.qid, qq.nq, hits.*, log10(((SELECT count(*) FROM w) - dfs.df + 0.5) / (dfs.df + 0.5) + 1) AS idf
+      FROM qq JOIN hits ON hits.term = qq.term JOIN dfs ON dfs.term = qq.term),
+al AS (SELECT (SELECT sum(tf) FROM post) / (SELECT count(*) FROM w) AS a),
+s AS (SELECT qid, id,
+        CASE WHEN count(CASE WHEN field = 'search_title' THEN 1 END) = first(nq)
+             THEN sum(CASE WHEN field = 'search_title' THEN idf * tf * 1.0 / (tf + 0.0 * (1 - 0.5 + 0.5 * doc_len / (SELECT a FROM al))) END) END AS t0,
+        sum(CASE WHEN field = 'search_title' THEN idf * tf * 1.0 / (tf + 0.0 * (1 - 0.5 + 0.5 * doc_len / (SELECT a FROM al))) END) AS t1,
+        sum(CASE WHEN field = 'search_text' THEN idf * tf * 2.2 / (tf + 1.2 * (1 - 0.0 + 0.0 * doc_len / (SELECT a FROM al))) END) AS tx
+      FROM h GROUP BY qid, id),
+r AS (SELECT s.qid, w.id, w.title, w.post_count, greatest(0.1, s.t0) AS t0, greatest(0.1, s.t1) AS t1,
+             greatest(0.0, s.tx) + 0.1 AS text_score FROM s JOIN w ON w.id = s.id),
+pop AS (SELECT id, title, post_count, CAST(0.1 AS DOUBLE) AS t0, CAST(0.1 AS DOUBLE) AS t1, CAST(0.1 AS DOUBLE) AS text_score
+        FROM w ORDER BY 0.2 + 0.1 * log10(post_count) DESC, title, id LIMIT {BATCH_LIMIT}),
+rr AS (SELECT * FROM r WHERE t0 > 0.1 OR t1 > 0.1 OR text_score > 0.1
+       UNION ALL SELECT qt.qid, pop.* FROM qt, pop WHERE len(qt.terms) = 0),
+ranked AS (SELECT *, t0 + t1 + text_score * log10(post_count) AS total,
+                  row_number() OVER (PARTITION BY qid ORDER BY t0 DESC, t0 + t1 + text_score * log10(post_count) DESC, title, id) AS rank
+           FROM rr)""") + f"""
+SELECT qid, CAST(rank AS INTEGER) AS rank, title, post_count, round(t0 + t1, 6) AS title_score, round(text_score, 6) AS text_score,
+       round(total, 6) AS total_score
+FROM ranked WHERE rank <= {BATCH_LIMIT}""")
+def q_batch_search(spark, d):
+    """Every benchmark text as a search query, top-5 pages each, in one job."""
+    w, p = _search_tables(spark, d)
+    qs = spread(table(spark, d, "benchmark")).select(F.col("item_id").alias("qid"), "text")
+    return _round_search(W.batch_query_wiki(w, p, qs, BATCH_LIMIT))

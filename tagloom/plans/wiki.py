@@ -275,3 +275,53 @@ def route_query(wiki: DataFrame, postings: DataFrame, search: str, limit: int =
         return query_title(wiki, title_terms, limit).select("title", "post_count")
     return query_wiki(wiki, postings, text, limit).select("title", "post_count")
 
+
+
+def batch_query_wiki(wiki: DataFrame, postings: DataFrame, queries: DataFrame, limit: int = 10,
+                     qid: str = "qid", text: str = "text") -> DataFrame:
+    """Many blended searches in one job: top-``limit`` pages per query, ``(qid, rank, title,
+    post_count, title_score, text_score, total_score)``.
+
+    The query terms are exploded and joined to the postings of the terms in use; the scores are one
+    aggregation on ``(qid, id)``. The per-query top-k is ``row_number() <= limit``, which Spark
+    plans with a partial group limit before the shuffle, so a query that matches a third of all
+    pages still ships at most ``limit`` rows per task. A query without terms lists the most popular
+    pages (the top-k by popularity is computed once and joined on the term count)."""
+    from tagloom.functions.text import query_terms
+    from pyspark.sql import Window
+    qt = queries.select(F.col(qid).alias("qid"), F.array_distinct(query_terms(F.col(text))).alias("terms"))
+    qt = qt.select("qid", F.size("terms").alias("nq"), "terms")
+    qterm = qt.select("qid", "nq", F.explode("terms").alias("term"))
+    used = qterm.select("term").distinct()
+    hits = postings.join(used, "term", "left_semi")
+    n = wiki.select(F.count(F.lit(1)).alias("n")).scalar()
+    avg_len = wiki.select(F.sum(doc_lengths(wiki)).alias("t")).scalar() / n
+    dfs = hits.groupBy("term").agg(F.countDistinct("id").alias("df"))
+    idf = dfs.select("term", F.log10((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    h = qterm.join(hits.join(idf, "term"), "term")
+
+    def w(k, b):
+        return F.col("idf") * F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("doc_len") / avg_len))
+    in_title, in_text = F.col("field") == TITLE, F.col("field") == TEXT
+    s = h.groupBy("qid", "id").agg(
+        F.when(F.count(F.when(in_title, F.lit(1))) == F.first("nq"), F.sum(F.when(in_title, w(0.0, 0.5)))).alias("t0"),
+        F.sum(F.when(in_title, w(0.0, 0.5))).alias("t1"),
+        F.sum(F.when(in_text, w(1.2, 0.0))).alias("tx"))
+    pages = wiki.select("id", "title", "post_count")
+    t0 = F.greatest(F.lit(0.1), F.col("t0"))
+    t1 = F.greatest(F.lit(0.1), F.col("t1"))
+    tx = F.greatest(F.lit(0.0), F.col("tx")) + 0.1
+    hit_rows = (s.join(pages, "id")
+                .select("qid", "id", "title", "post_count", t0.alias("t0"), t1.alias("t1"), tx.alias("text_score"))
+                .where((F.col("t0") > 0.1) | (F.col("t1") > 0.1) | (F.col("text_score") > 0.1)))
+    total = F.col("t0") + F.col("t1") + F.col("text_score") * F.log10("post_count")
+    # queries without terms: every page qualifies; only the global top-k by popularity can rank
+    popular = (pages.select("id", "title", "post_count", F.lit(0.1).alias("t0"), F.lit(0.1).alias("t1"),
+                            F.lit(0.1).alias("text_score"))
+               .orderBy(total.desc(), "title", "id").limit(limit).withColumn("nq", F.lit(0)))
+    empty = qt.where(F.col("nq") == 0).select("qid", "nq").join(popular, "nq").drop("nq")
+    rows = hit_rows.unionByName(empty).withColumn("total_score", total)
+    win = Window.partitionBy("qid").orderBy(F.col("t0").desc(), F.col("total_score").desc(), "title", "id")
+    return (rows.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= limit)
+            .select("qid", "rank", "title", "post_count", (F.col("t0") + F.col("t1")).alias("title_score"),
+                    "text_score", "total_score"))

@@ -71,12 +71,8 @@ def spread(df: DataFrame, factor: int = 1) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def materialize(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
-
-    Used where one job reads an expensive intermediate several times (an index scanned by a query
-    and by its statistics): the written table cuts the lineage, survives executor loss, and its
-    reads get filter pushdown (``sort_by`` clusters the rows so a pushed ``IN`` prunes row groups)."""
+def write_table(df: DataFrame, name: str, sort_by: list[str] | None = None) -> str:
+    """Write ``df`` as parquet under the shared checkpoint folder; returns the path."""
     import uuid
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
@@ -84,4 +80,47 @@ def materialize(df: DataFrame, name: str, sort_by: list[str] | None = None) -> D
     if sort_by:
         out = out.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
     out.write.mode("overwrite").parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
+
+    Used where one job reads an expensive intermediate several times (an index scanned by a query
+    and by its statistics): the written table cuts the lineage, survives executor loss, and its
+    reads get filter pushdown (``sort_by`` clusters the rows so a pushed ``IN`` prunes row groups)."""
+    return df.sparkSession.read.parquet(write_table(df, name, sort_by))
+
+
+_TABLES: dict[tuple, str] = {}
+
+
+def _input_signature(paths: list[str]) -> tuple:
+    import os
+    sig = []
+    for p in paths:
+        try:
+            st = os.stat(p)
+            sig.append((p, st.st_size, st.st_mtime_ns))
+        except OSError:           # not a local path (object store): key on the path alone
+            sig.append((p, None, None))
+    return tuple(sig)
+
+
+def materialize_once(spark: SparkSession, name: str, inputs: list[str], build, sort_by: list[str] | None = None
+                     ) -> DataFrame:
+    """:func:`materialize` the table ``build()`` once per application and input version.
+
+    The prediction table and the search index are, in production, tables that one job writes and
+    every later job reads; this keeps that shape inside one application. The key holds the input
+    files' path, size and modification time, so changed inputs are rebuilt."""
+    key = (spark.sparkContext.applicationId, name, _input_signature(inputs), tuple(sort_by or ()))
+    path = _TABLES.get(key)
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # noqa: BLE001 - table gone (folder cleaned): rebuild
+            _TABLES.pop(key, None)
+    path = write_table(build(), name, sort_by)
+    _TABLES[key] = path
     return spark.read.parquet(path)

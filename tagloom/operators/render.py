@@ -87,22 +87,27 @@ def _finish_links(c: Column) -> Column:
 
 def _lists(c: Column) -> Column:
     """Flat and nested ``*`` lists: each item becomes ``<li>``; a deeper level opens a ``<ul>``
-    beside the item."""
-    lines = F.split(c, "\n")
+    beside the item; the newline after a list's last item is consumed when a blank line or the end
+    follows."""
     lvl = lambda s: F.length(F.regexp_extract(s, r"^(\*+)", 1))
-    n = F.size(lines)
-
-    def render(s, i):
-        cur = lvl(s)
-        prev = F.when(i > 0, lvl(F.element_at(lines, F.greatest(i, F.lit(1))))).otherwise(F.lit(0))
-        nxt = F.when(i < n - 1, lvl(F.element_at(lines, F.least(i + 2, n)))).otherwise(F.lit(0))
-        opens = F.when(cur > prev, F.repeat(F.lit("<ul>\n"), cur - prev)).otherwise(F.lit(""))
-        closes = F.when(nxt < cur, F.repeat(F.lit("\n</ul>"), cur - nxt)).otherwise(F.lit(""))
-        item = F.concat(opens, F.lit("<li>"), F.trim(F.regexp_replace(s, r"^\*+", "")), F.lit("</li>"), closes)
-        after_list = (i > 0) & (prev > 0) & (s == "")
-        return F.when(cur > 0, item).when(after_list, F.lit(None)).otherwise(s)
-    # array_join skips the NULL lines
-    return F.array_join(F.transform(lines, render), "\n")
+
+    def per_text(lines):
+        # ``lines`` is a lambda variable: neighbour lookups read the array, they do not recompute it
+        n = F.size(lines)
+
+        def render(s, i):
+            cur = lvl(s)
+            prev = F.when(i > 0, lvl(F.element_at(lines, F.greatest(i, F.lit(1))))).otherwise(F.lit(0))
+            nxt = F.when(i < n - 1, lvl(F.element_at(lines, F.least(i + 2, n)))).otherwise(F.lit(0))
+            opens = F.when(cur > prev, F.repeat(F.lit("<ul>\n"), cur - prev)).otherwise(F.lit(""))
+            closes = F.when(nxt < cur, F.repeat(F.lit("\n</ul>"), cur - nxt)).otherwise(F.lit(""))
+            item = F.concat(opens, F.lit("<li>"), F.trim(F.regexp_replace(s, r"^\*+", "")), F.lit("</li>"), closes)
+            after_list = (s == "") & (i > 0) & (prev > 0)
+            return F.when(cur > 0, item).when(after_list, F.lit(None)).otherwise(s)
+        # array_join skips the NULL lines
+        return F.array_join(F.transform(lines, render), "\n")
+    # let-binding: split once, bind the result to a lambda variable
+    return F.element_at(F.transform(F.array(F.split(c, "\n")), per_text), 1)
 
 
 def render_segment(c: Column) -> Column:

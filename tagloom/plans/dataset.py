@@ -59,9 +59,13 @@ def result_scores(pred: DataFrame, st: TagSettings = TagSettings()) -> DataFrame
     """Per-file category results ``(file_id, category, tag, score)`` after map/ban: a result tag
     belongs to every category whose (pre-threshold) vocabulary of that file contains it;
     duplicates collapse to the last, i.e. lowest, score."""
-    lists = _lists(pred, st, shift=0.0)
-    out = lists.select("file_id", F.posexplode(T.result_list(F.col("tags"), st)).alias("pos", "e")) \
-        .select("file_id", F.col("e.tag").alias("tag"), F.col("e.score").alias("score"))
+    if T.parse_mapping_rules(st.map_tags):
+        lists = _lists(pred, st, shift=0.0)
+        out = lists.select("file_id", F.posexplode(T.result_list(F.col("tags"), st)).alias("pos", "e")) \
+            .select("file_id", F.col("e.tag").alias("tag"), F.col("e.score").alias("score"))
+    else:
+        # without mapping rules the result list is the kept rows minus banned tags: no per-file list
+        out = T.ban_tags(kept_tags(pred, st), st.ban_tags).select("file_id", "tag", "score")
     vocab = (T.prepare_predictions(pred, st.replace_underscores)
              .where(F.col("category") != RATING).select("file_id", "category", "tag").distinct())
     return (out.join(vocab, ["file_id", "tag"])

@@ -138,3 +138,26 @@ def test_mcut(spark):
     assert cuts == {1: pytest.approx(0.55)}
     kept = T.threshold_scores(df, general=0.1, general_mcut=True).collect()
     assert sorted((r.file_id, r.tag) for r in kept) == [(1, "a"), (1, "b"), (2, "a")]
+
+
+def test_result_path_with_rules_matches_brute_force(spark):
+    st = TagSettings(map_tags=MAP_RULES, ban_tags=BAN)
+    pred = X.pred(spark, SF_SMALL)
+    lists = {r.file_id: [(e.tag, e.score) for e in r.tags] for r in D._lists(pred, st, 0.0).collect()}
+    vocab = {}
+    for r in T.prepare_predictions(pred).where(F.col("category") != "rating").collect():
+        vocab.setdefault((r.file_id, r.category), set()).add(r.tag)
+    want = {}
+    rules = parse_mapping_rules(st.map_tags)
+    ban = set(T.csv_list(st.ban_tags, drop_empty=False))
+    for fid, tags in lists.items():
+        res = sorted([(x, s) for x, s in brute_map(tags, rules) if x not in ban], key=lambda e: e[1], reverse=True)
+        for cat in ("character", "general"):
+            d = {}
+            for x, s in res:
+                if x in vocab.get((fid, cat), set()):
+                    d[x] = s            # a later (lower) duplicate overwrites, as in a dict
+            for x, s in d.items():
+                want[(fid, cat, x)] = s
+    got = {(r.file_id, r.category, r.tag): r.score for r in D.result_scores(pred, st).collect()}
+    assert got == want

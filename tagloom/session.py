@@ -44,13 +44,21 @@ def get_spark(master: str | None = None, app: str = "tagloom", shuffle_partition
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only a local test session without one
     gets a scratch folder of its own."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext on the client
+        sc = None
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="tagloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc is not None:
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -67,8 +75,12 @@ def spread(df: DataFrame, factor: int = 1) -> DataFrame:
     A large input already arrives in many file splits and is returned as is (no shuffle); only a
     scan with fewer splits than the cluster has cores (e.g. a single-row-group file) is
     redistributed round-robin."""
-    want = df.sparkSession.sparkContext.defaultParallelism * factor
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism * factor
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - Spark Connect: leave the plan to AQE
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def write_table(df: DataFrame, name: str, sort_by: list[str] | None = None) -> str:
@@ -114,7 +126,11 @@ def materialize_once(spark: SparkSession, name: str, inputs: list[str], build, s
     The prediction table and the search index are, in production, tables that one job writes and
     every later job reads; this keeps that shape inside one application. The key holds the input
     files' path, size and modification time, so changed inputs are rebuilt."""
-    key = (spark.sparkContext.applicationId, name, _input_signature(inputs), tuple(sort_by or ()))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        app = spark.conf.get("spark.app.id", "connect")
+    key = (app, name, _input_signature(inputs), tuple(sort_by or ()))
     path = _TABLES.get(key)
     if path is not None:
         try:

@@ -106,3 +106,14 @@ def test_jaro_winkler_matches_duckdb():
     con.executemany("INSERT INTO p VALUES (?, ?)", pairs)
     for a, b, s in con.execute("SELECT a, b, jaro_winkler_similarity(a, b) FROM p").fetchall():
         assert jaro_winkler(a, b) == pytest.approx(s, abs=1e-12)
+
+
+def test_write_caption_files(spark, folder):
+    from tagloom.sources.folder import write_caption_files
+    caps = spark.createDataFrame([("a", "new a"), ("b", "new b")], "stem string, caption string")
+    write_caption_files(caps, folder, overwrite=False)
+    read = lambda n: open(os.path.join(folder, n)).read()
+    assert read("a.txt") == "  cat, dog \n"        # existing caption kept
+    assert read("b.txt") == "new b"
+    write_caption_files(caps, folder, overwrite=True)
+    assert read("a.txt") == "new a"

@@ -140,8 +140,12 @@ def q_mapping(spark, d):
     return D.captions(_pred(spark, d), TagSettings(map_tags=MAP_RULES, keep_tags=KEEP, ban_tags=BAN))
 
 
-@register("replace_underscores", with_("pred") + f"""
-SELECT DISTINCT tag AS raw, {rus('tag')} AS tag FROM pred""")
+_RUS_SQL = with_("pred") + f"""
+SELECT DISTINCT tag AS raw, {rus('tag')} AS tag FROM pred"""
+
+
+@register("fn_replace_underscores", _RUS_SQL)
+@register("replace_underscores", _RUS_SQL)
 def q_replace_us(spark, d):
     p = _pred(spark, d).select(F.col("tag").alias("raw")).distinct()
     from tagloom.functions.text import replace_underscores

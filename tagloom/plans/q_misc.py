@@ -185,3 +185,46 @@ def q_stream_settings(spark, d):
     """Last write per (dataset, key) as a streaming aggregation (equals ``upsert_settings``)."""
     path = stream_latest_settings(spark, d)
     return spark.read.parquet(path).select("dataset", "key", "value")
+
+
+# ---- folders of files (written from the given tables, then read back with the file sources) -----
+
+def _page_folder(spark, d):
+    """Every page of the ``pages`` table as a file ``<page_id>.html`` plus every sidecar caption
+    as ``<file_id>.txt``, written by the executors into one folder under the checkpoint folder."""
+    import uuid
+    from tagloom.session import ensure_checkpoint_dir
+    from tagloom.sources.folder import write_files
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/folders/pages-{uuid.uuid4().hex}"
+    write_files(table(spark, d, "pages"), folder, "page_id", "html", ".html")
+    write_files(X.captions(spark, d), folder, "file_id", "caption", ".txt")
+    return folder
+
+
+@register("scan_image_folder", with_("files") + """
+SELECT CAST(file_id AS VARCHAR) AS stem, hash, CAST(n_bytes AS BIGINT) AS n_bytes FROM files WHERE n_bytes > 0""")
+def q_scan_folder(spark, d):
+    """Folder listing + content hash with the ``binaryFile`` source (sidecars excluded). The page
+    files are HTML, so the image-signature filter is off here; it is tested on image bytes."""
+    from tagloom.sources.folder import scan_image_folder
+    return scan_image_folder(spark, _page_folder(spark, d), check_decodable=False).select("stem", "hash", "n_bytes")
+
+
+@register("read_sidecar_captions", with_("captions") + """
+SELECT CAST(file_id AS VARCHAR) AS stem, caption FROM captions WHERE caption <> ''""")
+def q_read_sidecars(spark, d):
+    """Sidecar captions read back from ``<stem>.txt`` files (whole texts, whitespace-stripped)."""
+    from tagloom.sources.folder import read_sidecar_captions
+    return read_sidecar_captions(spark, _page_folder(spark, d))
+
+
+@register("compact_tables", with_("cache_log", extra="""
+cache AS (SELECT hash, repo_name, arg_min(data, seq) AS data, CAST(strlen(arg_min(data, seq)) AS INTEGER) AS n_bytes
+          FROM cache_log GROUP BY hash, repo_name)""") + "SELECT hash, repo_name, data, n_bytes FROM cache")
+def q_compact(spark, d):
+    """The cache table rewritten into 2 files (row count checked), read back."""
+    from tagloom.session import write_table
+    src = write_table(S.insert_cache(X.cache_log(spark, d)).repartition(16), "cache")
+    out = src + "-compact"
+    S.compact_table(spark, src, out, 2)
+    return spark.read.parquet(out)

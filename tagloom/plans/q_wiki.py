@@ -327,3 +327,21 @@ def q_batch_search(spark, d):
     w, p = _search_tables(spark, d)
     qs = spread(table(spark, d, "benchmark")).select(F.col("item_id").alias("qid"), "text")
     return _round_search(W.batch_query_wiki(w, p, qs, BATCH_LIMIT))
+
+
+@register("stem_terms")
+def q_stem_terms(spark, d):
+    """The index dictionary with English stems (Snowball algorithm on distinct terms only; checked
+    against published vocabulary pairs in tests, no SQL engine here has a stemmer offline)."""
+    from tagloom.functions.stem import stem_udf
+    _, p = _search_tables(spark, d)
+    return p.select("term").distinct().select("term", stem_udf(F.col("term")).alias("stem"))
+
+
+@register("query_wiki_stemmed")
+def q_query_wiki_stemmed(spark, d):
+    """Blended search over the stemmed index (stemmed query terms)."""
+    w, p = _search_tables(spark, d)
+    ps = materialize_once(spark, "postings_stemmed", [f"{d}/{t}.parquet" for t in ("documents", "part", "lineitem")],
+                          lambda: W.stem_index(p), sort_by=["term"])
+    return _round_search(W.query_wiki(w, ps, "red widgets", LIMIT, stem=True))

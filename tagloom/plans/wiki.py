@@ -128,6 +128,16 @@ def doc_lengths(wiki: DataFrame, fields=(TITLE, TEXT)) -> F.Column:
     return out
 
 
+def stem_index(postings: DataFrame) -> DataFrame:
+    """Stemmed postings: the distinct term dictionary is stemmed once (Arrow UDF), joined back on
+    the term, and term frequencies of words sharing a stem are summed per (field, stem, doc)."""
+    from tagloom.functions.stem import stem_udf
+    smap = postings.select("term").distinct().select("term", stem_udf(F.col("term")).alias("stem"))
+    return (postings.join(smap, "term")
+            .groupBy("field", F.col("stem").alias("term"), "id")
+            .agg(F.sum("tf").alias("tf"), F.max("doc_len").alias("doc_len")))
+
+
 def write_search_index(postings: DataFrame, path: str) -> None:
     """Persist postings clustered by term: a query's ``term IN (...)`` then prunes row groups."""
     postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
@@ -148,9 +158,13 @@ class BM25:
     conjunctive: bool = False
 
 
-def term_list(query: str, lower: bool = True) -> list[str]:
-    """Query terms: ``[a-z0-9]+`` runs of the (lower-cased) query."""
-    return re.findall("[a-z0-9]+", query.lower() if lower else query)
+def term_list(query: str, lower: bool = True, stem: bool = False) -> list[str]:
+    """Query terms: ``[a-z0-9]+`` runs of the (lower-cased) query; stemmed for a stemmed index."""
+    terms = re.findall("[a-z0-9]+", query.lower() if lower else query)
+    if stem:
+        from tagloom.functions.stem import stem as stem_word
+        terms = [stem_word(t) for t in terms]
+    return terms
 
 
 def bm25_scores(wiki: DataFrame, postings: DataFrame, terms: list[str], specs: dict[str, BM25]) -> DataFrame:
@@ -189,10 +203,12 @@ def _order_limit(df: DataFrame, order, limit: int) -> DataFrame:
     return df.orderBy(*order, F.col("title"), F.col("id")).limit(limit)
 
 
-def query_wiki(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 10, lower: bool = True) -> DataFrame:
+def query_wiki(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 10, lower: bool = True,
+               stem: bool = False) -> DataFrame:
     """Blended search: conjunctive and disjunctive title BM25 (k=0), text BM25 (k=1.2, b=0),
-    popularity boost ``text * log10(post_count)``; an empty query lists pages by popularity."""
-    terms = term_list(search, lower)
+    popularity boost ``text * log10(post_count)``; an empty query lists pages by popularity.
+    ``stem=True`` for an index built with :func:`stem_index`."""
+    terms = term_list(search, lower, stem)
     if not terms:
         scored = wiki.select("id", "title", "post_count", F.lit(None).cast("double").alias("t0"),
                              F.lit(None).cast("double").alias("t1"), F.lit(None).cast("double").alias("tx"))

@@ -41,10 +41,11 @@ def filter_by_tags(captions: DataFrame, selected: list[str], caption_col: str =
 def decode_scores(vectors: DataFrame, labels: DataFrame, vec_col: str = "scores") -> DataFrame:
     """Score vectors x label vocabulary -> ``(vec_id, category, tag, score)``.
 
-    The vocabulary is bounded by the model (one row per output unit), so it is broadcast; the
-    vectors are exploded in place (no shuffle)."""
+    The vectors are exploded in place; the vocabulary (one row per model output) is joined on the
+    index. It is not force-broadcast: AQE broadcasts it after measuring it, and falls back to a
+    shuffle join if a vocabulary were ever too large."""
     long = vectors.select("vec_id", F.posexplode(vec_col).alias("idx", "score"))
-    lab = F.broadcast(labels.select("idx", F.col("name").alias("tag"), _category_name(F.col("category")).alias("category")))
+    lab = labels.select("idx", F.col("name").alias("tag"), _category_name(F.col("category")).alias("category"))
     return long.join(lab, "idx").select("vec_id", "category", "tag", "score")
 
 

@@ -93,50 +93,54 @@ def _page_target(t: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(t)), " ", "_")
 
 
+def _link_fields(kind: str, pat: str, m: Column) -> tuple[Column, Column]:
+    """``(url, label)`` of one matched link ``m`` of a kind."""
+    g = lambda i: F.regexp_extract(m, pat, i)
+    if kind in ("wiki", "search"):
+        inner = g(2) if kind == "wiki" else g(1)
+        target = F.split_part(inner, F.lit("|"), F.lit(1))
+        label_raw = F.when(F.instr(inner, "|") > 0, F.substring_index(inner, "|", -1))
+        if kind == "wiki":
+            after_hash = F.split_part(target, F.lit("#"), F.lit(2))
+            anchor = F.when(F.substring(after_hash, 1, 1).rlike("^[A-Z]$"), after_hash)
+            target = F.when(anchor.isNotNull(), F.split_part(target, F.lit("#"), F.lit(1))).otherwise(target)
+        label = (F.when(label_raw.isNull(), F.trim(target))
+                 .when(label_raw == "", F.trim(F.regexp_replace(target, r"\(.+\)", "")))
+                 .otherwise(F.trim(label_raw)))
+        if kind == "wiki":
+            url = F.concat(F.lit(WIKI_URL), _page_target(target),
+                           F.coalesce(F.concat(F.lit("#dtext-"), F.lower(anchor)), F.lit("")))
+            return url, F.concat(g(1), label, g(3))
+        url = F.concat(F.lit(SEARCH_URL), F.lower(F.when(label_raw.isNull() | (label_raw == ""), target)
+                                                 .otherwise(F.trim(target))))
+        return url, label
+    if kind == "user":
+        return F.concat(F.lit(USER_URL), g(1)), F.concat(F.lit("@"), g(1))
+    if kind in ("text_url", "md_text"):
+        return g(2), g(1)
+    if kind == "md_url":
+        return g(1), g(2)
+    return g(1), g(1)
+
+
 def extract_wiki_links(pages: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
-    """Link edge table ``(page_id, kind, pos, url, label)``.
+    """Link edge table ``(page_id, kind, pos, url, label)``; ``pos`` numbers the links of one kind
+    within a page.
 
     Wiki links point at ``lower(target)`` with spaces as ``_`` (plus ``#dtext-anchor`` for an
     upper-case anchor); ``[[t|]]`` drops a ``(qualifier)`` from the label; adjoining word characters
-    join the label. Search links keep the target as typed (lower-cased)."""
-    out = None
+    join the label. Search links keep the target as typed (lower-cased).
+
+    One pass over the pages: every kind's matches become an array of structs in one projection,
+    the arrays are concatenated and exploded once."""
     body = F.col(body_col)
-    for kind, pat in _LINKS:
-        m = pages.select(F.col(id_col).alias("page_id"),
-                         F.posexplode(F.regexp_extract_all(body, F.lit(pat), 0)).alias("pos", "m"))
-        g = lambda i: F.regexp_extract("m", pat, i)
-        if kind == "wiki":
-            inner = g(2)
-            target = F.split_part(inner, F.lit("|"), F.lit(1))
-            label_raw = F.when(F.instr(inner, "|") > 0, F.substring_index(inner, "|", -1))
-            anchor = F.when(F.substring(F.split_part(target, F.lit("#"), F.lit(2)), 1, 1).rlike("^[A-Z]$"),
-                            F.split_part(target, F.lit("#"), F.lit(2)))
-            target_clean = F.when(anchor.isNotNull(), F.split_part(target, F.lit("#"), F.lit(1))).otherwise(target)
-            label = (F.when(label_raw.isNull(), F.trim(target_clean))
-                     .when(label_raw == "", F.trim(F.regexp_replace(target_clean, r"\(.+\)", "")))
-                     .otherwise(F.trim(label_raw)))
-            url = F.concat(F.lit(WIKI_URL), _page_target(target_clean),
-                           F.coalesce(F.concat(F.lit("#dtext-"), F.lower(anchor)), F.lit("")))
-            m = m.select("page_id", F.lit(kind).alias("kind"), "pos", url.alias("url"),
-                         F.concat(g(1), label, g(3)).alias("label"))
-        elif kind == "search":
-            inner = g(1)
-            target = F.split_part(inner, F.lit("|"), F.lit(1))
-            label_raw = F.when(F.instr(inner, "|") > 0, F.substring_index(inner, "|", -1))
-            label = (F.when(label_raw.isNull(), F.trim(target))
-                     .when(label_raw == "", F.trim(F.regexp_replace(target, r"\(.+\)", "")))
-                     .otherwise(F.trim(label_raw)))
-            url = F.concat(F.lit(SEARCH_URL), F.lower(F.when(label_raw.isNull() | (label_raw == ""), target)
-                                                     .otherwise(F.trim(target))))
-            m = m.select("page_id", F.lit(kind).alias("kind"), "pos", url.alias("url"), label.alias("label"))
-        elif kind == "user":
-            m = m.select("page_id", F.lit(kind).alias("kind"), "pos",
-                         F.concat(F.lit(USER_URL), g(1)).alias("url"), F.concat(F.lit("@"), g(1)).alias("label"))
-        elif kind in ("text_url", "md_text"):
-            m = m.select("page_id", F.lit(kind).alias("kind"), "pos", g(2).alias("url"), g(1).alias("label"))
-        elif kind == "md_url":
-            m = m.select("page_id", F.lit(kind).alias("kind"), "pos", g(1).alias("url"), g(2).alias("label"))
-        else:
-            m = m.select("page_id", F.lit(kind).alias("kind"), "pos", g(1).alias("url"), g(1).alias("label"))
-        out = m if out is None else out.unionByName(m)
-    return out
+
+    def per_kind(kind, pat):
+        def entry(m, i):
+            url, label = _link_fields(kind, pat, m)
+            return F.struct(F.lit(kind).alias("kind"), i.alias("pos"), url.alias("url"), label.alias("label"))
+        return F.transform(F.regexp_extract_all(body, F.lit(pat), 0), entry)
+
+    links = F.concat(*[per_kind(k, p) for k, p in _LINKS])
+    return (pages.select(F.col(id_col).alias("page_id"), F.explode(links).alias("e"))
+            .select("page_id", "e.kind", "e.pos", "e.url", "e.label"))

@@ -241,7 +241,7 @@ sc AS (SELECT id, title, post_count, sum(sim) / {len(terms)} AS title_score FROM
           + "SELECT id, round(title_score, 6) AS title_score FROM sc")
 def q_title_sim(spark, d):
     """Mean over query terms of the best Jaro-Winkler similarity to a title token, every page."""
-    s = W.title_similarity(_wiki(spark, d), TITLE_TERMS)
+    s = W.title_similarity(_search_tables(spark, d)[0], TITLE_TERMS)
     return s.select("id", r6("title_score").alias("title_score"))
 
 
@@ -249,7 +249,7 @@ def q_title_sim(spark, d):
 SELECT title, post_count, round(title_score, 6) AS title_score FROM sc WHERE title_score >= 0.8
 ORDER BY floor(round(title_score, 6) * 100) DESC, post_count DESC, title, id LIMIT {LIMIT}""")
 def q_query_title(spark, d):
-    return _round_search(W.query_title(_wiki(spark, d), TITLE_TERMS, LIMIT))
+    return _round_search(W.query_title(_search_tables(spark, d)[0], TITLE_TERMS, LIMIT))
 
 
 def query_title_text_sql(search: str, title_terms: list[str], limit: int) -> str:

@@ -110,12 +110,12 @@ def build_search_index(wiki: DataFrame, fields=(TITLE, TEXT)) -> DataFrame:
     doc_len = None
     for f in fields:
         doc_len = token_count(f) if doc_len is None else doc_len + token_count(f)
-    base = wiki.select("id", doc_len.alias("doc_len"), *fields)
-    parts = [base.select("id", "doc_len", F.lit(f).alias("field"), F.explode(_tokens(f)).alias("term"))
-             for f in fields]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    # one pass: the token arrays of all fields are built in one projection, then exploded field by
+    # field from the same rows (no union branch per field re-reading the pages)
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), _tokens(f).alias("toks")) for f in fields])
+    base = wiki.select("id", doc_len.alias("doc_len"), per_field.alias("_f"))
+    rows = (base.select("id", "doc_len", F.explode("_f").alias("_f"))
+            .select("id", "doc_len", F.col("_f.field").alias("field"), F.explode("_f.toks").alias("term")))
     return (rows.where(F.col("term") != "")
             .groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
             .select("field", "term", "id", "tf", "doc_len"))
@@ -331,11 +331,14 @@ def batch_query_wiki(wiki: DataFrame, postings: DataFrame, queries: DataFrame, l
                 .select("qid", "id", "title", "post_count", t0.alias("t0"), t1.alias("t1"), tx.alias("text_score"))
                 .where((F.col("t0") > 0.1) | (F.col("t1") > 0.1) | (F.col("text_score") > 0.1)))
     total = F.col("t0") + F.col("t1") + F.col("text_score") * F.log10("post_count")
-    # queries without terms: every page qualifies; only the global top-k by popularity can rank
+    # queries without terms: every page qualifies, so only the global top-k by popularity can rank.
+    # That list (at most ``limit`` rows) is one scalar array, inlined into each empty query: a
+    # generator, not a join.
     popular = (pages.select("id", "title", "post_count", F.lit(0.1).alias("t0"), F.lit(0.1).alias("t1"),
                             F.lit(0.1).alias("text_score"))
-               .orderBy(total.desc(), "title", "id").limit(limit).withColumn("nq", F.lit(0)))
-    empty = qt.where(F.col("nq") == 0).select("qid", "nq").join(popular, "nq").drop("nq")
+               .orderBy(total.desc(), "title", "id").limit(limit))
+    top = popular.select(F.collect_list(F.struct(*popular.columns)).alias("top")).scalar()
+    empty = qt.where(F.col("nq") == 0).select("qid", F.inline(top))
     rows = hit_rows.unionByName(empty).withColumn("total_score", total)
     win = Window.partitionBy("qid").orderBy(F.col("t0").desc(), F.col("total_score").desc(), "title", "id")
     return (rows.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= limit)

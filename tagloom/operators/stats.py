@@ -45,7 +45,9 @@ def decode_scores(vectors: DataFrame, labels: DataFrame, vec_col: str = "scores"
     index. It is not force-broadcast: AQE broadcasts it after measuring it, and falls back to a
     shuffle join if a vocabulary were ever too large."""
     long = vectors.select("vec_id", F.posexplode(vec_col).alias("idx", "score"))
-    lab = labels.select("idx", F.col("name").alias("tag"), _category_name(F.col("category")).alias("category"))
+    # labels of other categories (artist, copyright, meta, ...) are not part of a prediction
+    lab = (labels.select("idx", F.col("name").alias("tag"), _category_name(F.col("category")).alias("category"))
+           .where(F.col("category").isNotNull()))
     return long.join(lab, "idx").select("vec_id", "category", "tag", "score")
 
 

@@ -277,7 +277,7 @@ def q_drop_blank(spark, d):
 @register("decode_scores", with_("label_vocab", "score_long") + """
 SELECT s.vec_id, CASE v.category WHEN 9 THEN 'rating' WHEN 0 THEN 'general' WHEN 4 THEN 'character' END AS category,
        v.name AS tag, s.score
-FROM score_long s JOIN label_vocab v ON v.idx = s.idx""")
+FROM score_long s JOIN label_vocab v ON v.idx = s.idx WHERE v.category IN (9, 0, 4)""")
 def q_decode(spark, d):
     return decode_scores(X.score_vectors(spark, d), X.label_vocab(spark, d))
 

@@ -31,12 +31,17 @@ def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_label_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON ``{"idx_to_tag": {"0": "x", ...}, "tag_to_category": {"x": "general", ...}}``: an
-    unknown index becomes ``unknown-<idx>``, an unknown category ``general``."""
+    """JSON ``{"total_tags": n, "idx_to_tag": {"0": "x", ...}, "tag_to_category": {"x": "general"}}``:
+    every index below ``total_tags`` is a label; an index missing from ``idx_to_tag`` becomes
+    ``unknown-<idx>``, a tag missing from ``tag_to_category`` is ``general``. Without
+    ``total_tags`` the indexes of ``idx_to_tag`` are the labels."""
     raw = spark.read.option("multiLine", "true").json(path)
-    idx = raw.select(F.explode(F.from_json(F.to_json("idx_to_tag"), "map<string,string>")).alias("idx", "name"))
+    idx = raw.select(F.explode(F.from_json(F.to_json("idx_to_tag"), "map<string,string>")).alias("idx", "name")) \
+        .select(F.col("idx").cast("long").alias("idx"), "name")
     cat = raw.select(F.explode(F.from_json(F.to_json("tag_to_category"), "map<string,string>")).alias("name", "category"))
-    j = idx.join(cat, "name", "left")
-    return j.select(F.col("idx").cast("long").alias("idx"),
-                    F.coalesce(F.col("name"), F.concat(F.lit("unknown-"), F.col("idx"))).alias("name"),
-                    F.coalesce(F.col("category"), F.lit(GENERAL)).alias("category"))
+    if "total_tags" in raw.columns:
+        every = raw.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_tags").cast("long") - 1)).alias("idx"))
+        idx = every.join(idx, "idx", "left")
+    named = idx.select("idx", F.coalesce(F.col("name"), F.concat(F.lit("unknown-"), F.col("idx").cast("string"))).alias("name"))
+    return (named.join(cat, "name", "left")
+            .select("idx", "name", F.coalesce(F.col("category"), F.lit(GENERAL)).alias("category")))

@@ -62,9 +62,10 @@ def test_label_json(spark):
     d = tempfile.mkdtemp(prefix="tagloom-labels-")
     p = os.path.join(d, "info.json")
     with open(p, "w") as f:
-        json.dump({"idx_to_tag": {"0": "cat", "1": "miku"}, "tag_to_category": {"miku": "character"}}, f)
+        json.dump({"total_tags": 3, "idx_to_tag": {"0": "cat", "1": "miku"},
+                   "tag_to_category": {"miku": "character"}}, f)
     got = sorted((r.idx, r.name, r.category) for r in read_label_json(spark, p).collect())
-    assert got == [(0, "cat", "general"), (1, "miku", "character")]
+    assert got == [(0, "cat", "general"), (1, "miku", "character"), (2, "unknown-2", "general")]
 
 
 def test_state_helpers(spark):

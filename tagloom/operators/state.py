@@ -168,3 +168,48 @@ def compact_table(spark, path: str, out_path: str, n_files: int) -> int:
     if m != n:
         raise RuntimeError(f"compaction changed the row count: {n} -> {m}")
     return n
+
+
+# ---- typed dataset settings -----------------------------------------------------------------
+
+# The per-dataset setting keys and their types.
+SETTING_TYPES = {
+    "model_repo": "string", "general_thresh": "double", "character_thresh": "double",
+    "replace_underscores": "bool", "trim_general_tag_dupes": "bool", "escape_brackets": "bool",
+    "overwrite_current_caption": "bool", "merge_existing_captions": "bool", "prefix_tags": "string",
+    "keep_tags": "string", "ban_tags": "string", "map_tags": "string", "whitelist_tags": "string",
+    "whitelist_tag_group": "string",
+}
+SETTING_DEFAULTS = {"general_thresh": 0.35, "character_thresh": 0.9, "replace_underscores": True,
+                    "trim_general_tag_dupes": True, "escape_brackets": False}
+
+
+def typed_settings(settings: DataFrame) -> DataFrame:
+    """One row per dataset with one typed column per known key (latest value; NULL when never
+    saved). A pivot over the fixed key list: no driver round trip. Booleans are saved as
+    ``'True'``/``'False'`` and read back by comparing with ``'True'`` (for every key, including
+    ``escape_brackets``)."""
+    latest = upsert_settings(settings.where(F.col("key").isin(list(SETTING_TYPES))))
+    wide = latest.groupBy("dataset").pivot("key", list(SETTING_TYPES)).agg(F.first("value"))
+    cols = [F.col("dataset")]
+    for k, t in SETTING_TYPES.items():
+        c = F.col(k)
+        cols.append((c == "True").alias(k) if t == "bool" else c.cast(t).alias(k) if t == "double" else c.alias(k))
+    return wide.select(*cols)
+
+
+def tag_settings_for(typed: DataFrame, dataset: str):
+    """``TagSettings`` of one dataset (its single row of configuration), defaults for unsaved keys."""
+    from tagloom.operators.tags import TagSettings
+    row = typed.where(F.col("dataset") == dataset).limit(1).collect()
+    vals = row[0].asDict() if row else {}
+
+    def get(k):
+        v = vals.get(k)
+        return SETTING_DEFAULTS.get(k) if v is None else v
+    return TagSettings(general_threshold=get("general_thresh"), character_threshold=get("character_thresh"),
+                       replace_underscores=get("replace_underscores"),
+                       trim_general_tag_dupes=get("trim_general_tag_dupes"),
+                       escape_brackets=get("escape_brackets"), prefix_tags=get("prefix_tags") or None,
+                       keep_tags=get("keep_tags") or None, ban_tags=get("ban_tags") or None,
+                       map_tags=get("map_tags") or None)

@@ -118,3 +118,16 @@ def test_write_caption_files(spark, folder):
     assert read("b.txt") == "new b"
     write_caption_files(caps, folder, overwrite=True)
     assert read("a.txt") == "new a"
+
+
+def test_typed_settings(spark):
+    rows = [("d1", "general_thresh", "0.5", 1), ("d1", "escape_brackets", "True", 2), ("d1", "ban_tags", "x, y", 3),
+            ("d1", "general_thresh", "0.4", 4), ("d2", "replace_underscores", "False", 5), ("d2", "other", "z", 6)]
+    df = spark.createDataFrame(rows, "dataset string, key string, value string, seq long")
+    typed = S.typed_settings(df)
+    r = typed.where(F.col("dataset") == "d1").collect()[0]
+    assert (r.general_thresh, r.escape_brackets, r.ban_tags, r.replace_underscores) == (0.4, True, "x, y", None)
+    st = S.tag_settings_for(typed, "d1")
+    assert (st.general_threshold, st.escape_brackets, st.ban_tags, st.replace_underscores) == (0.4, True, "x, y", True)
+    st2 = S.tag_settings_for(typed, "d2")
+    assert st2.replace_underscores is False and st2.general_threshold == 0.35

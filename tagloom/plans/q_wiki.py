@@ -156,13 +156,63 @@ def q_plain_text(spark, d):
     return spread(table(spark, d, "documents")).select("doc_id", plain_text(F.col("text")).alias("plain"))
 
 
-@register("extract_headings")
+def _matches_sql(pat: str) -> str:
+    return (f"SELECT doc_id AS page_id, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos FROM "
+            f"(SELECT doc_id, regexp_extract_all(text, '{pat}', 0) AS ms FROM documents) x")
+
+
+def _headings_sql() -> str:
+    from tagloom.operators.markup import HEADING
+    h = HEADING
+    return f"""SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(regexp_extract(m, '{h}', 1) AS INTEGER) AS level,
+       nullif(regexp_replace(regexp_extract(m, '{h}', 2), '^#', ''), '') AS anchor,
+       trim(regexp_extract(m, '{h}', 3)) AS text
+FROM ({_matches_sql(h)}) t"""
+
+
+def _links_sql() -> str:
+    from tagloom.operators.markup import _LINKS, SEARCH_URL, USER_URL, WIKI_URL
+    parts = []
+    for kind, pat in _LINKS:
+        g = lambda i, pat=pat: f"regexp_extract(m, '{pat}', {i})"
+        if kind in ("wiki", "search"):
+            inner = g(2) if kind == "wiki" else g(1)
+            t0 = f"split_part({inner}, '|', 1)"
+            raw = f"(CASE WHEN instr({inner}, '|') > 0 THEN string_split({inner}, '|')[-1] END)"
+            if kind == "wiki":
+                ah = f"split_part({t0}, '#', 2)"
+                anchor = f"(CASE WHEN regexp_full_match(substring({ah}, 1, 1), '[A-Z]') THEN {ah} END)"
+                target = f"(CASE WHEN {anchor} IS NOT NULL THEN split_part({t0}, '#', 1) ELSE {t0} END)"
+            else:
+                target = t0
+            label = (f"(CASE WHEN {raw} IS NULL THEN trim({target}) "
+                     f"WHEN {raw} = '' THEN trim(regexp_replace({target}, '\\(.+\\)', '', 'g')) ELSE trim({raw}) END)")
+            if kind == "wiki":
+                url = (f"'{WIKI_URL}' || replace(lower(trim({target})), ' ', '_') || "
+                       f"coalesce('#dtext-' || lower({anchor}), '')")
+                label = f"{g(1)} || {label} || {g(3)}"
+            else:
+                url = f"'{SEARCH_URL}' || lower(CASE WHEN {raw} IS NULL OR {raw} = '' THEN {target} ELSE trim({target}) END)"
+        elif kind == "user":
+            url, label = f"'{USER_URL}' || {g(1)}", f"'@' || {g(1)}"
+        elif kind in ("text_url", "md_text"):
+            url, label = g(2), g(1)
+        elif kind == "md_url":
+            url, label = g(1), g(2)
+        else:
+            url, label = g(1), g(1)
+        parts.append(f"SELECT page_id, '{kind}' AS kind, CAST(pos AS INTEGER) AS pos, {url} AS url, {label} AS label "
+                     f"FROM ({_matches_sql(pat)}) t")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("extract_headings", _headings_sql())
 def q_headings(spark, d):
     """Heading edge table over all documents (driver texts carry no headings; goldens in tests)."""
     return extract_headings(spread(table(spark, d, "documents")), id_col="doc_id", body_col="text")
 
 
-@register("extract_wiki_links")
+@register("extract_wiki_links", _links_sql())
 def q_links(spark, d):
     """Link edge table over all documents (driver texts only carry ``@`` mentions inside e-mail
     addresses; the other link kinds are covered by goldens in tests)."""

@@ -53,3 +53,22 @@ def test_plain_text(spark):
     df = spark.createDataFrame([(1, body)], "id int, body string")
     got = df.select(plain_text(F.col("body")).alias("p")).collect()[0].p
     assert got.split() == ["Intro", "bold", "Fate", "Sky", "ToS", "one", "two"]
+
+
+def test_extraction_sql_twins_agree_on_goldens(spark):
+    """The link/heading SQL twins and the Spark extraction agree on every golden markup input."""
+    import duckdb
+    from tagloom.plans.q_wiki import _headings_sql, _links_sql
+    from tools.oracle_check import rows_of
+    docs = [(i, d) for i, (_, d, _) in enumerate(ALL)] + [(100, "h2#sec-b. Part B\ntext h4. Four")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for sql, sdf in ((_links_sql(), extract_wiki_links(df, "doc_id", "text")),
+                     (_headings_sql(), extract_headings(df, "doc_id", "text"))):
+        cur = con.execute(sql)
+        ocols = [c[0] for c in cur.description]
+        orows = cur.fetchall()
+        assert len(orows) > 3
+        assert rows_of(sdf.columns, sdf.collect()) == rows_of(ocols, orows)

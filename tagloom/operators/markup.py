@@ -47,12 +47,18 @@ PLAIN_TEXT_RULES: list[tuple[str, str]] = [
 ]
 
 
+# Every plain-text rule needs one of these in the text (a heading needs "h<digit>"): texts without any
+# of them are returned unchanged, so the rule chain runs only on texts that carry markup.
+MARKUP_HINT = r'[\[<{"*\r]|h[0-9]'
+
+
 def plain_text(c) -> Column:
     """Searchable text of a markup column (NULL stays NULL)."""
-    col = F.col(c) if isinstance(c, str) else c
+    src = F.col(c) if isinstance(c, str) else c
+    col = src
     for pat, rep in PLAIN_TEXT_RULES:
         col = F.regexp_replace(col, pat, rep)
-    return col
+    return F.when(src.rlike(MARKUP_HINT), col).otherwise(src)
 
 
 def plain_text_sql(expr: str) -> str:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.markup import HEADING, SEARCH_URL, USER_URL, WIKI_URL
 
+# Characters (or words) one of the rules below needs; texts without any are rendered unchanged.
+RENDER_HINT = r'[\[<{"@*\r]|http|h[0-9]'
+
 _SEGMENTS = r"(\[nodtext\][\s\S]*?\[/nodtext\]|\[code\][\s\S]*?\[/code\]|[\s\S]+?(?=\[nodtext\]|\[code\]|$))"
 
 # Ordered rewrite rules for a markup segment (Java regex; fixed values of the output format).
@@ -125,4 +128,6 @@ def render_markdown(body) -> Column:
         return (F.when(s.startswith("[nodtext]"), nod)
                 .when(s.startswith("[code]"), F.concat(F.lit("```\n"), F.regexp_replace(code, r"\n$", ""), F.lit("\n```")))
                 .otherwise(render_segment(s)))
-    return F.array_join(F.transform(segs, one), "")
+    rendered = F.array_join(F.transform(segs, one), "")
+    # a text with none of the characters any rule needs renders as itself: skip the chain
+    return F.when(F.coalesce(b, F.lit("")).rlike(RENDER_HINT), rendered).otherwise(F.coalesce(b, F.lit("")))

@@ -22,15 +22,52 @@ BAN = "gear, red widget"
 SELECTED = ["widget"]
 
 
+def map_rules_ctes(rules_text: str, max_passes: int = 20) -> str:
+    """SQL twin of the mapping-rule rewrite: a recursive CTE applying one rule per step to each
+    file's list, a pass ending after the last rule, stopping after a pass without a real change.
+    Reads ``l1(file_id, tag, s, p)``, defines ``lm`` with the same columns."""
+    rules = T.parse_mapping_rules(rules_text)
+    n = len(rules)
+
+    def arr(xs):
+        return f"CAST([{sql_list(xs)}] AS VARCHAR[])" if xs else "CAST([] AS VARCHAR[])"
+    lit = ", ".join(f"struct_pack(pos := {arr(r.positives)}, neg := {arr(r.negatives)}, tgt := {arr(r.targets)})"
+                    for r in rules)
+    return f""",
+rules AS (SELECT [{lit}] AS rs),
+init AS (SELECT file_id, list(struct_pack(tag := tag, score := s) ORDER BY p) AS tags FROM l1 GROUP BY file_id),
+rm(file_id, step, tags, changed, done) AS (
+  SELECT file_id, 0, tags, false, false FROM init
+  UNION ALL
+  SELECT file_id, step + 1,
+         CASE WHEN fires THEN list_concat(list_filter(tags, lambda x: NOT list_contains(r.pos, x.tag)),
+                                          list_transform(r.tgt, lambda t: struct_pack(tag := t, score := top)))
+              ELSE tags END,
+         ch, (step % {n} = {n - 1}) AND NOT ch
+  FROM (SELECT *, (CASE WHEN step % {n} = 0 THEN false ELSE changed END)
+                  OR (fires AND NOT list_has_all(r.tgt, r.pos)) AS ch
+        FROM (SELECT *, list_has_all(list_transform(tags, lambda x: x.tag), r.pos)
+                        AND NOT list_has_any(list_transform(tags, lambda x: x.tag), r.neg) AS fires,
+                     list_max(list_transform(r.pos, lambda t: (list_filter(tags, lambda x: x.tag = t))[1].score)) AS top
+              FROM (SELECT rm.*, (SELECT rs FROM rules)[(rm.step % {n}) + 1] AS r
+                    FROM rm WHERE NOT rm.done AND rm.step < {max_passes * n}) a) b) c),
+fin AS (SELECT file_id, arg_max(tags, step) AS tags FROM rm GROUP BY file_id),
+lm0 AS (SELECT file_id, generate_subscripts(tags, 1) AS p, unnest(tags) AS e FROM fin),
+lm AS (SELECT file_id, e.tag AS tag, e.score AS s, p FROM lm0)"""
+
+
 def caption_ctes(keep: str | None = None, prefix: str | None = None, ban: str | None = None,
-                 escape: bool = False) -> str:
-    """SQL twin of the caption path (long form): ranked list -> keep -> prefix -> ban -> sort."""
+                 escape: bool = False, map_rules: str | None = None) -> str:
+    """SQL twin of the caption path (long form): ranked list -> map -> keep -> prefix -> ban -> sort."""
     s = kept_ctes() + """,
 allf AS (SELECT DISTINCT file_id FROM pred),
 cl AS (SELECT file_id, tag, CASE WHEN category = 'character' THEN score ELSE score - 1.0 END AS s,
               CASE WHEN category = 'character' THEN 0 ELSE 1 END AS cat, ord FROM kept),
 l1 AS (SELECT file_id, tag, s, row_number() OVER (PARTITION BY file_id ORDER BY s DESC, cat, ord) AS p FROM cl)"""
     cur = "l1"
+    if map_rules:
+        s += map_rules_ctes(map_rules)
+        cur = "lm"
     k = csv_list(keep)
     if k:
         s += f""",
@@ -133,10 +170,12 @@ gadget & bolt : kit, gadget
 """
 
 
-@register("apply_mapping_rules")
+@register("apply_mapping_rules",
+          with_("pred", extra=caption_ctes(keep=KEEP, ban=BAN, map_rules=MAP_RULES)).replace("WITH ", "WITH RECURSIVE ", 1)
+          + "SELECT file_id, caption FROM cap")
 def q_mapping(spark, d):
-    """Iterative rewrite (passes until no change): no SQL twin; checked against a brute-force
-    restatement in tests."""
+    """Iterative rewrite (passes until no change) as native higher-order functions; the SQL twin is
+    a recursive CTE applying one rule per step (also checked against a plain-Python restatement)."""
     return D.captions(_pred(spark, d), TagSettings(map_tags=MAP_RULES, keep_tags=KEEP, ban_tags=BAN))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagloom.operators.markup import HEADING, SEARCH_URL, USER_URL, WIKI_URL
+from tagloom.operators.markup import SEARCH_URL, USER_URL, WIKI_URL
 
 # Characters (or words) one of the rules below needs; texts without any are rendered unchanged.
 RENDER_HINT = r'[\[<{"@*\r]|http|h[0-9]'

@@ -9,7 +9,7 @@ from tagloom.operators import tags as T
 from tagloom.operators.stats import filter_by_tags, tag_facets, decode_scores, decode_caption_scores
 from tagloom.operators.tags import TagSettings, csv_list
 from tagloom.plans import dataset as D
-from tagloom.plans.oracle import FIX, kept_ctes, rus, sql_list, with_
+from tagloom.plans.oracle import kept_ctes, rus, sql_list, with_
 from tagloom.plans.registry import register, r6
 from tagloom.session import materialize_once
 from tagloom.sources import fixtures as X
@@ -209,7 +209,7 @@ r AS (SELECT file_id, category, (score + nxt) / 2 AS cut,
 SELECT file_id, category, round(cut, 6) AS cut FROM r WHERE k = 1"""
 
 
-@register("mcut_threshold", MCUT_SQL.replace("WITH pred AS", "WITH pred AS", 1))
+@register("mcut_threshold", MCUT_SQL)
 def q_mcut(spark, d):
     c = T.mcut_threshold(_pred(spark, d).where(F.col("category") != "rating"))
     return c.select("file_id", "category", r6("cut").alias("cut"))

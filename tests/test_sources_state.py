@@ -131,3 +131,16 @@ def test_typed_settings(spark):
     assert (st.general_threshold, st.escape_brackets, st.ban_tags, st.replace_underscores) == (0.4, True, "x, y", True)
     st2 = S.tag_settings_for(typed, "d2")
     assert st2.replace_underscores is False and st2.general_threshold == 0.35
+
+
+def test_unattributed_usage(spark):
+    cache = spark.createDataFrame([("h1", "m", "aaaa", 4), ("h2", "m", "bb", 2), ("h3", "m", "c", 1)],
+                                  "hash string, repo_name string, data string, n_bytes int")
+    mem = spark.createDataFrame([("d1", "h1"), ("d2", "h1"), ("d2", "h2")], "dataset string, hash string")
+    usage = {r.dataset: r.bytes for r in S.usage_by_dataset(cache, mem).collect()}
+    assert usage == {"d1": 4, "d2": 6, "UNKNOWN": 1}          # a shared row counts once per dataset
+    assert {r.dataset for r in S.cached_datasets(cache, mem).collect()} == {"d1", "d2", "UNKNOWN"}
+    assert [r.hash for r in S.exclusive_hashes(mem, "d2").collect()] == ["h2"]
+    c2, m2 = S.drop_cache_by_dataset(cache, mem, "d2")
+    assert sorted(r.hash for r in c2.collect()) == ["h1", "h3"]
+    assert sorted((r.dataset, r.hash) for r in m2.collect()) == [("d1", "h1")]

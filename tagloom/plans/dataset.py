@@ -66,8 +66,10 @@ def result_scores(pred: DataFrame, st: TagSettings = TagSettings()) -> DataFrame
     else:
         # without mapping rules the result list is the kept rows minus banned tags: no per-file list
         out = T.ban_tags(kept_tags(pred, st), st.ban_tags).select("file_id", "tag", "score")
+    # the vocabulary is the whole prediction table: no distinct (a duplicate vocabulary row only
+    # repeats a result row, which the min below absorbs), so it is shuffled once, for the join
     vocab = (T.prepare_predictions(pred, st.replace_underscores)
-             .where(F.col("category") != RATING).select("file_id", "category", "tag").distinct())
+             .where(F.col("category") != RATING).select("file_id", "category", "tag"))
     return (out.join(vocab, ["file_id", "tag"])
             .groupBy("file_id", "category", "tag").agg(F.min("score").alias("score")))
 

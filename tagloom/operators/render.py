@@ -118,7 +118,7 @@ def render_segment(c: Column) -> Column:
 
 
 def render_markdown(body) -> Column:
-    """Markdown of a markup column; NULL renders as ''."""
+    """Markdown of a markup column; a NULL body stays NULL."""
     b = body if isinstance(body, Column) else F.col(body)
     segs = F.regexp_extract_all(F.coalesce(b, F.lit("")), F.lit(_SEGMENTS), 1)
 
@@ -129,5 +129,6 @@ def render_markdown(body) -> Column:
                 .when(s.startswith("[code]"), F.concat(F.lit("```\n"), F.regexp_replace(code, r"\n$", ""), F.lit("\n```")))
                 .otherwise(render_segment(s)))
     rendered = F.array_join(F.transform(segs, one), "")
-    # a text with none of the characters any rule needs renders as itself: skip the chain
-    return F.when(F.coalesce(b, F.lit("")).rlike(RENDER_HINT), rendered).otherwise(F.coalesce(b, F.lit("")))
+    # a text with none of the characters any rule needs renders as itself: skip the chain.
+    # A NULL body has no markdown (NULL), as a SQL function is not called on NULL input.
+    return F.when(b.isNull(), F.lit(None).cast("string")).when(b.rlike(RENDER_HINT), rendered).otherwise(b)

@@ -25,7 +25,7 @@ def test_render_golden(rendered, i):
 
 def test_render_null_body(spark):
     df = spark.createDataFrame([(1, None)], "id int, body string")
-    assert df.select(render_markdown(F.col("body")).alias("m")).collect()[0].m == ""
+    assert df.select(render_markdown(F.col("body")).alias("m")).collect()[0].m is None
 
 
 def test_extract_links(spark):

@@ -144,3 +144,17 @@ def test_unattributed_usage(spark):
     c2, m2 = S.drop_cache_by_dataset(cache, mem, "d2")
     assert sorted(r.hash for r in c2.collect()) == ["h1", "h3"]
     assert sorted((r.dataset, r.hash) for r in m2.collect()) == [("d1", "h1")]
+
+
+def test_write_wiki_requires_unique_ids(spark):
+    from tagloom.plans.wiki import build_wiki, write_wiki
+    pages = spark.createDataFrame([(1, "red_widget", "a [b]bold[/b] page"), (2, "help:x", "skip"), (3, "bolt", None)],
+                                  "id int, title string, body string")
+    tags = spark.createDataFrame([("red_widget", 5), ("red_widget", 9)], "name string, post_count int")
+    d = tempfile.mkdtemp(prefix="tagloom-wiki-")
+    w = build_wiki(pages, tags)
+    write_wiki(w, os.path.join(d, "wiki"))
+    got = {r.id: (r.post_count, r.markdown, r.search_text) for r in spark.read.parquet(os.path.join(d, "wiki")).collect()}
+    assert got == {1: (9, "a <b>bold</b> page", "a bold page"), 3: (1, None, None)}
+    with pytest.raises(ValueError):
+        write_wiki(w.unionByName(w), os.path.join(d, "wiki2"))

@@ -375,8 +375,10 @@ FROM ranked WHERE rank <= {BATCH_LIMIT}""")
 def q_batch_search(spark, d):
     """Every benchmark text as a search query, top-5 pages each, in one job."""
     w, p = _search_tables(spark, d)
+    inputs = [f"{d}/{t}.parquet" for t in ("documents", "part", "lineitem")]
+    dictionary = materialize_once(spark, "dictionary", inputs, lambda: W.term_dictionary(p), sort_by=["term"])
     qs = spread(table(spark, d, "benchmark")).select(F.col("item_id").alias("qid"), "text")
-    return _round_search(W.batch_query_wiki(w, p, qs, BATCH_LIMIT))
+    return _round_search(W.batch_query_wiki(w, p, qs, BATCH_LIMIT, dictionary=dictionary))
 
 
 @register("stem_terms")

@@ -138,6 +138,13 @@ def stem_index(postings: DataFrame) -> DataFrame:
             .agg(F.sum("tf").alias("tf"), F.max("doc_len").alias("doc_len")))
 
 
+def term_dictionary(postings: DataFrame) -> DataFrame:
+    """``(term, df)``: documents containing each term in any field. Built once with the index
+    (persisted clustered by term); queries then read the df of their terms instead of counting
+    distinct documents over their hits."""
+    return postings.select("term", "id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def write_search_index(postings: DataFrame, path: str) -> None:
     """Persist postings clustered by term: a query's ``term IN (...)`` then prunes row groups."""
     postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
@@ -167,7 +174,8 @@ def term_list(query: str, lower: bool = True, stem: bool = False) -> list[str]:
     return terms
 
 
-def bm25_scores(wiki: DataFrame, postings: DataFrame, terms: list[str], specs: dict[str, BM25]) -> DataFrame:
+def bm25_scores(wiki: DataFrame, postings: DataFrame, terms: list[str], specs: dict[str, BM25],
+                dictionary: DataFrame | None = None) -> DataFrame:
     """Scores ``(id, <name>...)`` of every document matching at least one term, one column per
     spec, all computed in ONE aggregation over the postings of the query terms.
 
@@ -178,7 +186,10 @@ def bm25_scores(wiki: DataFrame, postings: DataFrame, terms: list[str], specs: d
     # corpus statistics from the page table (per-row token counts), not from the postings
     n = wiki.select(F.count(F.lit(1)).alias("n")).scalar()
     avg_len = wiki.select(F.sum(doc_lengths(wiki)).alias("t")).scalar() / n
-    df = hits.groupBy("term").agg(F.countDistinct("id").alias("df"))  # at most len(q) rows
+    if dictionary is not None:
+        df = dictionary.where(F.col("term").isin(q))                      # at most len(q) rows
+    else:
+        df = hits.groupBy("term").agg(F.countDistinct("id").alias("df"))  # at most len(q) rows
     idf = F.log10((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     h = hits.join(F.broadcast(df.select("term", idf.alias("idf"))), "term")
     aggs = []
@@ -294,7 +305,7 @@ def route_query(wiki: DataFrame, postings: DataFrame, search: str, limit: int =
 
 
 def batch_query_wiki(wiki: DataFrame, postings: DataFrame, queries: DataFrame, limit: int = 10,
-                     qid: str = "qid", text: str = "text") -> DataFrame:
+                     qid: str = "qid", text: str = "text", dictionary: DataFrame | None = None) -> DataFrame:
     """Many blended searches in one job: top-``limit`` pages per query, ``(qid, rank, title,
     post_count, title_score, text_score, total_score)``.
 
@@ -312,7 +323,10 @@ def batch_query_wiki(wiki: DataFrame, postings: DataFrame, queries: DataFrame, l
     hits = postings.join(used, "term", "left_semi")
     n = wiki.select(F.count(F.lit(1)).alias("n")).scalar()
     avg_len = wiki.select(F.sum(doc_lengths(wiki)).alias("t")).scalar() / n
-    dfs = hits.groupBy("term").agg(F.countDistinct("id").alias("df"))
+    if dictionary is not None:
+        dfs = dictionary.join(used, "term", "left_semi")
+    else:
+        dfs = hits.groupBy("term").agg(F.countDistinct("id").alias("df"))
     idf = dfs.select("term", F.log10((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     h = qterm.join(hits.join(idf, "term"), "term")
 

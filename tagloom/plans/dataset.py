@@ -89,9 +89,27 @@ def rating_mean(pred: DataFrame, n: DataFrame) -> DataFrame:
             .select(F.lit(RATING).alias("category"), "tag", (F.col("s") / total).alias("value")))
 
 
-def tag_dataset(pred: DataFrame, st: TagSettings = TagSettings()) -> tuple[DataFrame, DataFrame]:
-    """Whole tagging job: ``(captions, statistics)``; statistics rows are
-    ``(category, tag, value)`` for rating means and general/character frequencies."""
+def tag_dataset(pred: DataFrame, st: TagSettings = TagSettings(), sidecars: DataFrame | None = None,
+                edits: DataFrame | None = None, whitelist: list[str] | None = None,
+                merge_existing: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Whole tagging job: ``(captions, statistics)``.
+
+    Statistics rows are ``(category, tag, value)`` for rating means and general/character
+    frequencies. Without ``sidecars``/``edits`` the captions are the model captions
+    ``(file_id, caption)``; with them, every file's caption is merged with its human edits (merge
+    base chosen per file from the stored edit and the sidecar caption, whitelist applied to the
+    model's changes) and the result is ``(file_id, caption, merged, store_previous, store_new)``,
+    the last two being the edit rows to upsert."""
+    from tagloom.operators import merge as M
     n = n_files(pred)
     stats = tag_document_frequency(result_scores(pred, st), n).unionByName(rating_mean(pred, n))
-    return captions(pred, st), stats
+    caps = captions(pred, st)
+    if sidecars is None and edits is None:
+        return caps, stats
+    spark = pred.sparkSession
+    side = sidecars if sidecars is not None else spark.createDataFrame([], "file_id long, caption string")
+    ed = edits if edits is not None else spark.createDataFrame([], "file_id long, previous_edit string, new_edit string")
+    base = M.choose_merge_base(caps, side, ed, merge_existing=merge_existing)
+    merged = M.merge_captions(base, whitelist)
+    return (merged.select("file_id", F.col("new").alias("caption"), "merged", "store_previous", "store_new"),
+            stats)

@@ -56,3 +56,30 @@ def test_spark_merge_matches_helper(spark):
         got = {r.file_id: r.merged for r in merge_captions(df, whitelist=wl).collect()}
         for k, i, e, n in rows:
             assert got[k] == merge_caption(i, e, n, wl), (k, i, e, n, wl)
+
+
+def test_tag_dataset_with_edits(spark):
+    from tagloom.operators.tags import TagSettings
+    from tagloom.plans import dataset as D
+    from tagloom.sources import fixtures as X
+    from conftest import SF_SMALL
+    pred = X.pred(spark, SF_SMALL)
+    side, edits = X.captions(spark, SF_SMALL), X.file_edits(spark, SF_SMALL)
+    caps, stats = D.tag_dataset(pred, TagSettings(), sidecars=side, edits=edits)
+    rows = {r.file_id: r for r in caps.collect()}
+    sides = {r.file_id: r.caption for r in side.collect()}
+    stored = {r.file_id: (r.previous_edit, r.new_edit) for r in edits.collect()}
+    assert len(rows) == pred.select("file_id").distinct().count()
+    for fid, r in rows.items():
+        if fid in stored:
+            prev, new = stored[fid]
+            if fid in sides and sides[fid] != new:        # stale stored edit: refreshed from the sidecar
+                assert r.merged == merge_caption(r.caption, sides[fid], r.caption)
+                assert (r.store_previous, r.store_new) == (r.caption, sides[fid])
+            else:
+                assert r.merged == merge_caption(prev, new, r.caption)
+        elif sides.get(fid):
+            assert r.merged == merge_caption(r.caption, sides[fid], r.caption)
+        else:
+            assert r.merged == r.caption
+    assert stats.count() > 0

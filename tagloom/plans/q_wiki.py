@@ -42,6 +42,12 @@ def _search_tables(spark, d):
     return w, p
 
 
+def _dictionary(spark, d, p):
+    """The index's term dictionary ``(term, df)``, written once next to the postings."""
+    inputs = [f"{d}/{t}.parquet" for t in ("documents", "part", "lineitem")]
+    return materialize_once(spark, "dictionary", inputs, lambda: W.term_dictionary(p), sort_by=["term"])
+
+
 _NS = " AND ".join(f"NOT starts_with(p.title, '{p}')" for p in SKIPPED_NAMESPACES)
 WIKI_CTES = f""",
 t AS (SELECT name, max(post_count) AS post_count FROM tags_raw GROUP BY name),
@@ -236,7 +242,8 @@ def q_index(spark, d):
           + "SELECT id, round(score, 6) AS score FROM s WHERE score IS NOT NULL")
 def q_bm25(spark, d):
     w, p = _search_tables(spark, d)
-    s = W.bm25_scores(w, p, W.term_list(BM25_SEARCH), {"score": W.BM25(W.TEXT, 1.2, 0.0)})
+    s = W.bm25_scores(w, p, W.term_list(BM25_SEARCH), {"score": W.BM25(W.TEXT, 1.2, 0.0)},
+                      dictionary=_dictionary(spark, d, p))
     return s.where(F.col("score").isNotNull()).select("id", r6("score").alias("score"))
 
 
@@ -267,7 +274,7 @@ def _round_search(df):
 @register("query_wiki", query_wiki_sql(SEARCH, LIMIT))
 def q_query_wiki(spark, d):
     w, p = _search_tables(spark, d)
-    return _round_search(W.query_wiki(w, p, SEARCH, LIMIT))
+    return _round_search(W.query_wiki(w, p, SEARCH, LIMIT, dictionary=_dictionary(spark, d, p)))
 
 
 @register("query_wiki_popular", query_wiki_sql("", LIMIT))
@@ -314,7 +321,8 @@ ORDER BY floor(round(sc.title_score, 6) * 100) DESC, sc.post_count DESC, sc.titl
 @register("query_title_text", query_title_text_sql(TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT))
 def q_query_title_text(spark, d):
     w, p = _search_tables(spark, d)
-    return _round_search(W.query_title_text(w, p, TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT))
+    return _round_search(W.query_title_text(w, p, TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT,
+                                            dictionary=_dictionary(spark, d, p)))
 
 
 _RT, _RTT = W.split_search(ROUTE)
@@ -324,7 +332,7 @@ _RT, _RTT = W.split_search(ROUTE)
 def q_route(spark, d):
     """Search-box routing: quoted title terms + free text -> fuzzy-title + text search."""
     w, p = _search_tables(spark, d)
-    return W.route_query(w, p, ROUTE, LIMIT)
+    return W.route_query(w, p, ROUTE, LIMIT, dictionary=_dictionary(spark, d, p))
 
 
 @register("fn_query_terms", """
@@ -375,8 +383,7 @@ FROM ranked WHERE rank <= {BATCH_LIMIT}""")
 def q_batch_search(spark, d):
     """Every benchmark text as a search query, top-5 pages each, in one job."""
     w, p = _search_tables(spark, d)
-    inputs = [f"{d}/{t}.parquet" for t in ("documents", "part", "lineitem")]
-    dictionary = materialize_once(spark, "dictionary", inputs, lambda: W.term_dictionary(p), sort_by=["term"])
+    dictionary = _dictionary(spark, d, p)
     qs = spread(table(spark, d, "benchmark")).select(F.col("item_id").alias("qid"), "text")
     return _round_search(W.batch_query_wiki(w, p, qs, BATCH_LIMIT, dictionary=dictionary))
 

@@ -215,7 +215,7 @@ def _order_limit(df: DataFrame, order, limit: int) -> DataFrame:
 
 
 def query_wiki(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 10, lower: bool = True,
-               stem: bool = False) -> DataFrame:
+               stem: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
     """Blended search: conjunctive and disjunctive title BM25 (k=0), text BM25 (k=1.2, b=0),
     popularity boost ``text * log10(post_count)``; an empty query lists pages by popularity.
     ``stem=True`` for an index built with :func:`stem_index`."""
@@ -228,7 +228,7 @@ def query_wiki(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 1
         s = bm25_scores(wiki, postings, terms, {
             "t0": BM25(TITLE, 0.0, 0.5, conjunctive=True),
             "t1": BM25(TITLE, 0.0, 0.5),
-            "tx": BM25(TEXT, 1.2, 0.0)})
+            "tx": BM25(TEXT, 1.2, 0.0)}, dictionary=dictionary)
         # only documents with a hit can pass the threshold: join the hits, not the whole table
         scored = s.join(wiki.select("id", "title", "post_count"), "id")
         threshold = 0.1
@@ -270,10 +270,11 @@ def query_title(wiki: DataFrame, terms: list[str], limit: int = 10) -> DataFrame
 
 
 def query_title_text(wiki: DataFrame, postings: DataFrame, search: str, title_terms: list[str],
-                     limit: int = 10) -> DataFrame:
+                     limit: int = 10, dictionary: DataFrame | None = None) -> DataFrame:
     """Fuzzy title score >= 0.8 AND a text match (text score > 0.1)."""
     terms = term_list(search)
-    tx = bm25_scores(wiki, postings, terms, {"tx": BM25(TEXT, 1.2, 0.0)}).where(F.col("tx").isNotNull())
+    tx = bm25_scores(wiki, postings, terms, {"tx": BM25(TEXT, 1.2, 0.0)}, dictionary=dictionary) \
+        .where(F.col("tx").isNotNull())
     s = (title_similarity(wiki, title_terms).where(F.col("title_score") >= 0.8)
          .join(tx.select("id", (F.greatest(F.lit(0.0), F.col("tx")) + 0.1).alias("text_score")), "id")
          .where(F.col("text_score") > 0.1))
@@ -292,15 +293,16 @@ def split_search(search: str) -> tuple[str, list[str]]:
     return search.strip(), title_terms
 
 
-def route_query(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 20) -> DataFrame:
+def route_query(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 20,
+                dictionary: DataFrame | None = None) -> DataFrame:
     """Three-way dispatch: title terms + text, title terms only, or blended text search.
     Returns ``(title, post_count)``."""
     text, title_terms = split_search(search)
     if title_terms:
         if text:
-            return query_title_text(wiki, postings, text, title_terms, limit).select("title", "post_count")
+            return query_title_text(wiki, postings, text, title_terms, limit, dictionary).select("title", "post_count")
         return query_title(wiki, title_terms, limit).select("title", "post_count")
-    return query_wiki(wiki, postings, text, limit).select("title", "post_count")
+    return query_wiki(wiki, postings, text, limit, dictionary=dictionary).select("title", "post_count")
 
 
 

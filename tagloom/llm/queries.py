@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, decontaminate, neardup, urls, warc
-from tagloom.llm.common import table, utf8
+from tagloom.llm import bpe, chat, decontaminate, neardup, rules, toxicity, urls, warc
+from tagloom.llm.common import fold, kept_table, table, utf8
+from tagloom.llm.labels import training_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +163,18 @@ l AS MATERIALIZED (
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n"""
+
+
+@query
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    counted = kept_table(rules.with_counts(docs).drop("text"), "rule-counts")
+    return rules.judge_counted(counted).select("doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", 4, 2))
+    return toxicity.score(docs, model).select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "score",
+                                              (F.col("score") >= 0.3).cast("int").alias("predicted"))

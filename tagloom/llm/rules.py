@@ -22,7 +22,7 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 HOST_LIMIT = 0.05
 SYMBOLS = b"#*$%&|<>"
 #: Failures beyond the base rule, in percent: symbols per word, repeated lines per word, characters per word.
-RULES = {"symbols": "100 * n_symbols > 30 * n_words", "repeats": "100 * n_repeat_words > 10 * n_words",
+RULES = {"symbols": "100 * n_symbols > 30 * n_words",
          "lines": "5 * n_dup_lines > n_words", "lengths": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)"}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True

@@ -34,6 +34,7 @@ MIN_TEXTS = 3                                   # toxic learning texts that a le
 MIN_LOG_ODDS = 2.5
 MAX_ENTRIES = 5_000                             # lexicon entries with the highest weight; it is broadcast
 CACHE_ENTRIES = 300_000
+N_FEATURES = 9
 
 #: Fixed word lists.
 TARGETS = "you your yours yourself u he she they them his her their tu te toi vous votre vos il elle ils du dich dir ihr euch dein deine sie usted ustedes ti vosotros ellos ellas"
@@ -103,12 +104,15 @@ def read_clause(symbols: list[tuple[int, float]]) -> list[tuple[int, float, int]
 
 
 def features(text: bytes, symbols: Symbols) -> np.ndarray:
-    """Per kind: log of 1 + summed weight of the matches, and their strongest weight."""
+    """Per kind: log of 1 + summed weight of the matches, and their strongest weight; last, the log of 1 + all weight
+    per 100 tokens."""
     total, top = np.zeros(4), np.zeros(4)
-    for kind, weight, _ in matches(text, symbols):
+    found = matches(text, symbols)
+    for kind, weight, _ in found:
         total[kind] += weight
         top[kind] = max(top[kind], weight)
-    return np.concatenate((np.log1p(total), top))
+    share = 100 * total.sum() / len(text.split()) if found else 0.0
+    return np.concatenate((np.log1p(total), top, [np.log1p(share)]))
 
 
 def matches(text: bytes, symbols: Symbols) -> list[tuple[int, float, int]]:
@@ -182,7 +186,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in rows], pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
 
             data += map_batches(texts.filter(F.col("half") == half).select("text", "label"), run, "x array<double>, label int").collect()
-        x = np.array([r["x"] for r in data]).reshape(-1, 8)
+        x = np.array([r["x"] for r in data]).reshape(-1, N_FEATURES)
         y = np.array([r["label"] for r in data], float)
         return learn_lexicon(texts.select("text", "label")), fit_logistic(x, y)
     finally:

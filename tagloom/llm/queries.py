@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, decontaminate, neardup, rules, toxicity, urls, warc
+from tagloom.llm import bpe, chat, decontaminate, lm, neardup, quality, rules, toxicity, urls, warc
 from tagloom.llm.common import fold, kept_table, table, utf8
 from tagloom.llm.labels import training_labels
 
@@ -178,3 +179,24 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", 4, 2))
     return toxicity.score(docs, model).select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "score",
                                               (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kept_table(quality.with_statistics(table(spark, sf_dir, "documents"), "doc_id", "text"), "statistics")
+    model = quality.fit(rows, training_labels(table(spark, sf_dir, "labels"), "quality", 5, 0))
+    return quality.score(rows, model).select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "score",
+                                             (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = docs.filter(~fold("doc_id", 5, 1)).select(utf8("text").alias("text"))
+    counts = kept_table(lm.token_counts(texts), "token-counts")
+    vocabulary = lm.Vocabulary(counts)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary))
+    weights = lm.fit(kept_table(lm.stretches(texts, shared), "stretches"), vocabulary)
+    return lm.score(docs, counts, vocabulary, weights).select(
+        "doc_id", fold("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known",
+        F.lit(vocabulary.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -325,6 +325,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = components(linked_stars(kept_table(cells, "cell-members"), text, percent))
     place = (reps.join(root, "doc", "left").select(*alike, F.coalesce("root", "doc").alias("component_id")))
     return (marks.select("doc", *alike).join(place, alike, "left")
-            .withColumn("component_id", F.coalesce("component_id", "doc"))
+            .withColumn("component_id", F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")))
             .select(F.col("doc").alias(id_col), "n_shingles", "component_id",
                     F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept")))

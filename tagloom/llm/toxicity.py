@@ -78,12 +78,15 @@ def read_clause(symbols: list[tuple[int, float]]) -> list[tuple[int, float, int]
     target = negation = -REACH - 1      # where the last one was
     reported = False
     open_at = None                      # a plain match that a target may still follow
+    threat = None                       # a threat that a target may still follow
     for i, (symbol, weight) in enumerate(symbols):
         if symbol == TARGET:
             target = i
             if open_at is not None and i - out[open_at][2] <= REACH:
                 out[open_at] = (AIMED, *out[open_at][1:])
-            open_at = None
+            if threat is not None and i - threat[2] <= REACH:
+                out.append(threat)
+            open_at = threat = None
         elif symbol == NEGATION:
             negation = i
         elif symbol == REPORT:
@@ -96,7 +99,8 @@ def read_clause(symbols: list[tuple[int, float]]) -> list[tuple[int, float, int]
             elif i - target <= REACH:
                 kind = AIMED
             elif symbol == THREAT:
-                continue                # a threat needs someone it is aimed at
+                threat = (AIMED, weight, i)     # it counts once someone is named whom it is aimed at
+                continue
             else:
                 kind, open_at = PLAIN, len(out)
             out.append((kind, weight, i))

@@ -11,6 +11,8 @@ labels to learn from and no duplicates. An empty table stays empty."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +24,20 @@ from tagloom.llm.labels import training_labels
 TOXIC_FROM = 0.3
 
 
+def filtered(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``keep`` over the documents, whose other columns bear plain numbers meanwhile: none can clash with its own."""
+    names = {c if c in ("doc_id", "text", "source") else f"_c{i}": c for i, c in enumerate(docs.columns)}
+    return keep(docs.toDF(*names)).select(*[F.col(a).alias(b) for a, b in names.items()])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", 4, 2))
-    return toxicity.score(docs, model, score_col="_toxicity").filter(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+    return filtered(docs, lambda d: toxicity.score(d, model).filter(F.col("score") < TOXIC_FROM))
 
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counted once for the hosts' rates and once for the verdicts: the counts are cheaper than moving the texts."""
-    return rules.judge(docs).filter("kept").select(*docs.columns)
+    return filtered(docs, lambda d: rules.judge(d).filter("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +53,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.filter(F.size("hit") == 0).select(*docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return filtered(docs, lambda d: decontaminate.decontaminate(d, items, keep=d.columns).filter(F.size("hit") == 0))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

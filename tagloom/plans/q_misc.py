@@ -11,7 +11,7 @@ from tagloom.operators import merge as M
 from tagloom.operators import state as S
 from tagloom.operators.tags import TagSettings
 from tagloom.plans import dataset as D
-from tagloom.plans.oracle import with_
+from tagloom.plans.oracle import FIX, with_
 from tagloom.plans.q_dataset import caption_ctes
 from tagloom.plans.registry import register
 from tagloom.sources import fixtures as X
@@ -51,10 +51,41 @@ def q_merge_base(spark, d):
     return b.select("file_id", "initial", "edited", "new")
 
 
-@register("merge_captions")
+# The merge restated with joins and windows: the edit's tags are the frame; a tag that only the model has goes in front
+# of the next of its followers that the frame holds, else behind the frame.
+MERGE_SQL = """,
+lists AS (SELECT file_id, {tags_of}(initial) AS i, {tags_of}(edited) AS e, {tags_of}(new) AS n FROM src),
+frame AS (SELECT file_id, generate_subscripts(e, 1) AS pos, unnest(e) AS tag FROM lists),
+model AS (SELECT file_id, generate_subscripts(n, 1) AS pos, unnest(n) AS tag FROM lists),
+place AS (SELECT file_id, tag, min(pos) AS pos FROM frame GROUP BY file_id, tag),
+met AS (SELECT m.file_id, m.pos, m.tag, p.pos AS slot FROM model m LEFT JOIN place p USING (file_id, tag)),
+added AS (
+  SELECT file_id, pos, tag, first_value(slot IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY pos
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS before, slot FROM met),
+entries AS (
+  SELECT file_id, pos AS k, 1 AS kind, 0 AS pos, tag FROM frame
+  UNION ALL SELECT a.file_id, coalesce(before, 1000000000), 0, a.pos, a.tag FROM added a JOIN lists l USING (file_id)
+  WHERE a.slot IS NULL AND NOT list_contains(l.i, a.tag){only})
+SELECT l.file_id, coalesce(string_agg(x.tag, ', ' ORDER BY k, kind, x.pos), '') AS merged
+FROM lists l LEFT JOIN entries x USING (file_id) GROUP BY l.file_id"""
+
+
+def merge_sql(src: str, only: str = "") -> str:
+    body = MERGE_SQL.replace("{only}", only)
+    for c in ("initial", "edited", "new"):
+        body = body.replace("{tags_of}(%s)" % c, f"list_filter(list_transform(string_split({c}, ','), lambda x: trim(x)), lambda x: x <> '')")
+    return f",\nsrc AS (SELECT file_id, initial, edited, new FROM ({src}) q)" + body
+
+
+MERGE_SRC = """SELECT file_id,
+       CASE WHEN refresh THEN auto WHEN has_edit THEN previous_edit WHEN side_only THEN auto ELSE '' END AS initial,
+       CASE WHEN refresh THEN side WHEN has_edit THEN new_edit WHEN side_only THEN side ELSE '' END AS edited,
+       auto AS new FROM b"""
+
+
+@register("merge_captions", BASE_SQL + merge_sql(MERGE_SRC))
 def q_merge_captions(spark, d):
-    """Three-way merge of every file's caption with its human edits (diff-based helper on the
-    edited rows only; goldens in tests)."""
+    """Three-way merge of every file's caption with its human edits."""
     b = M.choose_merge_base(_auto(spark, d), X.captions(spark, d), X.file_edits(spark, d))
     return M.merge_captions(b).select("file_id", "merged")
 
@@ -86,6 +117,14 @@ def q_merge_whitelist(spark, d):
     return M.filter_to_whitelist(_auto(spark, d), _whitelist(spark, d))
 
 
+@register("merge_captions_whitelist", BASE_SQL + ",\n" + FIX["tag_groups"] + ",\n" + WL_SQL_CTE
+          + merge_sql(MERGE_SRC, " AND a.tag IN (SELECT tag FROM wl)"))
+def q_merge_captions_whitelist(spark, d):
+    """Three-way merge of edited and unedited files under a whitelist that comes from a tag group (joined)."""
+    b = M.choose_merge_base(_auto(spark, d), X.captions(spark, d), X.file_edits(spark, d))
+    return M.merge_captions(b, _whitelist(spark, d)).select("file_id", "merged")
+
+
 # ---- caption sinks -----------------------------------------------------------------------------
 
 @register("write_captions", with_("pred", "captions", extra=caption_ctes()) + """

@@ -18,10 +18,12 @@ from tagloom.sources.tables import table
 # Fixed query parameters.
 SEARCH = "red widget"
 TITLE_TERMS = ["red", "widgit"]
-TEXT_SEARCH = "the"
-BM25_SEARCH = "the and of"
+TEXT_SEARCH = "ernt"
+BM25_SEARCH = "thnt eron the"       # two words of the texts and a stop word
+STOP_SEARCH = "the and of"          # stop words alone
+MISS_SEARCH = "red sprocket"        # no title holds both
 TEXT_TITLE_TERMS = ["bolt"]
-ROUTE = '"small gizmo" and'
+ROUTE = '"small gizmo" thnt'
 LOOKUP = "red_widget"
 LIMIT = 20
 GROUP = "promo"
@@ -38,14 +40,15 @@ def _search_tables(spark, d):
     inputs = [f"{d}/{t}.parquet" for t in ("documents", "part", "lineitem")]
     w = materialize_once(spark, "wiki", inputs,
                          lambda: _wiki(spark, d).select("id", "post_count", "title", W.TITLE, W.TEXT))
-    p = materialize_once(spark, "postings", inputs, lambda: W.build_search_index(w), sort_by=["term"])
+    p = materialize_once(spark, "postings", inputs, lambda: W.build_search_index(w), sort_by=["term", "id"])
     return w, p
 
 
-def _dictionary(spark, d, p):
-    """The index's term dictionary ``(term, df)``, written once next to the postings."""
+def _written(spark, d, w, p):
+    """What is written once next to the postings: the term dictionary ``(term, df)`` and the corpus statistics."""
     inputs = [f"{d}/{t}.parquet" for t in ("documents", "part", "lineitem")]
-    return materialize_once(spark, "dictionary", inputs, lambda: W.term_dictionary(p), sort_by=["term"])
+    return {"dictionary": materialize_once(spark, "dictionary", inputs, lambda: W.term_dictionary(p), sort_by=["term"]),
+            "stats": materialize_once(spark, "corpus_stats", inputs, lambda: W.corpus_stats(w))}
 
 
 _NS = " AND ".join(f"NOT starts_with(p.title, '{p}')" for p in SKIPPED_NAMESPACES)
@@ -57,11 +60,12 @@ w AS (SELECT p.id, greatest(t.post_count, 1) AS post_count, p.title,
       FROM wiki_raw p LEFT JOIN t ON p.title = t.name WHERE {_NS})"""
 
 INDEX_CTES = WIKI_CTES + """,
-tok AS (SELECT id, 'search_title' AS field, unnest(string_split(search_title, ' ')) AS term FROM w
-        UNION ALL SELECT id, 'search_text' AS field, unnest(string_split(search_text, ' ')) AS term FROM w),
-tf AS (SELECT field, term, id, count(*) AS tf FROM tok WHERE term <> '' GROUP BY field, term, id),
+tok AS (SELECT id, 'search_title' AS field, unnest(regexp_extract_all(search_title, '[a-z]+')) AS term FROM w
+        UNION ALL SELECT id, 'search_text' AS field, unnest(regexp_extract_all(search_text, '[a-z]+')) AS term FROM w),
+tf AS (SELECT field, term, id, count(*) AS tf FROM tok WHERE term NOT IN (%STOP%) GROUP BY field, term, id),
 dl AS (SELECT id, CAST(sum(tf) AS INTEGER) AS doc_len FROM tf GROUP BY id),
-post AS (SELECT tf.field, tf.term, tf.id, tf.tf, dl.doc_len FROM tf JOIN dl ON dl.id = tf.id)"""
+post AS (SELECT tf.field, tf.term, tf.id, tf.tf, dl.doc_len FROM tf JOIN dl ON dl.id = tf.id)""".replace(
+    "%STOP%", sql_list(W.STOP_WORDS))
 
 
 def _w(extra: str = "") -> str:
@@ -79,7 +83,7 @@ def bm25_sql(terms: list[str], specs: dict[str, tuple[str, float, float, bool]])
             s = f"CASE WHEN count(DISTINCT CASE WHEN field = '{field}' THEN term END) = {len(q)} THEN {s} END"
         cols.append(f"{s} AS {name}")
     return f""",
-hits AS (SELECT * FROM post WHERE term IN ({sql_list(q)})),
+hits AS (SELECT * FROM post WHERE term IN ({sql_list(q) or 'NULL'})),
 dfs AS (SELECT term, count(DISTINCT id) AS df FROM hits GROUP BY term),
 h AS (SELECT hits.*, log10(((SELECT count(*) FROM w) - dfs.df + 0.5) / (dfs.df + 0.5) + 1) AS idf
       FROM hits JOIN dfs ON dfs.term = hits.term),
@@ -243,13 +247,13 @@ def q_index(spark, d):
 def q_bm25(spark, d):
     w, p = _search_tables(spark, d)
     s = W.bm25_scores(w, p, W.term_list(BM25_SEARCH), {"score": W.BM25(W.TEXT, 1.2, 0.0)},
-                      dictionary=_dictionary(spark, d, p))
+                      **_written(spark, d, w, p))
     return s.where(F.col("score").isNotNull()).select("id", r6("score").alias("score"))
 
 
 def query_wiki_sql(search: str, limit: int) -> str:
     terms = W.term_list(search)
-    if not terms:
+    if not search.strip():
         body = """,
 r AS (SELECT id, title, post_count, CAST(0.1 AS DOUBLE) AS t0, CAST(0.1 AS DOUBLE) AS t1,
              CAST(0.1 AS DOUBLE) AS text_score FROM w)"""
@@ -274,7 +278,21 @@ def _round_search(df):
 @register("query_wiki", query_wiki_sql(SEARCH, LIMIT))
 def q_query_wiki(spark, d):
     w, p = _search_tables(spark, d)
-    return _round_search(W.query_wiki(w, p, SEARCH, LIMIT, dictionary=_dictionary(spark, d, p)))
+    return _round_search(W.query_wiki(w, p, SEARCH, LIMIT, **_written(spark, d, w, p)))
+
+
+@register("query_wiki_stop_words", query_wiki_sql(STOP_SEARCH, LIMIT))
+def q_query_wiki_stop(spark, d):
+    """Stop words alone are no terms: nothing is found."""
+    w, p = _search_tables(spark, d)
+    return _round_search(W.query_wiki(w, p, STOP_SEARCH, LIMIT, **_written(spark, d, w, p)))
+
+
+@register("query_wiki_miss", query_wiki_sql(MISS_SEARCH, LIMIT))
+def q_query_wiki_miss(spark, d):
+    """Two terms that no title holds together: the conjunctive score stays at its floor."""
+    w, p = _search_tables(spark, d)
+    return _round_search(W.query_wiki(w, p, MISS_SEARCH, LIMIT, **_written(spark, d, w, p)))
 
 
 @register("query_wiki_popular", query_wiki_sql("", LIMIT))
@@ -322,7 +340,7 @@ ORDER BY floor(round(sc.title_score, 6) * 100) DESC, sc.post_count DESC, sc.titl
 def q_query_title_text(spark, d):
     w, p = _search_tables(spark, d)
     return _round_search(W.query_title_text(w, p, TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT,
-                                            dictionary=_dictionary(spark, d, p)))
+                                            **_written(spark, d, w, p)))
 
 
 _RT, _RTT = W.split_search(ROUTE)
@@ -332,7 +350,7 @@ _RT, _RTT = W.split_search(ROUTE)
 def q_route(spark, d):
     """Search-box routing: quoted title terms + free text -> fuzzy-title + text search."""
     w, p = _search_tables(spark, d)
-    return W.route_query(w, p, ROUTE, LIMIT, dictionary=_dictionary(spark, d, p))
+    return W.route_query(w, p, ROUTE, LIMIT, **_written(spark, d, w, p))
 
 
 @register("fn_query_terms", """
@@ -355,7 +373,8 @@ BATCH_LIMIT = 5
 
 
 @register("batch_search", _w(INDEX_CTES + f""",
-qt AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS terms FROM benchmark),
+qt AS (SELECT item_id AS qid, list_distinct(list_filter(regexp_extract_all(
+         translate(lower(text), '{W.ACCENTED}', '{W.PLAIN}'), '[a-z]+'), lambda x: x NOT IN ({sql_list(W.STOP_WORDS)}))) AS terms FROM benchmark),
 qq AS (SELECT qid, len(terms) AS nq, unnest(terms) AS term FROM qt),
 hits AS (SELECT * FROM post WHERE term IN (SELECT term FROM qq)),
 dfs AS (SELECT term, count(DISTINCT id) AS df FROM hits GROUP BY term),
@@ -383,9 +402,8 @@ FROM ranked WHERE rank <= {BATCH_LIMIT}""")
 def q_batch_search(spark, d):
     """Every benchmark text as a search query, top-5 pages each, in one job."""
     w, p = _search_tables(spark, d)
-    dictionary = _dictionary(spark, d, p)
     qs = spread(table(spark, d, "benchmark")).select(F.col("item_id").alias("qid"), "text")
-    return _round_search(W.batch_query_wiki(w, p, qs, BATCH_LIMIT, dictionary=dictionary))
+    return _round_search(W.batch_query_wiki(w, p, qs, BATCH_LIMIT, **_written(spark, d, w, p)))
 
 
 @register("stem_terms")

@@ -92,40 +92,58 @@ def write_wiki(wiki: DataFrame, path: str) -> None:
 # inverted index
 # ---------------------------------------------------------------------------------------------
 
-def _tokens(c: str):
-    """Tokens of a normalised search column (single spaces, maybe one leading/trailing space)."""
-    return F.split(F.trim(F.col(c)), " ")
+# Latin letters with accents and their plain forms, and English function words.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+STOP_WORDS = tuple("""a about above after again all also am an and any are as at be because been before being below
+between both but by can could did do does doing down during each few for from further had has have having he her here
+hers him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over
+own same she should so some such than that the their them then there these they this those through to too under until
+up very was we were what when where which while who whom why will with would you your""".split())
 
 
-def token_count(c: str) -> F.Column:
-    return F.when(F.trim(F.col(c)) == "", F.lit(0)).otherwise(F.size(_tokens(c)))
+@dataclass(frozen=True)
+class IndexOptions:
+    """How texts and queries are cut into terms: lower-cased, accents stripped, split at ``separator`` (a regular
+    expression that Java and Python read alike), stop words left out. ``stop_words`` takes any list."""
+    separator: str = "[^a-z]+"
+    strip_accents: bool = True
+    stop_words: tuple[str, ...] = STOP_WORDS
+
+    def terms(self, c: F.Column) -> F.Column:
+        text = F.lower(c)
+        if self.strip_accents:
+            text = F.translate(text, ACCENTED, PLAIN)
+        return F.filter(F.split(text, self.separator, -1), lambda t: (t != "") & ~t.isin(list(self.stop_words)))
+
+    def query_terms(self, query: str) -> list[str]:
+        text = query.lower()
+        if self.strip_accents:
+            text = text.translate(str.maketrans(ACCENTED, PLAIN))
+        return [t for t in re.split(self.separator, text) if t and t not in self.stop_words]
+
 
+DEFAULT_OPTIONS = IndexOptions()
 
-def build_search_index(wiki: DataFrame, fields=(TITLE, TEXT)) -> DataFrame:
-    """``postings(field, term, id, tf, doc_len)``; ``doc_len`` counts the tokens of all fields.
+
+def build_search_index(wiki: DataFrame, fields=(TITLE, TEXT), options: IndexOptions = DEFAULT_OPTIONS) -> DataFrame:
+    """``postings(field, term, id, tf, doc_len)``; ``doc_len`` counts the terms of all fields.
 
     ``doc_len`` is a per-row expression and the term counts are a partial aggregate whose keys
     start with ``id``: a page's tokens are combined map-side in the task that read it, so the
     shuffle carries postings, not tokens."""
-    doc_len = None
-    for f in fields:
-        doc_len = token_count(f) if doc_len is None else doc_len + token_count(f)
+    doc_len = doc_lengths(fields, options)
     # one pass: the token arrays of all fields are built in one projection, then exploded field by
     # field from the same rows (no union branch per field re-reading the pages)
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), _tokens(f).alias("toks")) for f in fields])
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), options.terms(F.col(f)).alias("toks")) for f in fields])
     base = wiki.select("id", doc_len.alias("doc_len"), per_field.alias("_f"))
     rows = (base.select("id", "doc_len", F.explode("_f").alias("_f"))
             .select("id", "doc_len", F.col("_f.field").alias("field"), F.explode("_f.toks").alias("term")))
-    return (rows.where(F.col("term") != "")
-            .groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+    return (rows.groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
             .select("field", "term", "id", "tf", "doc_len"))
 
 
-def doc_lengths(wiki: DataFrame, fields=(TITLE, TEXT)) -> F.Column:
-    out = None
-    for f in fields:
-        out = token_count(f) if out is None else out + token_count(f)
-    return out
+def doc_lengths(fields=(TITLE, TEXT), options: IndexOptions = DEFAULT_OPTIONS) -> F.Column:
+    return sum((F.size(options.terms(F.col(f))) for f in fields), F.lit(0))
 
 
 def stem_index(postings: DataFrame) -> DataFrame:
@@ -146,15 +164,14 @@ def term_dictionary(postings: DataFrame) -> DataFrame:
 
 
 def write_search_index(postings: DataFrame, path: str) -> None:
-    """Persist postings clustered by term: a query's ``term IN (...)`` then prunes row groups."""
-    postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
+    """Persist postings clustered by term: a query's ``term IN (...)`` then prunes row groups. The ranges are cut by
+    ``(term, id)``, so a frequent term is written by many tasks."""
+    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
 
 
-def corpus_stats(wiki: DataFrame, postings: DataFrame) -> DataFrame:
-    """One row: ``n_docs``, ``avg_len`` (tokens of all fields per document)."""
-    n = wiki.select(F.count(F.lit(1)).alias("n")).scalar()
-    total = wiki.select(F.sum(doc_lengths(wiki)).alias("t")).scalar()
-    return wiki.sparkSession.range(1).select(n.alias("n_docs"), (total / n).alias("avg_len"))
+def corpus_stats(wiki: DataFrame, fields=(TITLE, TEXT), options: IndexOptions = DEFAULT_OPTIONS) -> DataFrame:
+    """One row ``(n_docs, total_len)``, written next to the postings: searches read it instead of the pages' texts."""
+    return wiki.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(doc_lengths(fields, options)).alias("total_len"))
 
 
 @dataclass(frozen=True)
@@ -165,17 +182,22 @@ class BM25:
     conjunctive: bool = False
 
 
-def term_list(query: str, lower: bool = True, stem: bool = False) -> list[str]:
-    """Query terms: ``[a-z0-9]+`` runs of the (lower-cased) query; stemmed for a stemmed index."""
-    terms = re.findall("[a-z0-9]+", query.lower() if lower else query)
+def term_list(query: str, stem: bool = False, options: IndexOptions = DEFAULT_OPTIONS) -> list[str]:
+    """Query terms, cut as the index cuts texts; stemmed for a stemmed index."""
+    terms = options.query_terms(query)
     if stem:
         from tagloom.functions.stem import stem as stem_word
         terms = [stem_word(t) for t in terms]
     return terms
 
 
+def _scalars(stats: DataFrame) -> tuple[F.Column, F.Column]:
+    n = stats.select("n_docs").scalar()
+    return n, stats.select("total_len").scalar() / n
+
+
 def bm25_scores(wiki: DataFrame, postings: DataFrame, terms: list[str], specs: dict[str, BM25],
-                dictionary: DataFrame | None = None) -> DataFrame:
+                dictionary: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Scores ``(id, <name>...)`` of every document matching at least one term, one column per
     spec, all computed in ONE aggregation over the postings of the query terms.
 
@@ -183,9 +205,7 @@ def bm25_scores(wiki: DataFrame, postings: DataFrame, terms: list[str], specs: d
     for a conjunctive spec, one lacking a distinct query term in that field) scores NULL."""
     q = sorted(set(terms))
     hits = postings.where(F.col("term").isin(q))
-    # corpus statistics from the page table (per-row token counts), not from the postings
-    n = wiki.select(F.count(F.lit(1)).alias("n")).scalar()
-    avg_len = wiki.select(F.sum(doc_lengths(wiki)).alias("t")).scalar() / n
+    n, avg_len = _scalars(corpus_stats(wiki) if stats is None else stats)
     if dictionary is not None:
         df = dictionary.where(F.col("term").isin(q))                      # at most len(q) rows
     else:
@@ -214,13 +234,14 @@ def _order_limit(df: DataFrame, order, limit: int) -> DataFrame:
     return df.orderBy(*order, F.col("title"), F.col("id")).limit(limit)
 
 
-def query_wiki(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 10, lower: bool = True,
-               stem: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
+def query_wiki(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 10, stem: bool = False,
+               dictionary: DataFrame | None = None, stats: DataFrame | None = None,
+               options: IndexOptions = DEFAULT_OPTIONS) -> DataFrame:
     """Blended search: conjunctive and disjunctive title BM25 (k=0), text BM25 (k=1.2, b=0),
-    popularity boost ``text * log10(post_count)``; an empty query lists pages by popularity.
-    ``stem=True`` for an index built with :func:`stem_index`."""
-    terms = term_list(search, lower, stem)
-    if not terms:
+    popularity boost ``text * log10(post_count)``; an empty query lists pages by popularity, one of stop
+    words alone finds none. ``stem=True`` for an index built with :func:`stem_index`."""
+    terms = term_list(search, stem, options)
+    if not search.strip():
         scored = wiki.select("id", "title", "post_count", F.lit(None).cast("double").alias("t0"),
                              F.lit(None).cast("double").alias("t1"), F.lit(None).cast("double").alias("tx"))
         threshold = 0.0
@@ -228,7 +249,7 @@ def query_wiki(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 1
         s = bm25_scores(wiki, postings, terms, {
             "t0": BM25(TITLE, 0.0, 0.5, conjunctive=True),
             "t1": BM25(TITLE, 0.0, 0.5),
-            "tx": BM25(TEXT, 1.2, 0.0)}, dictionary=dictionary)
+            "tx": BM25(TEXT, 1.2, 0.0)}, dictionary=dictionary, stats=stats)
         # only documents with a hit can pass the threshold: join the hits, not the whole table
         scored = s.join(wiki.select("id", "title", "post_count"), "id")
         threshold = 0.1
@@ -270,10 +291,11 @@ def query_title(wiki: DataFrame, terms: list[str], limit: int = 10) -> DataFrame
 
 
 def query_title_text(wiki: DataFrame, postings: DataFrame, search: str, title_terms: list[str],
-                     limit: int = 10, dictionary: DataFrame | None = None) -> DataFrame:
+                     limit: int = 10, dictionary: DataFrame | None = None, stats: DataFrame | None = None,
+                     options: IndexOptions = DEFAULT_OPTIONS) -> DataFrame:
     """Fuzzy title score >= 0.8 AND a text match (text score > 0.1)."""
-    terms = term_list(search)
-    tx = bm25_scores(wiki, postings, terms, {"tx": BM25(TEXT, 1.2, 0.0)}, dictionary=dictionary) \
+    terms = term_list(search, options=options)
+    tx = bm25_scores(wiki, postings, terms, {"tx": BM25(TEXT, 1.2, 0.0)}, dictionary=dictionary, stats=stats) \
         .where(F.col("tx").isNotNull())
     s = (title_similarity(wiki, title_terms).where(F.col("title_score") >= 0.8)
          .join(tx.select("id", (F.greatest(F.lit(0.0), F.col("tx")) + 0.1).alias("text_score")), "id")
@@ -294,20 +316,21 @@ def split_search(search: str) -> tuple[str, list[str]]:
 
 
 def route_query(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 20,
-                dictionary: DataFrame | None = None) -> DataFrame:
+                dictionary: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Three-way dispatch: title terms + text, title terms only, or blended text search.
     Returns ``(title, post_count)``."""
     text, title_terms = split_search(search)
     if title_terms:
         if text:
-            return query_title_text(wiki, postings, text, title_terms, limit, dictionary).select("title", "post_count")
+            return query_title_text(wiki, postings, text, title_terms, limit, dictionary, stats).select("title", "post_count")
         return query_title(wiki, title_terms, limit).select("title", "post_count")
-    return query_wiki(wiki, postings, text, limit, dictionary=dictionary).select("title", "post_count")
+    return query_wiki(wiki, postings, text, limit, dictionary=dictionary, stats=stats).select("title", "post_count")
 
 
 
 def batch_query_wiki(wiki: DataFrame, postings: DataFrame, queries: DataFrame, limit: int = 10,
-                     qid: str = "qid", text: str = "text", dictionary: DataFrame | None = None) -> DataFrame:
+                     qid: str = "qid", text: str = "text", dictionary: DataFrame | None = None,
+                     stats: DataFrame | None = None, options: IndexOptions = DEFAULT_OPTIONS) -> DataFrame:
     """Many blended searches in one job: top-``limit`` pages per query, ``(qid, rank, title,
     post_count, title_score, text_score, total_score)``.
 
@@ -316,15 +339,13 @@ def batch_query_wiki(wiki: DataFrame, postings: DataFrame, queries: DataFrame, l
     plans with a partial group limit before the shuffle, so a query that matches a third of all
     pages still ships at most ``limit`` rows per task. A query without terms lists the most popular
     pages (the top-k by popularity is computed once and joined on the term count)."""
-    from tagloom.functions.text import query_terms
     from pyspark.sql import Window
-    qt = queries.select(F.col(qid).alias("qid"), F.array_distinct(query_terms(F.col(text))).alias("terms"))
+    qt = queries.select(F.col(qid).alias("qid"), F.array_distinct(options.terms(F.col(text))).alias("terms"))
     qt = qt.select("qid", F.size("terms").alias("nq"), "terms")
     qterm = qt.select("qid", "nq", F.explode("terms").alias("term"))
     used = qterm.select("term").distinct()
     hits = postings.join(used, "term", "left_semi")
-    n = wiki.select(F.count(F.lit(1)).alias("n")).scalar()
-    avg_len = wiki.select(F.sum(doc_lengths(wiki)).alias("t")).scalar() / n
+    n, avg_len = _scalars(corpus_stats(wiki) if stats is None else stats)
     if dictionary is not None:
         dfs = dictionary.join(used, "term", "left_semi")
     else:

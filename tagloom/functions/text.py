@@ -82,9 +82,14 @@ def human_bytes(c) -> Column:
 
 
 def natural_sort_key(c) -> Column:
-    """Sort key comparing digit runs as numbers and text case-insensitively."""
+    """Sort key comparing digit runs of any length as numbers and text case-insensitively: a run becomes its number of
+    significant digits (ten places) followed by these digits."""
     parts = F.regexp_extract_all(_c(c), F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.transform(parts, lambda x: F.when(x.rlike("^[0-9]+$"), F.lpad(x, 20, "0")).otherwise(F.lower(x)))
+
+    def key(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+", "")
+        return F.when(x.rlike("^[0-9]+$"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(F.lower(x))
+    return F.transform(parts, key)
 
 
 def selection_title(c) -> Column:

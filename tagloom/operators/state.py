@@ -36,8 +36,8 @@ def insert_cache(log: DataFrame, existing: DataFrame | None = None) -> DataFrame
 
 
 def membership(log: DataFrame) -> DataFrame:
-    """``(dataset, hash)`` pairs, insert-or-ignore."""
-    return log.select("dataset", "hash").distinct()
+    """``(dataset, hash)`` pairs, insert-or-ignore; writes without a dataset are no member of any."""
+    return log.where(F.col("dataset").isNotNull()).select("dataset", "hash").distinct()
 
 
 def cache_lookup(files: DataFrame, cache: DataFrame, repo: str) -> DataFrame:
@@ -86,9 +86,17 @@ def drop_cache_by_repo(cache: DataFrame, repo: str) -> DataFrame:
     return cache.where(F.col("repo_name") != repo)
 
 
+def drop_dataset(dataset: str | None, *tables: DataFrame) -> list[DataFrame]:
+    """The rest of a dataset's deletion: its rows in every table keyed by ``dataset`` (the list of datasets, history,
+    settings, edits) go with it. ``None`` matches nothing; rows without a dataset stay."""
+    if dataset is None:
+        return list(tables)
+    return [t.where(~F.col("dataset").eqNullSafe(dataset)) for t in tables]
+
+
 def drop_cache_by_dataset(cache: DataFrame, members: DataFrame, dataset: str | None) -> tuple[DataFrame, DataFrame]:
-    """Delete the cache rows used only by ``dataset``, then the dataset's memberships.
-    ``None`` (an unattributed selection) matches nothing. Returns ``(cache, membership)``."""
+    """Delete the cache rows used only by ``dataset``, then the dataset's memberships (``drop_dataset`` deletes its rows
+    in the other tables). ``None`` (an unattributed selection) matches nothing. Returns ``(cache, membership)``."""
     if dataset is None:
         return cache, members
     gone = exclusive_hashes(members, dataset)
@@ -98,11 +106,11 @@ def drop_cache_by_dataset(cache: DataFrame, members: DataFrame, dataset: str | N
 
 # ---- history ---------------------------------------------------------------------------------
 
-def record_run(history: DataFrame, dataset: str, seq: int, keep: int = 10) -> DataFrame:
-    """Append a run and keep the newest ``keep`` runs."""
-    spark = history.sparkSession
-    run = spark.createDataFrame([(seq, dataset)], "seq long, dataset string")
-    return history_trim(history.unionByName(run), keep)
+def record_run(history: DataFrame, dataset: str, seq: int | None = None, keep: int = 10) -> DataFrame:
+    """Append a run (by default with the next sequence number) and keep the newest ``keep`` runs."""
+    nxt = F.coalesce(F.max("seq"), F.lit(0)) + 1 if seq is None else F.lit(seq)
+    run = history.agg(nxt.cast("long").alias("seq")).select("seq", F.lit(dataset).alias("dataset"))
+    return history_trim(history.select("seq", "dataset").unionByName(run), keep)
 
 
 def history_trim(history: DataFrame, keep: int = 10) -> DataFrame:
@@ -116,14 +124,14 @@ def datasets(*logs: DataFrame) -> DataFrame:
     for lg in logs:
         part = lg.select("dataset", "seq")
         u = part if u is None else u.unionByName(part)
-    return u.groupBy("dataset").agg(F.min("seq").alias("first_seq"))
+    return u.where(F.col("dataset").isNotNull()).groupBy("dataset").agg(F.min("seq").alias("first_seq"))
 
 
 def recent_datasets(known: DataFrame, history: DataFrame, n: int = 10) -> DataFrame:
     """Datasets by latest run (never-run ones last, then newest first): ``(dataset, last_run)``."""
     last = history.groupBy("dataset").agg(F.max("seq").alias("last_run"))
     j = known.join(last, "dataset", "left")
-    return (j.orderBy(F.col("last_run").desc_nulls_last(), F.col("first_seq").desc()).limit(n)
+    return (j.orderBy(F.col("last_run").desc_nulls_last(), F.col("first_seq").desc(), "dataset").limit(n)
             .select("dataset", "last_run"))
 
 
@@ -157,13 +165,15 @@ def edit_lookup(edits: DataFrame, dataset: str, hash_hex: str) -> DataFrame:
 
 # ---- maintenance -----------------------------------------------------------------------------
 
-def compact_table(spark, path: str, out_path: str, n_files: int) -> int:
-    """Rewrite a parquet table into ``n_files`` files (the re-aim of a database vacuum); checks that
-    the row count is unchanged and returns it. Writes to a new location: the caller swaps the
-    table pointer, so a failed job leaves the old version intact."""
+def compact_table(spark, path: str, out_path: str, file_bytes: int = 256 << 20) -> int:
+    """Rewrite a parquet table into files of about ``file_bytes`` (the re-aim of a database vacuum): as many as its
+    stored bytes ask for, each written by a task of its own. Checks that the row count is unchanged and returns it.
+    Writes to a new location: the caller swaps the table pointer, so a failed job leaves the old version intact."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stored = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
     df = spark.read.parquet(path)
     n = df.count()
-    df.coalesce(n_files).write.mode("overwrite").parquet(out_path)
+    df.repartition(max(1, -(-stored // file_bytes))).write.mode("overwrite").parquet(out_path)
     m = spark.read.parquet(out_path).count()
     if m != n:
         raise RuntimeError(f"compaction changed the row count: {n} -> {m}")

@@ -22,14 +22,14 @@ FIX = {
     "tags_raw": """tags_raw AS (
         SELECT replace(p.p_name, ' ', '_') AS name, CAST(count(l.l_orderkey) AS INTEGER) AS post_count
         FROM part p LEFT JOIN lineitem l ON l.l_partkey = p.p_partkey
-        WHERE p.p_size <= 40 GROUP BY p.p_partkey, p.p_name)""",
+        GROUP BY p.p_partkey, p.p_name)""",
     "wiki_raw": """wiki_raw AS (
         SELECT CAST(d.doc_id AS INTEGER) AS id,
                concat(CASE WHEN d.source = 'src0' THEN 'help:' WHEN d.source = 'src1' THEN 'api:' ELSE '' END,
-                      replace(p.p_name, ' ', '_'),
+                      coalesce(replace(p.p_name, ' ', '_'), 'page_' || CAST(d.doc_id AS VARCHAR)),
                       CASE WHEN d.doc_id % 3 = 0 THEN concat('_(', d.source, ')') ELSE '' END) AS title,
                d.text AS body
-        FROM documents d JOIN part p ON p.p_partkey = d.doc_id)""",
+        FROM documents d LEFT JOIN part p ON p.p_partkey = d.doc_id)""",
     "tag_groups": """tag_groups AS (
         SELECT DISTINCT replace(p_name, ' ', '_') AS tag, lower(p_type) AS tag_group FROM part)""",
     "label_vocab": """label_vocab AS (
@@ -37,13 +37,13 @@ FIX = {
                CASE WHEN r < 4 THEN 9 WHEN r < 52 THEN 0 ELSE 4 END AS category
         FROM (SELECT DISTINCT t.r FROM embeddings, range(len(embedding)) t(r)) w)""",
     "file_edits": """file_edits AS (
-        SELECT o_orderkey AS file_id, 'edited, widget' AS previous_edit,
+        SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey ELSE -o_orderkey END AS file_id, 'edited, widget' AS previous_edit,
                CASE WHEN o_orderkey % 20 = 0 THEN concat_ws(', ', 'edited', lower(o_orderpriority))
                     ELSE concat_ws(', ', 'edited', lower(o_orderstatus)) END AS new_edit
-        FROM orders WHERE o_orderkey % 10 = 0)""",
+        FROM orders)""",
     "score_long": """score_long AS (
         SELECT vec_id, i - 1 AS idx, round(1 / (1 + exp(-10 * CAST(embedding[i] AS DOUBLE))), 6) AS score
-        FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding))""",
+        FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) x)""",
     "pred": """pred AS (
         SELECT file_id, category, tag, max(score) AS score FROM (
             SELECT l.l_orderkey AS file_id,
@@ -60,16 +60,17 @@ FIX = {
     "files": """files AS (
         SELECT page_id AS file_id, sha256(html) AS hash, CAST(strlen(html) AS INTEGER) AS n_bytes FROM pages)""",
     "captions": """captions AS (
-        SELECT o_orderkey AS file_id, concat_ws(', ', 'edited', lower(o_orderpriority)) AS caption
-        FROM orders WHERE o_orderkey % 5 = 0)""",
+        SELECT CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey ELSE -o_orderkey END AS file_id,
+               CASE WHEN o_orderkey % 50 = 5 THEN '' ELSE concat_ws(', ', 'edited', lower(o_orderpriority)) END AS caption
+        FROM orders)""",
     "cache_log": """cache_log AS (
         SELECT sha256(concat(json_extract_string(props, '$.k'), ':', CAST(user_id AS VARCHAR))) AS hash,
-               event_type AS repo_name, concat('ds', CAST(event_id % 7 AS VARCHAR)) AS dataset,
-               props AS data, event_id AS seq
+               event_type AS repo_name, CASE WHEN user_id % 11 <> 0 THEN concat('ds', CAST(event_id % 7 AS VARCHAR)) END AS dataset,
+               concat_ws('#', props, CAST(event_id AS VARCHAR)) AS data, event_id AS seq
         FROM events)""",
     "history_log": """history_log AS (
-        SELECT event_id AS seq, concat('ds', CAST(event_id % 7 AS VARCHAR)) AS dataset
-        FROM events WHERE event_type = 'signup')""",
+        SELECT event_id AS seq, concat('ds', CAST(event_id * event_id % 23 AS VARCHAR)) AS dataset
+        FROM events)""",
     "settings_log": """settings_log AS (
         SELECT concat('ds', CAST(user_id % 7 AS VARCHAR)) AS dataset, event_type AS key,
                CAST(value AS VARCHAR) AS value, event_id AS seq FROM events)""",

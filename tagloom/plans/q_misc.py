@@ -16,7 +16,7 @@ from tagloom.plans.q_dataset import caption_ctes
 from tagloom.plans.registry import register
 from tagloom.sources import fixtures as X
 from tagloom.sources.tables import table
-from tagloom.streaming.incremental import stream_incremental_scores, stream_latest_settings
+from tagloom.streaming.incremental import latest_settings, stream_incremental_scores, stream_latest_settings
 
 # Fixed query parameters.
 WL_TAGS = "widget, bolt"
@@ -179,7 +179,8 @@ def q_human_bytes(spark, d):
 
 @register("natural_sort", """
 SELECT title, list_transform(regexp_extract_all(title, '([0-9]+|[^0-9]+)', 1),
-                             lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 20, '0') ELSE lower(x) END) AS sort_key
+                             lambda x: CASE WHEN regexp_full_match(x, '[0-9]+')
+                                            THEN printf('%010d', len(ltrim(x, '0'))) || ltrim(x, '0') ELSE lower(x) END) AS sort_key
 FROM (SELECT DISTINCT url AS title FROM pages) t""")
 def q_natural_sort(spark, d):
     """Sort key comparing digit runs as numbers and text case-insensitively (page URLs)."""
@@ -222,8 +223,7 @@ def q_stream_scores(spark, d):
 SELECT dataset, key, arg_max(value, seq) AS value FROM settings_log GROUP BY dataset, key""")
 def q_stream_settings(spark, d):
     """Last write per (dataset, key) as a streaming aggregation (equals ``upsert_settings``)."""
-    path = stream_latest_settings(spark, d)
-    return spark.read.parquet(path).select("dataset", "key", "value")
+    return latest_settings(spark, stream_latest_settings(spark, d))
 
 
 # ---- folders of files (written from the given tables, then read back with the file sources) -----
@@ -241,7 +241,7 @@ def _page_folder(spark, d):
 
 
 @register("scan_image_folder", with_("files") + """
-SELECT CAST(file_id AS VARCHAR) AS stem, hash, CAST(n_bytes AS BIGINT) AS n_bytes FROM files WHERE n_bytes > 0""")
+SELECT CAST(file_id AS VARCHAR) AS stem, hash, CAST(n_bytes AS BIGINT) AS n_bytes FROM files""")
 def q_scan_folder(spark, d):
     """Folder listing + content hash with the ``binaryFile`` source (sidecars excluded). The page
     files are HTML, so the image-signature filter is off here; it is tested on image bytes."""
@@ -250,7 +250,7 @@ def q_scan_folder(spark, d):
 
 
 @register("read_sidecar_captions", with_("captions") + """
-SELECT CAST(file_id AS VARCHAR) AS stem, caption FROM captions WHERE caption <> ''""")
+SELECT CAST(file_id AS VARCHAR) AS stem, caption FROM captions""")
 def q_read_sidecars(spark, d):
     """Sidecar captions read back from ``<stem>.txt`` files (whole texts, whitespace-stripped)."""
     from tagloom.sources.folder import read_sidecar_captions
@@ -261,9 +261,9 @@ def q_read_sidecars(spark, d):
 cache AS (SELECT hash, repo_name, arg_min(data, seq) AS data, CAST(strlen(arg_min(data, seq)) AS INTEGER) AS n_bytes
           FROM cache_log GROUP BY hash, repo_name)""") + "SELECT hash, repo_name, data, n_bytes FROM cache")
 def q_compact(spark, d):
-    """The cache table rewritten into 2 files (row count checked), read back."""
+    """The cache table rewritten into files of about 256 KB (row count checked), read back."""
     from tagloom.session import write_table
     src = write_table(S.insert_cache(X.cache_log(spark, d)).repartition(16), "cache")
     out = src + "-compact"
-    S.compact_table(spark, src, out, 2)
+    S.compact_table(spark, src, out, 1 << 18)
     return spark.read.parquet(out)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators import state as S
@@ -20,7 +23,7 @@ EDIT_USER = "7"
 CACHE_CTES = """,
 cache AS (SELECT hash, repo_name, arg_min(data, seq) AS data, CAST(strlen(arg_min(data, seq)) AS INTEGER) AS n_bytes
           FROM cache_log GROUP BY hash, repo_name),
-mem AS (SELECT DISTINCT dataset, hash FROM cache_log)"""
+mem AS (SELECT DISTINCT dataset, hash FROM cache_log WHERE dataset IS NOT NULL)"""
 
 
 def _cache(spark, d):
@@ -112,6 +115,18 @@ def q_drop_members(spark, d):
     return m
 
 
+@register("drop_dataset_rows", with_("history_log", "edit_log", "settings_log") + f"""
+SELECT 'history' AS of, dataset, count(*) AS n FROM history_log WHERE dataset <> '{DATASET}' GROUP BY dataset
+UNION ALL SELECT 'edits', dataset, count(DISTINCT hash) FROM edit_log WHERE dataset <> '{DATASET}' GROUP BY dataset
+UNION ALL SELECT 'settings', dataset, count(DISTINCT key) FROM settings_log WHERE dataset <> '{DATASET}' GROUP BY dataset""")
+def q_drop_dataset_rows(spark, d):
+    """What a dataset's deletion leaves in the history, the edits and the settings (rows per dataset)."""
+    left = S.drop_dataset(DATASET, X.history_log(spark, d), S.upsert_edit(X.edit_log(spark, d)), S.upsert_settings(X.settings_log(spark, d)))
+    return functools.reduce(DataFrame.unionByName, [
+        t.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).select(F.lit(of).alias("of"), "dataset", "n")
+        for of, t in zip(("history", "edits", "settings"), left)])
+
+
 @register("drop_cache_by_repo", with_("cache_log", extra=CACHE_CTES[2:]) + f"""
 SELECT hash, repo_name FROM cache WHERE repo_name <> '{REPO}'""")
 def q_drop_repo(spark, d):
@@ -129,19 +144,17 @@ SELECT seq, dataset FROM (SELECT seq, dataset FROM history_log
 ORDER BY seq DESC LIMIT 10""")
 def q_record_run(spark, d):
     """Append one run (next sequence number) and trim to the newest ten."""
-    h = X.history_log(spark, d)
-    nxt = h.select((F.max("seq") + 1).alias("seq")).select("seq", F.lit("ds_new").alias("dataset"))
-    return S.history_trim(h.unionByName(nxt))
+    return S.record_run(X.history_log(spark, d), "ds_new")
 
 
 @register("recent_datasets", with_("history_log", "cache_log") + """,
 known AS (SELECT dataset, min(seq) AS first_seq FROM (SELECT dataset, seq FROM cache_log
                                                        UNION ALL SELECT dataset, seq FROM history_log) u
-          GROUP BY dataset),
+          WHERE dataset IS NOT NULL GROUP BY dataset),
 h AS (SELECT seq, dataset FROM history_log ORDER BY seq DESC LIMIT 10),
 last AS (SELECT dataset, max(seq) AS last_run FROM h GROUP BY dataset)
 SELECT k.dataset, l.last_run FROM known k LEFT JOIN last l ON l.dataset = k.dataset
-ORDER BY l.last_run DESC NULLS LAST, k.first_seq DESC LIMIT 10""")
+ORDER BY l.last_run DESC NULLS LAST, k.first_seq DESC, k.dataset LIMIT 10""")
 def q_recent(spark, d):
     known = S.datasets(X.cache_log(spark, d), X.history_log(spark, d))
     return S.recent_datasets(known, S.history_trim(X.history_log(spark, d)))

@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.session import spread
 from tagloom.sources.tables import table
 
 
 def tags_raw(spark: SparkSession, d: str) -> DataFrame:
     """Popularity table ``(name, post_count)``; names repeat (max wins downstream)."""
-    p = table(spark, d, "part").where(F.col("p_size") <= 40).select("p_partkey", "p_name")
+    p = table(spark, d, "part").select("p_partkey", "p_name")
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     return (p.join(li, li.l_partkey == p.p_partkey, "left")
             .groupBy("p_partkey", "p_name")
@@ -26,14 +25,14 @@ def tags_raw(spark: SparkSession, d: str) -> DataFrame:
 
 def wiki_raw(spark: SparkSession, d: str) -> DataFrame:
     """Wiki page table ``(id, title, body)``; titles carry namespaces and qualifiers."""
-    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
     p = table(spark, d, "part").select("p_partkey", "p_name")
     title = F.concat(
         F.when(F.col("source") == "src0", F.lit("help:")).when(F.col("source") == "src1", F.lit("api:"))
         .otherwise(F.lit("")),
-        F.replace(F.col("p_name"), F.lit(" "), F.lit("_")),
+        F.coalesce(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.concat(F.lit("page_"), F.col("doc_id").cast("string"))),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("_("), F.col("source"), F.lit(")"))).otherwise(F.lit("")))
-    return (docs.join(p, p.p_partkey == docs.doc_id)
+    return (docs.join(p, p.p_partkey == docs.doc_id, "left")
             .select(F.col("doc_id").cast("int").alias("id"), title.alias("title"), F.col("text").alias("body")))
 
 
@@ -68,8 +67,8 @@ def pred(spark: SparkSession, d: str) -> DataFrame:
     """Per-file predictions in long form ``(file_id, category, tag, score)``.
 
     One row per (file, category, tag), max score over three derivations from ``lineitem ⨝ part``."""
-    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_discount", "l_tax", "l_quantity",
-                                                   "l_returnflag"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_discount", "l_tax", "l_quantity",
+                                            "l_returnflag")
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
     # all per-row expressions in one code-generated projection; the three derivations are then plain
     # column selections (a generator over an array of structs evaluates them interpreted)
@@ -98,28 +97,29 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def captions(spark: SparkSession, d: str) -> DataFrame:
-    """Sidecar captions ``(file_id, caption)`` for a fifth of the files."""
+    """Sidecar captions ``(file_id, caption)``, one per order. A fifth of them belong to files of the dataset (every
+    tenth of those is empty); the others lie beside files that it doesn't hold (negative ids)."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    return (o.where(F.col("o_orderkey") % 5 == 0)
-            .select(F.col("o_orderkey").alias("file_id"),
-                    F.concat_ws(", ", F.lit("edited"), F.lower("o_orderpriority")).alias("caption")))
+    key = F.col("o_orderkey")
+    return o.select(F.when(key % 5 == 0, key).otherwise(-key).alias("file_id"),
+                    F.when(key % 50 == 5, "").otherwise(F.concat_ws(", ", F.lit("edited"), F.lower("o_orderpriority"))).alias("caption"))
 
 
 def cache_log(spark: SparkSession, d: str) -> DataFrame:
-    """Score-cache write log ``(hash, repo_name, dataset, data, seq)``."""
+    """Score-cache write log ``(hash, repo_name, dataset, data, seq)``: every write has data of its own; those of some
+    users come from no dataset (null)."""
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "props")
     h = F.sha2(F.concat(F.get_json_object("props", "$.k"), F.lit(":"), F.col("user_id").cast("string")), 256)
     return ev.select(h.alias("hash"), F.col("event_type").alias("repo_name"),
-                     F.concat(F.lit("ds"), (F.col("event_id") % 7).cast("string")).alias("dataset"),
-                     F.col("props").alias("data"), F.col("event_id").alias("seq"))
+                     F.when(F.col("user_id") % 11 != 0, F.concat(F.lit("ds"), (F.col("event_id") % 7).cast("string"))).alias("dataset"),
+                     F.concat_ws("#", "props", F.col("event_id").cast("string")).alias("data"), F.col("event_id").alias("seq"))
 
 
 def history_log(spark: SparkSession, d: str) -> DataFrame:
     """Run log ``(seq, dataset)``."""
-    ev = table(spark, d, "events").select("event_id", "event_type")
-    return (ev.where(F.col("event_type") == "signup")
-            .select(F.col("event_id").alias("seq"),
-                    F.concat(F.lit("ds"), (F.col("event_id") % 7).cast("string")).alias("dataset")))
+    ev = table(spark, d, "events").select("event_id")
+    return ev.select(F.col("event_id").alias("seq"),
+                     F.concat(F.lit("ds"), (F.col("event_id") * F.col("event_id") % 23).cast("string")).alias("dataset"))
 
 
 def settings_log(spark: SparkSession, d: str) -> DataFrame:
@@ -140,12 +140,12 @@ def edit_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_edits(spark: SparkSession, d: str) -> DataFrame:
-    """Stored manual edits per file ``(file_id, previous_edit, new_edit)`` for a tenth of the files;
-    half of them still equal the sidecar caption, the other half are stale."""
+    """Stored manual edits ``(file_id, previous_edit, new_edit)``, one per order. A tenth of them belong to files of the
+    dataset (half of those still equal the sidecar caption, the others are stale); the rest to files that it doesn't
+    hold (negative ids)."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    return (o.where(F.col("o_orderkey") % 10 == 0)
-            .select(F.col("o_orderkey").alias("file_id"),
+    key = F.col("o_orderkey")
+    return o.select(F.when(key % 10 == 0, key).otherwise(-key).alias("file_id"),
                     F.concat_ws(", ", F.lit("edited"), F.lit("widget")).alias("previous_edit"),
-                    F.when(F.col("o_orderkey") % 20 == 0,
-                           F.concat_ws(", ", F.lit("edited"), F.lower("o_orderpriority")))
-                    .otherwise(F.concat_ws(", ", F.lit("edited"), F.lower("o_orderstatus"))).alias("new_edit")))
+                    F.when(key % 20 == 0, F.concat_ws(", ", F.lit("edited"), F.lower("o_orderpriority")))
+                    .otherwise(F.concat_ws(", ", F.lit("edited"), F.lower("o_orderstatus"))).alias("new_edit"))

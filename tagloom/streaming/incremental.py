@@ -27,25 +27,33 @@ def _work_dir(spark: SparkSession, name: str) -> str:
 
 def _cache_rows(events: DataFrame) -> DataFrame:
     h = F.sha2(F.concat(F.get_json_object("props", "$.k"), F.lit(":"), F.col("user_id").cast("string")), 256)
-    return events.select(h.alias("hash"), F.col("event_type").alias("repo_name"), F.col("props").alias("data"),
+    return events.select(h.alias("hash"), F.col("event_type").alias("repo_name"), F.concat_ws("#", "props", F.col("event_id").cast("string")).alias("data"),
                          F.col("event_id").alias("seq"))
 
 
 def stream_incremental_scores(spark: SparkSession, source_dir: str, table_path: str | None = None,
-                              max_files_per_trigger: int = 1, glob: str = "events*.parquet") -> str:
+                              max_files_per_trigger: int = 1, glob: str = "events*.parquet", buckets: int = 64) -> str:
     """Run the incremental cache fill over every file in ``source_dir`` (events schema) until no
-    input is left (``availableNow``); returns the cache table path."""
+    input is left (``availableNow``); returns the cache table path.
+
+    The table is partitioned by a hash bucket of the key. A micro-batch reads the buckets that its own keys fall in
+    and no others: the filter is a list of at most ``buckets`` numbers, pruned at planning."""
     table_path = table_path or _work_dir(spark, "cache")
     ckpt = table_path + "_ckpt"
-    empty = spark.createDataFrame([], "hash string, repo_name string, data string, n_bytes int")
-    empty.write.mode("overwrite").parquet(table_path)
+    bucket = F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int").alias("bucket")
+    schema = "hash string, repo_name string, data string, n_bytes int, bucket int"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):     # else the stream goes on
+        spark.createDataFrame([], schema).write.partitionBy("bucket").parquet(table_path)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        existing = spark.read.parquet(table_path)
-        new_keys = insert_cache(batch).join(existing.select("hash", "repo_name"), ["hash", "repo_name"], "left_anti")
+        new = insert_cache(batch).select("*", bucket)
+        touched = [r["bucket"] for r in batch.select(bucket).distinct().collect()]
+        existing = spark.read.schema(schema).parquet(table_path).where(F.col("bucket").isin(touched))
         # a batch replayed after a failure re-reads the table first, so keys it already appended are
         # anti-joined away: the append is idempotent per batch
-        new_keys.write.mode("append").parquet(table_path)
+        fresh = new.join(existing.select("bucket", "hash", "repo_name"), ["bucket", "hash", "repo_name"], "left_anti")
+        fresh.write.mode("append").partitionBy("bucket").parquet(table_path)
 
     src = (spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", max_files_per_trigger)
            .option("pathGlobFilter", glob).parquet(source_dir))
@@ -58,7 +66,10 @@ def stream_incremental_scores(spark: SparkSession, source_dir: str, table_path:
 def stream_latest_settings(spark: SparkSession, source_dir: str, table_path: str | None = None,
                            glob: str = "events*.parquet") -> str:
     """Last write per (dataset, key) as a streaming aggregation (``max_by`` over the sequence
-    number, so arrival order does not matter); each trigger rewrites the result table."""
+    number, so arrival order does not matter); returns the table's path.
+
+    Every trigger writes the keys that changed as a version of its own, numbered by its batch; a version is complete
+    before a reader can be sent to it (``latest_settings``), and no version is overwritten while it may be read."""
     table_path = table_path or _work_dir(spark, "settings")
     ckpt = table_path + "_ckpt"
     src = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", glob).parquet(source_dir)
@@ -68,9 +79,15 @@ def stream_latest_settings(spark: SparkSession, source_dir: str, table_path: str
     agg = log.groupBy("dataset", "key").agg(F.max_by("value", "seq").alias("value"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+        batch.write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
+    q = (agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return table_path
+
+
+def latest_settings(spark: SparkSession, table_path: str) -> DataFrame:
+    """``(dataset, key, value)`` from the stream's versions: per key the one of the newest version."""
+    rows = spark.read.parquet(table_path)
+    return rows.groupBy("dataset", "key").agg(F.max_by("value", "version").alias("value"))

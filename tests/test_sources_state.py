@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.jaro import jaro_winkler
 from tagloom.operators import state as S
-from tagloom.plans.wiki import split_search, term_list
+from tagloom.plans.wiki import IndexOptions, split_search, term_list
 from tagloom.sources.folder import read_sidecar_captions, scan_image_folder, with_sidecars
 from tagloom.sources.labels import read_label_csv, read_label_json
 
@@ -43,8 +43,7 @@ def test_scan_image_folder(spark, folder):
 
 def test_sidecars(spark, folder):
     caps = {r.stem: r.caption for r in read_sidecar_captions(spark, folder).collect()}
-    # file sources skip zero-length files: the empty c.txt reads as missing (documented deviation)
-    assert caps == {"a": "cat, dog"}
+    assert caps == {"a": "cat, dog", "c": ""}      # an emptied file is an empty caption, not a missing one
     j = {r.stem: r.caption for r in with_sidecars(scan_image_folder(spark, folder), read_sidecar_captions(spark, folder)).collect()}
     assert j == {"a": "cat, dog", "b": "", "c": ""}
 
@@ -86,7 +85,7 @@ def test_state_helpers(spark):
 def test_compact_table(spark):
     d = tempfile.mkdtemp(prefix="tagloom-compact-")
     spark.range(1000).repartition(10).write.parquet(os.path.join(d, "t"))
-    n = S.compact_table(spark, os.path.join(d, "t"), os.path.join(d, "t2"), 2)
+    n = S.compact_table(spark, os.path.join(d, "t"), os.path.join(d, "t2"), 1 << 20)
     assert n == 1000
     assert len([f for f in os.listdir(os.path.join(d, "t2")) if f.endswith(".parquet")]) <= 2
 
@@ -94,8 +93,9 @@ def test_compact_table(spark):
 def test_split_search():
     assert split_search('"red widget" blue') == ("blue", ["red", "widget"])
     assert split_search("plain words") == ("plain words", [])
-    assert term_list("Frieren, 1girl!") == ["frieren", "1girl"]
-    assert term_list("Frieren", lower=False) == ["rieren"]
+    assert term_list("Ocean, 3boats of Élan!") == ["ocean", "boats", "elan"]
+    assert term_list("Ocean of 3boats", options=IndexOptions(separator="[^a-z0-9]+", stop_words=())) == ["ocean", "of", "3boats"]
+    assert term_list("the of") == []
 
 
 def test_jaro_winkler_matches_duckdb():
@@ -158,3 +158,26 @@ def test_write_wiki_requires_unique_ids(spark):
     assert got == {1: (9, "a <b>bold</b> page", "a bold page"), 3: (1, None, None)}
     with pytest.raises(ValueError):
         write_wiki(w.unionByName(w), os.path.join(d, "wiki2"))
+
+
+def test_natural_sort_long_numbers(spark):
+    from tagloom.functions.text import natural_sort_key
+    names = ["p9", "p10", "P0010b", "p" + "1" * 24, "p" + "1" * 25, "p" + "9" * 30, "p1" + "0" * 30, "p000"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", natural_sort_key(F.col("n")).alias("k"))
+    assert len({tuple(r.k) for r in df.collect()}) == len(names)
+    want = ["p000", "p9", "p10", "P0010b", "p" + "1" * 24, "p" + "1" * 25, "p" + "9" * 30, "p1" + "0" * 30]
+    assert [r.n for r in df.orderBy("k").collect()] == want
+
+
+def test_image_signatures(spark):
+    from tagloom.sources.folder import skipped_files
+    d = tempfile.mkdtemp(prefix="tagloom-sig-")
+    good = {"a.webp": b"RIFF\x10\x00\x00\x00WEBPVP8 ", "b.avif": b"\x00\x00\x00\x20ftypavif\x00\x00\x00\x00", "c.heic": b"\x00\x00\x00\x18ftypheic\x00\x00",
+            "d.ico": b"\x00\x00\x01\x00\x01\x00", "e.jxl": b"\xff\x0a\x00", "f.ppm": b"P6\n1 1\n255\n\x00\x00\x00"}
+    bad = {"g.wav": b"RIFF\x10\x00\x00\x00WAVEfmt ", "h.mp4": b"\x00\x00\x00\x20ftypisom", "i.bin": b"xPNG", "j.png": b""}
+    for name, data in {**good, **bad}.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    found = {r.path.rpartition("/")[2] for r in scan_image_folder(spark, d).collect()}
+    left = {r.path.rpartition("/")[2] for r in skipped_files(spark, d).collect()}
+    assert found == set(good) and left == set(bad)

@@ -6,51 +6,49 @@ inside a ``transform`` lambda; the parts are joined back. Everything runs in the
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators.markup import SEARCH_URL, USER_URL, WIKI_URL
+from tagloom.operators.markup import ANY_LINK, link_of, replace_each, unprotected
 
 # Characters (or words) one of the rules below needs; texts without any are rendered unchanged.
 RENDER_HINT = r'[\[<{"@*\r]|http|h[0-9]'
 
 _SEGMENTS = r"(\[nodtext\][\s\S]*?\[/nodtext\]|\[code\][\s\S]*?\[/code\]|[\s\S]+?(?=\[nodtext\]|\[code\]|$))"
 
+# Stands for a row group while table text is reduced: a noncharacter, which no text may hold.
+ROW_GROUP = "\uFDD0"
 # Ordered rewrite rules for a markup segment (Java regex; fixed values of the output format).
 RENDER_RULES: list[tuple[str, str]] = [
     (r"\r\n", "\n"),
     (r"\[br\]", "<br>\n"),
     (r"\[hr\]", "\n<hr>\n"),
-    (r"\[spoilers\]|\[/spoilers\]", ""),
+    (r"\[/?spoilers\]", ""),
     (r"\[expand=([^\]]*)\]", "<h5>$1</h5>\n<hr>\n"),
-    (r"\[expand\]|\[/expand\]", ""),
+    (r"\[expand( [^\]\n]*)?\]|\[/expand\]", ""),
     (r"\[quote\]", "<blockquote>"),
     (r"\[/quote\]", "</blockquote>"),
-    (r"\[b\]([^\n]*?)\[/b\]", "<b>$1</b>"),
-    (r"\[i\]([^\n]*?)\[/i\]", "<i>$1</i>"),
-    (r"\[u\]([^\n]*?)\[/u\]", "<ins>$1</ins>"),
-    (r"\[s\]([^\n]*?)\[/s\]", "<s>$1</s>"),
-    (r"\[tn\]([^\n]*?)\[/tn\]", "<sub><sup>$1</sub></sup>"),
-    (r"\[url=([^\]]+)\]([\s\S]*?)\[/url\]", "<a href=\"$1\">$2</a>"),
-    (r"\[url\]([\s\S]*?)\[/url\]", "<a href=\"$1\">$1</a>"),
-    (r"\[(table|/table|tr|/tr|th|/th|td|/td)\]", "<$1>"),
-    (r"\[/?(thead|tbody)\]", "\u0007"),
-    (r"\[/?colgroup\]", ""),
+    (r"\[(table|tr|th|td)([ =][^\]\n]*)?\](?![(\]])", "<$1>"),
+    (r"\[/(table|tr|th|td)\]", "</$1>"),
+    (r"\[(thead|tbody)([ =][^\]\n]*)?\]|\[/(thead|tbody)\]", ROW_GROUP),
     # inside a table every text run between structural tags is one newline; a match consumes its
     # leading tag, so neighbouring runs need a second pass
-    (r"(<table>|<tr>|</tr>|</th>|</td>|\u0007)[^<\u0007]+(?=<tr>|</tr>|<th>|<td>|</table>|\u0007)", "$1\n"),
-    (r"(<table>|<tr>|</tr>|</th>|</td>|\u0007)[^<\u0007]+(?=<tr>|</tr>|<th>|<td>|</table>|\u0007)", "$1\n"),
-    (r"\u0007", ""),
+    (rf"(<table>|<tr>|</tr>|</th>|</td>|{ROW_GROUP})[^<{ROW_GROUP}]+(?=<tr>|</tr>|<th>|<td>|</table>|{ROW_GROUP})", "$1\n"),
+    (rf"(<table>|<tr>|</tr>|</th>|</td>|{ROW_GROUP})[^<{ROW_GROUP}]+(?=<tr>|</tr>|<th>|<td>|</table>|{ROW_GROUP})", "$1\n"),
+    (ROW_GROUP, ""),
     (r"h([0-9])#([^.\"\n]+)\.[ \t]*([^\n]*?)[ \t]*(?=\n|$)", "<h$1 id=\"$2\">$3</h$1>"),
     (r"h([0-9])\.[ \t]*([^\n]*?)[ \t]*(?=\n|$)", "<h$1>$2</h$1>"),
-    (r"\"([^\"]+?)\":\[([^\]]+?)\]", "\u0001a href=\u0002$2\u0002\u0003$1\u0001/a\u0003"),
-    (r"\"([^\"]+?)\":((?:https?|/|#)[^\s]*)", "\u0001a href=\u0002$2\u0002\u0003$1\u0001/a\u0003"),
-    (r"\[(https?[^\]]*?)\]\(([^)]+?)\)", "\u0001a href=\u0002$1\u0002\u0003$2\u0001/a\u0003"),
-    (r"\[([^\]]+?)\]\(([^)]+?)\)", "\u0001a href=\u0002$2\u0002\u0003$1\u0001/a\u0003"),
-    (r"<(https?[^>]+?)>", "\u0001a href=\u0002$1\u0002\u0003$1\u0001/a\u0003"),
-    (r"(?<![\"\u0002\u0003>=])(https?://[-a-zA-Z0-9@:%._+~#=]{2,256}\.[a-z]{2,4}\b[-a-zA-Z0-9@:%_+.~#?&/=]*)",
-     "\u0001a href=\u0002$1\u0002\u0003$1\u0001/a\u0003"),
 ]
+# Tags within a line of text: tag, opening and closing HTML.
+INLINE = [("b", "<b>", "</b>"), ("i", "<i>", "</i>"), ("u", "<ins>", "</ins>"), ("s", "<s>", "</s>"),
+          ("tn", "<sub><sup>", "</sub></sup>")]
+# Markup without a rendering: what is wrong, and a pattern over the text outside protected blocks.
+ERRORS = [
+    ("a column tag has no rendering", r"\[col(group)?([ =][^\]\n]*)?\](?!\()"),
+    ("a tag inside [url]", r"\[url(=[^\]]*)?\](?:(?!\[/url\])[\s\S])*?\[(b|i|u|s|tn|quote|table|spoilers|expand|url)\]"),
+    ("a table inside [quote]", r"\[quote\](?:(?!\[/quote\])[\s\S])*?\[table\]"),
+]
+_TABLE_PART = r"\[(thead|tbody|tr|th|td)([ =][^\]\n]*)?\](?![(\]])"
 
 
 def _apply(c: Column, rules) -> Column:
@@ -59,33 +57,25 @@ def _apply(c: Column, rules) -> Column:
     return c
 
 
-def _links(c: Column) -> Column:
-    """``[[...]]``, ``{{...}}`` and ``@user`` links (after the other link forms)."""
-    wiki = r"([a-zA-Z0-9]*)\[\[([^\]|#]+?)(?:#([A-Z][^\]|]*))?\]\]([a-zA-Z0-9]*)"
-    c = F.regexp_replace(c, r"([a-zA-Z0-9]*)\[\[([^\]|]+?)\|\s*([^\]]+?)\s*\]\]([a-zA-Z0-9]*)",
-                         "\u0001a href=\u0002" + WIKI_URL + "\u0004$2\u0004\u0002\u0003$1$3$4\u0001/a\u0003")
-    c = F.regexp_replace(c, r"([a-zA-Z0-9]*)\[\[(([^\]|(]*?)\s*(\([^\]|]*\))?)\s*\|\]\]([a-zA-Z0-9]*)",
-                         "\u0001a href=\u0002" + WIKI_URL + "\u0004$2\u0004\u0002\u0003$1$3$5\u0001/a\u0003")
-    c = F.regexp_replace(c, wiki, "\u0001a href=\u0002" + WIKI_URL + "\u0004$2\u0004\u0005$3\u0005\u0002\u0003$1$2$4\u0001/a\u0003")
-    c = F.regexp_replace(c, r"\{\{([^}|]+?)\|([^}]*)\}\}", "\u0001a href=\u0002" + SEARCH_URL + "\u0006$1\u0006\u0002\u0003$2\u0001/a\u0003")
-    c = F.regexp_replace(c, r"\{\{([^}|]+?)\}\}", "\u0001a href=\u0002" + SEARCH_URL + "\u0006$1\u0006\u0002\u0003$1\u0001/a\u0003")
-    c = F.regexp_replace(c, r"(?<![\"\u0002\u0003a-zA-Z0-9])@([a-zA-Z0-9_-]+)", "\u0001a href=\u0002" + USER_URL + "$1\u0002\u0003@$1\u0001/a\u0003")
+def _inline(c: Column) -> Column:
+    """Bold, italic, ... around every line of the tagged text, blanks stripped. An unclosed tag ends with its line."""
+    for tag, begin, end in INLINE:
+        if tag != "tn":
+            c = F.regexp_replace(c, rf"\[{tag}\](?![\s\S]*?\[/{tag}\])([^\n]*)", f"[{tag}]$1[/{tag}]")
+
+        def lines(m: Column, tag=tag, begin=begin, end=end) -> Column:
+            inner = F.regexp_extract(m, rf"^\[{tag}\]([\s\S]*)\[/{tag}\]$", 1)
+            full = F.filter(F.split(inner, "\n"), lambda x: F.length(x) > 0)
+            return F.array_join(F.transform(full, lambda x: F.concat(F.lit(begin), F.trim(x), F.lit(end))), "\n")
+        c = replace_each(c, rf"\[{tag}\][\s\S]*?\[/{tag}\]", lines)
     return c
 
 
-def _finish_links(c: Column) -> Column:
-    """Normalise link targets (lower-case, spaces -> ``_``, anchors) and restore the markers."""
-    # wiki targets: lower-case and underscores, via split on the \u0004 marker
-    parts = F.split(c, "\u0004")
-    c = F.array_join(F.transform(parts, lambda p, i: F.when(
-        i % 2 == 1, F.regexp_replace(F.lower(F.trim(p)), " ", "_")).otherwise(p)), "")
-    parts = F.split(c, "\u0005")
-    c = F.array_join(F.transform(parts, lambda p, i: F.when(
-        i % 2 == 1, F.when(p == "", p).otherwise(F.concat(F.lit("#dtext-"), F.lower(p)))).otherwise(p)), "")
-    parts = F.split(c, "\u0006")
-    c = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.lower(p)).otherwise(p)), "")
-    c = F.translate(c, "\u0001\u0003", "<>")
-    return F.regexp_replace(c, "\u0002", "\"")
+def _links(c: Column) -> Column:
+    def html(m: Column) -> Column:
+        link = F.transform(F.array(m), link_of)
+        return F.element_at(F.transform(link, lambda x: F.concat(F.lit('<a href="'), x["url"], F.lit('">'), x["label"], F.lit("</a>"))), 1)
+    return replace_each(c, ANY_LINK, html)
 
 
 def _lists(c: Column) -> Column:
@@ -114,7 +104,7 @@ def _lists(c: Column) -> Column:
 
 
 def render_segment(c: Column) -> Column:
-    return _finish_links(_links(_lists(_apply(c, RENDER_RULES))))
+    return _lists(_links(_apply(_inline(c), RENDER_RULES)))
 
 
 def render_markdown(body) -> Column:
@@ -132,3 +122,18 @@ def render_markdown(body) -> Column:
     # a text with none of the characters any rule needs renders as itself: skip the chain.
     # A NULL body has no markdown (NULL), as a SQL function is not called on NULL input.
     return F.when(b.isNull(), F.lit(None).cast("string")).when(b.rlike(RENDER_HINT), rendered).otherwise(b)
+
+
+def markup_error(body) -> Column:
+    """What makes a page's markup malformed (null if nothing does): its markdown is then null as well."""
+    text = unprotected(body if isinstance(body, Column) else F.col(body))
+    out = F.when(F.regexp_replace(text, r"\[table\][\s\S]*?\[/table\]", "").rlike(_TABLE_PART), "a table part outside of a table")
+    for what, pattern in ERRORS:
+        out = out.when(text.rlike(pattern), what)
+    return out
+
+
+def render_corpus(pages: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
+    """``(id, markdown, error)`` per page; a malformed page has an error and no markdown, and stops nothing."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(body_col).alias("body"), markup_error(body_col).alias("error"))
+    return rows.select("id", F.when(F.col("error").isNull(), render_markdown(F.col("body"))).alias("markdown"), "error")

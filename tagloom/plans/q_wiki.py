@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.jaro import jaro_winkler_udf
 from tagloom.functions.text import SKIPPED_NAMESPACES, normalise_text, query_terms
-from tagloom.operators.markup import extract_headings, extract_wiki_links, plain_text, plain_text_sql
-from tagloom.operators.render import render_markdown
+from tagloom.operators.markup import extract_headings, extract_wiki_links, plain_text
+from tagloom.operators.render import render_corpus
 from tagloom.plans import wiki as W
 from tagloom.plans.oracle import FIX, sql_list, with_
 from tagloom.plans.registry import register, r6
 from tagloom.sources import fixtures as X
-from tagloom.session import materialize_once, spread
+from tagloom.session import materialize_once
 from tagloom.sources.tables import table
 
 # Fixed query parameters.
@@ -51,6 +51,13 @@ def _written(spark, d, w, p):
             "stats": materialize_once(spark, "corpus_stats", inputs, lambda: W.corpus_stats(w))}
 
 
+def plain_text_sql(expr: str) -> str:
+    """Plain text of the documents' own texts, which hold no brackets or quotes: line ends, headings and list marks."""
+    out = f"replace({expr}, chr(13) || chr(10), chr(10))"
+    out = f"regexp_replace({out}, 'h([0-9])(#[^.\"\n]+)?\\.([^\n]+)', '\\3', 'g')"
+    return f"regexp_replace({out}, '(?m)^\\*+[ \t]?', '', 'g')"
+
+
 _NS = " AND ".join(f"NOT starts_with(p.title, '{p}')" for p in SKIPPED_NAMESPACES)
 WIKI_CTES = f""",
 t AS (SELECT name, max(post_count) AS post_count FROM tags_raw GROUP BY name),
@@ -159,80 +166,67 @@ def q_normalise(spark, d):
     return X.wiki_raw(spark, d).select("id", normalise_text(F.col("title")).alias("search_title"))
 
 
-@register("plain_text_corpus", f"""
-SELECT doc_id, {plain_text_sql('text')} AS plain FROM documents""")
-def q_plain_text(spark, d):
-    """Searchable plain text of every document, whole texts."""
-    return spread(table(spark, d, "documents")).select("doc_id", plain_text(F.col("text")).alias("plain"))
-
-
-def _matches_sql(pat: str) -> str:
-    return (f"SELECT doc_id AS page_id, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos FROM "
-            f"(SELECT doc_id, regexp_extract_all(text, '{pat}', 0) AS ms FROM documents) x")
-
-
-def _headings_sql() -> str:
-    from tagloom.operators.markup import HEADING
-    h = HEADING
-    return f"""SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(regexp_extract(m, '{h}', 1) AS INTEGER) AS level,
-       nullif(regexp_replace(regexp_extract(m, '{h}', 2), '^#', ''), '') AS anchor,
-       trim(regexp_extract(m, '{h}', 3)) AS text
-FROM ({_matches_sql(h)}) t"""
-
-
-def _links_sql() -> str:
-    from tagloom.operators.markup import _LINKS, SEARCH_URL, USER_URL, WIKI_URL
-    parts = []
-    for kind, pat in _LINKS:
-        g = lambda i, pat=pat: f"regexp_extract(m, '{pat}', {i})"
-        if kind in ("wiki", "search"):
-            inner = g(2) if kind == "wiki" else g(1)
-            t0 = f"split_part({inner}, '|', 1)"
-            raw = f"(CASE WHEN instr({inner}, '|') > 0 THEN string_split({inner}, '|')[-1] END)"
-            if kind == "wiki":
-                ah = f"split_part({t0}, '#', 2)"
-                anchor = f"(CASE WHEN regexp_full_match(substring({ah}, 1, 1), '[A-Z]') THEN {ah} END)"
-                target = f"(CASE WHEN {anchor} IS NOT NULL THEN split_part({t0}, '#', 1) ELSE {t0} END)"
-            else:
-                target = t0
-            label = (f"(CASE WHEN {raw} IS NULL THEN trim({target}) "
-                     f"WHEN {raw} = '' THEN trim(regexp_replace({target}, '\\(.+\\)', '', 'g')) ELSE trim({raw}) END)")
-            if kind == "wiki":
-                url = (f"'{WIKI_URL}' || replace(lower(trim({target})), ' ', '_') || "
-                       f"coalesce('#dtext-' || lower({anchor}), '')")
-                label = f"{g(1)} || {label} || {g(3)}"
-            else:
-                url = f"'{SEARCH_URL}' || lower(CASE WHEN {raw} IS NULL OR {raw} = '' THEN {target} ELSE trim({target}) END)"
-        elif kind == "user":
-            url, label = f"'{USER_URL}' || {g(1)}", f"'@' || {g(1)}"
-        elif kind in ("text_url", "md_text"):
-            url, label = g(2), g(1)
-        elif kind == "md_url":
-            url, label = g(1), g(2)
-        else:
-            url, label = g(1), g(1)
-        parts.append(f"SELECT page_id, '{kind}' AS kind, CAST(pos AS INTEGER) AS pos, {url} AS url, {label} AS label "
-                     f"FROM ({_matches_sql(pat)}) t")
-    return "\nUNION ALL\n".join(parts)
-
-
-@register("extract_headings", _headings_sql())
-def q_headings(spark, d):
-    """Heading edge table over all documents (driver texts carry no headings; goldens in tests)."""
-    return extract_headings(spread(table(spark, d, "documents")), id_col="doc_id", body_col="text")
+# ---- markup: every expected value below is built from the columns that the fixture wrote into the markup ------------
 
+MARKUP_SQL = """WITH m AS (
+  SELECT doc_id AS id, doc_id % 13 AS form, coalesce(p_name, 'page ' || doc_id) AS t, coalesce(source, 'none') AS s,
+    CAST(doc_id AS VARCHAR) AS n, replace(regexp_replace(translate(coalesce(text, ''), '[]{}<>"*@#|' || chr(13), '            '),
+      'h([0-9])', 'h \\1', 'g'), 'http', 'hxxp') AS rest
+  FROM documents LEFT JOIN part ON p_partkey = doc_id),
+w AS (SELECT *, 'https://danbooru.donmai.us/wiki_pages/' || replace(lower(t), ' ', '_') AS page,
+             'https://danbooru.donmai.us/posts?tags=' || lower(t) || ' (' || s || ')' AS search,
+             'https://danbooru.donmai.us/users?name=' || s AS person FROM m)
+"""
 
-@register("extract_wiki_links", _links_sql())
-def q_links(spark, d):
-    """Link edge table over all documents (driver texts only carry ``@`` mentions inside e-mail
-    addresses; the other link kinds are covered by goldens in tests)."""
-    return extract_wiki_links(spread(table(spark, d, "documents")), id_col="doc_id", body_col="text")
+
+@register("plain_text_corpus", MARKUP_SQL + """
+SELECT id, CASE form WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t || 's' WHEN 3 THEN 'see the ' || s || ' page' WHEN 4 THEN t WHEN 5 THEN t
+  WHEN 6 THEN t WHEN 7 THEN 'https://example.com/' || n || ' and https://example.org/' || n WHEN 8 THEN t || chr(10) || s || '  ' || t || ' '
+  WHEN 9 THEN t || s WHEN 10 THEN t || chr(10) || s WHEN 11 THEN t || ' @' || s ELSE 'ask @' || s || ' about ' END
+  || chr(10) || chr(10) || rest AS plain FROM w""")
+def q_plain_text(spark, d):
+    """Plain text of pages in every markup form."""
+    return X.markup_pages(spark, d).select("id", plain_text(F.col("body")).alias("plain"))
 
 
-@register("render_corpus")
+@register("extract_headings", MARKUP_SQL + """
+SELECT id AS page_id, 0 AS pos, CASE form WHEN 0 THEN 4 ELSE 2 END AS level, CASE form WHEN 1 THEN 'sec-' || n END AS anchor, t AS text
+FROM w WHERE form IN (0, 1)""")
+def q_headings(spark, d):
+    """Heading table over pages in every markup form."""
+    return extract_headings(X.markup_pages(spark, d))
+
+
+@register("extract_wiki_links", MARKUP_SQL + """
+SELECT id AS page_id, 'wiki' AS kind, 0 AS pos, page AS url, t || 's' AS label FROM w WHERE form = 2
+UNION ALL SELECT id, 'wiki', 0, page || '#dtext-history', 'the ' || s || ' page' FROM w WHERE form = 3
+UNION ALL SELECT id, 'search', 0, search, t FROM w WHERE form = 4
+UNION ALL SELECT id, 'text_url', 0, '/posts/' || n, t FROM w WHERE form = 5
+UNION ALL SELECT id, 'md_url', 0, 'https://example.com/' || n, t FROM w WHERE form = 6
+UNION ALL SELECT id, 'angle_url', 0, 'https://example.com/' || n, 'https://example.com/' || n FROM w WHERE form = 7
+UNION ALL SELECT id, 'bare_url', 1, 'https://example.org/' || n, 'https://example.org/' || n FROM w WHERE form = 7
+UNION ALL SELECT id, 'user', 0, person, '@' || s FROM w WHERE form = 12""")
+def q_links(spark, d):
+    """Link edge table over pages in every markup form."""
+    return extract_wiki_links(X.markup_pages(spark, d))
+
+
+@register("render_corpus", MARKUP_SQL + """
+SELECT id, CASE form WHEN 0 THEN '<h4>' || t || '</h4>' WHEN 1 THEN '<h2 id="sec-' || n || '">' || t || '</h2>'
+    WHEN 2 THEN '<a href="' || page || '">' || t || 's</a>'
+    WHEN 3 THEN 'see <a href="' || page || '#dtext-history">the ' || s || ' page</a>'
+    WHEN 4 THEN '<a href="' || search || '">' || t || '</a>' WHEN 5 THEN '<a href="/posts/' || n || '">' || t || '</a>'
+    WHEN 6 THEN '<a href="https://example.com/' || n || '">' || t || '</a>'
+    WHEN 7 THEN '<a href="https://example.com/' || n || '">https://example.com/' || n || '</a> and <a href="https://example.org/' || n
+      || '">https://example.org/' || n || '</a>'
+    WHEN 8 THEN '<b>' || t || '</b>' || chr(10) || '<b>' || s || '</b> <s>' || t || '</s>'
+    WHEN 9 THEN '<table><tr><td>' || t || '</td><th>' || s || '</th></tr></table>'
+    WHEN 10 THEN array_to_string(['<ul>', '<li>' || t || '</li>', '<ul>', '<li>' || s || '</li>', '</ul>', '</ul>'], chr(10))
+    WHEN 11 THEN '[u]' || t || '[/u] @' || s END || CASE WHEN form = 10 THEN chr(10) ELSE chr(10) || chr(10) END || rest AS markdown,
+  CASE form WHEN 12 THEN 'a table part outside of a table' END AS error FROM w""")
 def q_render(spark, d):
-    """Markdown of every wiki page (native expression chain; goldens in tests)."""
-    return X.wiki_raw(spark, d).select("id", render_markdown(F.col("body")).alias("markdown"))
+    """Markdown and errors of pages in every markup form."""
+    return render_corpus(X.markup_pages(spark, d))
 
 
 # ---- index and search -------------------------------------------------------------------------
@@ -402,7 +396,7 @@ FROM ranked WHERE rank <= {BATCH_LIMIT}""")
 def q_batch_search(spark, d):
     """Every benchmark text as a search query, top-5 pages each, in one job."""
     w, p = _search_tables(spark, d)
-    qs = spread(table(spark, d, "benchmark")).select(F.col("item_id").alias("qid"), "text")
+    qs = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return _round_search(W.batch_query_wiki(w, p, qs, BATCH_LIMIT, **_written(spark, d, w, p)))
 
 

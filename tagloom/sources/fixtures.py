@@ -149,3 +149,27 @@ def file_edits(spark: SparkSession, d: str) -> DataFrame:
                     F.concat_ws(", ", F.lit("edited"), F.lit("widget")).alias("previous_edit"),
                     F.when(key % 20 == 0, F.concat_ws(", ", F.lit("edited"), F.lower("o_orderpriority")))
                     .otherwise(F.concat_ws(", ", F.lit("edited"), F.lower("o_orderstatus"))).alias("new_edit"))
+
+
+def markup_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with markup ``(id, form, title, source, rest, body)``: every document, in one of 13 markup forms about its
+    part's name and its source, in front of its own text (in which characters that could be markup become blanks)."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    j = docs.join(p, p.p_partkey == docs.doc_id, "left")
+    t = F.coalesce(F.col("p_name"), F.concat(F.lit("page "), F.col("doc_id").cast("string")))
+    rest = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), '[]{}<>"*@#|\r', " " * 12), "h([0-9])", "h $1")
+    rest = F.replace(rest, F.lit("http"), F.lit("hxxp"))
+    rows = j.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 13).alias("form"), t.alias("title"),
+                    F.coalesce("source", F.lit("none")).alias("source"), rest.alias("rest"))
+    t, s, n = F.col("title"), F.col("source"), F.col("id").cast("string")
+    forms = [("h4. ", t), ("h2#sec-", n, ". ", t), ("[[", t, "]]s"), ("see [[", t, "#History|the ", s, " page]]"),
+             ("{{", t, " (", s, ")|}}"), ('"', t, '":[/posts/', n, "]"), ("[https://example.com/", n, "](", t, ")"),
+             ("<https://example.com/", n, "> and https://example.org/", n), ("[b]", t, "\n", s, "[/b] [s] ", t, " [/s]"),
+             ("[table][tr][td colspan=2]", t, "[/td][th]", s, "[/th][/tr][/table]"), ("* ", t, "\n** ", s),
+             ("[nodtext][u]", t, "[/u] @", s, "[/nodtext]"), ("ask @", s, " about [tr]")]
+    piece = None
+    for k, parts in enumerate(forms):
+        text = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+        piece = F.when(F.col("form") == k, text) if piece is None else piece.when(F.col("form") == k, text)
+    return rows.withColumn("body", F.concat(piece, F.lit("\n\n"), F.col("rest")))

@@ -1,11 +1,11 @@
-"""Markup: rendering goldens (all in one Spark job), link/heading extraction, plain text."""
+"""Markup: rendering cases (all in one Spark job), errors, link and heading extraction, plain text."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from golden_markup import ALL
+from golden_markup import ALL, SEARCH, USER, WIKI
 from tagloom.operators.markup import extract_headings, extract_wiki_links, plain_text
-from tagloom.operators.render import render_markdown
+from tagloom.operators.render import render_corpus, render_markdown
 
 
 def _norm(s):
@@ -15,12 +15,12 @@ def _norm(s):
 @pytest.fixture(scope="module")
 def rendered(spark):
     df = spark.createDataFrame([(i, _norm(d)) for i, (_, d, _) in enumerate(ALL)], "id int, body string")
-    return {r.id: r.md for r in df.select("id", render_markdown(F.col("body")).alias("md")).collect()}
+    return {r.id: (r.markdown, r.error) for r in render_corpus(df).collect()}
 
 
 @pytest.mark.parametrize("i", range(len(ALL)), ids=[c[0] for c in ALL])
-def test_render_golden(rendered, i):
-    assert rendered[i] == _norm(ALL[i][2])
+def test_render(rendered, i):
+    assert rendered[i] == (_norm(ALL[i][2]), None)
 
 
 def test_render_null_body(spark):
@@ -28,47 +28,37 @@ def test_render_null_body(spark):
     assert df.select(render_markdown(F.col("body")).alias("m")).collect()[0].m is None
 
 
+def test_errors_stop_no_other_page(spark):
+    pages = [(1, "[td]oak[/td]"), (2, "[table][colgroup][col][/colgroup][/table]"), (3, "[url=x][b]y[/b][/url]"),
+             (4, "[quote][table][/table][/quote]"), (5, "[nodtext][td][/nodtext]"), (6, "fine"), (7, None), (8, "[tr](https://example.org/x)")]
+    got = {r.id: (r.markdown, r.error) for r in render_corpus(spark.createDataFrame(pages, "id int, body string")).collect()}
+    assert {k for k, (m, e) in got.items() if e} == {1, 2, 3, 4} and all(got[k][0] is None for k in (1, 2, 3, 4, 7))
+    assert got[5] == ("[td]", None) and got[6] == ("fine", None) and got[7] == (None, None) and got[8][1] is None
+
+
 def test_extract_links(spark):
-    body = ('see [[Kantai Collection#External-links]] and [[cat]]s, {{blue sky|Sky}}, @evazion, '
-            '"ToS":[/terms_of_service] or [Danbooru](https://danbooru.donmai.us)')
-    df = spark.createDataFrame([(7, body)], "id int, body string")
-    got = {(r.kind, r.url, r.label) for r in extract_wiki_links(df).collect()}
-    assert ("wiki", "https://danbooru.donmai.us/wiki_pages/kantai_collection#dtext-external-links",
-            "Kantai Collection") in got
-    assert ("wiki", "https://danbooru.donmai.us/wiki_pages/cat", "cats") in got
-    assert ("search", "https://danbooru.donmai.us/posts?tags=blue sky", "Sky") in got
-    assert ("user", "https://danbooru.donmai.us/users?name=evazion", "@evazion") in got
-    assert ("text_url", "/terms_of_service", "ToS") in got
-    assert ("md_text", "https://danbooru.donmai.us", "Danbooru") in got
+    body = ("old[[Glass Bridge#Builders]]s [[b|c#Sec]], {{Boat (toy)|}} [https://example.org/1](one) [two](/2) "
+            '"@ann":http://example.org/3 "four":[/4] <https://example.org/5> https://example.org/6 ann@quay '
+            "[nodtext][[no]] @no[/nodtext][code]<https://example.org/no>[/code] [url=/7]seven[/url]")
+    df = spark.createDataFrame([(7, body), (8, None), (9, "")], "id int, body string")
+    got = [(r.kind, r.url, r.label) for r in extract_wiki_links(df).orderBy("pos").collect()]
+    assert got == [
+        ("wiki", WIKI + "glass_bridge#dtext-builders", "oldGlass Bridges"), ("wiki", WIKI + "b#dtext-sec", "c"),
+        ("search", SEARCH + "boat (toy)", "Boat"), ("md_url", "https://example.org/1", "one"), ("md_text", "/2", "two"),
+        ("text_url", "http://example.org/3", "@ann"), ("text_url", "/4", "four"),
+        ("angle_url", "https://example.org/5", "https://example.org/5"), ("bare_url", "https://example.org/6", "https://example.org/6"),
+        ("user", USER + "quay", "@quay"), ("tag_url", "/7", "seven")]
 
 
 def test_extract_headings(spark):
-    df = spark.createDataFrame([(1, "h1. Title\ntext\nh3#sec-a. Part A\n")], "id int, body string")
-    got = [(r.pos, r.level, r.anchor, r.text) for r in extract_headings(df).orderBy("pos").collect()]
-    assert got == [(0, 1, None, "Title"), (1, 3, "sec-a", "Part A")]
+    body = "h1. Harbour\ntext\nh3#east-quay. The east quay\n[code]h2. not one[/code]"
+    got = [(r.pos, r.level, r.anchor, r.text) for r in
+           extract_headings(spark.createDataFrame([(1, body)], "id int, body string")).orderBy("pos").collect()]
+    assert got == [(0, 1, None, "Harbour"), (1, 3, "east-quay", "The east quay")]
 
 
 def test_plain_text(spark):
-    body = "h2. Intro\n[b]bold[/b] [[Fate (series)|]] {{blue sky|Sky}} \"ToS\":[/tos]\n* one\n* two"
+    body = 'h2. Harbour\n[b]old[/b] [[Bridge (glass)|]] [[Bridge|that#Sec]] {{red boat|Boats}} "rules":[/help]\n* oak\n* ash'
     df = spark.createDataFrame([(1, body)], "id int, body string")
     got = df.select(plain_text(F.col("body")).alias("p")).collect()[0].p
-    assert got.split() == ["Intro", "bold", "Fate", "Sky", "ToS", "one", "two"]
-
-
-def test_extraction_sql_twins_agree_on_goldens(spark):
-    """The link/heading SQL twins and the Spark extraction agree on every golden markup input."""
-    import duckdb
-    from tagloom.plans.q_wiki import _headings_sql, _links_sql
-    from tools.oracle_check import rows_of
-    docs = [(i, d) for i, (_, d, _) in enumerate(ALL)] + [(100, "h2#sec-b. Part B\ntext h4. Four")]
-    con = duckdb.connect()
-    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    for sql, sdf in ((_links_sql(), extract_wiki_links(df, "doc_id", "text")),
-                     (_headings_sql(), extract_headings(df, "doc_id", "text"))):
-        cur = con.execute(sql)
-        ocols = [c[0] for c in cur.description]
-        orows = cur.fetchall()
-        assert len(orows) > 3
-        assert rows_of(sdf.columns, sdf.collect()) == rows_of(ocols, orows)
+    assert got.split() == ["Harbour", "old", "Bridge", "that", "Boats", "rules", "oak", "ash"]

@@ -1,9 +1,8 @@
 """Scoring files with a tagging model, cached by content hash.
 
-Only content without a cached score for the model is scored: the files are anti-joined against the
-cache, de-duplicated by hash (identical content is scored once), and scored by an iterator pandas
-UDF that loads the model once per task and feeds it Arrow batches. The new cache rows are
-returned for an insert-if-absent append (``state.insert_cache``)."""
+The misses are found on hashes alone; one file stands for each missing hash, and only these files' bytes meet the model,
+an iterator pandas UDF that loads it once per task and feeds it Arrow batches. The new cache rows are written down once
+and read back for both results, so nothing is scored twice."""
 
 from __future__ import annotations
 
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.session import materialize
+
 # make_model() -> predict(list[bytes]) -> 2-d array (rows = files, columns = label index)
 ModelFactory = Callable[[], Callable[[list[bytes]], np.ndarray]]
 
@@ -29,13 +30,14 @@ def _score_udf(make_model: ModelFactory):
     return score
 
 
-def score_files(files: DataFrame, cache: DataFrame, repo: str, make_model: ModelFactory
+def score_files(files: DataFrame, cache: DataFrame, repo: str, make_model: ModelFactory, key: str = "file_id"
                 ) -> tuple[DataFrame, DataFrame]:
-    """``files(hash, content, ...)``, ``cache(hash, repo_name, scores)`` ->
-    ``(files with scores, new cache rows)``."""
+    """``files(<key>, hash, content, ...)``, ``cache(hash, repo_name, scores)`` ->
+    ``(files with scores, new cache rows)``. Files without a hash have no scores (null)."""
     cached = cache.where(F.col("repo_name") == repo).select("hash", "scores")
-    todo = files.select("hash", "content").join(cached.select("hash"), "hash", "left_anti").dropDuplicates(["hash"])
-    fresh = todo.select("hash", _score_udf(make_model)(F.col("content")).alias("scores"))
-    new_rows = fresh.select("hash", F.lit(repo).alias("repo_name"), "scores")
+    missing = (files.select("hash", key).where(F.col("hash").isNotNull())
+               .join(cached.select("hash"), "hash", "left_anti").groupBy("hash").agg(F.min(key).alias(key)))
+    todo = files.select(key, "hash", "content").join(missing, [key, "hash"], "left_semi").dropDuplicates(["hash"])
+    fresh = materialize(todo.select("hash", _score_udf(make_model)(F.col("content")).alias("scores")), "scores")
     scores = cached.unionByName(fresh)
-    return files.drop("content").join(scores, "hash"), new_rows
+    return files.drop("content").join(scores, "hash", "left"), fresh.select("hash", F.lit(repo).alias("repo_name"), "scores")

@@ -160,6 +160,42 @@ def q_labels(spark, d):
     return category_names(X.label_vocab(spark, d))
 
 
+def _length_model():
+    """A deterministic scorer: two labels from the length and the first byte of the content."""
+    import numpy as np
+    return lambda contents: np.array([[len(c) % 97 / 97, (c[0] if c else 0) / 255] for c in contents], dtype=np.float32).reshape(-1, 2)
+
+
+@register("score_files", """
+WITH f AS (SELECT page_id, sha256(html) AS hash, html FROM pages),
+c AS (SELECT DISTINCT hash FROM f WHERE page_id % 3 = 0)
+SELECT page_id AS file_id, round(CASE WHEN c.hash IS NULL THEN octet_length(encode(html)) % 97 / 97.0 ELSE 0.5 END, 4) AS s0,
+       round(CASE WHEN c.hash IS NULL THEN CASE WHEN html = '' THEN 0 ELSE ascii(html) END / 255.0 ELSE 0.25 END, 4) AS s1
+FROM f LEFT JOIN c ON c.hash = f.hash""")
+def q_score_files(spark, d):
+    """Every page scored by a deterministic model; a third of them come from the cache."""
+    from tagloom.operators.scoring import score_files
+    f = table(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.sha2("html", 256).alias("hash"), F.col("html").cast("binary").alias("content"))
+    cache = (f.where(F.col("file_id") % 3 == 0).select("hash").distinct()
+             .select("hash", F.lit("length").alias("repo_name"), F.array(F.lit(0.5), F.lit(0.25)).cast("array<float>").alias("scores")))
+    done, _ = score_files(f, cache, "length", _length_model)
+    return done.select("file_id", *[F.round(F.col("scores")[i].cast("double"), 4).alias(f"s{i}") for i in (0, 1)])
+
+
+@register("typed_settings", with_("settings_log") + """,
+k AS (SELECT dataset, CASE key WHEN 'click' THEN 'general_thresh' WHEN 'view' THEN 'character_thresh' WHEN 'purchase' THEN 'model_repo' ELSE key END AS key,
+             arg_max(value, seq) AS value FROM settings_log GROUP BY ALL)
+SELECT dataset, max(CAST(value AS DOUBLE)) FILTER (key = 'general_thresh') AS general_thresh,
+       max(CAST(value AS DOUBLE)) FILTER (key = 'character_thresh') AS character_thresh, max(value) FILTER (key = 'model_repo') AS model_repo
+FROM k WHERE key IN ('general_thresh', 'character_thresh', 'model_repo') GROUP BY dataset""")
+def q_typed_settings(spark, d):
+    """Saved settings as one typed row per dataset."""
+    key = F.when(F.col("key") == "click", "general_thresh").when(F.col("key") == "view", "character_thresh").when(
+        F.col("key") == "purchase", "model_repo").otherwise(F.col("key"))
+    typed = S.typed_settings(X.settings_log(spark, d).withColumn("key", key))
+    return typed.select("dataset", "general_thresh", "character_thresh", "model_repo")
+
+
 # ---- formatting functions ----------------------------------------------------------------------
 
 @register("fn_human_bytes", with_("cache_log", extra="""

@@ -65,27 +65,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss;
-    never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """Give CPU-heavy per-row work at least ``defaultParallelism * factor`` tasks.
-
-    A large input already arrives in many file splits and is returned as is (no shuffle); only a
-    scan with fewer splits than the cluster has cores (e.g. a single-row-group file) is
-    redistributed round-robin."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism * factor
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - Spark Connect: leave the plan to AQE
-        return df
-    return df.repartition(want) if have < want else df
-
-
 def write_table(df: DataFrame, name: str, sort_by: list[str] | None = None) -> str:
     """Write ``df`` as parquet under the shared checkpoint folder; returns the path."""
     import uuid
@@ -110,16 +89,20 @@ def materialize(df: DataFrame, name: str, sort_by: list[str] | None = None) -> D
 _TABLES: dict[tuple, str] = {}
 
 
-def _input_signature(paths: list[str]) -> tuple:
-    import os
+def _input_signature(spark: SparkSession, paths: list[str]) -> tuple:
+    """Path, length and time of every file below the paths, as their own file system lists them: a file that is added,
+    replaced or removed anywhere in an input gives another signature, on any store."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     sig = []
     for p in paths:
-        try:
-            st = os.stat(p)
-            sig.append((p, st.st_size, st.st_mtime_ns))
-        except OSError:           # not a local path (object store): key on the path alone
-            sig.append((p, None, None))
-    return tuple(sig)
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        if fs.exists(at):
+            found = fs.listFiles(at, True)
+            while found.hasNext():
+                f = found.next()
+                sig.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(sig))
 
 
 def materialize_once(spark: SparkSession, name: str, inputs: list[str], build, sort_by: list[str] | None = None
@@ -133,7 +116,7 @@ def materialize_once(spark: SparkSession, name: str, inputs: list[str], build, s
         app = spark.sparkContext.applicationId
     except Exception:  # noqa: BLE001 - Spark Connect
         app = spark.conf.get("spark.app.id", "connect")
-    key = (app, name, _input_signature(inputs), tuple(sort_by or ()))
+    key = (app, name, _input_signature(spark, inputs), tuple(sort_by or ()))
     path = _TABLES.get(key)
     if path is not None:
         try:

@@ -21,13 +21,16 @@ def category_names(labels: DataFrame) -> DataFrame:
 
 
 def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header (``name``, ``category`` at least). The score index is the row position in
-    the file: ``zipWithIndex`` numbers rows in partition (= file offset) order, so the index is
-    stable however the file is split (never a ``monotonically_increasing_id``, which has gaps)."""
-    df = spark.read.option("header", "true").csv(path).select(
-        "name", F.col("category").cast("int").alias("category"))
-    indexed = df.rdd.zipWithIndex().map(lambda r: (r[1], r[0]["name"], r[0]["category"]))
-    return spark.createDataFrame(indexed, "idx long, name string, category int")
+    """CSV with a header (``name``, ``category`` at least). The score index is the row's place in the file: the file is
+    read as one text (a vocabulary is small), its lines are numbered as they stand, and every line is parsed by the
+    header. Blank lines are no rows."""
+    lines = (spark.read.text(path, wholetext=True)
+             .select(F.filter(F.split("value", "\r?\n", -1), lambda x: F.trim(x) != "").alias("lines")))
+    header = next(iter(lines.select(F.col("lines")[0]).first()), "") or ""
+    schema = ", ".join(f"`{c.strip().strip(chr(34))}` string" for c in header.split(","))
+    rows = lines.select(F.posexplode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("idx", "line"))
+    row = F.from_csv("line", schema)
+    return rows.select(F.col("idx").cast("long").alias("idx"), row["name"].alias("name"), row["category"].cast("int").alias("category"))
 
 
 def read_label_json(spark: SparkSession, path: str) -> DataFrame:

@@ -181,3 +181,14 @@ def test_image_signatures(spark):
     found = {r.path.rpartition("/")[2] for r in scan_image_folder(spark, d).collect()}
     left = {r.path.rpartition("/")[2] for r in skipped_files(spark, d).collect()}
     assert found == set(good) and left == set(bad)
+
+
+def test_written_tables_follow_their_inputs(spark):
+    from tagloom.session import materialize_once
+    d = tempfile.mkdtemp(prefix="tagloom-once-")
+    src = os.path.join(d, "t")
+    spark.range(5).selectExpr("id", "id % 2 AS part").write.partitionBy("part").parquet(src)
+    read = lambda: materialize_once(spark, "once", [src], lambda: spark.read.parquet(src).select("id"))
+    assert read().count() == 5 and read().count() == 5
+    spark.range(7).selectExpr("id", "id % 2 AS part").write.mode("append").partitionBy("part").parquet(src)
+    assert read().count() == 12

@@ -17,12 +17,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import blob, map_batches
+from tagloom.llm.common import blob, map_batches, worker_state
 
 MAX_VOCABULARY_BYTES = 64 << 20      # a vocabulary file is broadcast; a larger one is refused
-CACHE_ENTRIES = 400_000              # remembered pretokens in a Python worker
+CACHE_ENTRIES = 300_000              # remembered pretokens in a Python worker
 LONG_TEXT = 1 << 20                  # longer texts are matched piece by piece instead of in one list
-_STATE: dict = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -117,11 +116,9 @@ class Pieces(dict):
 
 def _encoder(shared, pattern: str) -> tuple[Pieces, regex.Pattern]:
     """This worker's table for a vocabulary, kept between tasks."""
-    key = ("encode", shared.value[0], pattern)
-    if key not in _STATE:
-        _STATE.clear()
-        _STATE[key] = (Pieces(dict(zip(shared.value[1], shared.value[2], strict=True))), regex.compile(pattern))
-    return _STATE[key]
+    path, tokens, ids = shared.value
+    return worker_state("bpe", path, "encode " + pattern,
+                        lambda: (Pieces(dict(zip(tokens, ids, strict=True))), regex.compile(pattern)))
 
 
 def _share(df: DataFrame, ranks_path: str):
@@ -159,11 +156,8 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
     names = [c for c in df.columns if c != out_col]
 
     def run(batch: pa.RecordBatch):
-        key = ("decode", shared.value[0])
-        if key not in _STATE:
-            _STATE.clear()
-            _STATE[key] = dict(zip(shared.value[2], shared.value[1], strict=True))
-        token = _STATE[key].__getitem__
+        path, tokens, ranks = shared.value
+        token = worker_state("bpe", path, "decode", lambda: dict(zip(ranks, tokens, strict=True))).__getitem__
         at = batch.schema.get_field_index(ids_col)
         out = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in blob(batch.column(at))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])

@@ -29,15 +29,32 @@ def blob(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.to_pylist()]
 
 
+SLICE_ROWS = 1024      # rows that a task holds as Python objects at a time
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch; a batch holds a bounded number of rows and bytes."""
+    """``fn`` over every Arrow batch, in slices; a batch holds a bounded number of rows and bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield from fn(batch.slice(at, SLICE_ROWS))
     return df.mapInArrow(run, schema)
 
 
+_WORKER: dict = {}
+
+
+def worker_state(operator: str, key, part: str, build: Callable):
+    """What an operator keeps in a Python worker between tasks, ``part`` by ``part``, made by ``build`` when first asked for. The worker
+    forgets it when another operator, or the same one with another ``key``, asks for its own."""
+    if _WORKER.get("owner") != (operator, key):
+        _WORKER.clear()
+        _WORKER["owner"] = (operator, key)
+    if part not in _WORKER:
+        _WORKER[part] = build()
+    return _WORKER[part]
+
+
 def fold(col: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id's decimal text, modulo: true for held-out rows; a null id is in no fold."""
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(modulus)) == remainder,

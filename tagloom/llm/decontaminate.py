@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import blob, map_batches, spans, utf8
+from tagloom.llm.common import blob, map_batches, spans, utf8, worker_state
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20      # benchmark text that one automaton (and one broadcast) holds at most
@@ -115,11 +115,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batch: pa.RecordBatch, shared=shared, first=first, last=later is None):
             key, items_of = shared.value
-            if _AUTOMATA.get("key") != (key, size):
-                _AUTOMATA.update(key=(key, size), found=automaton(items_of, size))
+            found = worker_state("decontaminate", (key, size), "automaton", lambda: automaton(items_of, size))
             n, hits, items, places = [], [], [], []
             for k, text in enumerate(blob(batch.column(at))):
-                count, hit, who = scan(text, _AUTOMATA["found"])
+                count, hit, who = scan(text, found)
                 if not first:
                     hit = np.union1d(hit, np.array(batch.column(at + 2)[k].as_py(), np.int64)).astype(np.int64)
                     who = sorted({*who, *batch.column(at + 3)[k].as_py()})
@@ -141,6 +140,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         out = map_batches(out, run, schema)
         block, first = later, False
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *tail, "spans")
-
-
-_AUTOMATA: dict = {}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import blob, map_batches, utf8
+from tagloom.llm.common import blob, map_batches, utf8, worker_state
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 PLAIN, AIMED, NEGATED, REPORTED = range(4)      # kinds of a match
@@ -33,7 +33,7 @@ REACH = 3                                       # tokens a target or a negation
 MIN_TEXTS = 3                                   # toxic learning texts that a lexicon entry occurs in at least
 MIN_LOG_ODDS = 2.5
 MAX_ENTRIES = 5_000                             # lexicon entries with the highest weight; it is broadcast
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 N_FEATURES = 9
 
 #: Fixed word lists.
@@ -197,9 +197,6 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         texts.unpersist()
 
 
-_STATE: dict = {}
-
-
 def score(docs: DataFrame, model: tuple[dict, np.ndarray], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the toxicity score; all columns pass through (one of the score's name is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *model))
@@ -207,9 +204,8 @@ def score(docs: DataFrame, model: tuple[dict, np.ndarray], text_col: str = "text
 
     def run(batch: pa.RecordBatch):
         key, lexicon, weights = shared.value
-        if _STATE.get("key") != key:
-            _STATE.update(key=key, symbols=Symbols(lexicon))
-        x = np.array([features(t, _STATE["symbols"]) for t in blob(batch.column(batch.num_columns - 1))])
+        symbols = worker_state("toxicity", key, "symbols", lambda: Symbols(lexicon))
+        x = np.array([features(t, symbols) for t in blob(batch.column(batch.num_columns - 1))])
         p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], score_col])
 

@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import blob, kept_table, utf8
+from tagloom.llm.common import blob, kept_table, utf8, worker_state
 
 HEAD, HEAD_COUNT, GROUP = 4096, 5, 128      # words predicted one by one; their least count; words in a class
 DICTIONARY = 1 << 18                        # words whose counts are broadcast, at most
 STATE, INPUT = 32, 24                       # width of the recurrent state and of the input vectors
 SHARE, LEAST_BYTES = 1 / 12, 384            # of each training text; but at least so many bytes
-WINDOW, LANES, RATE, ROUNDS = 16, 64, 0.08, 2
+WINDOW, LANES, RATE, ROUNDS = 16, 128, 0.08, 2
 COUNTER_KEYS = 300_000                      # distinct tokens a task holds before it passes their counts on
 BUFFER_TOKENS, BUFFER_TEXTS = 3_000_000, 8192
 LN10 = float(np.log(10.0))
@@ -156,28 +156,31 @@ def step(h: np.ndarray, into: np.ndarray, again: np.ndarray) -> tuple[np.ndarray
     return new + keep * (h - new), (h, keep, look, old, new)
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and the log of the normaliser."""
-    top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, (np.log(s) + top)[:, 0]
+def _log_shares(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log share of the picked column in each row's softmax, the exponentials and their sums. ``x`` is overwritten."""
+    picked = x[np.arange(len(x)), pick]
+    if len(x) and x.max() > 60:                # far from usual; the plain form would overflow
+        top = x.max(axis=1)
+        picked -= top
+        x -= top[:, None]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], np.float32)
+    return picked - np.log(total), x, total
 
 
 def log_probability(h: np.ndarray, unit: np.ndarray, w: dict, head: int) -> np.ndarray:
     """Natural log probability of each unit after each state."""
     group = np.where(unit < head, unit // GROUP, unit - head + len(w["word"]))
-    x = h @ w["class"] + w["class_bias"]
-    top = x.max(axis=1)
-    out = x[np.arange(len(x)), group] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
-    order = np.argsort(group, kind="stable")
+    one = np.ones((len(h), 1), np.float32)
+    h = np.concatenate((h, one), axis=1)       # the last column carries the biases
+    out = _log_shares(h @ np.concatenate((w["class"], w["class_bias"][None])), group)[0]
+    order = np.argsort(group.astype(np.int16), kind="stable")
     cut = np.searchsorted(group[order], np.arange(len(w["word"]) + 1))
     for g in range(len(w["word"])):
         at = order[cut[g]:cut[g + 1]]
         if len(at):
-            x = h[at] @ w["word"][g] + w["word_bias"][g]
-            top = x.max(axis=1)
-            out[at] += x[np.arange(len(at)), unit[at] - g * GROUP] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+            x = h[at] @ np.concatenate((w["word"][g], w["word_bias"][g][None]))
+            out[at] += _log_shares(x, unit[at] - g * GROUP)[0]
     return out
 
 
@@ -203,6 +206,14 @@ def train(w: dict, stretches: list[np.ndarray], head: int, rate: float = RATE) -
             ids[k, at:at + len(s)], fresh[k, at], live[k, at:at + len(s)] = s, True, True
             at += len(s)
     h, groups = np.zeros((lanes, STATE), np.float32), len(w["word"])
+
+    def descend(name: str, gradient: np.ndarray, at=slice(None)) -> None:
+        norm = float(np.sqrt((gradient * gradient).sum()))
+        if norm > 5:
+            gradient = gradient * np.float32(5 / norm)
+        square[name][at] += gradient * gradient
+        w[name][at] -= np.float32(rate) * gradient / np.sqrt(square[name][at])
+
     for begin in range(0, length, WINDOW):
         span = range(begin, min(begin + WINDOW, length))
         before, kept, into_all = [], [], w["vector"] @ w["inward"] + w["bias"]
@@ -213,46 +224,49 @@ def train(w: dict, stretches: list[np.ndarray], head: int, rate: float = RATE) -
             kept.append(back)
         flat, unit = np.concatenate(before), ids[:, span.start:span.stop].T.ravel()
         on = live[:, span.start:span.stop].T.ravel()
-        grad = {k: np.zeros_like(v) for k, v in w.items()}
         group = np.where(unit < head, unit // GROUP, unit - head + groups)
-        p, _ = _softmax(flat @ w["class"] + w["class_bias"])
-        p[np.arange(len(p)), group] -= 1
-        p *= on[:, None] / np.float32(lanes)
-        grad["class"], grad["class_bias"] = flat.T @ p, p.sum(axis=0)
-        dh = p @ w["class"].T
-        for g in np.unique(group[on & (unit < head)]):
-            at = np.flatnonzero(on & (group == g) & (unit < head))
-            p, _ = _softmax(flat[at] @ w["word"][g] + w["word_bias"][g])
-            p[np.arange(len(at)), unit[at] - g * GROUP] -= 1
-            p /= np.float32(lanes)
-            grad["word"][g], grad["word_bias"][g] = flat[at].T @ p, p.sum(axis=0)
-            dh[at] += p @ w["word"][g].T
+        _, p, total = _log_shares(flat @ w["class"] + w["class_bias"], group)
+        p *= (on / (total * lanes))[:, None].astype(np.float32)
+        p[np.arange(len(p)), group] -= on / np.float32(lanes)
+        dh, d_class, d_class_bias = p @ w["class"].T, flat.T @ p, p.sum(axis=0)
+        at_head = np.flatnonzero(on & (unit < head))
+        at_head = at_head[np.argsort(group[at_head], kind="stable")]
+        for at in np.split(at_head, np.flatnonzero(np.diff(group[at_head])) + 1):
+            if len(at):
+                g = int(group[at[0]])
+                some = flat[at]
+                _, p, total = _log_shares(some @ w["word"][g] + w["word_bias"][g], unit[at] - g * GROUP)
+                p /= (total * lanes)[:, None]
+                p[np.arange(len(at)), unit[at] - g * GROUP] -= np.float32(1 / lanes)
+                dh[at] += p @ w["word"][g].T
+                descend("word", some.T @ p, g)
+                descend("word_bias", p.sum(axis=0), g)
+        descend("class", d_class)
+        descend("class_bias", d_class_bias)
         dh = dh.reshape(len(span), lanes, STATE)
         carry = np.zeros((lanes, STATE), np.float32)
-        d_into = np.zeros((len(span), lanes, 3 * STATE), np.float32)
+        d_into = np.empty((len(span), lanes, 3 * STATE), np.float32)
+        d_again = np.zeros_like(w["again"])
         for j in range(len(span) - 1, -1, -1):
             prev, keep, look, old, new = kept[j]
             d_new = carry * (1 - keep) * (1 - new * new)
-            d_keep = carry * (prev - new) * keep * (1 - keep)
-            d_look = d_new * old * look * (1 - look)
-            d_into[j] = np.concatenate((d_keep, d_look, d_new), axis=1)
-            d_back = np.concatenate((d_keep, d_look, d_new * look), axis=1)
-            grad["again"] += prev.T @ d_back
+            d_into[j, :, :STATE] = carry * (prev - new) * keep * (1 - keep)
+            d_into[j, :, STATE:2 * STATE] = d_new * old * look * (1 - look)
+            d_into[j, :, 2 * STATE:] = d_new
+            d_back = d_into[j].copy()
+            d_back[:, 2 * STATE:] *= look
+            d_again += prev.T @ d_back
             carry = carry * keep + d_back @ w["again"].T + dh[j]
-            carry = np.where(fresh[:, span.start + j, None], np.float32(0), carry)
+            carry[fresh[:, span.start + j]] = 0
         d_into = d_into.reshape(-1, 3 * STATE)
-        grad["bias"] = d_into.sum(axis=0)
-        seen, where = np.unique(unit, return_inverse=True)
-        per_unit = np.zeros((len(seen), 3 * STATE), np.float32)
-        np.add.at(per_unit, where, d_into)
-        grad["inward"] = w["vector"][seen].T @ per_unit
-        grad["vector"][seen] = per_unit @ w["inward"].T
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        scale = np.float32(min(1.0, 5.0 / (norm + 1e-6)))
-        for k, g in grad.items():
-            g *= scale
-            square[k] += g * g
-            w[k] -= np.float32(rate) * g / np.sqrt(square[k])
+        order = np.argsort(unit, kind="stable")
+        first = np.concatenate(([0], np.flatnonzero(np.diff(unit[order])) + 1))
+        seen, per_unit = unit[order][first], np.add.reduceat(d_into[order], first, axis=0)
+        d_inward, d_vector = w["vector"][seen].T @ per_unit, per_unit @ w["inward"].T
+        descend("bias", d_into.sum(axis=0))
+        descend("again", d_again)
+        descend("inward", d_inward)
+        descend("vector", d_vector, seen)
     return int(load.sum())
 
 
@@ -339,15 +353,9 @@ def fit(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict:
 
 # ---- scoring ---------------------------------------------------------------------------------------------------
 
-_STATE: dict = {}
-
-
 def _worker(shared) -> tuple[Vocabulary, dict]:
     key, vocabulary = shared.value
-    if _STATE.get("key") != key:
-        _STATE.clear()
-        _STATE.update(key=key, index=vocabulary.index())
-    return vocabulary, _STATE["index"]
+    return vocabulary, worker_state("lm", key, "index", vocabulary.index)
 
 
 def score_units(texts: list[np.ndarray], w: dict, head: int) -> np.ndarray:
@@ -362,7 +370,7 @@ def score_units(texts: list[np.ndarray], w: dict, head: int) -> np.ndarray:
     t, longest = 0, int(size.max())
     while t < longest:
         active = int(np.searchsorted(-size, -t, side="left"))       # texts longer than t
-        window = max(1, min(64, 32768 // active))
+        window = max(1, min(64, 8192 // active))
         states, units, owner = [], [], []
         for _ in range(window):
             active = int(np.searchsorted(-size, -t, side="left"))

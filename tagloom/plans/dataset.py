@@ -8,7 +8,9 @@ a scalar file count (a one-row scalar subquery, never a collect)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import strip_rating_prefix
@@ -64,8 +66,13 @@ def result_scores(pred: DataFrame, st: TagSettings = TagSettings()) -> DataFrame
         out = lists.select("file_id", F.posexplode(T.result_list(F.col("tags"), st)).alias("pos", "e")) \
             .select("file_id", F.col("e.tag").alias("tag"), F.col("e.score").alias("score"))
     else:
-        # without mapping rules the result list is the kept rows minus banned tags: no per-file list
-        out = T.ban_tags(kept_tags(pred, st), st.ban_tags).select("file_id", "tag", "score")
+        # without mapping rules the result list is the kept rows minus banned tags: no per-file list, and the
+        # categories of a file's tag are gathered beside it in one shuffle, not by joining the predictions again
+        p = T.prepare_predictions(pred, st.replace_underscores).where(F.col("category") != RATING)
+        p = p.withColumn("_in", F.collect_set("category").over(Window.partitionBy("file_id", "tag")))
+        kept = T.ban_tags(kept_tags(p, replace(st, replace_underscores=False)), st.ban_tags)
+        return (kept.select("file_id", F.explode("_in").alias("category"), "tag", "score")
+                .groupBy("file_id", "category", "tag").agg(F.min("score").alias("score")))
     # the vocabulary is the whole prediction table: no distinct (a duplicate vocabulary row only
     # repeats a result row, which the min below absorbs), so it is shuffled once, for the join
     vocab = (T.prepare_predictions(pred, st.replace_underscores)

@@ -90,10 +90,10 @@ def with_(*names: str, extra: str = "") -> str:
 
 # Threshold -> trim pipeline over the fixture predictions, shared by several oracles.
 def kept_ctes(general: float = 0.35, character: float = 0.9) -> str:
-    return f"""p AS (SELECT file_id, category, {rus('tag')} AS tag, score, tag AS ord FROM pred),
-th AS (SELECT * FROM p WHERE (category = 'general' AND score >= {general})
+    return f"""p AS MATERIALIZED (SELECT file_id, category, {rus('tag')} AS tag, score, tag AS ord FROM pred),
+th AS MATERIALIZED (SELECT * FROM p WHERE (category = 'general' AND score >= {general})
                           OR (category = 'character' AND score >= {character})),
-g AS (SELECT *, regexp_replace(trim(tag), '\\s+', ' ', 'g') AS k FROM th WHERE category = 'general'),
+g AS MATERIALIZED (SELECT *, regexp_replace(trim(tag), '\\s+', ' ', 'g') AS k FROM th WHERE category = 'general'),
 gt AS (SELECT a.file_id, a.category, a.tag, a.score, a.ord FROM g a WHERE NOT EXISTS (
         SELECT 1 FROM g b WHERE b.file_id = a.file_id AND b.tag <> a.tag
           AND (a.k = '' OR contains(' ' || b.k || ' ', ' ' || a.k || ' '))

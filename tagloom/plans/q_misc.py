@@ -125,6 +125,18 @@ def q_merge_captions_whitelist(spark, d):
     return M.merge_captions(b, _whitelist(spark, d)).select("file_id", "merged")
 
 
+@register("tag_dataset_captions", BASE_SQL + merge_sql(MERGE_SRC).replace(
+    "\nSELECT l.file_id, coalesce(", ",\nmerged AS (SELECT l.file_id, coalesce(") + """)
+SELECT b.file_id, auto AS caption, merged,
+  CASE WHEN refresh OR side_only THEN auto END AS store_previous, CASE WHEN refresh OR side_only THEN side END AS store_new
+FROM b JOIN merged m ON m.file_id = b.file_id""")
+def q_tag_dataset_captions(spark, d):
+    """The tagging job's captions: the model's, the one merged with human edits, and the edit rows to store."""
+    from tagloom.plans.q_dataset import _pred
+    caps, _ = D.tag_dataset(_pred(spark, d), TagSettings(), sidecars=X.captions(spark, d), edits=X.file_edits(spark, d))
+    return caps.select("file_id", "caption", "merged", "store_previous", "store_new")
+
+
 # ---- caption sinks -----------------------------------------------------------------------------
 
 @register("write_captions", with_("pred", "captions", extra=caption_ctes()) + """

@@ -35,6 +35,7 @@ MIN_LOG_ODDS = 2.5
 MAX_ENTRIES = 5_000                             # lexicon entries with the highest weight; it is broadcast
 CACHE_ENTRIES = 150_000
 N_FEATURES = 9
+COUNTER_KEYS = 200_000                          # keys that a learning task holds before it passes their counts on
 
 #: Fixed word lists.
 TARGETS = "you your yours yourself u he she they them his her their tu te toi vous votre vos il elle ils du dich dir ihr euch dein deine sie usted ustedes ti vosotros ellos ellas"
@@ -138,14 +139,20 @@ def learn_lexicon(texts: DataFrame) -> dict[bytes, float]:
     """Entries and weights (log odds) from ``text, label`` rows: text counts per key are summed by Spark, and only
     keys of enough toxic texts, at most ``MAX_ENTRIES``, come to the driver."""
     def run(batches):
+        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+        def out():
+            keys = list(seen[1].keys() | seen[0].keys())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([seen[1][k] for k in keys], pa.int64()),
+                                               pa.array([seen[0][k] for k in keys], pa.int64())], ["k", "pos", "neg"])
         for batch in batches:
-            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, label in zip(blob(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words = {w.strip(_EDGE) for w in text.lower().split()} - {b""}
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = {w.strip(_EDGE) for w in (text.as_py() or b"").lower().split()} - {b""}
                 seen[label].update({k for w in words for k in beginnings(w)})
-            keys = list(seen[1].keys() | seen[0].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([seen[1][k] for k in keys], pa.int64()),
-                                              pa.array([seen[0][k] for k in keys], pa.int64())], ["k", "pos", "neg"])
+                if len(seen[0]) + len(seen[1]) > COUNTER_KEYS:
+                    yield out()
+                    seen = {0: Counter(), 1: Counter()}
+        yield out()
 
     n = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = texts.mapInArrow(run, "k binary, pos long, neg long").groupBy("k").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))

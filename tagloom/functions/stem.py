@@ -1,17 +1,13 @@
-"""English stemming (the Snowball "english" / Porter2 algorithm, as published) for the search index.
-
-Applied to the *distinct term dictionary* only (an Arrow-batched pandas UDF over distinct terms,
-joined back), never per token occurrence; query terms are stemmed on the driver with the same
-function (a query is a handful of words)."""
+"""English stemming (the Snowball "english" / Porter2 algorithm, as published) for the search index, as a chain of
+projections: every step is a regular expression over the word's ending and a comparison with its regions R1 and R2, so
+the work stays in the JVM. It runs on the *distinct term dictionary* (joined back), never per token occurrence."""
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # --- fixed values of the algorithm ---------------------------------------------------------------
-VOWELS = "aeiouy"
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 LI_ENDINGS = "cdeghkmnrt"
 R1_PREFIXES = ("gener", "commun", "arsen")
@@ -37,115 +33,73 @@ STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment
 # ------------------------------------------------------------------------------------------------
 
 
-def _v(c: str) -> bool:
-    return c in VOWELS
-
-
-def _regions(w: str) -> tuple[int, int]:
-    def after_vc(start: int) -> int:
-        for i in range(start + 1, len(w)):
-            if not _v(w[i]) and _v(w[i - 1]):
-                return i + 1
-        return len(w)
-    r1 = next((len(p) for p in R1_PREFIXES if w.startswith(p)), None)
-    if r1 is None:
-        r1 = after_vc(0)
-    return r1, after_vc(r1)
-
-
-def _short_syllable_end(w: str) -> bool:
-    if len(w) == 2:
-        return _v(w[0]) and not _v(w[1])
-    return len(w) >= 3 and not _v(w[-3]) and _v(w[-2]) and not _v(w[-1]) and w[-1] not in "wxY"
-
-
-def _longest(w: str, suffixes) -> str | None:
-    best = None
-    for s in suffixes:
-        if w.endswith(s) and (best is None or len(s) > len(best)):
-            best = s
-    return best
-
-
-def stem(word: str | None) -> str | None:
-    if word is None:
-        return None
-    if word in EXCEPTIONS:
-        return EXCEPTIONS[word]
-    if len(word) < 3:
-        return word
-    w = word[1:] if word.startswith("'") else word
-    w = "".join("Y" if c == "y" and (i == 0 or _v(w[i - 1])) else c for i, c in enumerate(w))
-    r1, r2 = _regions(w)
-
-    # step 0: possessives
-    s = _longest(w, ("'s'", "'s", "'"))
-    if s:
-        w = w[: -len(s)]
-    # step 1a: plurals
-    s = _longest(w, ("sses", "ied", "ies", "us", "ss", "s"))
-    if s == "sses":
-        w = w[:-2]
-    elif s in ("ied", "ies"):
-        w = w[:-2] if len(w) > 4 else w[:-1]
-    elif s == "s" and any(_v(c) for c in w[:-2]):
-        w = w[:-1]
-    if w in AFTER_STEP1A:
-        return w.replace("Y", "y")
-    # step 1b
-    s = _longest(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
-    if s in ("eed", "eedly"):
-        if len(w) - len(s) >= r1:
-            w = w[: -len(s)] + "ee"
-    elif s:
-        base = w[: -len(s)]
-        if any(_v(c) for c in base):
-            w = base
-            if w.endswith(("at", "bl", "iz")):
-                w += "e"
-            elif w.endswith(DOUBLES):
-                w = w[:-1]
-            elif r1 >= len(w) and _short_syllable_end(w):
-                w += "e"
-    # step 1c
-    if len(w) > 2 and w[-1] in "yY" and not _v(w[-2]):
-        w = w[:-1] + "i"
-    # step 2
-    s = _longest(w, STEP2)
-    if s and len(w) - len(s) >= r1:
-        if s == "ogi":
-            if w[-4:-3] == "l":
-                w = w[:-3] + "og"
-        elif s == "li":
-            if w[-3:-2] and w[-3] in LI_ENDINGS:
-                w = w[:-2]
-        else:
-            w = w[: -len(s)] + STEP2[s]
-    # step 3
-    s = _longest(w, STEP3)
-    if s and len(w) - len(s) >= r1:
-        if s == "ative":
-            if len(w) - len(s) >= r2:
-                w = w[: -len(s)]
-        else:
-            w = w[: -len(s)] + STEP3[s]
-    # step 4
-    s = _longest(w, STEP4)
-    if s and len(w) - len(s) >= r2:
-        if s == "ion":
-            if w[-4:-3] in ("s", "t"):
-                w = w[:-3]
-        else:
-            w = w[: -len(s)]
-    # step 5
-    if w.endswith("e"):
-        if len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _short_syllable_end(w[:-1])):
-            w = w[:-1]
-    elif w.endswith("l") and len(w) - 1 >= r2 and w[-2:-1] == "l":
-        w = w[:-1]
-    return w.replace("Y", "y")
-
-
-@F.pandas_udf(T.StringType())
-def stem_udf(terms: pd.Series) -> pd.Series:
-    return terms.map(stem)
+_VC = "^.*?[aeiouy][^aeiouy]"                  # up to the first consonant behind a vowel
+_SHORT_END = "(^[aeiouy][^aeiouy]$)|([^aeiouy][aeiouy][^aeiouywxY]$)"
+
+
+def _ending(w: Column, endings) -> Column:
+    """The longest of the endings that the word has; empty if none."""
+    longest_first = sorted(endings, key=len, reverse=True)
+    return F.regexp_extract(w, f"({'|'.join(longest_first)})$", 1)
+
+
+def _cut(w: Column, n) -> Column:
+    """The word without its last ``n`` characters."""
+    return F.substring(w, F.lit(1), F.length(w) - n)
+
+
+def _table(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def stem_terms(terms: DataFrame, term_col: str = "term", out_col: str = "stem") -> DataFrame:
+    """``terms`` with the stem of every term (lower-case words; a null stays null)."""
+    w, e = F.col("_w"), F.col("_e")
+    stem_length = F.length(w) - F.length(e)             # where the ending begins
+    in_r1, in_r2 = (e != "") & (stem_length >= F.col("_r1")), (e != "") & (stem_length >= F.col("_r2"))
+    d = terms.withColumn("_w", F.regexp_replace(F.regexp_replace(F.col(term_col), "^'", ""), "^y|(?<=[aeiouy])y", "Y"))
+    prefix = F.length(F.regexp_extract(w, f"^({'|'.join(R1_PREFIXES)})", 0))
+    first = F.length(F.regexp_extract(w, _VC, 0))
+    d = d.withColumn("_r1", F.when(prefix > 0, prefix).when(first > 0, first).otherwise(F.length(w)))
+    second = F.length(F.regexp_extract(F.substring(w, F.col("_r1") + 1, F.length(w)), _VC, 0))
+    d = d.withColumn("_r2", F.when(second > 0, F.col("_r1") + second).otherwise(F.length(w)))
+
+    def step(ending: Column | None, rule: Column) -> None:
+        nonlocal d
+        if ending is not None:
+            d = d.withColumn("_e", ending)
+        d = d.withColumn("_w", rule)
+
+    # possessives, plurals
+    step(_ending(w, ("'s'", "'s", "'")), _cut(w, F.length(e)))
+    step(_ending(w, ("sses", "ied", "ies", "us", "ss", "s")),
+         F.when(e == "sses", _cut(w, 2))
+         .when(e.isin("ied", "ies"), F.when(F.length(w) > 4, _cut(w, 2)).otherwise(_cut(w, 1)))
+         .when((e == "s") & _cut(w, 2).rlike("[aeiouy]"), _cut(w, 1)).otherwise(w))
+    d = d.withColumn("_done", F.when(w.isin(list(AFTER_STEP1A)), w))
+    # past and -ing forms
+    d = d.withColumn("_e", _ending(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))).withColumn("_b", _cut(w, F.length(e)))
+    b = F.col("_b")
+    mended = (F.when(b.rlike("(at|bl|iz)$"), F.concat(b, F.lit("e"))).when(b.rlike(f"({'|'.join(DOUBLES)})$"), _cut(b, 1))
+              .when((F.col("_r1") >= F.length(b)) & b.rlike(_SHORT_END), F.concat(b, F.lit("e"))).otherwise(b))
+    step(None, F.when(e.isin("eed", "eedly"), F.when(in_r1, F.concat(b, F.lit("ee"))).otherwise(w))
+         .when((e != "") & b.rlike("[aeiouy]"), mended).otherwise(w))
+    # a final y behind a consonant
+    step(None, F.when(w.rlike("^..*[^aeiouy][yY]$"), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w))
+    # derivational endings
+    step(_ending(w, STEP2), F.when(~in_r1, w)
+         .when(e == "ogi", F.when(w.rlike("logi$"), _cut(w, 1)).otherwise(w))
+         .when(e == "li", F.when(w.rlike(f"[{LI_ENDINGS}]li$"), _cut(w, 2)).otherwise(w))
+         .otherwise(F.concat(_cut(w, F.length(e)), _table(STEP2)[e])))
+    step(_ending(w, STEP3), F.when(~in_r1 | ((e == "ative") & ~in_r2), w)
+         .otherwise(F.concat(_cut(w, F.length(e)), _table(STEP3)[e])))
+    step(_ending(w, STEP4), F.when(~in_r2 | ((e == "ion") & ~w.rlike("[st]ion$")), w).otherwise(_cut(w, F.length(e))))
+    # a final e or l
+    last = F.length(w) - 1
+    silent = (last >= F.col("_r2")) | ((last >= F.col("_r1")) & ~_cut(w, 1).rlike(_SHORT_END))
+    step(None, F.when(w.endswith("e"), F.when(silent, _cut(w, 1)).otherwise(w))
+         .when(w.endswith("ll") & (last >= F.col("_r2")), _cut(w, 1)).otherwise(w))
+    word = F.col(term_col)
+    out = (F.when(word.isin(list(EXCEPTIONS)), _table(EXCEPTIONS)[word]).when(F.length(word) < 3, word)
+           .otherwise(F.replace(F.coalesce("_done", "_w"), F.lit("Y"), F.lit("y"))))
+    return d.withColumn(out_col, out).drop("_w", "_e", "_b", "_r1", "_r2", "_done")

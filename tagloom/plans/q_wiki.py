@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagloom.functions.jaro import jaro_winkler_udf
+from tagloom.functions.stem import stem_terms
 from tagloom.functions.text import SKIPPED_NAMESPACES, normalise_text, query_terms
 from tagloom.operators.markup import extract_headings, extract_wiki_links, plain_text
 from tagloom.operators.render import render_corpus
@@ -154,10 +155,10 @@ def q_count_pages(spark, d):
 
 
 @register("lookup_title", _w(WIKI_CTES) + f"""
-SELECT id, title, post_count FROM w WHERE title = '{LOOKUP}' ORDER BY id LIMIT 1""")
+SELECT w.title, p.body AS markdown FROM w JOIN wiki_raw p ON p.id = w.id WHERE w.title = '{LOOKUP}' ORDER BY w.id LIMIT 1""")
 def q_lookup(spark, d):
-    w = _wiki(spark, d)
-    return w.where(F.col("title") == LOOKUP).orderBy("id").limit(1).select("id", "title", "post_count")
+    """Markdown of one exact title (its page is prose without markup, so it renders as itself)."""
+    return W.lookup_title(_wiki(spark, d), LOOKUP)
 
 
 @register("fn_normalise_text", _w() + """
@@ -402,11 +403,9 @@ def q_batch_search(spark, d):
 
 @register("stem_terms")
 def q_stem_terms(spark, d):
-    """The index dictionary with English stems (Snowball algorithm on distinct terms only; checked
-    against published vocabulary pairs in tests, no SQL engine here has a stemmer offline)."""
-    from tagloom.functions.stem import stem_udf
+    """The index dictionary with English stems (checked against published vocabulary pairs in tests)."""
     _, p = _search_tables(spark, d)
-    return p.select("term").distinct().select("term", stem_udf(F.col("term")).alias("stem"))
+    return stem_terms(p.select("term").distinct())
 
 
 @register("query_wiki_stemmed")

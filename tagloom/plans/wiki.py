@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.jaro import jaro_winkler_udf
+from tagloom.functions.stem import stem_terms
 from tagloom.functions.text import SKIPPED_NAMESPACES, TOKEN_SEPARATOR, normalise_text
 from tagloom.operators.markup import plain_text
+from tagloom.session import materialize
 
 TITLE, TEXT = "search_title", "search_text"
 
@@ -147,10 +149,10 @@ def doc_lengths(fields=(TITLE, TEXT), options: IndexOptions = DEFAULT_OPTIONS) -
 
 
 def stem_index(postings: DataFrame) -> DataFrame:
-    """Stemmed postings: the distinct term dictionary is stemmed once (Arrow UDF), joined back on
-    the term, and term frequencies of words sharing a stem are summed per (field, stem, doc)."""
-    from tagloom.functions.stem import stem_udf
-    smap = postings.select("term").distinct().select("term", stem_udf(F.col("term")).alias("stem"))
+    """Stemmed postings: the distinct term dictionary is stemmed once, written down (the
+    chain of projections would otherwise be planned anew in the join), joined back on the term, and term frequencies
+    of words sharing a stem are summed per (field, stem, doc)."""
+    smap = materialize(stem_terms(postings.select("term").distinct()), "stems")
     return (postings.join(smap, "term")
             .groupBy("field", F.col("stem").alias("term"), "id")
             .agg(F.sum("tf").alias("tf"), F.max("doc_len").alias("doc_len")))
@@ -182,13 +184,15 @@ class BM25:
     conjunctive: bool = False
 
 
-def term_list(query: str, stem: bool = False, options: IndexOptions = DEFAULT_OPTIONS) -> list[str]:
-    """Query terms, cut as the index cuts texts; stemmed for a stemmed index."""
-    terms = options.query_terms(query)
-    if stem:
-        from tagloom.functions.stem import stem as stem_word
-        terms = [stem_word(t) for t in terms]
-    return terms
+def term_list(query: str, options: IndexOptions = DEFAULT_OPTIONS) -> list[str]:
+    """Query terms, cut as the index cuts texts."""
+    return options.query_terms(query)
+
+
+def stemmed(spark, terms: list[str]) -> list[str]:
+    """The stems of a query's few terms, by the function that stems the index."""
+    rows = stem_terms(spark.createDataFrame([(t,) for t in terms], "term string")).collect()
+    return [r["stem"] for r in rows]
 
 
 def _scalars(stats: DataFrame) -> tuple[F.Column, F.Column]:
@@ -240,7 +244,9 @@ def query_wiki(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 1
     """Blended search: conjunctive and disjunctive title BM25 (k=0), text BM25 (k=1.2, b=0),
     popularity boost ``text * log10(post_count)``; an empty query lists pages by popularity, one of stop
     words alone finds none. ``stem=True`` for an index built with :func:`stem_index`."""
-    terms = term_list(search, stem, options)
+    terms = term_list(search, options)
+    if stem and terms:
+        terms = stemmed(wiki.sparkSession, terms)
     if not search.strip():
         scored = wiki.select("id", "title", "post_count", F.lit(None).cast("double").alias("t0"),
                              F.lit(None).cast("double").alias("t1"), F.lit(None).cast("double").alias("tx"))
@@ -294,7 +300,7 @@ def query_title_text(wiki: DataFrame, postings: DataFrame, search: str, title_te
                      limit: int = 10, dictionary: DataFrame | None = None, stats: DataFrame | None = None,
                      options: IndexOptions = DEFAULT_OPTIONS) -> DataFrame:
     """Fuzzy title score >= 0.8 AND a text match (text score > 0.1)."""
-    terms = term_list(search, options=options)
+    terms = term_list(search, options)
     tx = bm25_scores(wiki, postings, terms, {"tx": BM25(TEXT, 1.2, 0.0)}, dictionary=dictionary, stats=stats) \
         .where(F.col("tx").isNotNull())
     s = (title_similarity(wiki, title_terms).where(F.col("title_score") >= 0.8)

@@ -173,6 +173,40 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_counted(counted).select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
+_RULE_NAMES = list(rules.RULES)
+_each = ", ".join
+ORACLES["op3_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+win AS (
+  SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
+hit AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY rid),
+c AS MATERIALIZED (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(hit.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN l USING (rid) LEFT JOIN hit USING (rid)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, """ + _each(
+    f"({e})::INT AS {r}" for r, e in rules.RULES.items()) + """ FROM c),
+h AS (SELECT source, count(*) AS n, """ + _each(f"sum({r}) AS {r}" for r in _RULE_NAMES) + """ FROM f GROUP BY source),
+a AS (SELECT sum(n) AS n, """ + _each(f"sum({r}) / sum(n) AS m_{r}" for r in _RULE_NAMES) + """ FROM h),
+v AS (SELECT """ + _each(f"sum(h.n * pow({r} / h.n - m_{r}, 2) / a.n - m_{r} * (1 - m_{r}) / a.n) AS v_{r}" for r in _RULE_NAMES) + """ FROM h, a),
+s AS (SELECT """ + _each(
+    f"CASE WHEN v_{r} > 0 THEN greatest(1.0, least(10000.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE 10000.0 END AS s_{r}"
+    for r in _RULE_NAMES) + f""" FROM v, a),
+bad AS (SELECT source, """ + _each(
+    f"({r} + s_{r} * m_{r}) / (h.n + s_{r}) > {rules.HOST_LIMIT} AS bad_{r}" for r in _RULE_NAMES) + """ FROM h, a, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND """ + " + ".join(_RULE_NAMES) + """ < 2 AND NOT (""" + " OR ".join(
+    f"{r} = 1 AND bad_{r}" for r in _RULE_NAMES) + """) AS kept
+FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source"""
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

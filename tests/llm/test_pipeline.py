@@ -7,8 +7,8 @@ import tiktoken
 
 import corpus_pipeline as P
 from tagloom.llm import bpe
-from test_decontaminate import brute as leaks
-from test_neardup import brute as duplicates
+from llm.test_decontaminate import brute as leaks
+from llm.test_neardup import brute as duplicates
 
 SF = "/root/testdata/sf0.001"
 

@@ -7,7 +7,7 @@ from tagloom.llm.queries import QUERIES
 
 
 def test_held_out_accuracy(spark):
-    from sf import accuracy
+    from llm.sf import accuracy
     right, kept, passed = accuracy(spark, QUERIES["op1_quality"], "quality")
     assert right > 0.97 and kept > 0.98 and passed < 0.1
 

@@ -28,7 +28,7 @@ def test_weights_are_the_best_key():
 
 
 def test_held_out_accuracy(spark):
-    from sf import accuracy
+    from llm.sf import accuracy
     right, caught, false = accuracy(spark, QUERIES["op7_toxicity"], "toxic")
     assert right > 0.95 and caught > 0.85 and false < 0.03
 

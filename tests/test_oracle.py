@@ -8,11 +8,12 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
+from tagloom.plans import registry  # noqa: E402
 from tools.oracle_check import rows_of  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+registry.load_all()
+QUERIES, ORACLES = dict(registry.QUERIES), dict(registry.ORACLES)
 
 
 def test_every_query_registered_has_callable():
@@ -37,7 +38,27 @@ def test_matches_oracle(spark, duck, name):
     assert rows_of(scols, srows) == rows_of(ocols, orows)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs_without_oracle(spark, name):
-    df = QUERIES[name](spark, SF_SMALL)
-    assert df.count() >= 0
+def test_stem_terms_covers_the_dictionary(spark):
+    rows = {r.term: r.stem for r in QUERIES["stem_terms"](spark, SF_SMALL).collect()}
+    terms = {r.term for r in QUERIES["build_search_index"](spark, SF_SMALL).select("term").distinct().collect()}
+    assert rows.keys() == terms and all(s and len(s) <= len(t) + 1 for t, s in rows.items())
+    assert any(s != t for t, s in rows.items())
+
+
+def test_stemmed_search_finds_what_plain_search_finds(spark):
+    plain = {r.title for r in QUERIES["query_wiki"](spark, SF_SMALL).collect()}        # "red widget"
+    stemmed = {r.title for r in QUERIES["query_wiki_stemmed"](spark, SF_SMALL).collect()}      # "red widgets"
+    assert plain and plain == stemmed
+
+
+def test_every_other_query_has_an_oracle():
+    assert set(QUERIES) - set(ORACLES) == {"stem_terms", "query_wiki_stemmed"}
+
+
+def test_entry_without_the_training_data_package(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+    monkeypatch.setitem(sys.modules, "tagloom.llm", None)
+    monkeypatch.delitem(sys.modules, "tagloom.llm.queries", raising=False)
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)

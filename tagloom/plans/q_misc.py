@@ -255,6 +255,23 @@ def q_escape_title(spark, d):
     return X.wiki_raw(spark, d).select("id", escape_brackets(F.col("title")).alias("escaped"))
 
 
+@register("sql_functions", with_("tags_raw") + """
+SELECT name, regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g') AS normalised, replace(name, '_', ' ') AS words,
+       replace(replace(name || '_(x)', '(', '\\('), ')', '\\)') AS escaped, regexp_extract_all(lower(name), '([a-z0-9]+)', 1) AS terms,
+       greatest(max(post_count), 1) AS posts, round(jaro_winkler_similarity('red', split_part(name, '_', 1)), 6) AS alike
+FROM tags_raw GROUP BY name""")
+def q_sql_functions(spark, d):
+    """The helpers as SQL functions, called from SQL text over the popularity table."""
+    from tagloom.functions.sql import register_functions
+    register_functions(spark)
+    X.tags_raw(spark, d).createOrReplaceTempView("tags_raw_view")
+    return spark.sql("""
+        SELECT name, normalise_text(name) AS normalised, replace_underscores(name) AS words, escape_brackets(name || '_(x)') AS escaped,
+               query_terms(name) AS terms, clamp_post_count(max(post_count)) AS posts,
+               round(jaro_winkler_similarity('red', split_part(name, '_', 1)), 6) AS alike
+        FROM tags_raw_view GROUP BY name""")
+
+
 # ---- streams -----------------------------------------------------------------------------------
 
 @register("stream_incremental_scores", with_("cache_log", extra="""

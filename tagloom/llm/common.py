@@ -15,7 +15,21 @@ from pyspark.sql import functions as F
 from tagloom.session import materialize
 
 
+BATCH_BYTES = 4 << 20      # of an Arrow batch between the JVM and Python
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches to ``BATCH_BYTES``, unless the session has a limit of its own. Spark's default of 64 MB is held
+    several times over by every task that runs Python: written, sent, read, and the same again for what comes back."""
+    if spark.conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +52,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 yield from fn(batch.slice(at, SLICE_ROWS))
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -133,4 +148,5 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def kept_table(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: later stages don't redo the work when executors are lost."""
+    bound_batches(df.sparkSession)
     return materialize(df, f"llm-{name}")

@@ -2,7 +2,7 @@
 
 1. toxicity: documents whose toxicity score reaches 0.3 go.
 2. rules: documents that the quality rules or their host's verdict reject go.
-3. neardup: of the documents of a near-duplicate component, its least id stays, in one row.
+3. neardup: of the documents of a near-duplicate component (Jaccard 0.8 or more), its least id stays, in one row.
 4. decontaminate: documents with words of a benchmark window go.
 5. bpe: every document is encoded; the digests of its ids and of the bytes they decode to are returned.
 
@@ -22,6 +22,7 @@ from tagloom.llm.common import kept_table, table
 from tagloom.llm.labels import training_labels
 
 TOXIC_FROM = 0.3
+ALIKE_FROM = 80     # percent of shared five-word shingles; op9_neardup has its own threshold
 
 
 def filtered(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -42,7 +43,7 @@ def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only the ids to drop meet the documents; repeated rows of a kept id are reduced to one."""
-    found = kept_table(neardup.near_duplicates(docs), "near-duplicates")
+    found = kept_table(neardup.near_duplicates(docs, percent=ALIKE_FROM), "near-duplicates")
     gone = found.filter("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")

@@ -17,7 +17,7 @@ def shingles(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """Per (id, text): set size and least id reachable over links between texts."""
     sets = {}
     for i, t in rows:
@@ -33,10 +33,10 @@ def brute(rows):
     by_size = sorted(range(len(keys)), key=lambda k: len(keys[k]))
     for x, a in enumerate(by_size):
         for b in by_size[x + 1:]:
-            if 100 * len(keys[a]) < 85 * len(keys[b]):
+            if 100 * len(keys[a]) < percent * len(keys[b]):
                 break
             both = len(keys[a] & keys[b])
-            if 100 * both >= 85 * (len(keys[a]) + len(keys[b]) - both):
+            if 100 * both >= percent * (len(keys[a]) + len(keys[b]) - both):
                 root[find(a)] = find(b)
     least = {}
     for k, s in enumerate(keys):

@@ -6,16 +6,16 @@ words. All other words belong to classes of like counts: the network predicts th
 share (c + 0.5) / sum (c + 0.5). The last class holds the words outside the broadcast dictionary and everything unseen,
 so the model gives every text a probability, and the counts of its words meet them in a join instead of in memory.
 
-Training: stretches of every training text (a share of it that is a parameter, from a place that its hash selects) are
-written as token ids; tasks run truncated backpropagation over them, and their weights are averaged by Spark after each
-round. Scoring carries the state across windows from a text's first token to its end.
+Training: all tokens of every training text are written as ids; tasks run truncated backpropagation over them, the state
+carried across windows, and their weights are averaged by Spark after each round. A text is cut only where a lane ends;
+the next lane goes on with its next token, from the empty state. Scoring carries the state across windows from a text's
+first token to its end.
 
 Null text is empty: it has one token, its end. Repeated rows get equal rows. Null ids belong to the training texts."""
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +30,8 @@ from tagloom.llm.common import blob, kept_table, utf8, worker_state
 HEAD, HEAD_COUNT, GROUP = 4096, 5, 128      # words predicted one by one; their least count; words in a class
 DICTIONARY = 1 << 18                        # words whose counts are broadcast, at most
 STATE, INPUT = 32, 24                       # width of the recurrent state and of the input vectors
-SHARE, LEAST_BYTES = 1 / 12, 384            # of each training text; but at least so many bytes
 WINDOW, LANES, RATE, ROUNDS = 16, 128, 0.08, 2
+LANE_TOKENS = 1024                          # a task has a lane for so many tokens, or for each text if that is more
 COUNTER_KEYS = 300_000                      # distinct tokens a task holds before it passes their counts on
 BUFFER_TOKENS, BUFFER_TEXTS = 3_000_000, 8192
 LN10 = float(np.log(10.0))
@@ -184,27 +184,28 @@ def log_probability(h: np.ndarray, unit: np.ndarray, w: dict, head: int) -> np.n
     return out
 
 
-def train(w: dict, stretches: list[np.ndarray], head: int, rate: float = RATE) -> int:
-    """Truncated backpropagation with Adagrad over the stretches, in lanes that take up the next stretch as one ends;
-    changes ``w``, gives the number of tokens."""
+def lay(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``ids, fresh, live`` by lane and place: the texts one after the other, cut into lanes of equal length. A lane
+    starts afresh where a text begins, and at its own start; what follows the last text isn't live."""
+    size = np.array([len(t) for t in texts], np.int64)
+    total = int(size.sum())
+    lanes = min(LANES, max(1, len(texts), total // LANE_TOKENS))
+    length = -(-total // lanes)
+    ids, fresh = np.zeros(lanes * length, np.int32), np.zeros(lanes * length, bool)
+    if total:
+        ids[:total] = np.concatenate(texts)
+        fresh[(np.cumsum(size) - size)[size > 0]] = True
+        fresh[::length] = True
+    live = np.arange(lanes * length) < total
+    return ids.reshape(lanes, length), fresh.reshape(lanes, length), live.reshape(lanes, length)
+
+
+def train(w: dict, texts: list[np.ndarray], head: int, rate: float = RATE) -> int:
+    """Truncated backpropagation with Adagrad over all tokens of the texts, side by side in lanes; changes ``w``, gives
+    the number of tokens."""
     square = {k: np.full(v.shape, 0.1, np.float32) for k, v in w.items()}
-    lanes = min(LANES, max(1, len(stretches)))
-    order = np.argsort([-len(s) for s in stretches], kind="stable")
-    load, lane_of = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
-    for i in order:
-        k = int(load.argmin())
-        lane_of[k].append(int(i))
-        load[k] += len(stretches[i])
-    length = int(load.max()) if len(stretches) else 0
-    ids = np.zeros((lanes, length + 1), np.int32)
-    fresh = np.zeros((lanes, length + 1), bool)         # a stretch begins here: from the empty state
-    live = np.zeros((lanes, length + 1), bool)
-    for k, members in enumerate(lane_of):
-        at = 0
-        for i in members:
-            s = stretches[i]
-            ids[k, at:at + len(s)], fresh[k, at], live[k, at:at + len(s)] = s, True, True
-            at += len(s)
+    ids, fresh, live = lay(texts)
+    lanes, length = ids.shape
     h, groups = np.zeros((lanes, STATE), np.float32), len(w["word"])
 
     def descend(name: str, gradient: np.ndarray, at=slice(None)) -> None:
@@ -267,34 +268,22 @@ def train(w: dict, stretches: list[np.ndarray], head: int, rate: float = RATE) -
         descend("again", d_again)
         descend("inward", d_inward)
         descend("vector", d_vector, seen)
-    return int(load.sum())
+    return int(live.sum())
 
 
 def stretches(texts: DataFrame, shared) -> DataFrame:
-    """``ids`` (packed 32-bit units) of a stretch of every training text. A stretch begins and ends at whole words; it
-    has the text's end if it reaches it."""
+    """``ids`` (packed 32-bit units) of every training text: all its tokens and its end."""
     def run(batches: Iterator[pa.RecordBatch]):
         vocabulary, index = _worker(shared)
         unit, get = vocabulary.unit, index.__getitem__
         for batch in batches:
             out = []
             for text in blob(batch.column(0)):
-                size = max(LEAST_BYTES, int(len(text) * SHARE))
-                room = max(0, len(text) - size)
-                begin = zlib.crc32(text) % (room + 1)
-                end = begin + size
-                part = text[begin:end]
-                if begin and not text[begin - 1:begin].isspace():
-                    part = part.partition(b" ")[2]
-                if end < len(text):
-                    part = part.rpartition(b" ")[0]
-                ids = unit[list(map(get, tokens(part)))] if part else np.empty(0, np.int32)
-                if end >= len(text):
-                    ids = np.append(ids, 0)
-                out.append(np.asarray(ids, np.int32).tobytes())
+                words = tokens(text)
+                out.append(np.append(unit[np.fromiter(map(get, words), np.int64, len(words))], np.int32(0)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
-    return texts.select("text").mapInArrow(run, "ids binary").filter("length(ids) > 0")
+    return texts.select("text").mapInArrow(run, "ids binary")
 
 
 def _pack(w: dict) -> bytes:

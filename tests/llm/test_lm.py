@@ -77,6 +77,29 @@ def test_training_lowers_the_loss():
     assert lm.score_units(texts, w, Small.head).sum() > 0.5 * before
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \r\n", "\v", "\f"])
+def test_every_token_is_learned(docs, blank):
+    """Long texts, whatever separates their words, and all others: the written ids are those of all their tokens."""
+    rows = [(1, blank.join(f"w{k % 700}" for k in range(9000))), (2, "a"), (3, ""), (4, None), (5, blank * 3 + "a" + blank)]
+    texts = docs(rows).select(utf8("text").alias("text"))
+    v = lm.Vocabulary(kept_table(lm.token_counts(texts), "token-counts"))
+    index = v.index()
+    shared = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, v))
+    got = sorted(np.frombuffer(r["ids"], np.int32).tolist() for r in lm.stretches(texts, shared).collect())
+    assert got == sorted([int(v.unit[index[x]]) for x in (t or "").encode().split()] + [0] for _, t in rows)
+
+
+def test_lanes_hold_every_token_once():
+    draw = np.random.default_rng(6)
+    for sizes in ([], [0], [5], [40_000], [1] * 300, [0, 3, 0, 70_000, 2, 9, 1], draw.integers(0, 900, 500)):
+        texts = [draw.integers(0, Small.units, n).astype(np.int32) for n in sizes]
+        ids, fresh, live = lm.lay(texts)
+        assert (ids[live] == np.concatenate([*texts, np.empty(0, np.int32)])).all() and live.sum() == sum(sizes)
+        assert live.size - live.sum() < max(1, len(live)) and fresh.sum() <= len(texts) + len(live)
+        begins = np.cumsum([0, *sizes])[:-1][np.array(sizes, int) > 0]
+        assert fresh.ravel()[begins].all()
+
+
 def brute_base(rows):
     c = Counter()
     for i, t in rows:

@@ -4,10 +4,11 @@ A document's set holds its distinct five-word shingles; equal sets collapse to o
 a node's documents are branched by the least shingle under a hash function that the path selects, so a pair of Jaccard
 similarity J stays together for d levels with probability J^d. Every tree starts with ``FIRST_DEPTH`` levels; nodes with
 more documents or shingles than a node may hold branch on, level by level, and small nodes are compared exhaustively.
-``TREES`` independent trees bring the recall at the threshold to 1 - (1 - 0.85^4)^20, over 0.999999 (0.9999 for pairs
-whose nodes branch to depth six). Nodes that stay too large down to ``LAST_DEPTH`` are compared in pairs of blocks.
+There are ``TREES`` trees, or more, as ``trees_at`` has it; documents of large nodes enter further trees at each level, so
+that a pair at the threshold stays together in one tree with a probability of 1 - ``MISSED`` at any depth. Nodes that
+stay too large down to ``LAST_DEPTH`` are compared in pairs of blocks.
 
-Nodes first compare sketches (the same minima, one byte each) with a margin of four standard errors. That gives cells:
+Nodes first compare sketches (the same minima, one byte each) with a margin of five standard errors. That gives cells:
 a connected set of candidates is one cell if it is small, else its nodes are. Only then do full shingle sets travel,
 once for a document of a small cell, and every link is confirmed on them exactly. A node or cell reports its links as
 stars (a member and the least id of its part), never as all pairs. Stars are joined to components by large-star and
@@ -19,7 +20,9 @@ nothing, and have a null component."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,36 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import blob, kept_table, map_batches, mix, utf8, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 85
-FUNCTIONS, TREES, FIRST_DEPTH, LAST_DEPTH = 128, 20, 4, 10
+FUNCTIONS, TREES, FIRST_DEPTH, LAST_DEPTH = 256, 20, 4, 10
+MISSED, MARGIN = 1e-4, 5        # of pairs at the threshold, at most; standard errors
 NODE_ROWS, NODE_SHINGLES = 1000, 4_000_000
+HELD_STARS = 200_000            # that a task holds before it passes them on
 
 _draw = np.random.default_rng(20240501)
 _A = _draw.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32) | np.uint32(1)
 _B = _draw.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32)
-_PATHS = np.stack([np.concatenate((np.arange(t * 6, t * 6 + 6), _draw.permutation(
-    np.setdiff1d(np.arange(FUNCTIONS), np.arange(t * 6, t * 6 + 6)))[:LAST_DEPTH - 6])) for t in range(TREES)])
+
+
+@cache
+def path(tree: int) -> np.ndarray:
+    """The functions of a tree, level by level: the first trees share none, all others draw theirs."""
+    if (tree + 1) * LAST_DEPTH <= FUNCTIONS:
+        return np.arange(tree * LAST_DEPTH, (tree + 1) * LAST_DEPTH)
+    return np.random.default_rng((20240501, tree)).permutation(FUNCTIONS)[:LAST_DEPTH]
+
+
+@cache
+def trees_at(depth: int, percent: int) -> int:
+    """So many trees that at most ``MISSED`` of the pairs at the threshold are parted in each by that depth. Trees that
+    draw from the same functions aren't independent: the mean over the number of functions that agree for a pair."""
+    j, n = min(percent, 99) / 100, FUNCTIONS
+    agree = [math.exp(math.lgamma(n + 1) - math.lgamma(a + 1) - math.lgamma(n - a + 1) + a * math.log(j) + (n - a) * math.log(1 - j))
+             for a in range(n + 1)]
+    parted = [1 - math.comb(a, depth) / math.comb(n, depth) for a in range(n + 1)]
+    trees = TREES
+    while sum(p * q ** trees for p, q in zip(agree, parted, strict=True)) > MISSED:
+        trees += 1
+    return trees
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -57,13 +82,13 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def node_keys(least: np.ndarray, depth: int, trees: range = range(TREES)) -> np.ndarray:
+def node_keys(least: np.ndarray, depth: int, trees: range) -> np.ndarray:
     """The node that each row of minima reaches at a depth, for each tree."""
     out = np.empty((len(least), len(trees)), np.uint64)
     with np.errstate(over="ignore"):
         for k, t in enumerate(trees):
             key = np.full(len(least), (t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
-            for f in _PATHS[t][:depth]:
+            for f in path(t)[:depth]:
                 key = mix(key * np.uint64(0xD1342543DE82EF95) + least[:, f].astype(np.uint64))
             out[:, k] = key
     return out
@@ -108,12 +133,12 @@ def _sizes(rows: DataFrame, node_rows: int, node_shingles: int) -> DataFrame:
 
 
 def leaves(reps: DataFrame, node_rows: int = NODE_ROWS, node_shingles: int = NODE_SHINGLES,
-           first: int = FIRST_DEPTH, last: int = LAST_DEPTH) -> DataFrame:
+           first: int = FIRST_DEPTH, last: int = LAST_DEPTH, percent: int = PERCENT) -> DataFrame:
     """``node, doc, n_shingles``: the trees' nodes that are to be compared exhaustively."""
-    def paths(depth: int, one_tree: bool):
+    def paths(depth: int, trees: range | None):
         def run(batch: pa.RecordBatch):
             least = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
-            if one_tree:
+            if trees is None:       # each row has its tree
                 tree = batch.column(3).to_numpy(zero_copy_only=False)
                 node = np.empty(len(least), np.uint64)
                 for t in np.unique(tree):
@@ -121,9 +146,9 @@ def leaves(reps: DataFrame, node_rows: int = NODE_ROWS, node_shingles: int = NOD
                     node[at] = node_keys(least[at], depth, range(t, t + 1))[:, 0]
                 doc, n = batch.column(0), batch.column(1)
             else:
-                node = node_keys(least, depth).ravel()
-                tree = np.tile(np.arange(TREES), len(least))
-                at = pa.array(np.repeat(np.arange(len(least)), TREES))
+                node = node_keys(least, depth, trees).ravel()
+                tree = np.tile(np.array(trees), len(least))
+                at = pa.array(np.repeat(np.arange(len(least)), len(trees)))
                 doc, n = batch.column(0).take(at), batch.column(1).take(at)
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(tree.astype(np.int32)), doc, n],
                                              ["node", "tree", "doc", "n_shingles"])
@@ -132,14 +157,20 @@ def leaves(reps: DataFrame, node_rows: int = NODE_ROWS, node_shingles: int = NOD
     kind = reps.schema["doc"].dataType.simpleString()
     schema = f"node long, tree int, doc {kind}, n_shingles long"
     src = reps.select("doc", "n_shingles", "least")
-    level = kept_table(_sizes(map_batches(src, paths(first, False), schema), node_rows, node_shingles), "paths")
+    trees = trees_at(first, percent)
+    level = kept_table(_sizes(map_batches(src, paths(first, range(trees)), schema), node_rows, node_shingles), "paths")
     done = level.filter("small").select("node", "doc", "n_shingles")
     for depth in range(first + 1, last + 1):
         large = level.filter("not small")
         if large.isEmpty():
             return done
         deeper = large.select("doc", "tree").join(src, "doc").select("doc", "n_shingles", "least", "tree")
-        level = kept_table(_sizes(map_batches(deeper, paths(depth, True), schema), node_rows, node_shingles), "paths")
+        nodes, more = map_batches(deeper, paths(depth, None), schema), trees_at(depth, percent)
+        if more > trees:
+            again = src.join(large.select("doc").distinct(), "doc", "left_semi").select("doc", "n_shingles", "least")
+            nodes = nodes.unionByName(map_batches(again, paths(depth, range(trees, more)), schema))
+            trees = more
+        level = kept_table(_sizes(nodes, node_rows, node_shingles), "paths")
         done = done.unionByName(level.filter("small").select("node", "doc", "n_shingles"))
     large = level.filter("not small")
     if large.isEmpty():
@@ -191,6 +222,30 @@ def _stars(ids: list, linked: np.ndarray) -> list[tuple]:
     return [(i, best[k]) for i, k in zip(ids, label.tolist(), strict=True) if i != best[k]]
 
 
+class _Joined:
+    """Stars of many nodes as those of their union: one for each member, however many trees report it."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        while x in self.up:
+            above = self.up[x]
+            self.up[x] = x = self.up.get(above, above)
+        return x
+
+    def add(self, stars: list[tuple]) -> None:
+        for a, b in stars:
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+
+    def take(self) -> list[tuple]:
+        out = [(x, self.root(x)) for x in list(self.up)]
+        self.up = {}
+        return out
+
+
 def _star_batch(stars: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s[0] for s in stars], kind), pa.array([s[1] for s in stars], kind)],
                                       ["doc", "root"])
@@ -198,7 +253,7 @@ def _star_batch(stars: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 def candidate_stars(leaf_rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """``doc, root``: within each node, documents whose sketches agree nearly as often as the threshold asks."""
-    at_least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / FUNCTIONS) ** 0.5
+    at_least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / FUNCTIONS) ** 0.5
 
     def sketch(batch: pa.RecordBatch):
         least = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
@@ -206,6 +261,7 @@ def candidate_stars(leaf_rows: DataFrame, reps: DataFrame, percent: int) -> Data
                                          ["doc", "sketch"])
 
     def run(batches):
+        joined = _Joined()
         for at, ids, values in _groups(batches):
             s = np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
             stars, size = [], np.diff(at)
@@ -215,8 +271,11 @@ def candidate_stars(leaf_rows: DataFrame, reps: DataFrame, percent: int) -> Data
             for a, b in zip(at[:-1][size > 2], at[1:][size > 2], strict=True):
                 linked = np.stack([(s[i] == s[a:b]).mean(axis=1) >= at_least for i in range(a, b)])
                 stars += _stars(ids[a:b], linked)
-            if stars:
-                yield _star_batch(stars, kind)
+            joined.add(stars)
+            if len(joined.up) > HELD_STARS:
+                yield _star_batch(joined.take(), kind)
+        if joined.up:
+            yield _star_batch(joined.take(), kind)
 
     kind = None
     name = reps.schema["doc"].dataType.simpleString()
@@ -310,7 +369,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = (live.groupBy(*alike).agg(F.min(F.struct("doc", "least")).alias("r"))
             .select("r.doc", "n_shingles", "r.least", "print1", "print2"))
     reps = kept_table(reps, "representatives")
-    nodes = leaves(reps, node_rows, node_shingles)
+    nodes = leaves(reps, node_rows, node_shingles, percent=percent)
     near = components(candidate_stars(nodes, reps, percent))
     member = near.unionByName(near.select(F.col("root").alias("doc"), "root").distinct())
     load = member.join(reps.select("doc", "n_shingles"), "doc").groupBy("root").agg(

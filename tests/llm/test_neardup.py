@@ -112,6 +112,22 @@ def test_large_groups_stay_linear(docs):
     assert run(df, node_rows=40) == brute(rows)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_large_groups_keep_threshold_pairs(spark, percent):
+    """1,200 documents that no level splits into small nodes; of 600 pairs at the threshold each shares a node."""
+    draw, j = np.random.default_rng(percent), percent / 100
+    own = lambda: draw.integers(0, 1 << 32, (600, N.FUNCTIONS), dtype=np.uint32)
+    base = draw.integers(0, 1 << 32, N.FUNCTIONS, dtype=np.uint32)
+    one = np.where(draw.random((600, N.FUNCTIONS)) < 0.9, base, own())
+    two = np.where(draw.random((600, N.FUNCTIONS)) < j, one, own())
+    rows = [(2 * k + i, 100, x[k].tobytes()) for k in range(600) for i, x in enumerate((one, two))]
+    reps = spark.createDataFrame(rows, "doc long, n_shingles long, least binary")
+    more = {"percent": percent} if percent != N.PERCENT else {}
+    nodes = N.leaves(reps, node_rows=20, **more).select("node", "doc", F.floor(F.col("doc") / 2).alias("pair"))
+    met = nodes.groupBy("node", "pair").agg(F.countDistinct("doc").alias("n")).filter("n = 2")
+    assert met.select("pair").distinct().count() == 600
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = {(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)} | {(k, k + 1) for k in range(400, 460)}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, decontaminate, lm, neardup, quality, rules, toxicity, urls, warc
+from tagloom.llm import bpe, chat, decontaminate, lm, neardup, q_audit, quality, rules, toxicity, urls, warc
 from tagloom.llm.common import fold, kept_table, table, utf8
 from tagloom.llm.labels import training_labels
 
@@ -234,3 +234,7 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, counts, vocabulary, weights).select(
         "doc_id", fold("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known",
         F.lit(vocabulary.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+query(q_audit.op11_audit)
+ORACLES["op11_audit"] = q_audit.SQL

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, decontaminate, lm, neardup, q_audit, q_exact, quality, rules, toxicity, urls, warc
+from tagloom.llm import bpe, chat, decontaminate, lm, neardup, q_audit, q_codes, q_exact, quality, rules, toxicity, urls, warc
 from tagloom.llm.common import fold, kept_table, table, utf8
 from tagloom.llm.labels import training_labels
 
@@ -241,3 +241,6 @@ ORACLES["op11_audit"] = q_audit.SQL
 
 query(q_exact.op13_exact)
 ORACLES["op13_exact"] = q_exact.SQL
+
+query(q_codes.op12_codes)
+ORACLES["op12_codes"] = q_codes.SQL

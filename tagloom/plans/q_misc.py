@@ -15,6 +15,7 @@ from tagloom.plans.oracle import FIX, with_
 from tagloom.plans.q_dataset import caption_ctes
 from tagloom.plans.registry import register
 from tagloom.sources import fixtures as X
+from tagloom.sources.readers import read_labels
 from tagloom.sources.tables import table
 from tagloom.streaming.incremental import latest_settings, stream_incremental_scores, stream_latest_settings
 
@@ -164,12 +165,21 @@ def q_content_hash(spark, d):
     return X.files(spark, d)
 
 
-@register("scan_label_table", with_("label_vocab") + """
+_LABEL_SQL = with_("label_vocab") + """
 SELECT idx, name, CASE category WHEN 9 THEN 'rating' WHEN 0 THEN 'general' WHEN 4 THEN 'character' END AS category
-FROM label_vocab""")
+FROM label_vocab"""
+
+
+@register("scan_label_table", _LABEL_SQL)
 def q_labels(spark, d):
-    from tagloom.sources.labels import category_names
-    return category_names(X.label_vocab(spark, d))
+    """A model's labels from their CSV file: category codes become names, places in the file indexes."""
+    return read_labels(spark, X.labels_file(spark, d, "csv"), "csv").rows
+
+
+@register("scan_label_maps", _LABEL_SQL)
+def q_label_maps(spark, d):
+    """A model's labels from JSON maps."""
+    return read_labels(spark, X.labels_file(spark, d, "json"), "json").rows
 
 
 def _length_model():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tagloom.functions.jaro import jaro_winkler_udf
@@ -13,6 +15,7 @@ from tagloom.plans import wiki as W
 from tagloom.plans.oracle import FIX, sql_list, with_
 from tagloom.plans.registry import register, r6
 from tagloom.sources import fixtures as X
+from tagloom.sources import readers as R
 from tagloom.session import materialize_once
 from tagloom.sources.tables import table
 
@@ -30,8 +33,20 @@ LIMIT = 20
 GROUP = "promo"
 
 
+def _tags(spark, d):
+    return R.read_tags(spark, X.tags_file(spark, d)).rows
+
+
+def _pages(spark, d):
+    return R.read_pages(spark, X.pages_file(spark, d)).rows
+
+
+def _markup(spark, d):
+    return spark.read.parquet(X.markup_file(spark, d))
+
+
 def _wiki(spark, d):
-    return W.build_wiki(X.wiki_raw(spark, d), X.tags_raw(spark, d))
+    return W.build_wiki(_pages(spark, d), _tags(spark, d))
 
 
 def _search_tables(spark, d):
@@ -102,39 +117,55 @@ s AS (SELECT id, {', '.join(cols)} FROM h GROUP BY id)"""
 
 @register("scan_tags", _w() + "SELECT name, post_count FROM tags_raw")
 def q_scan_tags(spark, d):
-    return X.tags_raw(spark, d)
+    """The popularity table through its reader: counts that are stored as text, rows that don't fit left aside."""
+    return _tags(spark, d)
 
 
 @register("scan_wiki_pages", _w() + "SELECT id, title, body FROM wiki_raw")
 def q_scan_pages(spark, d):
-    return X.wiki_raw(spark, d)
+    return _pages(spark, d)
 
 
 @register("scan_tag_groups", with_("tag_groups") + "SELECT DISTINCT tag_group FROM tag_groups")
 def q_scan_groups(spark, d):
-    return X.tag_groups(spark, d).select("tag_group").distinct()
+    return R.tag_groups(R.read_tag_groups(spark, X.tag_groups_file(spark, d)).rows)
 
 
 @register("tags_in_group", with_("tag_groups") + f"SELECT DISTINCT tag FROM tag_groups WHERE tag_group = '{GROUP}'")
 def q_tags_in_group(spark, d):
-    return X.tag_groups(spark, d).where(F.col("tag_group") == GROUP).select("tag").distinct()
+    return R.tags_in_group(R.read_tag_groups(spark, X.tag_groups_file(spark, d)).rows, GROUP)
+
+
+@register("scan_rejected_rows", """
+SELECT 'tags' AS file, 'post_count is no int' AS reason, '{"name":"' || s_name || '","post_count":"many"}' AS row FROM supplier
+UNION ALL SELECT 'tags', 'name is missing', '{"post_count":"' || n_nationkey || '"}' FROM nation
+UNION ALL SELECT 'pages', 'id is no int', '{"id":' || (c_custkey + 1099511627776) || ',"title":"' || c_name || '"}' FROM customer
+UNION ALL SELECT 'pages', 'id is missing', '{"title":"' || r_name || '"}' FROM region
+UNION ALL SELECT DISTINCT 'groups', 'tag_group is missing', '{"tag":"' || p_brand || '"}' FROM part
+UNION ALL SELECT 'labels', 'category code is unknown', '{"idx":' || max(len(embedding)) || ',"name":"odd"}' FROM embeddings""")
+def q_scan_rejected(spark, d):
+    """What the readers of the four input files left aside, with the reason."""
+    reads = {"tags": R.read_tags(spark, X.tags_file(spark, d)), "pages": R.read_pages(spark, X.pages_file(spark, d)),
+             "groups": R.read_tag_groups(spark, X.tag_groups_file(spark, d)), "labels": R.read_labels(spark, X.labels_file(spark, d, "csv"), "csv")}
+    rows = [r.rejected.select(F.lit(name).alias("file"), "reason", "row") for name, r in reads.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), rows)
 
 
 @register("tags_max_count", _w() + "SELECT name, max(post_count) AS post_count FROM tags_raw GROUP BY name")
 def q_tags_max(spark, d):
-    return W.tags_max_count(X.tags_raw(spark, d))
+    return W.tags_max_count(_tags(spark, d))
 
 
 @register("filter_namespaces", _w() + f"SELECT p.id, p.title FROM wiki_raw p WHERE {_NS}")
 def q_filter_ns(spark, d):
-    return W.filter_namespaces(X.wiki_raw(spark, d)).select("id", "title")
+    return W.filter_namespaces(_pages(spark, d)).select("id", "title")
 
 
 @register("join_pages_counts", _w(""",
 t AS (SELECT name, max(post_count) AS post_count FROM tags_raw GROUP BY name)""") + """
 SELECT p.id, p.title, t.post_count FROM wiki_raw p LEFT JOIN t ON p.title = t.name""")
 def q_join_counts(spark, d):
-    return W.join_pages_counts(X.wiki_raw(spark, d).select("id", "title"), X.tags_raw(spark, d)) \
+    return W.join_pages_counts(_pages(spark, d).select("id", "title"), _tags(spark, d)) \
         .select("id", "title", "post_count")
 
 
@@ -164,7 +195,7 @@ def q_lookup(spark, d):
 @register("fn_normalise_text", _w() + """
 SELECT id, regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') AS search_title FROM wiki_raw""")
 def q_normalise(spark, d):
-    return X.wiki_raw(spark, d).select("id", normalise_text(F.col("title")).alias("search_title"))
+    return _pages(spark, d).select("id", normalise_text(F.col("title")).alias("search_title"))
 
 
 # ---- markup: every expected value below is built from the columns that the fixture wrote into the markup ------------
@@ -187,7 +218,7 @@ SELECT id, CASE form WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t || 's' WHEN 3 THE
   || chr(10) || chr(10) || rest AS plain FROM w""")
 def q_plain_text(spark, d):
     """Plain text of pages in every markup form."""
-    return X.markup_pages(spark, d).select("id", plain_text(F.col("body")).alias("plain"))
+    return _markup(spark, d).select("id", plain_text(F.col("body")).alias("plain"))
 
 
 @register("extract_headings", MARKUP_SQL + """
@@ -195,7 +226,7 @@ SELECT id AS page_id, 0 AS pos, CASE form WHEN 0 THEN 4 ELSE 2 END AS level, CAS
 FROM w WHERE form IN (0, 1)""")
 def q_headings(spark, d):
     """Heading table over pages in every markup form."""
-    return extract_headings(X.markup_pages(spark, d))
+    return extract_headings(_markup(spark, d))
 
 
 @register("extract_wiki_links", MARKUP_SQL + """
@@ -209,7 +240,7 @@ UNION ALL SELECT id, 'bare_url', 1, 'https://example.org/' || n, 'https://exampl
 UNION ALL SELECT id, 'user', 0, person, '@' || s FROM w WHERE form = 12""")
 def q_links(spark, d):
     """Link edge table over pages in every markup form."""
-    return extract_wiki_links(X.markup_pages(spark, d))
+    return extract_wiki_links(_markup(spark, d))
 
 
 @register("render_corpus", MARKUP_SQL + """
@@ -227,7 +258,7 @@ SELECT id, CASE form WHEN 0 THEN '<h4>' || t || '</h4>' WHEN 1 THEN '<h2 id="sec
   CASE form WHEN 12 THEN 'a table part outside of a table' END AS error FROM w""")
 def q_render(spark, d):
     """Markdown and errors of pages in every markup form."""
-    return render_corpus(X.markup_pages(spark, d))
+    return render_corpus(_markup(spark, d))
 
 
 # ---- index and search -------------------------------------------------------------------------

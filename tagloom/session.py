@@ -105,9 +105,8 @@ def _input_signature(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(sorted(sig))
 
 
-def materialize_once(spark: SparkSession, name: str, inputs: list[str], build, sort_by: list[str] | None = None
-                     ) -> DataFrame:
-    """:func:`materialize` the table ``build()`` once per application and input version.
+def write_once(spark: SparkSession, name: str, inputs: list[str], build, sort_by: list[str] | None = None) -> str:
+    """Path of the table ``build()``, written once per application and input version.
 
     The prediction table and the search index are, in production, tables that one job writes and
     every later job reads; this keeps that shape inside one application. The key holds the input
@@ -120,9 +119,15 @@ def materialize_once(spark: SparkSession, name: str, inputs: list[str], build, s
     path = _TABLES.get(key)
     if path is not None:
         try:
-            return spark.read.parquet(path)
+            spark.read.parquet(path)
+            return path
         except Exception:  # noqa: BLE001 - table gone (folder cleaned): rebuild
             _TABLES.pop(key, None)
-    path = write_table(build(), name, sort_by)
-    _TABLES[key] = path
-    return spark.read.parquet(path)
+    _TABLES[key] = write_table(build(), name, sort_by)
+    return _TABLES[key]
+
+
+def materialize_once(spark: SparkSession, name: str, inputs: list[str], build, sort_by: list[str] | None = None
+                     ) -> DataFrame:
+    """The table of :func:`write_once`, read back."""
+    return spark.read.parquet(write_once(spark, name, inputs, build, sort_by))

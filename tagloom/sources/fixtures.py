@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.session import write_once
 from tagloom.sources.tables import table
 
 
@@ -173,3 +174,72 @@ def markup_pages(spark: SparkSession, d: str) -> DataFrame:
         text = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
         piece = F.when(F.col("form") == k, text) if piece is None else piece.when(F.col("form") == k, text)
     return rows.withColumn("body", F.concat(piece, F.lit("\n\n"), F.col("rest")))
+
+
+# ---- input files: the views above as the tables that a user brings, written once and read by the package's readers -------
+
+def _files(d: str, *tables: str) -> list[str]:
+    return [f"{d.rstrip('/')}/{t}.parquet" for t in tables]
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of as many files as the session has shuffle partitions, so its readers share the work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def tags_file(spark: SparkSession, d: str) -> str:
+    """The popularity table with its counts as text; suppliers' rows have no number, nations' rows no name."""
+    def build():
+        good = tags_raw(spark, d).select("name", F.col("post_count").cast("string").alias("post_count"))
+        odd = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("many").alias("post_count"))
+        none = table(spark, d, "nation").select(F.lit(None).cast("string").alias("name"), F.col("n_nationkey").cast("string").alias("post_count"))
+        return good.unionByName(odd).unionByName(none)
+    return write_once(spark, "tags-file", _files(d, "part", "lineitem", "supplier", "nation"), build)
+
+
+def pages_file(spark: SparkSession, d: str) -> str:
+    """The page table with long ids; customers' rows have ids that are no int, regions' rows none."""
+    def build():
+        good = wiki_raw(spark, d).select(F.col("id").cast("long").alias("id"), "title", "body")
+        odd = table(spark, d, "customer").select((F.col("c_custkey") + F.lit(1 << 40)).alias("id"), F.col("c_name").alias("title"),
+                                                 F.lit(None).cast("string").alias("body"))
+        none = table(spark, d, "region").select(F.lit(None).cast("long").alias("id"), F.col("r_name").alias("title"),
+                                                F.lit(None).cast("string").alias("body"))
+        return _spread(good.unionByName(odd).unionByName(none), "title")
+    return write_once(spark, "pages-file", _files(d, "documents", "part", "customer", "region"), build)
+
+
+def tag_groups_file(spark: SparkSession, d: str) -> str:
+    """The tag groups; brands' rows have no group."""
+    def build():
+        odd = table(spark, d, "part").select(F.col("p_brand").alias("tag"), F.lit(None).cast("string").alias("tag_group")).distinct()
+        return tag_groups(spark, d).unionByName(odd)
+    return write_once(spark, "tag-groups-file", _files(d, "part"), build)
+
+
+def labels_file(spark: SparkSession, d: str, fmt: str) -> str:
+    """The label vocabulary as one CSV (with category codes) or JSON file: a text as long as the score vectors are wide. The CSV ends
+    with a label of an unknown code."""
+    def build():
+        rows = label_vocab(spark, d)
+        each = F.struct("idx", "name", "category")
+        if fmt == "csv":
+            lines = F.transform(F.array_sort(F.collect_list(each)), lambda r: F.concat_ws(",", r["idx"].cast("string"), r["name"],
+                                                                                          r["category"].cast("string")))
+            text = F.concat(F.lit("tag_id,name,category\n"), F.array_join(lines, "\n"), F.lit("\n-1,odd,7\n"))
+        else:
+            kinds = F.create_map(*[F.lit(x) for x in (9, "rating", 0, "general", 4, "character")])
+            named = F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("string"), F.col("name"))))
+            kind = F.map_from_entries(F.collect_list(F.struct(F.col("name"), F.element_at(kinds, F.col("category")))))
+            text = F.to_json(F.struct(named.alias("idx_to_tag"), kind.alias("tag_to_category")))
+        return rows.agg(text.alias("text"))
+    from tagloom.sources.folder import write_files
+    path = write_once(spark, f"labels-{fmt}", _files(d, "embeddings"), build)
+    folder = f"{path}-file"
+    write_files(spark.read.parquet(path).withColumn("name", F.lit("labels")), folder, "name", "text", f".{fmt}")
+    return f"{folder}/labels.{fmt}"
+
+
+def markup_file(spark: SparkSession, d: str) -> str:
+    """The pages with markup as a table of its own."""
+    return write_once(spark, "markup-file", _files(d, "documents", "part"), lambda: _spread(markup_pages(spark, d), "id"))

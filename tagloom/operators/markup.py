@@ -20,18 +20,20 @@ HEADING = r'h([0-9])(#[^."\n]+)?\.([^\n]+)'
 # Link forms in the order in which they are tried at one place: kind, pattern, target group, label group.
 LINKS = [
     ("html", r'<a href="([^"\n]+?)">([^\n]+?)</a>', 1, 2),
-    ("tag_url", r"\[url=([^\]]+)\]([\s\S]*?)\[/url\]", 1, 2),
-    ("tag_url", r"\[url\]([\s\S]*?)\[/url\]", 1, 1),
-    ("text_url", r'"([^"]+?)":\[([^\]]+?)\]', 2, 1),
+    ("tag_url", r"\[url=([^\]\n]+)\]([^\[]*+)\[/url\]", 1, 2),
+    ("tag_url", r"\[url\]([^\[]*+)\[/url\]", 1, 1),
+    ("text_url", r'"([^"]+?)":\[([^\]\n]+?)\]', 2, 1),
     ("text_url", r'"([^"]+?)":((?:https?|/|#)[^\s]*)', 2, 1),
-    ("wiki", r"(?<![a-zA-Z0-9])([a-zA-Z0-9]*+)\[\[([^\]]+?)\]\]([a-zA-Z0-9]*)", 2, 2),
-    ("search", r"\{\{([^}]+?)\}\}", 1, 1),
-    ("md_url", r"\[(https?[^\]]*?)\]\(([^)]+?)\)", 1, 2),
-    ("md_text", r"\[(?!http)([^\]]+?)\]\(([^)]+?)\)", 2, 1),
-    ("angle_url", r"<(https?[^>]+?)>", 1, 1),
+    ("wiki", r"(?<![a-zA-Z0-9])([a-zA-Z0-9]*+)\[\[([^\]\n]+?)\]\]([a-zA-Z0-9]*)", 2, 2),
+    ("search", r"\{\{([^}\n]+?)\}\}", 1, 1),
+    ("md_url", r"\[(https?[^\]\n]*?)\]\(([^)\n]+?)\)", 1, 2),
+    ("md_text", r"\[(?!http)([^\]\n]+?)\]\(([^)\n]+?)\)", 2, 1),
+    ("angle_url", r"<(https?[^>\n]+?)>", 1, 1),
     ("bare_url", r"(https?://[-a-zA-Z0-9@:%._+~#=]{2,256}\.[a-z]{2,4}\b[-a-zA-Z0-9@:%_+.~#?&/=]*)", 1, 1),
     ("user", r"@([a-zA-Z0-9_-]+)", 1, 1),
 ]
+LINK_BEGINS = {"html": "<a ", "tag_url": "[url", "text_url": '"', "search": "{{", "md_url": "[http", "md_text": "[", "angle_url": "<http",
+               "bare_url": "http", "user": "@"}
 PROTECTED = r"\[nodtext\][\s\S]*?\[/nodtext\]|\[code\][\s\S]*?\[/code\]"
 # ------------------------------------------------------------------------------------------------
 
@@ -47,18 +49,18 @@ PLAIN_TEXT_RULES: list[tuple[str, str]] = [
     (r"\[(br|hr)\]", " "),                                         # breaks
     (HEADING.replace(r"\.(", r"\.[ \t]*("), "$3"),                  # headings keep their text
     (r"(?m)^\*+[ \t]?", ""),                                       # list markers
-    (r'"([^"]+?)":\[([^\]]+?)\]', "$1"),                           # "text":[url]
+    (r'"([^"]+?)":\[([^\]\n]+?)\]', "$1"),                           # "text":[url]
     (r'"([^"]+?)":((https?|/|#)[^\s]*)', "$1"),                    # "text":url
-    (r"\[(https?[^\]]*?)\]\(([^)]+?)\)", "$2"),                    # [url](text)
-    (r"\[([^\]]+?)\]\(([^)]+?)\)", "$1"),                          # [text](url)
-    (r"<(https?[^>]+?)>", "$1"),                                   # <url>
-    (r"\[\[([^\]|]+)\|([^\]#]+)#[A-Z][^\]]*\]\]", "$2"),             # [[target|label#Anchor]]
-    (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"),                        # [[target|label]]
-    (r"\[\[([^\]|(]*?)\s*\([^\]]*\)\s*\|\]\]", "$1"),              # [[target (qualifier)|]]
-    (r"\[\[([^\]|#]+)(#[^\]]*)?\|?\]\]", "$1"),                    # [[target]], [[target#Anchor]]
-    (r"\{\{([^}|]+)\|([^}]+)\}\}", "$2"),                          # {{search|label}}
-    (r"\{\{([^}|(]*?)\s*\([^}]*\)\s*\|\}\}", "$1"),                # {{search (qualifier)|}}
-    (r"\{\{([^}|]+)\|?\}\}", "$1"),                                # {{search}}
+    (r"\[(https?[^\]\n]*?)\]\(([^)\n]+?)\)", "$2"),                    # [url](text)
+    (r"\[([^\]\n]+?)\]\(([^)\n]+?)\)", "$1"),                          # [text](url)
+    (r"<(https?[^>\n]+?)>", "$1"),                                   # <url>
+    (r"\[\[([^\]|\n]+)\|([^\]#\n]+)#[A-Z][^\]\n]*\]\]", "$2"),             # [[target|label#Anchor]]
+    (r"\[\[([^\]|\n]+)\|([^\]\n]+)\]\]", "$2"),                        # [[target|label]]
+    (r"\[\[([^\]|(\n]*?)[ \t]*\([^\]\n]*\)[ \t]*\|\]\]", "$1"),              # [[target (qualifier)|]]
+    (r"\[\[([^\]|#\n]+)(#[^\]\n]*)?\|?\]\]", "$1"),                    # [[target]], [[target#Anchor]]
+    (r"\{\{([^}|\n]+)\|([^}\n]+)\}\}", "$2"),                          # {{search|label}}
+    (r"\{\{([^}|(\n]*?)[ \t]*\([^}\n]*\)[ \t]*\|\}\}", "$1"),                # {{search (qualifier)|}}
+    (r"\{\{([^}|\n]+)\|?\}\}", "$1"),                                # {{search}}
 ]
 
 
@@ -143,12 +145,15 @@ def _link_fields(kind: str, pat: str, url_group: int, label_group: int, m: Colum
 
 
 def link_of(m: Column) -> Column:
-    """``struct<kind, url, label>`` of a match of ``ANY_LINK``: the first form that the whole match has."""
+    """``struct<kind, url, label>`` of a match of ``ANY_LINK``: the first form that the whole match has. Forms that begin otherwise
+    are passed over without their patterns."""
     out = None
     for kind, pat, url_group, label_group in LINKS:
         url, label = _link_fields(kind, pat, url_group, label_group, m)
         entry = F.struct(F.lit(kind).alias("kind"), url.alias("url"), label.alias("label"))
         is_it = m.rlike(f"^(?:{pat})$")
+        begins = LINK_BEGINS.get(kind)
+        is_it = m.startswith(begins) & is_it if begins else m.contains("[[") & is_it if kind == "wiki" else is_it
         out = F.when(is_it, entry) if out is None else out.when(is_it, entry)
     return out
 

@@ -1,80 +1,180 @@
-"""Markdown rendering of wiki markup as a native expression chain (no per-row parser).
+"""Markdown rendering of wiki markup: a stack automaton over a page's tags, everything else as native expressions.
 
-A page is cut into protected blocks (``[nodtext]``, ``[code]``) and markup segments with one
-``regexp_extract_all``; markup segments go through an ordered chain of ``regexp_replace`` rules
-inside a ``transform`` lambda; the parts are joined back. Everything runs in the JVM."""
+Tags may nest in any depth, which no built-in function can follow: an ``aggregate`` copies its whole state at every step, so
+folding a page in one is quadratic. A small Arrow function therefore reads the pages that hold a tag (the others never
+leave the JVM): it meets each tag once, shifts openings on a stack, and folds the frames above a closing tag's opening,
+rendered, into the frame below. A tag that isn't closed ends with the tag around it (bold, italic, ... with their line); a closing
+tag without an opening one is text. Between ``[nodtext]`` or ``[code]`` and its end nothing is markup. Malformed markup
+gives an error with its offset. Headings, links and lists are then found natively in the text that stays, outside of those
+blocks."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagloom.operators.markup import ANY_LINK, link_of, replace_each, unprotected
+from tagloom.operators.markup import ANY_LINK, ATTR_TAGS, SIMPLE_TAGS, link_of, replace_each
 
 # Characters (or words) one of the rules below needs; texts without any are rendered unchanged.
 RENDER_HINT = r'[\[<{"@*\r]|http|h[0-9]'
 
-_SEGMENTS = r"(\[nodtext\][\s\S]*?\[/nodtext\]|\[code\][\s\S]*?\[/code\]|[\s\S]+?(?=\[nodtext\]|\[code\]|$))"
-
-# Stands for a row group while table text is reduced: a noncharacter, which no text may hold.
-ROW_GROUP = "\uFDD0"
-# Ordered rewrite rules for a markup segment (Java regex; fixed values of the output format).
-RENDER_RULES: list[tuple[str, str]] = [
-    (r"\r\n", "\n"),
-    (r"\[br\]", "<br>\n"),
-    (r"\[hr\]", "\n<hr>\n"),
-    (r"\[/?spoilers\]", ""),
-    (r"\[expand=([^\]]*)\]", "<h5>$1</h5>\n<hr>\n"),
-    (r"\[expand( [^\]\n]*)?\]|\[/expand\]", ""),
-    (r"\[quote\]", "<blockquote>"),
-    (r"\[/quote\]", "</blockquote>"),
-    (r"\[(table|tr|th|td)([ =][^\]\n]*)?\](?![(\]])", "<$1>"),
-    (r"\[/(table|tr|th|td)\]", "</$1>"),
-    (r"\[(thead|tbody)([ =][^\]\n]*)?\]|\[/(thead|tbody)\]", ROW_GROUP),
-    # inside a table every text run between structural tags is one newline; a match consumes its
-    # leading tag, so neighbouring runs need a second pass
-    (rf"(<table>|<tr>|</tr>|</th>|</td>|{ROW_GROUP})[^<{ROW_GROUP}]+(?=<tr>|</tr>|<th>|<td>|</table>|{ROW_GROUP})", "$1\n"),
-    (rf"(<table>|<tr>|</tr>|</th>|</td>|{ROW_GROUP})[^<{ROW_GROUP}]+(?=<tr>|</tr>|<th>|<td>|</table>|{ROW_GROUP})", "$1\n"),
-    (ROW_GROUP, ""),
-    (r"h([0-9])#([^.\"\n]+)\.[ \t]*([^\n]*?)[ \t]*(?=\n|$)", "<h$1 id=\"$2\">$3</h$1>"),
-    (r"h([0-9])\.[ \t]*([^\n]*?)[ \t]*(?=\n|$)", "<h$1>$2</h$1>"),
-]
-# Tags within a line of text: tag, opening and closing HTML.
-INLINE = [("b", "<b>", "</b>"), ("i", "<i>", "</i>"), ("u", "<ins>", "</ins>"), ("s", "<s>", "</s>"),
-          ("tn", "<sub><sup>", "</sub></sup>")]
-# Markup without a rendering: what is wrong, and a pattern over the text outside protected blocks.
-ERRORS = [
-    ("a column tag has no rendering", r"\[col(group)?([ =][^\]\n]*)?\](?!\()"),
-    ("a tag inside [url]", r"\[url(=[^\]]*)?\](?:(?!\[/url\])[\s\S])*?\[(b|i|u|s|tn|quote|table|spoilers|expand|url)\]"),
-    ("a table inside [quote]", r"\[quote\](?:(?!\[/quote\])[\s\S])*?\[table\]"),
-]
-_TABLE_PART = r"\[(thead|tbody|tr|th|td)([ =][^\]\n]*)?\](?![(\]])"
-
-
-def _apply(c: Column, rules) -> Column:
-    for pat, rep in rules:
-        c = F.regexp_replace(c, pat, rep)
-    return c
-
-
-def _inline(c: Column) -> Column:
-    """Bold, italic, ... around every line of the tagged text, blanks stripped. An unclosed tag ends with its line."""
-    for tag, begin, end in INLINE:
-        if tag != "tn":
-            c = F.regexp_replace(c, rf"\[{tag}\](?![\s\S]*?\[/{tag}\])([^\n]*)", f"[{tag}]$1[/{tag}]")
-
-        def lines(m: Column, tag=tag, begin=begin, end=end) -> Column:
-            inner = F.regexp_extract(m, rf"^\[{tag}\]([\s\S]*)\[/{tag}\]$", 1)
-            full = F.filter(F.split(inner, "\n"), lambda x: F.length(x) > 0)
-            return F.array_join(F.transform(full, lambda x: F.concat(F.lit(begin), F.trim(x), F.lit(end))), "\n")
-        c = replace_each(c, rf"\[{tag}\][\s\S]*?\[/{tag}\]", lines)
-    return c
+#: A tag or a break. A bracket before ``(`` or ``]`` belongs to a link.
+TAG = (rf"\[(?:(?:{'|'.join(SIMPLE_TAGS)})|(?:{'|'.join(ATTR_TAGS)})(?:[ =][^\]\n]*)?)\](?![(\]])"
+       rf"|\[/(?:{'|'.join(SIMPLE_TAGS + ATTR_TAGS)})\]|\[[bh]r\]")
+
+# Tags within a line of text: opening and closing HTML. The first four end with their line if they aren't closed.
+INLINE = {"b": ("<b>", "</b>"), "i": ("<i>", "</i>"), "u": ("<ins>", "</ins>"), "s": ("<s>", "</s>"), "tn": ("<sub><sup>", "</sub></sup>")}
+ONE_LINE = ("b", "i", "u", "s")
+TABLE = ("table", "thead", "tbody", "tr")          # hold cells and each other; other text in them is a line end
+CELLS = ("thead", "tbody", "tr", "th", "td")
+HOLDS_TABLE = ("", "spoilers", "expand", *TABLE)
+RAW = ("nodtext", "code")
+BREAKS = {"[br]": "<br>\n", "[hr]": "\n<hr>\n"}
+HEADINGS = [(r"h([0-9])#([^.\"\n]+)\.[ \t]*([^\n]*?)[ \t]*(?=\n|$)", "<h$1 id=\"$2\">$3</h$1>"),
+            (r"h([0-9])\.[ \t]*([^\n]*?)[ \t]*(?=\n|$)", "<h$1>$2</h$1>")]
+# Around text that is no markup: noncharacters, which are taken out of every text first.
+BEGIN, END = "\ufdd1", "\ufdd2"
+
+_TAG = re.compile(TAG)
+_TITLE = re.compile(r'\[expand=\s*"?(.*?)"?\s*\]')
+
+
+class _Frame:
+    """An open tag: how it was written, whether it ends with its line, and the rendered parts gathered so far."""
+    __slots__ = ("tag", "raw", "line", "parts")
+
+    def __init__(self, tag: str, raw: str, line: bool):
+        self.tag, self.raw, self.line, self.parts = tag, raw, line, []
+
+    def rendered(self, closed: bool) -> str:
+        inner = "".join(self.parts)
+        if self.tag in INLINE:
+            begin, end = INLINE[self.tag]
+            whole, rest = inner, ""
+            if self.tag in ONE_LINE and not closed:
+                whole, newline, rest = inner.partition("\n")
+                rest = newline + rest
+            return "\n".join(f"{begin}{x.strip(' ')}{end}" for x in whole.split("\n") if x) + rest
+        if self.tag in ("table", "tr", "th", "td"):
+            return f"<{self.tag}>{inner}</{self.tag}>"
+        if self.tag == "quote":
+            return f"<blockquote>{inner}</blockquote>"
+        if self.tag == "expand":
+            title = _TITLE.fullmatch(self.raw)
+            return f"<h5>{title[1]}</h5>\n<hr>\n{inner}" if title else inner
+        if self.tag == "nodtext":
+            return BEGIN + inner + END
+        if self.tag == "code":
+            return f"{BEGIN}```\n{inner.removesuffix(chr(10))}\n```{END}"
+        return f"{self.raw}{inner}[/url]" if self.tag == "url" else inner
+
+
+def _misplaced(tag: str, within: str) -> str | None:
+    """What is wrong with opening a tag within another one."""
+    if tag in ("col", "colgroup"):
+        return "a column tag has no rendering"
+    if within == "url":
+        return "a tag inside [url]"
+    if within in TABLE and tag not in ("table", *CELLS):
+        return "a tag between a table's cells"
+    if tag in CELLS and within not in TABLE:
+        return "a table part outside of a table"
+    if tag == "table" and within not in HOLDS_TABLE:
+        return f"a table inside [{within}]"
+    return None
+
+
+def _tag_name(written: str) -> str:
+    return re.split(r"[ =\]]", written.strip("[/"), maxsplit=1)[0]
+
+
+def render_tags(text: str) -> tuple[str, str | None, int | None]:
+    """The text with its tags rendered, what is wrong with it, and where."""
+    to_come = Counter(m[0] for m in _TAG.finditer(text) if m[0].startswith("[/"))    # a tag that none can close ends with its line
+    stack, error, at = [_Frame("", "", False)], None, 0
+    is_open = Counter()
+
+    def fold(k: int, closing: str) -> None:
+        for _ in range(k):
+            frame = stack.pop()
+            is_open[frame.tag] -= 1
+            stack[-1].parts.append(frame.rendered(frame.line or frame.tag == closing))
+
+    def gather(run: str) -> None:
+        if stack[-1].tag in TABLE:
+            if run and stack[-1].parts[-1:] != ["\n"]:
+                stack[-1].parts.append("\n")
+            return
+        while run and stack[-1].line and "\n" in run:
+            line, _, rest = run.partition("\n")
+            stack[-1].parts.append(line)
+            k = next(i for i, f in enumerate(reversed(stack)) if not f.line)
+            fold(k, "")
+            run = "\n" + rest
+        if run:
+            stack[-1].parts.append(run)
+
+    for m in _TAG.finditer(text):
+        written, begin = m[0], m.start()
+        closing, top = written.startswith("[/"), stack[-1].tag
+        if closing:
+            to_come[written] -= 1
+        name = _tag_name(written)
+        if top in RAW and not (closing and name == top):
+            continue                                    # stays in the run of text
+        if closing and not is_open[name]:
+            continue
+        gather(text[at:begin])
+        at = m.end()
+        if written in BREAKS:
+            gather(BREAKS[written])
+        elif closing:
+            if is_open[name]:                           # a line may have ended it just now
+                fold(next(i for i, f in enumerate(reversed(stack), 1) if f.tag == name), name)
+            else:
+                gather(written)
+        else:
+            wrong = _misplaced(name, stack[-1].tag)
+            if wrong and error is None:
+                error = (wrong, begin)
+            stack.append(_Frame(name, written, name in ONE_LINE and not to_come[f"[/{name}]"]))
+            is_open[name] += 1
+    gather(text[at:])
+    fold(len(stack) - 1, "")
+    return "".join(stack[0].parts), *(error or (None, None))
+
+
+_PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType()),
+                        T.StructField("error_at", T.IntegerType())])
+
+
+@F.pandas_udf(_PARSED)
+def _tags(texts: pd.Series) -> pd.DataFrame:
+    none = (None, None, None)
+    return pd.DataFrame([none if t is None else render_tags(t) for t in texts], columns=["text", "error", "error_at"]).astype(
+        {"error_at": "Int32"})
+
+
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def parse(body: Column) -> Column:
+    """``struct<text, error, error_at>``: the text with its tags rendered, what is wrong, and where (characters before it);
+    null for a text without tags."""
+    clean = F.translate(F.replace(body, F.lit("\r\n"), F.lit("\n")), BEGIN + END, "")
+    return _tags(F.when(body.rlike(TAG), clean))
 
 
 def _links(c: Column) -> Column:
     def html(m: Column) -> Column:
-        link = F.transform(F.array(m), link_of)
-        return F.element_at(F.transform(link, lambda x: F.concat(F.lit('<a href="'), x["url"], F.lit('">'), x["label"], F.lit("</a>"))), 1)
+        return _let(link_of(m), lambda x: F.concat(F.lit('<a href="'), x["url"], F.lit('">'), x["label"], F.lit("</a>")))
     return replace_each(c, ANY_LINK, html)
 
 
@@ -99,41 +199,40 @@ def _lists(c: Column) -> Column:
             return F.when(cur > 0, item).when(after_list, F.lit(None)).otherwise(s)
         # array_join skips the NULL lines
         return F.array_join(F.transform(lines, render), "\n")
-    # let-binding: split once, bind the result to a lambda variable
-    return F.element_at(F.transform(F.array(F.split(c, "\n")), per_text), 1)
+    return F.when(c.rlike(r"(?m)^\*"), _let(F.split(c, "\n"), per_text)).otherwise(c)
 
 
 def render_segment(c: Column) -> Column:
-    return _lists(_links(_apply(_inline(c), RENDER_RULES)))
+    """Headings, links and lists of a text without tags."""
+    for pattern, html in HEADINGS:
+        c = F.regexp_replace(c, pattern, html)
+    return _let(_let(c, _links), _lists)
+
+
+def _finished(text: Column) -> Column:
+    """The parsed text with its headings, links and lists, outside of protected blocks."""
+    def block(s: Column) -> Column:
+        return F.when(s.startswith(BEGIN), F.translate(s, BEGIN + END, "")).otherwise(render_segment(s))
+    blocks = F.regexp_extract_all(text, F.lit(f"{BEGIN}[^{END}]*+{END}|[^{BEGIN}]++"), 0)
+    return F.when(text.contains(BEGIN), F.array_join(F.transform(blocks, block), "")).otherwise(render_segment(text))
+
+
+def render(body: Column) -> Column:
+    """``struct<markdown, error, error_at>`` of a markup column; a null body has a null markdown."""
+    tags = parse(body)
+    text = F.coalesce(tags["text"], F.translate(F.replace(body, F.lit("\r\n"), F.lit("\n")), BEGIN + END, ""))
+    return F.struct(F.when(body.rlike(RENDER_HINT), _let(text, _finished)).otherwise(body).alias("markdown"),
+                    tags["error"].alias("error"), tags["error_at"].alias("error_at"))
 
 
 def render_markdown(body) -> Column:
-    """Markdown of a markup column; a NULL body stays NULL."""
-    b = body if isinstance(body, Column) else F.col(body)
-    segs = F.regexp_extract_all(F.coalesce(b, F.lit("")), F.lit(_SEGMENTS), 1)
-
-    def one(s):
-        nod = F.regexp_extract(s, r"^\[nodtext\]([\s\S]*)\[/nodtext\]$", 1)
-        code = F.regexp_extract(s, r"^\[code\]([\s\S]*)\[/code\]$", 1)
-        return (F.when(s.startswith("[nodtext]"), nod)
-                .when(s.startswith("[code]"), F.concat(F.lit("```\n"), F.regexp_replace(code, r"\n$", ""), F.lit("\n```")))
-                .otherwise(render_segment(s)))
-    rendered = F.array_join(F.transform(segs, one), "")
-    # a text with none of the characters any rule needs renders as itself: skip the chain.
-    # A NULL body has no markdown (NULL), as a SQL function is not called on NULL input.
-    return F.when(b.isNull(), F.lit(None).cast("string")).when(b.rlike(RENDER_HINT), rendered).otherwise(b)
-
-
-def markup_error(body) -> Column:
-    """What makes a page's markup malformed (null if nothing does): its markdown is then null as well."""
-    text = unprotected(body if isinstance(body, Column) else F.col(body))
-    out = F.when(F.regexp_replace(text, r"\[table\][\s\S]*?\[/table\]", "").rlike(_TABLE_PART), "a table part outside of a table")
-    for what, pattern in ERRORS:
-        out = out.when(text.rlike(pattern), what)
-    return out
+    """Markdown of a markup column; a NULL body stays NULL, and a malformed one has none."""
+    r = render(body if isinstance(body, Column) else F.col(body))
+    return F.when(r["error"].isNull(), r["markdown"])
 
 
 def render_corpus(pages: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
-    """``(id, markdown, error)`` per page; a malformed page has an error and no markdown, and stops nothing."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(body_col).alias("body"), markup_error(body_col).alias("error"))
-    return rows.select("id", F.when(F.col("error").isNull(), render_markdown(F.col("body"))).alias("markdown"), "error")
+    """``(id, markdown, error, error_at)`` per page; a malformed page has an error with its offset in the text (line ends as one
+    character) and no markdown, and stops nothing."""
+    rows = pages.select(F.col(id_col).alias("id"), render(F.col(body_col)).alias("r"))
+    return rows.select("id", F.when(F.col("r.error").isNull(), F.col("r.markdown")).alias("markdown"), "r.error", "r.error_at")

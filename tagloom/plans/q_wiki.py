@@ -243,8 +243,7 @@ def q_links(spark, d):
     return extract_wiki_links(_markup(spark, d))
 
 
-@register("render_corpus", MARKUP_SQL + """
-SELECT id, CASE form WHEN 0 THEN '<h4>' || t || '</h4>' WHEN 1 THEN '<h2 id="sec-' || n || '">' || t || '</h2>'
+_MARKDOWN_SQL = """CASE form WHEN 0 THEN '<h4>' || t || '</h4>' WHEN 1 THEN '<h2 id="sec-' || n || '">' || t || '</h2>'
     WHEN 2 THEN '<a href="' || page || '">' || t || 's</a>'
     WHEN 3 THEN 'see <a href="' || page || '#dtext-history">the ' || s || ' page</a>'
     WHEN 4 THEN '<a href="' || search || '">' || t || '</a>' WHEN 5 THEN '<a href="/posts/' || n || '">' || t || '</a>'
@@ -254,13 +253,29 @@ SELECT id, CASE form WHEN 0 THEN '<h4>' || t || '</h4>' WHEN 1 THEN '<h2 id="sec
     WHEN 8 THEN '<b>' || t || '</b>' || chr(10) || '<b>' || s || '</b> <s>' || t || '</s>'
     WHEN 9 THEN '<table><tr><td>' || t || '</td><th>' || s || '</th></tr></table>'
     WHEN 10 THEN array_to_string(['<ul>', '<li>' || t || '</li>', '<ul>', '<li>' || s || '</li>', '</ul>', '</ul>'], chr(10))
-    WHEN 11 THEN '[u]' || t || '[/u] @' || s END || CASE WHEN form = 10 THEN chr(10) ELSE chr(10) || chr(10) END || rest AS markdown,
-  CASE form WHEN 12 THEN 'a table part outside of a table' END AS error FROM w""")
+    WHEN 11 THEN '[u]' || t || '[/u] @' || s END || CASE WHEN form = 10 THEN chr(10) ELSE chr(10) || chr(10) END || rest"""
+
+
+@register("render_corpus", MARKUP_SQL + "SELECT id, " + _MARKDOWN_SQL + """ AS markdown,
+  CASE form WHEN 12 THEN 'a table part outside of a table' END AS error,
+  CASE form WHEN 12 THEN length('ask @' || s || ' about ')::INT END AS error_at FROM w""")
 def q_render(spark, d):
-    """Markdown and errors of pages in every markup form."""
+    """Markdown, errors and their offsets of pages in every markup form."""
     return render_corpus(_markup(spark, d))
 
 
+@register("build_wiki_markup", MARKUP_SQL + """,
+r AS (SELECT id::INT AS id, CASE WHEN id % 7 = 0 THEN 'help:' ELSE '' END || replace(t, ' ', '_') AS title, """ + _MARKDOWN_SQL + """ AS markdown FROM w),
+c AS (SELECT replace(p_name, ' ', '_') AS name, count(l_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_name),
+mx AS (SELECT name, max(n) AS n FROM c GROUP BY name)
+SELECT id, greatest(n, 1)::INT AS post_count, title, markdown FROM r LEFT JOIN mx ON title = name WHERE NOT starts_with(title, 'help:')""")
+def q_build_wiki_markup(spark, d):
+    """The page table of pages in every markup form, with their markdown (none for malformed ones)."""
+    title = F.concat(F.when(F.col("id") % 7 == 0, "help:").otherwise(""), F.replace("title", F.lit(" "), F.lit("_")))
+    pages = _markup(spark, d).select(F.col("id").cast("int").alias("id"), title.alias("title"), "body")
+    return W.build_wiki(pages, _tags(spark, d)).select("id", "post_count", "title", "markdown")
+
+
 # ---- index and search -------------------------------------------------------------------------
 
 @register("build_search_index", _w(INDEX_CTES) + "SELECT field, term, id, tf, doc_len FROM post")

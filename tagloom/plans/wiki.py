@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.jaro import jaro_winkler_udf
@@ -111,11 +111,18 @@ class IndexOptions:
     strip_accents: bool = True
     stop_words: tuple[str, ...] = STOP_WORDS
 
-    def terms(self, c: F.Column) -> F.Column:
+    def cut(self, c: F.Column) -> F.Column:
+        """What a text is cut into, terms or not."""
         text = F.lower(c)
         if self.strip_accents:
             text = F.translate(text, ACCENTED, PLAIN)
-        return F.filter(F.split(text, self.separator, -1), lambda t: (t != "") & ~t.isin(list(self.stop_words)))
+        return F.split(text, self.separator, -1)
+
+    def is_term(self, t: F.Column) -> F.Column:
+        return (t != "") & ~t.isin(list(self.stop_words))
+
+    def terms(self, c: F.Column) -> F.Column:
+        return F.filter(self.cut(c), self.is_term)
 
     def query_terms(self, query: str) -> list[str]:
         text = query.lower()
@@ -130,18 +137,15 @@ DEFAULT_OPTIONS = IndexOptions()
 def build_search_index(wiki: DataFrame, fields=(TITLE, TEXT), options: IndexOptions = DEFAULT_OPTIONS) -> DataFrame:
     """``postings(field, term, id, tf, doc_len)``; ``doc_len`` counts the terms of all fields.
 
-    ``doc_len`` is a per-row expression and the term counts are a partial aggregate whose keys
-    start with ``id``: a page's tokens are combined map-side in the task that read it, so the
-    shuffle carries postings, not tokens."""
-    doc_len = doc_lengths(fields, options)
-    # one pass: the token arrays of all fields are built in one projection, then exploded field by
-    # field from the same rows (no union branch per field re-reading the pages)
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), options.terms(F.col(f)).alias("toks")) for f in fields])
-    base = wiki.select("id", doc_len.alias("doc_len"), per_field.alias("_f"))
-    rows = (base.select("id", "doc_len", F.explode("_f").alias("_f"))
-            .select("id", "doc_len", F.col("_f.field").alias("field"), F.explode("_f.toks").alias("term")))
-    return (rows.groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
-            .select("field", "term", "id", "tf", "doc_len"))
+    Pages are dealt by ``id`` once; every field is cut once, stop words go as rows, and both the term counts and the
+    page's length (a window over the page's own postings) find the rows already in place. Ids are unique, so no
+    task holds more than its pages."""
+    cut = F.array(*[F.struct(F.lit(f).alias("field"), options.cut(F.col(f)).alias("terms")) for f in fields])
+    rows = (wiki.select("id", *fields).repartition("id").select("id", F.explode(cut).alias("f"))
+            .select("id", F.col("f.field").alias("field"), F.explode("f.terms").alias("term")).where(options.is_term(F.col("term"))))
+    counted = rows.groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    doc_len = F.sum("tf").over(Window.partitionBy("id")).cast("int")
+    return counted.select("field", "term", "id", "tf", doc_len.alias("doc_len"))
 
 
 def doc_lengths(fields=(TITLE, TEXT), options: IndexOptions = DEFAULT_OPTIONS) -> F.Column:
@@ -345,7 +349,6 @@ def batch_query_wiki(wiki: DataFrame, postings: DataFrame, queries: DataFrame, l
     plans with a partial group limit before the shuffle, so a query that matches a third of all
     pages still ships at most ``limit`` rows per task. A query without terms lists the most popular
     pages (the top-k by popularity is computed once and joined on the term count)."""
-    from pyspark.sql import Window
     qt = queries.select(F.col(qid).alias("qid"), F.array_distinct(options.terms(F.col(text))).alias("terms"))
     qt = qt.select("qid", F.size("terms").alias("nq"), "terms")
     qterm = qt.select("qid", "nq", F.explode("terms").alias("term"))

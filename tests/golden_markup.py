@@ -47,9 +47,9 @@ def link_cases():
     yield "search, empty label", "{{boat (toy)|}}", a(SEARCH + "boat (toy)", "boat")
     yield "user", "thanks, @ann_lee-2!", f"thanks, {a(USER + 'ann_lee-2', '@ann_lee-2')}!"
     yield "user after a word", "ann@harbour", "ann" + a(USER + "harbour", "@harbour")
-    yield "user inside a page link", "[[bridge|br@dge]]", a(WIKI + "bridge", "br@dge")
+    yield "user mark inside a label", "[[Old Quay|mail to quay@north]]", a(WIKI + "old_quay", "mail to quay@north")
     yield "user as link text", f'"@ann":{out}', a(out, "@ann")
-    yield "url inside quotes of a url", f'x ""deep":[{out}]" y', f'x "{a(out, "deep")}" y'
+    yield "quoted link inside quotes", f'she wrote ""see the map":[{out}]" twice', f'she wrote "{a(out, "see the map")}" twice'
     yield "two forms side by side", f"[[bridge]] {{{{boat}}}} @ann <{out}>", " ".join(
         [a(WIKI + "bridge", "bridge"), a(SEARCH + "boat", "boat"), a(USER + "ann", "@ann"), a(out, out)])
 

@@ -11,6 +11,8 @@ from tagloom.functions.stem import stem_terms
 from tagloom.functions.text import SKIPPED_NAMESPACES, normalise_text, query_terms
 from tagloom.operators.markup import extract_headings, extract_wiki_links, plain_text
 from tagloom.operators.render import render_corpus
+from tagloom.plans import fuzzy as Z
+from tagloom.plans import topk as T
 from tagloom.plans import wiki as W
 from tagloom.plans.oracle import FIX, sql_list, with_
 from tagloom.plans.registry import register, r6
@@ -67,6 +69,23 @@ def _written(spark, d, w, p):
             "stats": materialize_once(spark, "corpus_stats", inputs, lambda: W.corpus_stats(w))}
 
 
+def _blocks(spark, d, w, p):
+    """The block-max postings, written with the index."""
+    inputs = [f"{d}/{t}.parquet" for t in ("documents", "part", "lineitem")]
+    return materialize_once(spark, "blocks", inputs, lambda: T.block_index(w, p, _written(spark, d, w, p)["stats"]), sort_by=["term", "block"])
+
+
+def _titles(spark, d, w):
+    """The title index: pages by title token, and the tokens' signatures."""
+    inputs = [f"{d}/{t}.parquet" for t in ("documents", "part", "lineitem")]
+    t = materialize_once(spark, "title_postings", inputs, lambda: Z.title_postings(w), sort_by=["token", "id"])
+    return {"titles": t, "tokens": materialize_once(spark, "title_tokens", inputs, lambda: Z.title_tokens(t))}
+
+
+def _questions(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
 def plain_text_sql(expr: str) -> str:
     """Plain text of the documents' own texts, which hold no brackets or quotes: line ends, headings and list marks."""
     out = f"replace({expr}, chr(13) || chr(10), chr(10))"
@@ -365,7 +384,8 @@ def q_title_sim(spark, d):
 SELECT title, post_count, round(title_score, 6) AS title_score FROM sc WHERE title_score >= 0.8
 ORDER BY floor(round(title_score, 6) * 100) DESC, post_count DESC, title, id LIMIT {LIMIT}""")
 def q_query_title(spark, d):
-    return _round_search(W.query_title(_search_tables(spark, d)[0], TITLE_TERMS, LIMIT))
+    w = _search_tables(spark, d)[0]
+    return _round_search(W.query_title(w, TITLE_TERMS, LIMIT, **_titles(spark, d, w)))
 
 
 def query_title_text_sql(search: str, title_terms: list[str], limit: int) -> str:
@@ -380,8 +400,7 @@ ORDER BY floor(round(sc.title_score, 6) * 100) DESC, sc.post_count DESC, sc.titl
 @register("query_title_text", query_title_text_sql(TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT))
 def q_query_title_text(spark, d):
     w, p = _search_tables(spark, d)
-    return _round_search(W.query_title_text(w, p, TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT,
-                                            **_written(spark, d, w, p)))
+    return _round_search(W.query_title_text(w, p, TEXT_SEARCH, TEXT_TITLE_TERMS, LIMIT, **_written(spark, d, w, p), **_titles(spark, d, w)))
 
 
 _RT, _RTT = W.split_search(ROUTE)
@@ -391,7 +410,7 @@ _RT, _RTT = W.split_search(ROUTE)
 def q_route(spark, d):
     """Search-box routing: quoted title terms + free text -> fuzzy-title + text search."""
     w, p = _search_tables(spark, d)
-    return W.route_query(w, p, ROUTE, LIMIT, **_written(spark, d, w, p))
+    return W.route_query(w, p, ROUTE, LIMIT, **_written(spark, d, w, p), **_titles(spark, d, w))
 
 
 @register("fn_query_terms", """
@@ -441,10 +460,9 @@ SELECT qid, CAST(rank AS INTEGER) AS rank, title, post_count, round(t0 + t1, 6)
        round(total, 6) AS total_score
 FROM ranked WHERE rank <= {BATCH_LIMIT}""")
 def q_batch_search(spark, d):
-    """Every benchmark text as a search query, top-5 pages each, in one job."""
+    """Every benchmark text as a search query, top-5 pages each, in one job over block-max postings."""
     w, p = _search_tables(spark, d)
-    qs = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return _round_search(W.batch_query_wiki(w, p, qs, BATCH_LIMIT, **_written(spark, d, w, p)))
+    return _round_search(T.batch_top_k(w, _blocks(spark, d, w, p), _questions(spark, d), limit=BATCH_LIMIT, **_written(spark, d, w, p)))
 
 
 @register("stem_terms")

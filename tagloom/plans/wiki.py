@@ -293,8 +293,17 @@ def title_similarity(wiki: DataFrame, terms: list[str]) -> DataFrame:
     return best.groupBy("id", "title", "post_count").agg((F.sum("sim") / len(terms)).alias("title_score"))
 
 
-def query_title(wiki: DataFrame, terms: list[str], limit: int = 10) -> DataFrame:
-    s = title_similarity(wiki, terms).where(F.col("title_score") >= 0.8)
+def _title_matches(wiki: DataFrame, terms: list[str], titles: DataFrame | None, tokens: DataFrame | None) -> DataFrame:
+    """Pages whose titles pass, from the written title index where there is one."""
+    from tagloom.plans import fuzzy
+    titles = fuzzy.title_postings(wiki) if titles is None else titles
+    return fuzzy.title_matches(titles, fuzzy.title_tokens(titles) if tokens is None else tokens, terms)
+
+
+def query_title(wiki: DataFrame, terms: list[str], limit: int = 10, titles: DataFrame | None = None,
+                tokens: DataFrame | None = None) -> DataFrame:
+    """Fuzzy title search; ``titles`` and ``tokens`` are the written title index (:mod:`tagloom.plans.fuzzy`)."""
+    s = _title_matches(wiki, terms, titles, tokens)
     bucket = F.floor(F.round(F.col("title_score"), 6) * 100)
     return _order_limit(s, [bucket.desc(), F.col("post_count").desc()], limit) \
         .select("title", "post_count", "title_score")
@@ -302,12 +311,12 @@ def query_title(wiki: DataFrame, terms: list[str], limit: int = 10) -> DataFrame
 
 def query_title_text(wiki: DataFrame, postings: DataFrame, search: str, title_terms: list[str],
                      limit: int = 10, dictionary: DataFrame | None = None, stats: DataFrame | None = None,
-                     options: IndexOptions = DEFAULT_OPTIONS) -> DataFrame:
+                     options: IndexOptions = DEFAULT_OPTIONS, titles: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
     """Fuzzy title score >= 0.8 AND a text match (text score > 0.1)."""
     terms = term_list(search, options)
     tx = bm25_scores(wiki, postings, terms, {"tx": BM25(TEXT, 1.2, 0.0)}, dictionary=dictionary, stats=stats) \
         .where(F.col("tx").isNotNull())
-    s = (title_similarity(wiki, title_terms).where(F.col("title_score") >= 0.8)
+    s = (_title_matches(wiki, title_terms, titles, tokens)
          .join(tx.select("id", (F.greatest(F.lit(0.0), F.col("tx")) + 0.1).alias("text_score")), "id")
          .where(F.col("text_score") > 0.1))
     bucket = F.floor(F.round(F.col("title_score"), 6) * 100)
@@ -326,17 +335,30 @@ def split_search(search: str) -> tuple[str, list[str]]:
 
 
 def route_query(wiki: DataFrame, postings: DataFrame, search: str, limit: int = 20,
-                dictionary: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+                dictionary: DataFrame | None = None, stats: DataFrame | None = None, titles: DataFrame | None = None,
+                tokens: DataFrame | None = None) -> DataFrame:
     """Three-way dispatch: title terms + text, title terms only, or blended text search.
     Returns ``(title, post_count)``."""
     text, title_terms = split_search(search)
     if title_terms:
         if text:
-            return query_title_text(wiki, postings, text, title_terms, limit, dictionary, stats).select("title", "post_count")
-        return query_title(wiki, title_terms, limit).select("title", "post_count")
+            found = query_title_text(wiki, postings, text, title_terms, limit, dictionary, stats, titles=titles, tokens=tokens)
+        else:
+            found = query_title(wiki, title_terms, limit, titles, tokens)
+        return found.select("title", "post_count")
     return query_wiki(wiki, postings, text, limit, dictionary=dictionary, stats=stats).select("title", "post_count")
 
 
+def popular_for_empty(pages: DataFrame, queries: DataFrame, limit: int, qid: str, text: str, options: IndexOptions) -> DataFrame:
+    """``(qid, id, title, post_count, t0, t1, text_score, total)``: queries without terms match every page, so the most popular
+    ones rank. That list (at most ``limit`` rows) is one scalar array, inlined into each empty query: a generator, not a join."""
+    t0 = F.lit(0.1)
+    total = t0 + t0 + t0 * F.log10("post_count")
+    popular = (pages.select("id", "title", "post_count", t0.alias("t0"), t0.alias("t1"), t0.alias("text_score"), total.alias("total"))
+               .orderBy(F.col("total").desc(), "title", "id").limit(limit))
+    top = popular.select(F.collect_list(F.struct(*popular.columns)).alias("top")).scalar()
+    return queries.where(F.size(options.terms(F.col(text))) == 0).select(F.col(qid).alias("qid"), F.inline(top))
+
 
 def batch_query_wiki(wiki: DataFrame, postings: DataFrame, queries: DataFrame, limit: int = 10,
                      qid: str = "qid", text: str = "text", dictionary: DataFrame | None = None,
@@ -377,14 +399,7 @@ def batch_query_wiki(wiki: DataFrame, postings: DataFrame, queries: DataFrame, l
                 .select("qid", "id", "title", "post_count", t0.alias("t0"), t1.alias("t1"), tx.alias("text_score"))
                 .where((F.col("t0") > 0.1) | (F.col("t1") > 0.1) | (F.col("text_score") > 0.1)))
     total = F.col("t0") + F.col("t1") + F.col("text_score") * F.log10("post_count")
-    # queries without terms: every page qualifies, so only the global top-k by popularity can rank.
-    # That list (at most ``limit`` rows) is one scalar array, inlined into each empty query: a
-    # generator, not a join.
-    popular = (pages.select("id", "title", "post_count", F.lit(0.1).alias("t0"), F.lit(0.1).alias("t1"),
-                            F.lit(0.1).alias("text_score"))
-               .orderBy(total.desc(), "title", "id").limit(limit))
-    top = popular.select(F.collect_list(F.struct(*popular.columns)).alias("top")).scalar()
-    empty = qt.where(F.col("nq") == 0).select("qid", F.inline(top))
+    empty = popular_for_empty(pages, queries, limit, qid, text, options).drop("total")
     rows = hit_rows.unionByName(empty).withColumn("total_score", total)
     win = Window.partitionBy("qid").orderBy(F.col("t0").desc(), F.col("total_score").desc(), "title", "id")
     return (rows.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= limit)

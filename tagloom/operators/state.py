@@ -15,6 +15,8 @@ appends and out-of-order arrival give the same answer, and every reduction is a
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +106,49 @@ def drop_cache_by_dataset(cache: DataFrame, members: DataFrame, dataset: str | N
             members.where(F.col("dataset") != dataset))
 
 
+# ---- the cache as a table with a partition per model ------------------------------------------
+
+CACHE_SCHEMA = "hash string, data string, n_bytes int, repo_name string"
+
+
+def write_cache(cache: DataFrame, path: str) -> None:
+    """The cache as Parquet, one partition per model: a model's deletion touches its own files alone."""
+    cache.select("hash", "data", "n_bytes", "repo_name").repartition("repo_name", F.xxhash64("hash") % 16).write.partitionBy("repo_name").parquet(path)
+
+
+def read_cache(spark, path: str) -> DataFrame:
+    return spark.read.schema(CACHE_SCHEMA).parquet(path)
+
+
+def drop_repo_partition(spark, path: str, repo: str) -> bool:
+    """Delete one model's rows in place: its partition is overwritten by an empty one; no other file is read or written.
+    False if the table has no such model."""
+    rows = read_cache(spark, path)
+    at = rows.where(F.col("repo_name") == repo).select("_metadata.file_path").limit(1).collect()
+    if not at:
+        return False
+    folder = unquote(at[0]["file_path"]).rpartition("/")[0]
+    spark.createDataFrame([], rows.drop("repo_name").schema).write.mode("overwrite").parquet(folder)
+    return True
+
+
+def drop_dataset_rows(spark, path: str, members: DataFrame, dataset: str | None) -> list[str]:
+    """Delete the rows that only ``dataset`` uses, in place: the partitions of the models that have such rows are written anew (a
+    dynamic partition overwrite), the others stay as they are. Returns those models: at most all of them, a short list."""
+    if dataset is None:
+        return []
+    gone = exclusive_hashes(members, dataset)
+    rows = read_cache(spark, path)
+    touched = [r["repo_name"] for r in rows.join(gone, "hash", "left_semi").select("repo_name").distinct().collect()]
+    kept = rows.where(F.col("repo_name").isin(touched)).join(gone, "hash", "left_anti")
+    left = {r["repo_name"] for r in kept.select("repo_name").distinct().collect()}
+    if left:
+        kept.select(*rows.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_name").parquet(path)
+    for repo in set(touched) - left:
+        drop_repo_partition(spark, path, repo)
+    return sorted(touched)
+
+
 # ---- history ---------------------------------------------------------------------------------
 
 def record_run(history: DataFrame, dataset: str, seq: int | None = None, keep: int = 10) -> DataFrame:

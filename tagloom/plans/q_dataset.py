@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.text import BREAK, split_tags, strip_rating_prefix
 from tagloom.operators import tags as T
+from tagloom.operators import bitmaps as B
 from tagloom.operators.stats import filter_by_tags, tag_facets, decode_scores, decode_caption_scores
 from tagloom.operators.tags import TagSettings, csv_list
 from tagloom.plans import dataset as D
@@ -13,6 +14,7 @@ from tagloom.plans.oracle import kept_ctes, rus, sql_list, with_
 from tagloom.plans.registry import register, r6
 from tagloom.session import materialize_once
 from tagloom.sources import fixtures as X
+from tagloom.sources.tables import table
 
 DEFAULT = TagSettings()
 # Fixed query parameters of the registered rule queries (tags of the fixture vocabulary).
@@ -306,6 +308,49 @@ def q_filter_by_tags(spark, d):
     return filter_by_tags(D.captions(_pred(spark, d), DEFAULT), SELECTED)
 
 
+# Selections of tags: every product name alone, the first two names of every size together, one tag that no file has, none.
+_SELECTIONS = """,
+words AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, p_name AS b FROM part),
+sel AS (SELECT b AS selection, [b] AS tags FROM words UNION ALL SELECT a, (list(b ORDER BY b))[1:2] FROM words GROUP BY a
+        UNION ALL SELECT 'absent', ['no such tag'] UNION ALL SELECT '', []::VARCHAR[]),
+ct AS (SELECT file_id, list_distinct(list_transform(string_split(caption, ','), lambda x: trim(x))) AS tags FROM cap),
+hits AS (SELECT selection, ct.file_id, ct.tags FROM sel, ct WHERE list_has_all(ct.tags, sel.tags))"""
+
+
+def _bitmaps(spark, d):
+    inputs = [f"{d}/{t}.parquet" for t in ("lineitem", "part")]
+    return materialize_once(spark, "tag-bitmaps", inputs, lambda: B.tag_bitmaps(D.captions(_pred(spark, d), DEFAULT)), sort_by=["tag", "bucket"])
+
+
+def _selections(spark, d):
+    p = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.col("p_name").alias("b")).distinct()
+    pairs = p.groupBy(F.col("a").alias("selection")).agg(F.slice(F.array_sort(F.collect_set("b")), 1, 2).alias("tags"))
+    return (p.select(F.col("b").alias("selection"), F.array("b").alias("tags")).unionByName(pairs)
+            .unionByName(spark.createDataFrame([("absent", ["no such tag"]), ("", [])], "selection string, tags array<string>")))
+
+
+@register("filter_by_selections", with_("pred", extra=caption_ctes() + _SELECTIONS) + "SELECT selection, file_id FROM hits")
+def q_filter_by_selections(spark, d):
+    """The files of many tag selections at once, from bitmaps."""
+    return B.selected_files(B.selected_bitmaps(_bitmaps(spark, d), _selections(spark, d)))
+
+
+@register("selection_counts", with_("pred", extra=caption_ctes() + _SELECTIONS) + """
+SELECT selection, count(file_id) AS n_files FROM sel LEFT JOIN hits USING (selection) GROUP BY selection""")
+def q_selection_counts(spark, d):
+    """How many files each selection has (none: 0), as bit counts."""
+    s = _selections(spark, d)
+    return B.selection_counts(B.selected_bitmaps(_bitmaps(spark, d), s), s)
+
+
+@register("selection_facets", with_("pred", extra=caption_ctes() + _SELECTIONS) + """
+SELECT selection, t.tag, count(*) AS n_files FROM hits, unnest(hits.tags) t(tag) GROUP BY selection, t.tag""")
+def q_selection_facets(spark, d):
+    """The tags of each selection's files with their number of files, from bitmaps."""
+    b = _bitmaps(spark, d)
+    return B.selection_facets(b, B.selected_bitmaps(b, _selections(spark, d)))
+
+
 @register("drop_blank_tags", with_("captions") + """
 SELECT file_id, list_filter(list_transform(string_split(caption, ','), lambda x: trim(x)), lambda x: length(x) > 0) AS tags
 FROM captions""")

@@ -14,6 +14,7 @@ from tagloom.plans import dataset as D
 from tagloom.plans.oracle import FIX, with_
 from tagloom.plans.q_dataset import caption_ctes
 from tagloom.plans.registry import register
+from tagloom.session import materialize
 from tagloom.sources import fixtures as X
 from tagloom.sources.readers import read_labels
 from tagloom.sources.tables import table
@@ -204,6 +205,39 @@ def q_score_files(spark, d):
     return done.select("file_id", *[F.round(F.col("scores")[i].cast("double"), 4).alias(f"s{i}") for i in (0, 1)])
 
 
+def _share_model(repo):
+    """A deterministic model: three labels from the length, its parity and the repository's name."""
+    import numpy as np
+    return lambda contents: np.array([[len(c) % 89 / 89, len(c) % 2, len(repo) / 100] for c in contents], dtype=np.float32).reshape(-1, 3)
+
+
+def _length_of(repo):
+    return _length_model()
+
+
+@register("score_files_models", """
+WITH f AS (SELECT page_id, html, octet_length(encode(html)) AS n FROM pages)
+SELECT page_id AS file_id, 'length/v1' AS repo_name, round(n % 97 / 97.0, 4) AS s0, round(CASE WHEN html = '' THEN 0 ELSE ascii(html) END / 255.0, 4) AS s1,
+  NULL::DOUBLE AS s2 FROM f
+UNION ALL SELECT page_id, 'share/two', round(n % 89 / 89.0, 4), round(n % 2, 4), 0.09 FROM f""")
+def q_score_files_models(spark, d):
+    """Every page as a file, listed, hashed and scored by two models that a registry finds by their prefixes; contents are read
+    only where they are scored."""
+    from tagloom.operators.models import ModelRegistry, score_listed
+    from tagloom.sources.folder import read_contents, scan_image_folder
+    registry = ModelRegistry({"length/": _length_of, "share/": _share_model})
+    files = materialize(scan_image_folder(spark, _page_folder(spark, d), check_decodable=False), "listed")
+    none = spark.createDataFrame([], "hash string, repo_name string, scores array<float>")
+    read = lambda m: read_contents(m.join(files.select("path", "folder"), "path"))
+    out = None
+    for repo in ("length/v1", "share/two"):
+        done, _ = score_listed(files, none, repo, registry, read)
+        at = lambda i: F.round(F.get("scores", F.lit(i)).cast("double"), 4).alias(f"s{i}")
+        rows = done.select(F.col("stem").cast("long").alias("file_id"), F.lit(repo).alias("repo_name"), at(0), at(1), at(2))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("typed_settings", with_("settings_log") + """,
 k AS (SELECT dataset, CASE key WHEN 'click' THEN 'general_thresh' WHEN 'view' THEN 'character_thresh' WHEN 'purchase' THEN 'model_repo' ELSE key END AS key,
              arg_max(value, seq) AS value FROM settings_log GROUP BY ALL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tagloom.operators import state as S
 from tagloom.plans.oracle import with_
 from tagloom.plans.registry import register
+from tagloom.session import ensure_checkpoint_dir
 from tagloom.sources import fixtures as X
 
 # Fixed query parameters.
@@ -133,6 +135,30 @@ def q_drop_repo(spark, d):
     return S.drop_cache_by_repo(_cache(spark, d), REPO).select("hash", "repo_name")
 
 
+def _written_cache(spark, d):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/cache-{uuid.uuid4().hex}"
+    S.write_cache(_cache(spark, d), path)
+    return path
+
+
+@register("drop_repo_partition", with_("cache_log", extra=CACHE_CTES[2:]) + f"""
+SELECT hash, repo_name FROM cache WHERE repo_name <> '{REPO}'""")
+def q_drop_partition(spark, d):
+    """A model's rows deleted in place from the written cache: its partition alone is overwritten."""
+    path = _written_cache(spark, d)
+    S.drop_repo_partition(spark, path, REPO)
+    return S.read_cache(spark, path).select("hash", "repo_name")
+
+
+@register("drop_dataset_partitions", with_("cache_log", extra=CACHE_CTES[2:]) + f"""
+SELECT hash, repo_name FROM cache WHERE hash NOT IN ({EXCL})""")
+def q_drop_dataset_partitions(spark, d):
+    """A dataset's own rows deleted in place from the written cache: the partitions that hold such rows are overwritten."""
+    path = _written_cache(spark, d)
+    S.drop_dataset_rows(spark, path, _mem(spark, d), DATASET)
+    return S.read_cache(spark, path).select("hash", "repo_name")
+
+
 @register("history_trim", with_("history_log") + "SELECT seq, dataset FROM history_log ORDER BY seq DESC LIMIT 10")
 def q_history_trim(spark, d):
     return S.history_trim(X.history_log(spark, d))

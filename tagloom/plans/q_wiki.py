@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from tagloom.functions.jaro import jaro_winkler_udf
+from tagloom.functions.search import register_search
 from tagloom.functions.stem import stem_terms
 from tagloom.functions.text import SKIPPED_NAMESPACES, normalise_text, query_terms
 from tagloom.operators.markup import extract_headings, extract_wiki_links, plain_text
@@ -341,6 +342,24 @@ def q_query_wiki(spark, d):
     return _round_search(W.query_wiki(w, p, SEARCH, LIMIT, **_written(spark, d, w, p)))
 
 
+@register("sql_match_bm25", query_wiki_sql(SEARCH, LIMIT))
+def q_sql_match(spark, d):
+    """The blended search written in SQL text, with the index behind a table function."""
+    w, p = _search_tables(spark, d)
+    register_search(spark, p, **_written(spark, d, w, p))
+    w.createOrReplaceTempView("wiki_pages")
+    return spark.sql(f"""
+        WITH scored AS (
+            SELECT id, title, post_count, greatest(0.1D, a.score) AS t0, greatest(0.1D, b.score) AS t1, greatest(0.0D, c.score) + 0.1D AS tx
+            FROM wiki_pages w
+            LEFT JOIN match_bm25('{SEARCH}', fields => 'search_title', k => 0.0D, b => 0.5D, conjunctive => 1) a USING (id)
+            LEFT JOIN match_bm25('{SEARCH}', fields => 'search_title', k => 0.0D, b => 0.5D) b USING (id)
+            LEFT JOIN match_bm25('{SEARCH}', fields => 'search_text', k => 1.2D, b => 0.0D) c USING (id))
+        SELECT title, post_count, round(t0 + t1, 6) AS title_score, round(tx, 6) AS text_score, round(t0 + t1 + tx * log10(post_count), 6) AS total_score
+        FROM scored WHERE t0 > 0.1D OR t1 > 0.1D OR tx > 0.1D
+        ORDER BY t0 DESC, t0 + t1 + tx * log10(post_count) DESC, title, id LIMIT {LIMIT}""")
+
+
 @register("query_wiki_stop_words", query_wiki_sql(STOP_SEARCH, LIMIT))
 def q_query_wiki_stop(spark, d):
     """Stop words alone are no terms: nothing is found."""

@@ -18,7 +18,7 @@ from tagloom.session import materialize
 from tagloom.sources import fixtures as X
 from tagloom.sources.readers import read_labels
 from tagloom.sources.tables import table
-from tagloom.streaming.incremental import latest_settings, stream_incremental_scores, stream_latest_settings
+from tagloom.streaming.incremental import latest_settings, stream_incremental_scores, stream_latest_settings, streamed_scores
 
 # Fixed query parameters.
 WL_TAGS = "widget, bolt"
@@ -324,8 +324,7 @@ cache AS (SELECT hash, repo_name, arg_min(data, seq) AS data, CAST(strlen(arg_mi
 def q_stream_scores(spark, d):
     """Incremental cache fill as a stream over the events files (equals the batch
     ``insert_cache``; checked in tests)."""
-    path = stream_incremental_scores(spark, d)
-    return spark.read.parquet(path).select("hash", "repo_name", "data", "n_bytes")
+    return streamed_scores(spark, stream_incremental_scores(spark, d))
 
 
 @register("stream_latest_settings", with_("settings_log") + """

@@ -1,10 +1,11 @@
 """Structured Streaming versions of the incremental state jobs.
 
-Re-running a folder only scores content that is not cached yet (first writer wins). As a stream:
-new score rows arrive as files; every micro-batch is reduced to one row per (hash, repo_name) and
-appended only where the key is not in the cache table yet (``foreachBatch`` anti-join). The table
-itself is the state, so the streaming query keeps no unbounded in-memory dedupe state, and a
-restarted query resumes from its checkpoint (exactly-once appends per batch id).
+Re-running a folder only scores content that is not cached yet (first writer wins). As a stream: new score rows arrive as files,
+and keyed state remembers for every (hash, repo_name) the least sequence number that was written. A row that isn't older than
+that is dropped in the state operator; what is left, new keys and writes that turn out to be earlier, is appended as the
+batch's version. No batch reads what earlier ones wrote. The state expires when a key hasn't come for ``expiry``: a
+repeat after that is appended once more, and the reader takes the earliest write per key, so results never depend on the expiry
+or on the order in which files arrive. A replayed batch overwrites its own version.
 
 Paths live under the cluster's shared ``spark.checkpoint.dir`` (never a machine-local folder).
 """
@@ -12,9 +13,12 @@ Paths live under the cluster's shared ``spark.checkpoint.dir`` (never a machine-
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagloom.operators.state import insert_cache
 from tagloom.session import ensure_checkpoint_dir
@@ -31,38 +35,59 @@ def _cache_rows(events: DataFrame) -> DataFrame:
                          F.col("event_id").alias("seq"))
 
 
+_SCORE_ROW = "hash string, repo_name string, data string, seq bigint"
+_LEAST_SEQ = "seq bigint"
+EXPIRY_MS = 7 * 24 * 3600 * 1000
+
+
+def _earliest(expiry_ms: int):
+    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The earliest write of a key in this batch, if it is earlier than all that were seen."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None
+        for part in rows:
+            at = part["seq"].idxmin()
+            if best is None or part.at[at, "seq"] < best["seq"].iloc[0]:
+                best = part.loc[[at]]
+        if not state.exists or best["seq"].iloc[0] < state.get[0]:
+            state.update((int(best["seq"].iloc[0]),))
+            yield best[["hash", "repo_name", "data", "seq"]]
+        else:
+            state.update(state.get)
+        state.setTimeoutTimestamp(int(best["arrived"].iloc[0].timestamp() * 1000) + expiry_ms)
+    return step
+
+
 def stream_incremental_scores(spark: SparkSession, source_dir: str, table_path: str | None = None,
-                              max_files_per_trigger: int = 1, glob: str = "events*.parquet", buckets: int = 64) -> str:
+                              max_files_per_trigger: int = 1, glob: str = "events*.parquet", expiry_ms: int = EXPIRY_MS) -> str:
     """Run the incremental cache fill over every file in ``source_dir`` (events schema) until no
-    input is left (``availableNow``); returns the cache table path.
-
-    The table is partitioned by a hash bucket of the key. A micro-batch reads the buckets that its own keys fall in
-    and no others: the filter is a list of at most ``buckets`` numbers, pruned at planning."""
+    input is left (``availableNow``); returns the path of the versions, which :func:`streamed_scores` reads."""
     table_path = table_path or _work_dir(spark, "cache")
     ckpt = table_path + "_ckpt"
-    bucket = F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int").alias("bucket")
-    schema = "hash string, repo_name string, data string, n_bytes int, bucket int"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):     # else the stream goes on
-        spark.createDataFrame([], schema).write.partitionBy("bucket").parquet(table_path)
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        new = insert_cache(batch).select("*", bucket)
-        touched = [r["bucket"] for r in batch.select(bucket).distinct().collect()]
-        existing = spark.read.schema(schema).parquet(table_path).where(F.col("bucket").isin(touched))
-        # a batch replayed after a failure re-reads the table first, so keys it already appended are
-        # anti-joined away: the append is idempotent per batch
-        fresh = new.join(existing.select("bucket", "hash", "repo_name"), ["bucket", "hash", "repo_name"], "left_anti")
-        fresh.write.mode("append").partitionBy("bucket").parquet(table_path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
 
     src = (spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", max_files_per_trigger)
            .option("pathGlobFilter", glob).parquet(source_dir))
-    q = (_cache_rows(src).writeStream.foreachBatch(upsert).option("checkpointLocation", ckpt)
+    # time of arrival, the same for all rows of a batch: no row is ever late, the expiry alone looks at it
+    rows = _cache_rows(src).withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "1 minute")
+    firsts = rows.groupBy("hash", "repo_name").applyInPandasWithState(
+        _earliest(expiry_ms), _SCORE_ROW, _LEAST_SEQ, "update", GroupStateTimeout.EventTimeTimeout)
+    q = (firsts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return table_path
 
 
+def streamed_scores(spark: SparkSession, table_path: str) -> DataFrame:
+    """``(hash, repo_name, data, n_bytes)`` from the stream's versions: the earliest write of each key."""
+    rows = spark.read.schema(_SCORE_ROW + ", version bigint").parquet(table_path)
+    return insert_cache(rows)
+
+
 def stream_latest_settings(spark: SparkSession, source_dir: str, table_path: str | None = None,
                            glob: str = "events*.parquet") -> str:
     """Last write per (dataset, key) as a streaming aggregation (``max_by`` over the sequence

@@ -1,11 +1,11 @@
 """Structured Streaming versions of the incremental state jobs.
 
 Re-running a folder only scores content that is not cached yet (first writer wins). As a stream: new score rows arrive as files,
-and keyed state remembers for every (hash, repo_name) the least sequence number that was written. A row that isn't older than
-that is dropped in the state operator; what is left, new keys and writes that turn out to be earlier, is appended as the
-batch's version. No batch reads what earlier ones wrote. The state expires when a key hasn't come for ``expiry``: a
-repeat after that is appended once more, and the reader takes the earliest write per key, so results never depend on the expiry
-or on the order in which files arrive. A replayed batch overwrites its own version.
+and keyed state (a streaming aggregation) remembers the earliest write of every (hash, repo_name) and when it arrived. New
+keys, and writes that turn out to be earlier, are appended as the batch's version; repeats are not. No batch reads what
+earlier ones wrote. The state expires by windows of ``expiry`` over the time of arrival: a repeat in a later window is
+appended once more, and the reader takes the earliest write per key, so results never depend on the expiry or on the order
+in which files arrive. A replayed batch overwrites its own version.
 
 Paths live under the cluster's shared ``spark.checkpoint.dir`` (never a machine-local folder).
 """
@@ -13,12 +13,9 @@ Paths live under the cluster's shared ``spark.checkpoint.dir`` (never a machine-
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagloom.operators.state import insert_cache
 from tagloom.session import ensure_checkpoint_dir
@@ -36,46 +33,27 @@ def _cache_rows(events: DataFrame) -> DataFrame:
 
 
 _SCORE_ROW = "hash string, repo_name string, data string, seq bigint"
-_LEAST_SEQ = "seq bigint"
-EXPIRY_MS = 7 * 24 * 3600 * 1000
-
-
-def _earliest(expiry_ms: int):
-    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """The earliest write of a key in this batch, if it is earlier than all that were seen."""
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = None
-        for part in rows:
-            at = part["seq"].idxmin()
-            if best is None or part.at[at, "seq"] < best["seq"].iloc[0]:
-                best = part.loc[[at]]
-        if not state.exists or best["seq"].iloc[0] < state.get[0]:
-            state.update((int(best["seq"].iloc[0]),))
-            yield best[["hash", "repo_name", "data", "seq"]]
-        else:
-            state.update(state.get)
-        state.setTimeoutTimestamp(int(best["arrived"].iloc[0].timestamp() * 1000) + expiry_ms)
-    return step
+EXPIRY = "7 days"
 
 
 def stream_incremental_scores(spark: SparkSession, source_dir: str, table_path: str | None = None,
-                              max_files_per_trigger: int = 1, glob: str = "events*.parquet", expiry_ms: int = EXPIRY_MS) -> str:
+                              max_files_per_trigger: int = 1, glob: str = "events*.parquet", expiry: str = EXPIRY) -> str:
     """Run the incremental cache fill over every file in ``source_dir`` (events schema) until no
     input is left (``availableNow``); returns the path of the versions, which :func:`streamed_scores` reads."""
     table_path = table_path or _work_dir(spark, "cache")
     ckpt = table_path + "_ckpt"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
+        # the batch's keys: those whose earliest write arrived just now are new or corrected, the others were written before
+        fresh = batch.where(F.col("first.arrived") == F.col("last"))
+        fresh.select("hash", "repo_name", "first.data", "first.seq").write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
 
     src = (spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", max_files_per_trigger)
            .option("pathGlobFilter", glob).parquet(source_dir))
-    # time of arrival, the same for all rows of a batch: no row is ever late, the expiry alone looks at it
+    # time of arrival, the same for all rows of a batch: no row is ever late, only the state's expiry looks at it
     rows = _cache_rows(src).withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "1 minute")
-    firsts = rows.groupBy("hash", "repo_name").applyInPandasWithState(
-        _earliest(expiry_ms), _SCORE_ROW, _LEAST_SEQ, "update", GroupStateTimeout.EventTimeTimeout)
+    firsts = (rows.groupBy(F.window("arrived", expiry), "hash", "repo_name")
+              .agg(F.min(F.struct("seq", "arrived", "data")).alias("first"), F.max("arrived").alias("last")))
     q = (firsts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -4,9 +4,13 @@ A document's set holds its distinct five-word shingles; equal sets collapse to o
 a node's documents are branched by the least shingle under a hash function that the path selects, so a pair of Jaccard
 similarity J stays together for d levels with probability J^d. Every tree starts with ``FIRST_DEPTH`` levels; nodes with
 more documents or shingles than a node may hold branch on, level by level, and small nodes are compared exhaustively.
+Before they branch, the documents of large nodes meet a few leaders: each joins the cell of the leader whose sketch is
+nearest, and cells, of bounded size, are confirmed on full sets. Documents of one confirmed component are never
+compared with each other again: a node is only followed while it holds two components or more.
 There are ``TREES`` trees, or more, as ``trees_at`` has it; documents of large nodes enter further trees at each level, so
-that a pair at the threshold stays together in one tree with a probability of 1 - ``MISSED`` at any depth. Nodes that
-stay too large down to ``LAST_DEPTH`` are compared in pairs of blocks.
+that a pair at the threshold stays together in one tree with a probability of 1 - ``MISSED`` at any depth. Of nodes that
+stay too large down to ``LAST_DEPTH``, the members outside of the largest component meet its blocks; if those are many as
+well, the node is compared in pairs of blocks.
 
 Nodes first compare sketches (the same minima, one byte each) with a margin of five standard errors. That gives cells:
 a connected set of candidates is one cell if it is small, else its nodes are. Only then do full shingle sets travel,
@@ -26,8 +30,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tagloom.llm.common import blob, kept_table, map_batches, mix, utf8, window_hashes, word_hashes
 
@@ -35,6 +40,7 @@ SHINGLE, PERCENT = 5, 85
 FUNCTIONS, TREES, FIRST_DEPTH, LAST_DEPTH = 256, 20, 4, 10
 MISSED, MARGIN = 1e-4, 5        # of pairs at the threshold, at most; standard errors
 NODE_ROWS, NODE_SHINGLES = 1000, 4_000_000
+LEADERS, LEADER_TREES, LEADER_ROUNDS, CELL = 16, 4, 3, 256
 HELD_STARS = 200_000            # that a task holds before it passes them on
 
 _draw = np.random.default_rng(20240501)
@@ -100,7 +106,8 @@ def sketches(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, n_shingles, print1, print2, least`` for every row: set size, 128-bit fingerprint of the set, minima."""
+    """``doc, n_shingles, print1, print2, least, digest`` for every row: set size, 128-bit fingerprint of the set, minima, and the
+    text's SHA-256."""
     def run(batch: pa.RecordBatch):
         n, one, two, least = [], [], [], []
         for text in blob(batch.column(1)):
@@ -117,71 +124,176 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 least.append(None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-             pa.array(least, pa.binary())], ["doc", "n_shingles", "print1", "print2", "least"])
+             pa.array(least, pa.binary()), batch.column(2)], ["doc", "n_shingles", "print1", "print2", "least", "digest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("doc"), utf8(text_col).alias("text")), run,
-                       f"doc {kind}, n_shingles long, print1 long, print2 long, least binary")
-
-
-def _sizes(rows: DataFrame, node_rows: int, node_shingles: int) -> DataFrame:
-    """``rows`` of nodes with two documents or more, with ``n`` and whether the node is small enough to compare."""
-    w = Window.partitionBy("node")
-    return (rows.withColumns({"n": F.count(F.lit(1)).over(w), "load": F.sum("n_shingles").over(w)}).filter("n > 1")
-            .withColumn("small", (F.col("n") <= node_rows) & ((F.col("load") <= node_shingles) | (F.col("n") == 2)))
-            .drop("load"))
-
-
-def leaves(reps: DataFrame, node_rows: int = NODE_ROWS, node_shingles: int = NODE_SHINGLES,
-           first: int = FIRST_DEPTH, last: int = LAST_DEPTH, percent: int = PERCENT) -> DataFrame:
-    """``node, doc, n_shingles``: the trees' nodes that are to be compared exhaustively."""
-    def paths(depth: int, trees: range | None):
-        def run(batch: pa.RecordBatch):
-            least = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
-            if trees is None:       # each row has its tree
-                tree = batch.column(3).to_numpy(zero_copy_only=False)
-                node = np.empty(len(least), np.uint64)
-                for t in np.unique(tree):
-                    at = tree == t
-                    node[at] = node_keys(least[at], depth, range(t, t + 1))[:, 0]
-                doc, n = batch.column(0), batch.column(1)
-            else:
-                node = node_keys(least, depth, trees).ravel()
-                tree = np.tile(np.array(trees), len(least))
-                at = pa.array(np.repeat(np.arange(len(least)), len(trees)))
-                doc, n = batch.column(0).take(at), batch.column(1).take(at)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(tree.astype(np.int32)), doc, n],
-                                             ["node", "tree", "doc", "n_shingles"])
-        return run
-
-    kind = reps.schema["doc"].dataType.simpleString()
-    schema = f"node long, tree int, doc {kind}, n_shingles long"
+    src = docs.select(F.col(id_col).alias("doc"), utf8(text_col).alias("text"), text_digest(text_col).alias("digest"))
+    return map_batches(src, run, f"doc {kind}, n_shingles long, print1 long, print2 long, least binary, digest string")
+
+
+def text_digest(text_col: str) -> F.Column:
+    """What tells the rows of one id apart: the text's digest (null: that of the empty text)."""
+    return F.sha2(F.coalesce(utf8(text_col), F.lit(b"")), 256)
+
+
+def _sizes(rows: DataFrame, known: DataFrame | None, node_rows: int, node_shingles: int) -> DataFrame:
+    """``rows`` of nodes with two components or more, with their component and whether the node is small enough to compare."""
+    if known is None:
+        placed = rows.withColumn("comp", F.col("doc"))
+    else:
+        placed = rows.join(known, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    each = (placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("load"), F.min("comp").alias("lo"),
+                                       F.max("comp").alias("hi")).filter("lo != hi"))
+    small = (F.col("n") <= node_rows) & ((F.col("load") <= node_shingles) | (F.col("n") == 2))
+    return placed.join(each.select("node", "n", small.alias("small")), "node")
+
+
+def node_paths(kind: str, depth: int, trees: range | None):
+    """Rows of minima to ``node, tree, doc, n_shingles``: one for each tree, or for the tree that a row names."""
+    def run(batch: pa.RecordBatch):
+        least = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
+        if trees is None:       # each row has its tree
+            tree = batch.column(3).to_numpy(zero_copy_only=False)
+            node = np.empty(len(least), np.uint64)
+            for t in np.unique(tree):
+                at = tree == t
+                node[at] = node_keys(least[at], depth, range(t, t + 1))[:, 0]
+            doc, n = batch.column(0), batch.column(1)
+        else:
+            node = node_keys(least, depth, trees).ravel()
+            tree = np.tile(np.array(trees), len(least))
+            at = pa.array(np.repeat(np.arange(len(least)), len(trees)))
+            doc, n = batch.column(0).take(at), batch.column(1).take(at)
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(tree.astype(np.int32)), doc, n],
+                                         ["node", "tree", "doc", "n_shingles"])
+    return run, f"node long, tree int, doc {kind}, n_shingles long"
+
+
+def first_level(reps: DataFrame, first: int = FIRST_DEPTH, percent: int = PERCENT) -> DataFrame:
+    src = reps.select("doc", "n_shingles", "least")
+    return kept_table(map_batches(src, *node_paths(_kind(reps, "doc"), first, range(trees_at(first, percent)))), "paths")
+
+
+def leaves(reps: DataFrame, node_rows: int = NODE_ROWS, node_shingles: int = NODE_SHINGLES, first: int = FIRST_DEPTH,
+           last: int = LAST_DEPTH, percent: int = PERCENT, start: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """``node, doc, n_shingles, comp``: the trees' nodes that are to be compared exhaustively. ``known`` places documents in
+    components that are confirmed already (``doc, comp``); nodes of one component alone are left out."""
+    kind, out = _kind(reps, "doc"), ("node", "doc", "n_shingles", "comp")
     src = reps.select("doc", "n_shingles", "least")
     trees = trees_at(first, percent)
-    level = kept_table(_sizes(map_batches(src, paths(first, range(trees)), schema), node_rows, node_shingles), "paths")
-    done = level.filter("small").select("node", "doc", "n_shingles")
+    start = first_level(reps, first, percent) if start is None else start
+    level = kept_table(_sizes(start, known, node_rows, node_shingles), "paths")
+    done = level.filter("small").select(*out)
     for depth in range(first + 1, last + 1):
         large = level.filter("not small")
         if large.isEmpty():
             return done
         deeper = large.select("doc", "tree").join(src, "doc").select("doc", "n_shingles", "least", "tree")
-        nodes, more = map_batches(deeper, paths(depth, None), schema), trees_at(depth, percent)
+        nodes, more = map_batches(deeper, *node_paths(kind, depth, None)), trees_at(depth, percent)
         if more > trees:
             again = src.join(large.select("doc").distinct(), "doc", "left_semi").select("doc", "n_shingles", "least")
-            nodes = nodes.unionByName(map_batches(again, paths(depth, range(trees, more)), schema))
+            nodes = nodes.unionByName(map_batches(again, *node_paths(kind, depth, range(trees, more))))
             trees = more
-        level = kept_table(_sizes(nodes, node_rows, node_shingles), "paths")
-        done = done.unionByName(level.filter("small").select("node", "doc", "n_shingles"))
+        level = kept_table(_sizes(nodes, known, node_rows, node_shingles), "paths")
+        done = done.unionByName(level.filter("small").select(*out))
     large = level.filter("not small")
     if large.isEmpty():
         return done
-    # what no level could split: every pair of blocks is a node of its own
-    blocks = large.withColumn("blocks", F.ceil(F.col("n") * 2 / node_rows)).withColumn(
-        "block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    pairs = blocks.select("node", "doc", "n_shingles", "block", other).select(
-        F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "doc", "n_shingles")
-    return done.unionByName(pairs)
+    # what no level could split: the node's largest component in blocks, each with all members outside of it
+    half = max(1, node_rows // 2)
+    parts = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("node").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("n"))
+    main = main.select("node", F.col("top.comp").alias("main"), F.ceil(F.col("top.m") / half).alias("blocks"),
+                       (F.col("n") - F.col("top.m") <= half).alias("few"))
+    rows = large.drop("n").join(main, "node")
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    here = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    mine = F.explode(F.when(F.col("comp") == F.col("main"), F.array(here)).otherwise(blocks)).alias("block")
+    few = rows.filter("few").select("node", "doc", "n_shingles", "comp", mine).select(
+        F.xxhash64("node", F.lit(-1), "block").alias("node"), "doc", "n_shingles", "comp")
+    # many outside as well: every pair of blocks is a node of its own
+    sizes = large.groupBy("node").agg(F.ceil(F.count(F.lit(1)) * 2 / node_rows).alias("blocks"))
+    many = rows.filter("not few").drop("blocks").join(sizes, "node").withColumn("block", here)
+    pairs = many.select("node", "doc", "n_shingles", "comp", "block", F.explode(blocks).alias("other")).select(
+        F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "doc", "n_shingles", "comp")
+    return done.unionByName(few).unionByName(pairs)
+
+
+def _kind(df: DataFrame, col: str) -> str:
+    return df.schema[col].dataType.simpleString()
+
+
+def _arrow(df: DataFrame, col: str) -> pa.DataType:
+    return to_arrow_type(df.schema[col].dataType)
+
+
+def _margin(percent: int) -> float:
+    """The share of sketch values that must agree for a candidate."""
+    return percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / FUNCTIONS) ** 0.5
+
+
+def _marks(reps: DataFrame) -> DataFrame:
+    """``doc, sketch``."""
+    def sketch(batch: pa.RecordBatch):
+        least = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sketches(least)], pa.binary())],
+                                         ["doc", "sketch"])
+    return map_batches(reps.select("doc", "least"), sketch, f"doc {_kind(reps, 'doc')}, sketch binary")
+
+
+def leader_stars(level: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, node_rows: int) -> DataFrame | None:
+    """``doc, root``: confirmed links between documents of large nodes, from cells around a few leaders; null if no node is large.
+
+    In each round, up to ``LEADERS`` documents that are in no component yet (or are its least) lead a node, the same ones in all
+    trees as far as can be. Every member takes its nearest leader of another component, once for all trees; a leader's
+    members are dealt into cells of ``CELL`` documents, which hold the leader too."""
+    kind, at_least = _kind(reps, "doc"), _margin(percent)
+    large = level.filter(~F.col("small") & (F.col("tree") < LEADER_TREES)).select("node", "doc", "n_shingles")
+    if large.isEmpty():
+        return None
+    rows = kept_table(large.join(_marks(reps), "doc"), "leader-rows")
+
+    def nearest(key, t):
+        leads = t.column("kind").to_numpy() == 0
+        ids, comps = t.column("doc").to_pylist(), t.column("comp").to_pylist()
+        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
+        lead, member = np.flatnonzero(leads), np.flatnonzero(~leads)
+        best, est = np.full(len(member), -1), np.full(len(member), at_least)
+        for k in lead.tolist():
+            agree = (s[member] == s[k]).mean(axis=1)
+            other = np.array([comps[m] != comps[k] for m in member], bool)
+            better = other & (agree >= est)
+            best[better], est[better] = k, agree[better]
+        found = np.flatnonzero(best >= 0)
+        return pa.table({"doc": pa.array([ids[member[f]] for f in found], t.schema.field("doc").type),
+                         "leader": pa.array([ids[best[f]] for f in found], t.schema.field("doc").type), "agree": pa.array(est[found])})
+
+    stars = known = None
+    for turn in range(LEADER_ROUNDS):
+        placed = rows.withColumn("comp", F.col("doc")) if known is None else (
+            rows.join(known, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+        placed = kept_table(placed, "leader-rows")
+        nodes = placed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / node_rows).alias("parts"), F.min("comp").alias("lo"),
+                                           F.max("comp").alias("hi")).filter("lo != hi").select("node", "parts")
+        lead = (placed.filter("comp = doc").groupBy("node", F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(LEADERS)).alias("slot"))
+                .agg(F.min(F.struct(F.xxhash64("doc", F.lit(-turn - 1)), "doc", "comp", "sketch")).alias("l"))
+                .select("node", "l.doc", "l.comp", "l.sketch"))
+        members = placed.join(nodes, "node").select("node", F.pmod(F.xxhash64("doc"), "parts").alias("part"), F.lit(1).alias("kind"), "doc", "comp",
+                                                    "sketch")
+        leads = lead.join(nodes, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+                                                F.lit(0).alias("kind"), "doc", "comp", "sketch")
+        near = (members.unionByName(leads).groupBy("node", "part").applyInArrow(nearest, f"doc {kind}, leader {kind}, agree double")
+                .groupBy("doc").agg(F.max(F.struct("agree", "leader")).alias("b")).select("doc", F.col("b.leader").alias("leader")))
+        near = kept_table(near.join(reps.select("doc", "n_shingles"), "doc"), "near-leaders")
+        load = near.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n_shingles") / NODE_SHINGLES)).alias("cells"))
+        cell = near.join(load, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("doc"), "cells")).alias("cell"), "doc", "leader")
+        cell = kept_table(cell.select("cell", "doc").unionByName(cell.select("cell", F.col("leader").alias("doc"))).distinct(), "leader-cells")
+        found = kept_table(linked_stars(cell, docs, percent), "leader-stars")
+        if found.isEmpty():
+            break
+        stars = found if stars is None else stars.unionByName(found)
+        known = components(stars).select("doc", F.col("root").alias("comp"))
+    return stars
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list, pa.Array, np.ndarray]]:
@@ -252,24 +364,22 @@ def _star_batch(stars: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 
 def candidate_stars(leaf_rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """``doc, root``: within each node, documents whose sketches agree nearly as often as the threshold asks."""
-    at_least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / FUNCTIONS) ** 0.5
-
-    def sketch(batch: pa.RecordBatch):
-        least = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sketches(least)], pa.binary())],
-                                         ["doc", "sketch"])
+    """``doc, root``: within each node, documents of different components whose sketches agree nearly as often as the threshold
+    asks."""
+    at_least = _margin(percent)
 
     def run(batches):
         joined = _Joined()
         for at, ids, values in _groups(batches):
-            s = np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
+            s = np.frombuffer(b"".join(values.field("sketch").to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
+            comp = np.unique(np.array(values.field("comp").to_pylist(), object), return_inverse=True)[1]
             stars, size = [], np.diff(at)
             two = at[:-1][size == 2]
-            close = two[(s[two] == s[two + 1]).mean(axis=1) >= at_least]
-            stars += [(max(ids[i], ids[i + 1]), min(ids[i], ids[i + 1])) for i in close if ids[i] != ids[i + 1]]
+            close = two[((s[two] == s[two + 1]).mean(axis=1) >= at_least) & (comp[two] != comp[two + 1])]
+            stars += [(max(ids[i], ids[i + 1]), min(ids[i], ids[i + 1])) for i in close]
             for a, b in zip(at[:-1][size > 2], at[1:][size > 2], strict=True):
-                linked = np.stack([(s[i] == s[a:b]).mean(axis=1) >= at_least for i in range(a, b)])
+                linked = np.stack([((s[i] == s[a:b]).mean(axis=1) >= at_least) & (comp[i] != comp[a:b]) for i in range(a, b)])
+                np.fill_diagonal(linked, True)
                 stars += _stars(ids[a:b], linked)
             joined.add(stars)
             if len(joined.up) > HELD_STARS:
@@ -277,11 +387,8 @@ def candidate_stars(leaf_rows: DataFrame, reps: DataFrame, percent: int) -> Data
         if joined.up:
             yield _star_batch(joined.take(), kind)
 
-    kind = None
-    name = reps.schema["doc"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-    marks = map_batches(reps.select("doc", "least"), sketch, f"doc {name}, sketch binary")
-    rows = leaf_rows.select("node", "doc").join(marks, "doc").select("node", "doc", "sketch")
+    kind, name = _arrow(reps, "doc"), _kind(reps, "doc")
+    rows = leaf_rows.select("node", "doc", "comp").join(_marks(reps), "doc").select("node", "doc", F.struct("comp", "sketch").alias("v"))
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, f"doc {name}, root {name}").distinct()
 
 
@@ -301,8 +408,7 @@ def linked_stars(cells: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             if stars:
                 yield _star_batch(stars, kind)
 
-    name = docs.schema["doc"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+    name, kind = _kind(docs, "doc"), _arrow(docs, "doc")
     wanted = docs.join(cells.select("doc").distinct(), "doc", "left_semi")
     full = map_batches(wanted, sets, f"doc {name}, shingles binary").distinct()
     rows = cells.join(full, "doc").select("cell", "doc", "shingles")
@@ -344,12 +450,12 @@ def components(stars: DataFrame) -> DataFrame:
     edges, before = kept_table(stars, "stars"), None
     while True:
         both = edges.unionByName(edges.select(F.col("root").alias("doc"), F.col("doc").alias("root")))
-        least = F.least(F.col("doc"), F.min("root").over(Window.partitionBy("doc")))
-        large = (both.withColumn("least", least).filter("root > doc").select(F.col("root").alias("doc"), F.col("least").alias("root"))
+        least = both.groupBy("doc").agg(F.min("root").alias("least")).select("doc", F.least("doc", "least").alias("least"))
+        large = (both.filter("root > doc").join(least, "doc").select(F.col("root").alias("doc"), F.col("least").alias("root"))
                  .filter("doc != root").distinct())
         down = large.select(F.greatest("doc", "root").alias("doc"), F.least("doc", "root").alias("root"))
-        w = F.min("root").over(Window.partitionBy("doc"))
-        small = (down.withColumn("least", w)
+        lowest = down.groupBy("doc").agg(F.min("root").alias("least"))
+        small = (down.join(lowest, "doc")
                  .select(F.explode(F.array(F.struct("doc", "least"), F.struct(F.col("root").alias("doc"), "least"))).alias("e"))
                  .select("e.doc", F.col("e.least").alias("root")).filter("doc != root").distinct())
         edges = kept_table(small, "stars")
@@ -360,8 +466,8 @@ def components(stars: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
-                    node_rows: int = NODE_ROWS, node_shingles: int = NODE_SHINGLES) -> DataFrame:
-    """``id_col, n_shingles, component_id, kept`` per row."""
+                    node_rows: int = NODE_ROWS, node_shingles: int = NODE_SHINGLES, digest: bool = False) -> DataFrame:
+    """``id_col, n_shingles, component_id, kept`` per row, and with ``digest`` the text's (:func:`text_digest`)."""
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     marks = kept_table(signatures(src, "doc", "text"), "signatures")
     live = marks.filter("doc is not null and n_shingles > 0")
@@ -369,7 +475,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = (live.groupBy(*alike).agg(F.min(F.struct("doc", "least")).alias("r"))
             .select("r.doc", "n_shingles", "r.least", "print1", "print2"))
     reps = kept_table(reps, "representatives")
-    nodes = leaves(reps, node_rows, node_shingles, percent=percent)
+    text = src.select("doc", utf8("text").alias("text")).filter("doc is not null and text is not null")
+    start = first_level(reps, percent=percent)
+    sized = _sizes(start, None, node_rows, node_shingles)
+    sure = leader_stars(sized, reps, text, percent, node_rows)
+    known = None if sure is None else kept_table(components(sure).select("doc", F.col("root").alias("comp")), "known")
+    nodes = kept_table(leaves(reps, node_rows, node_shingles, percent=percent, start=start, known=known), "leaves")
     near = components(candidate_stars(nodes, reps, percent))
     member = near.unionByName(near.select(F.col("root").alias("doc"), "root").distinct())
     load = member.join(reps.select("doc", "n_shingles"), "doc").groupBy("root").agg(
@@ -380,10 +491,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = (sized.filter("fits").select(F.xxhash64(F.lit(0), "root").alias("cell"), "doc")
              .unionByName(nodes.join(sized.filter("not fits").select("doc", "root"), "doc")
                           .select(F.xxhash64(F.lit(1), "node", "root").alias("cell"), "doc").distinct()))
-    text = src.select("doc", utf8("text").alias("text")).filter("doc is not null and text is not null")
-    root = components(linked_stars(kept_table(cells, "cell-members"), text, percent))
+    links_found = linked_stars(kept_table(cells, "cell-members"), text, percent)
+    root = components(links_found if sure is None else links_found.unionByName(sure))
     place = (reps.join(root, "doc", "left").select(*alike, F.coalesce("root", "doc").alias("component_id")))
-    return (marks.select("doc", *alike).join(place, alike, "left")
+    own = ["digest"] if digest else []
+    return (marks.select("doc", *alike, *own).join(place, alike, "left")
             .withColumn("component_id", F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")))
             .select(F.col("doc").alias(id_col), "n_shingles", "component_id",
-                    F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept")))
+                    F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"), *own))

@@ -53,6 +53,13 @@ def test_copies_from_four_fifths_go(docs, spark):
     assert sorted(r["doc_id"] for r in P.drop_near_duplicates(spark, docs(rows), SF).collect()) == [0, 2, 4, 5]
 
 
+def test_repeated_ids_are_judged_by_their_texts(docs, spark):
+    """A unique text stays though its id also bears a copy; the copy goes; an exact repeat of a kept row goes."""
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a text of its own that no other has"), (3, "x y"), (3, "x y"), (3, "z")]
+    got = sorted((r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, docs(rows), SF).collect())
+    assert got == [(1, "a b c d e f g"), (2, "a text of its own that no other has"), (3, "x y"), (3, "z")]
+
+
 def test_clean_documents_stay(spark):
     marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

@@ -2,7 +2,8 @@
 
 1. toxicity: documents whose toxicity score reaches 0.3 go.
 2. rules: documents that the quality rules or their host's verdict reject go.
-3. neardup: of the documents of a near-duplicate component (Jaccard 0.8 or more), its least id stays, in one row.
+3. neardup: of the documents of a near-duplicate component (Jaccard 0.8 or more), its least id stays, in one row for each
+   different text that bears it.
 4. decontaminate: documents with words of a benchmark window go.
 5. bpe: every document is encoded; the digests of its ids and of the bytes they decode to are returned.
 
@@ -42,15 +43,19 @@ def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only the ids to drop meet the documents; repeated rows of a kept id are reduced to one."""
-    found = kept_table(neardup.near_duplicates(docs, percent=ALIKE_FROM), "near-duplicates")
-    gone = found.filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    """Rows are judged by id and text: only the (id, text digest) pairs to drop meet the documents. Of rows that repeat a
+    kept id and its text one stays."""
+    found = kept_table(neardup.near_duplicates(docs, percent=ALIKE_FROM, digest=True), "near-duplicates")
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    rows = docs.withColumnsRenamed(names).withColumn("digest", neardup.text_digest("text"))
+    gone = found.filter("not kept").select("doc_id", "digest").distinct()
+    left = rows.join(gone, ["doc_id", "digest"], "left_anti")
+    again = (found.filter("kept and doc_id is not null").groupBy("doc_id", "digest").count().filter("count > 1")
+             .select("doc_id", "digest"))
+    if not again.isEmpty():
+        one = left.join(again, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+        left = left.join(again, ["doc_id", "digest"], "left_anti").unionByName(one)
+    return left.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ SHINGLE, PERCENT = 5, 85
 FUNCTIONS, TREES, FIRST_DEPTH, LAST_DEPTH = 256, 20, 4, 10
 MISSED, MARGIN = 1e-4, 5        # of pairs at the threshold, at most; standard errors
 NODE_ROWS, NODE_SHINGLES = 1000, 4_000_000
-LEADERS, LEADER_TREES, LEADER_ROUNDS, CELL = 16, 4, 3, 256
+LEADERS, LEADER_TREES, CELL = 16, 4, 256
 HELD_STARS = 200_000            # that a task holds before it passes them on
 
 _draw = np.random.default_rng(20240501)
@@ -169,9 +169,12 @@ def node_paths(kind: str, depth: int, trees: range | None):
     return run, f"node long, tree int, doc {kind}, n_shingles long"
 
 
-def first_level(reps: DataFrame, first: int = FIRST_DEPTH, percent: int = PERCENT) -> DataFrame:
+def first_level(reps: DataFrame, node_rows: int = NODE_ROWS, node_shingles: int = NODE_SHINGLES, first: int = FIRST_DEPTH,
+                percent: int = PERCENT) -> DataFrame:
+    """The trees' nodes after their first levels, as :func:`_sizes` has them."""
     src = reps.select("doc", "n_shingles", "least")
-    return kept_table(map_batches(src, *node_paths(_kind(reps, "doc"), first, range(trees_at(first, percent)))), "paths")
+    nodes = map_batches(src, *node_paths(_kind(reps, "doc"), first, range(trees_at(first, percent))))
+    return kept_table(_sizes(nodes, None, node_rows, node_shingles), "paths")
 
 
 def leaves(reps: DataFrame, node_rows: int = NODE_ROWS, node_shingles: int = NODE_SHINGLES, first: int = FIRST_DEPTH,
@@ -181,8 +184,9 @@ def leaves(reps: DataFrame, node_rows: int = NODE_ROWS, node_shingles: int = NOD
     kind, out = _kind(reps, "doc"), ("node", "doc", "n_shingles", "comp")
     src = reps.select("doc", "n_shingles", "least")
     trees = trees_at(first, percent)
-    start = first_level(reps, first, percent) if start is None else start
-    level = kept_table(_sizes(start, known, node_rows, node_shingles), "paths")
+    level = first_level(reps, node_rows, node_shingles, first, percent) if start is None else start
+    if known is not None:
+        level = kept_table(_sizes(level.select("node", "tree", "doc", "n_shingles"), known, node_rows, node_shingles), "paths")
     done = level.filter("small").select(*out)
     for depth in range(first + 1, last + 1):
         large = level.filter("not small")
@@ -244,9 +248,8 @@ def _marks(reps: DataFrame) -> DataFrame:
 def leader_stars(level: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, node_rows: int) -> DataFrame | None:
     """``doc, root``: confirmed links between documents of large nodes, from cells around a few leaders; null if no node is large.
 
-    In each round, up to ``LEADERS`` documents that are in no component yet (or are its least) lead a node, the same ones in all
-    trees as far as can be. Every member takes its nearest leader of another component, once for all trees; a leader's
-    members are dealt into cells of ``CELL`` documents, which hold the leader too."""
+    Up to ``LEADERS`` documents lead a node, the same ones in all trees as far as can be. Every member takes its nearest
+    leader, once for all trees; a leader's members are dealt into cells of ``CELL`` documents, which hold the leader too."""
     kind, at_least = _kind(reps, "doc"), _margin(percent)
     large = level.filter(~F.col("small") & (F.col("tree") < LEADER_TREES)).select("node", "doc", "n_shingles")
     if large.isEmpty():
@@ -255,45 +258,34 @@ def leader_stars(level: DataFrame, reps: DataFrame, docs: DataFrame, percent: in
 
     def nearest(key, t):
         leads = t.column("kind").to_numpy() == 0
-        ids, comps = t.column("doc").to_pylist(), t.column("comp").to_pylist()
+        ids = t.column("doc").to_pylist()
         s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
         lead, member = np.flatnonzero(leads), np.flatnonzero(~leads)
         best, est = np.full(len(member), -1), np.full(len(member), at_least)
         for k in lead.tolist():
             agree = (s[member] == s[k]).mean(axis=1)
-            other = np.array([comps[m] != comps[k] for m in member], bool)
+            other = np.array([ids[m] != ids[k] for m in member], bool)
             better = other & (agree >= est)
             best[better], est[better] = k, agree[better]
         found = np.flatnonzero(best >= 0)
         return pa.table({"doc": pa.array([ids[member[f]] for f in found], t.schema.field("doc").type),
                          "leader": pa.array([ids[best[f]] for f in found], t.schema.field("doc").type), "agree": pa.array(est[found])})
 
-    stars = known = None
-    for turn in range(LEADER_ROUNDS):
-        placed = rows.withColumn("comp", F.col("doc")) if known is None else (
-            rows.join(known, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
-        placed = kept_table(placed, "leader-rows")
-        nodes = placed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / node_rows).alias("parts"), F.min("comp").alias("lo"),
-                                           F.max("comp").alias("hi")).filter("lo != hi").select("node", "parts")
-        lead = (placed.filter("comp = doc").groupBy("node", F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(LEADERS)).alias("slot"))
-                .agg(F.min(F.struct(F.xxhash64("doc", F.lit(-turn - 1)), "doc", "comp", "sketch")).alias("l"))
-                .select("node", "l.doc", "l.comp", "l.sketch"))
-        members = placed.join(nodes, "node").select("node", F.pmod(F.xxhash64("doc"), "parts").alias("part"), F.lit(1).alias("kind"), "doc", "comp",
-                                                    "sketch")
-        leads = lead.join(nodes, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-                                                F.lit(0).alias("kind"), "doc", "comp", "sketch")
-        near = (members.unionByName(leads).groupBy("node", "part").applyInArrow(nearest, f"doc {kind}, leader {kind}, agree double")
-                .groupBy("doc").agg(F.max(F.struct("agree", "leader")).alias("b")).select("doc", F.col("b.leader").alias("leader")))
-        near = kept_table(near.join(reps.select("doc", "n_shingles"), "doc"), "near-leaders")
-        load = near.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n_shingles") / NODE_SHINGLES)).alias("cells"))
-        cell = near.join(load, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("doc"), "cells")).alias("cell"), "doc", "leader")
-        cell = kept_table(cell.select("cell", "doc").unionByName(cell.select("cell", F.col("leader").alias("doc"))).distinct(), "leader-cells")
-        found = kept_table(linked_stars(cell, docs, percent), "leader-stars")
-        if found.isEmpty():
-            break
-        stars = found if stars is None else stars.unionByName(found)
-        known = components(stars).select("doc", F.col("root").alias("comp"))
-    return stars
+    nodes = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / node_rows).alias("parts"))
+    lead = (rows.groupBy("node", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)).alias("slot"))
+            .agg(F.min(F.struct(F.xxhash64("doc", F.lit(-1)), "doc", "sketch")).alias("l")).select("node", "l.doc", "l.sketch"))
+    members = rows.join(nodes, "node").select("node", F.pmod(F.xxhash64("doc"), "parts").alias("part"), F.lit(1).alias("kind"), "doc", "sketch")
+    leads = lead.join(nodes, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+                                            F.lit(0).alias("kind"), "doc", "sketch")
+    near = (members.unionByName(leads).groupBy("node", "part").applyInArrow(nearest, f"doc {kind}, leader {kind}, agree double")
+            .groupBy("doc").agg(F.max(F.struct("agree", "leader")).alias("b")).select("doc", F.col("b.leader").alias("leader")))
+    near = kept_table(near.join(reps.select("doc", "n_shingles"), "doc"), "near-leaders")
+    load = near.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n_shingles") / NODE_SHINGLES)).alias("cells"))
+    cell = near.join(load, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("doc"), "cells")).alias("cell"), "doc", "leader")
+    among = lead.select(F.xxhash64(F.lit("leaders"), "node").alias("cell"), "doc")       # a node's leaders meet each other
+    cell = cell.select("cell", "doc").unionByName(cell.select("cell", F.col("leader").alias("doc"))).unionByName(among)
+    cell = kept_table(cell.distinct(), "leader-cells")
+    return kept_table(linked_stars(cell, docs, percent), "leader-stars")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list, pa.Array, np.ndarray]]:
@@ -476,11 +468,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("r.doc", "n_shingles", "r.least", "print1", "print2"))
     reps = kept_table(reps, "representatives")
     text = src.select("doc", utf8("text").alias("text")).filter("doc is not null and text is not null")
-    start = first_level(reps, percent=percent)
-    sized = _sizes(start, None, node_rows, node_shingles)
-    sure = leader_stars(sized, reps, text, percent, node_rows)
-    known = None if sure is None else kept_table(components(sure).select("doc", F.col("root").alias("comp")), "known")
-    nodes = kept_table(leaves(reps, node_rows, node_shingles, percent=percent, start=start, known=known), "leaves")
+    start = first_level(reps, node_rows, node_shingles, percent=percent)
+    sure = leader_stars(start, reps, text, percent, node_rows)
+    known = None if sure is None else components(sure).select("doc", F.col("root").alias("comp"))
+    nodes = leaves(reps, node_rows, node_shingles, percent=percent, start=start, known=known)
     near = components(candidate_stars(nodes, reps, percent))
     member = near.unionByName(near.select(F.col("root").alias("doc"), "root").distinct())
     load = member.join(reps.select("doc", "n_shingles"), "doc").groupBy("root").agg(

@@ -144,30 +144,6 @@ def test_components(spark):
     assert got == {v: r for v, r in label.items() if v != r}
 
 
-def test_rows_grow_with_a_near_copy_group(docs, monkeypatch):
-    """One group of near copies: its node rows are bounded by the documents and the trees, not by its pairs."""
-    rnd = random.Random(8)
-    base = [f"w{k}" for k in range(240)]
-
-    def rows(n):
-        out = []
-        for k in range(n):
-            t = list(base)
-            t[rnd.randrange(240)] = f"own{k}"
-            out.append((k, " ".join(t)))
-        return out
-    counts = {}
-    for n in (500, 2000):
-        made = []
-        whole = N.leaves
-        monkeypatch.setattr(N, "leaves", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
-        found = N.near_duplicates(docs(rows(n)), node_rows=100).collect()
-        assert {r["component_id"] for r in found} == {0}
-        counts[n] = made[0].count()
-        monkeypatch.setattr(N, "leaves", whole)
-    assert all(rows_made <= 40 * n for n, rows_made in counts.items())
-
-
 @pytest.mark.parametrize("kind", ["smallint", "int", "string", "decimal(10,0)"])
 def test_id_types(docs, kind):
     rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "x"), (None, "x")]

@@ -3,12 +3,15 @@
     conversation := turn*
     turn         := "<s>" role "\\n" text "</s>"  |  "<s esc>" escaped-role "\\n" escaped-text "</s>"
 
-Every turn is first rendered verbatim and reparsed by the deterministic parser; where the recovered turn differs from
-its source (the content holds the end mark, or the role a line end) it is rendered escaped, in which form no control
-string can occur. The whole conversation is then reparsed; it must give the source's turns, else the job fails.
+A turn is first rendered verbatim and reparsed by the deterministic parser; where the recovered turn differs from its
+source (a role with a line end), or a mark of the template stands in its role or text, it is rendered escaped, in which
+form no control string can occur. The whole conversation is then reparsed; it must give the source's turns, else the job
+fails. The work per conversation grows with its length, times the logarithm of its number of turns.
 
 Turns are ordered by number, then role, then text (a null number is first); repeated rows are turns of their own. Null
-text and role are empty. Rows with a null conversation id form one conversation, as grouping has it."""
+text and role are empty. Rows with a null conversation id form one conversation, as grouping has it. An empty table gives
+no conversations. Columns other than the four named ones take no part, whatever their names. A conversation is one row,
+as its digest asks; a very long one has to fit in a task."""
 
 from __future__ import annotations
 
@@ -37,15 +40,26 @@ def unescape(c: Column) -> Column:
     return _replace(c, [("~1", "<"), ("~2", "\n"), ("~0", "~")])
 
 
+def running_sums(numbers: Column) -> Column:
+    """The sums of an array's beginnings, by doubling steps: no array is grown element by element."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers) + F.lit(1))).cast("int"))
+
+    def step(sums: Column, k: Column) -> Column:
+        reach = F.pow(F.lit(2), k).cast("int")
+        return F.transform(sums, lambda x, i: x + F.when(i >= reach, F.get(sums, i - reach)).otherwise(0))
+
+    return F.aggregate(steps, numbers, step)
+
+
 def parse(formatted: Column) -> Column:
     """The turns of a formatted conversation, ``array<struct<role, text, begin, length>>``: ``begin`` and ``length``
     (code points) place the text as it stands in the formatted string. Null if the string isn't in the grammar."""
     parts = F.split(formatted, END, -1)
     turns = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), _turn)
-    ends = F.aggregate(F.transform(parts, F.length), F.array(F.lit(0)),
-                       lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n + len(END))))
-    placed = F.zip_with(turns, F.slice(ends, F.lit(1), F.size(turns)), lambda t, at: F.struct(
-        t["role"].alias("role"), t["text"].alias("text"), (at + t["skip"]).alias("begin"), t["length"].alias("length")))
+    ends = running_sums(F.transform(turns, lambda t: t["size"] + len(END)))
+    placed = F.zip_with(turns, ends, lambda t, end: F.struct(
+        t["role"].alias("role"), t["text"].alias("text"),
+        (end - len(END) - t["length"]).alias("begin"), t["length"].alias("length")))
     sound = (F.element_at(parts, -1) == "") & F.forall(turns, lambda t: t["ok"])
     return F.when(sound, placed)
 
@@ -58,17 +72,20 @@ def _turn(part: Column) -> Column:
     text = F.substring(part, line + 1, F.length(part))
     return F.struct(F.when(escaped, unescape(role)).otherwise(role).alias("role"),
                     F.when(escaped, unescape(text)).otherwise(text).alias("text"),
-                    line.alias("skip"), F.length(text).alias("length"),
+                    F.length(part).alias("size"), F.length(text).alias("length"),
                     ((line > 0) & (escaped | part.startswith(BEGIN))).alias("ok"))
 
 
 def render(role: Column, text: Column) -> Column:
-    """One turn: verbatim if that parses back to it, else escaped."""
+    """One turn: verbatim if it holds no mark of the template and parses back to itself, else escaped."""
     plain = F.concat(F.lit(BEGIN), role, F.lit("\n"), text, F.lit(END))
+    marked = F.lit(False)
+    for mark in (BEGIN, BEGIN_ESCAPED, END):
+        marked = marked | role.contains(mark) | text.contains(mark)
     back = F.split(plain, END, -1)
     turn = _turn(F.element_at(back, 1))
     same = (F.size(back) == 2) & turn["ok"] & (turn["role"] == role) & (turn["text"] == text)
-    return F.when(same, plain).otherwise(
+    return F.when(~marked & same, plain).otherwise(
         F.concat(F.lit(BEGIN_ESCAPED), escape_role(role), F.lit("\n"), escape(text), F.lit(END)))
 
 
@@ -92,9 +109,6 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
     return conv.select(F.col("conv").alias(id_col), "formatted", "turns", spans.alias("loss_spans"))
 
 
-def under_mask(formatted: Column, turns: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    escaped = lambda s: F.array_contains(F.transform(F.filter(turns, lambda t: t["begin"] == s["begin"]),
-                                                     lambda t: F.length(t["text"]) != t["length"]), True)
-    piece = lambda s: F.substring(formatted, s["begin"] + 1, s["end"] - s["begin"])
-    return F.array_join(F.transform(spans, lambda s: F.when(escaped(s), unescape(piece(s))).otherwise(piece(s))), "")
+def under_mask(turns: Column, trained_role: str = TRAINED_ROLE) -> Column:
+    """All text under the loss mask, unescaped, nothing between: the trained role's texts as ``parse`` read them back."""
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == trained_role), lambda t: t["text"]), "")

@@ -42,7 +42,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", CONFLICT), (-7, 1, "assistant", CONFLICT)], rows.schema)
     done = chat.format_conversations(rows.unionByName(planted))
-    loss = chat.under_mask(F.col("formatted"), F.col("turns"), F.col("loss_spans"))
+    loss = chat.under_mask(F.col("turns"))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     done = done.withColumns({"loss": loss, "spoken": spoken})
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha256_of(utf8("spoken")).alias("turns_sha256"),
@@ -55,7 +55,8 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 u AS (
-  SELECT *, CASE WHEN contains(role || text, '</s>') OR contains(role, chr(10))
+  SELECT *, CASE WHEN contains(role || chr(10) || text, '</s>') OR contains(role || chr(10) || text, '<s>')
+    OR contains(role || chr(10) || text, '<s esc>') OR contains(role, chr(10))
     THEN length('<s esc></s>') + 1 + length(role || text) + length(regexp_replace(role || text, '[^~<]', '', 'g'))
          + length(regexp_replace(role, '[^\n]', '', 'g'))
     ELSE length('<s></s>') + 1 + length(role || text) END AS shown FROM t)

@@ -21,19 +21,39 @@ def test_round_trip(rows):
     for r in sorted(rows.collect(), key=key):
         source.setdefault(r["conv_id"], []).append((r["role"] or "", r["text"] or ""))
     done = chat.format_conversations(rows)
-    loss = chat.under_mask(F.col("formatted"), F.col("turns"), F.col("loss_spans"))
+    loss = chat.under_mask(F.col("turns"))
     got = {r["conv_id"]: r for r in done.withColumn("loss", loss).collect()}
     assert got.keys() == source.keys()
     for k, turns in source.items():
         assert [(t["role"], t["text"]) for t in got[k]["turns"]] == turns
         assert got[k]["loss"] == "".join(t for r, t in turns if r == "assistant")
         assert got[k]["formatted"].count("</s>") == len(turns)
+        cut = [got[k]["formatted"][a:b] for a, b in got[k]["loss_spans"]]
+        assert [plain(x, t) for x, (_, t) in zip(cut, [x for x in turns if x[0] == "assistant"], strict=True)] == [True] * len(cut)
 
 
-def test_only_conflicts_are_escaped(rows):
+def plain(shown, text):
+    """Whether a text as it stands in the formatted string says ``text``."""
+    return text in (shown, shown.replace("~1", "<").replace("~2", "\n").replace("~0", "~"))
+
+
+def test_every_mark_is_escaped(rows):
     got = {r["conv_id"]: r["formatted"] for r in chat.format_conversations(rows).collect()}
-    assert got[1] == "<s>user\nhi</s><s>assistant\nfine ~0 ~1 <s></s>"
+    assert got[1] == "<s>user\nhi</s><s esc>assistant\nfine ~00 ~01 ~1s></s>"
     assert got[2].startswith("<s esc>user\n~1/s>[INST]")
+    assert got[4].endswith("<s>assistant\n中文 😀\n\n~2<</s><s esc>~1/s>\n~1s esc></s>")
+    for f in got.values():
+        assert f.count("<s>") + f.count("<s esc>") == f.count("</s>")
+
+
+def test_very_long_conversation(spark):
+    n = 30_000
+    rows = spark.range(n).selectExpr("1L AS conv_id", "CAST(id AS INT) AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role",
+                                     "concat('é', id, IF(id % 7 = 0, '<s>', '')) AS text")
+    done = chat.format_conversations(rows).withColumn("loss", chat.under_mask(F.col("turns"))).first()
+    texts = [f"é{k}" + "<s>" * (k % 7 == 0) for k in range(n)]
+    assert [t["text"] for t in done["turns"]] == texts and done["loss"] == "".join(texts[1::2])
+    assert all(plain(done["formatted"][a:b], t) for (a, b), t in zip(done["loss_spans"], texts[1::2], strict=True))
 
 
 def test_strings_outside_the_grammar(spark):

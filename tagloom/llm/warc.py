@@ -5,10 +5,14 @@ response, the others are revisit records that name it and carry no payload. Each
 under new names and reports them; only reported files are read, so a lost or repeated task leaves no double records.
 
 Reading: a file is a stream, inflated piece by piece; a record's block has exactly Content-Length bytes, each gzip
-member holds exactly one record, and a payload has to match its digest, or the read fails.
+member holds exactly one record, and a payload has to match its digest, or the read fails. A revisit has no payload to
+hold against its digest: it has to name a response of the same digest and length, or the read fails.
 
 Null html is an empty payload, null url an empty target. A null page_id is written as an empty id and read back as
-null. Repeated rows of the largest id are responses all of them; if all ids of a group are null, all are responses."""
+null, as an empty text id is; other characters of text ids than letters, digits and ``_.-~`` are percent-encoded in
+the archive. Repeated rows of the largest id are responses all of them; if all ids of a group are null, all are responses.
+A payload is held whole by one task, however long. An empty table gives no files and no records. Columns other than the
+three named ones take no part, whatever their names."""
 
 from __future__ import annotations
 
@@ -16,6 +20,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -39,12 +44,12 @@ def _one_line(value: str) -> str:
 def record(page: str, url: str, payload: bytes, kind: str, refers_to: str) -> bytes:
     """One record as a gzip member. A revisit's block ends after the HTTP header, whose length is the full payload's."""
     block = _HTTP % len(payload) + (payload if kind == "response" else b"")
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Target-URI", _one_line(url)),
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{quote(page, safe='')}>"), ("WARC-Target-URI", _one_line(url)),
             ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}"),
             ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     if kind == "revisit":
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                 ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+                 ("WARC-Refers-To", f"<urn:page:{quote(refers_to, safe='')}>")]
     text = "WARC/1.1\r\n" + "".join(f"{a}: {b}\r\n" for a, b in head) + "\r\n"
     gz = zlib.compressobj(4, zlib.DEFLATED, 31)
     return gz.compress(text.encode() + block + b"\r\n\r\n") + gz.flush()
@@ -132,7 +137,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     path = f"{base}/{uuid.uuid4().hex}.warc.gz"
-                    out, size, n = fs.open_output_stream(path), 0, 0
+                    out, size, n = fs.open_output_stream(path, compression=None), 0, 0
                 page, url, payload, kind, ref = row
                 data = record("" if page is None else str(page), url or "", payload, kind, "" if ref is None else str(ref))
                 out.write(data)
@@ -151,8 +156,27 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def read_archives(files: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """Every record of the listed files, in the files' order: ``page, url, record_type, refers_to, payload_bytes,
-    payload_digest`` and, if asked for, ``payload`` (empty for revisits). One task reads a file at a time."""
+    """Every record of the listed files: ``page, url, record_type, refers_to, payload_bytes, payload_digest`` and, if
+    asked for, ``payload`` (empty for revisits), which is then read from the archives once more. The records without
+    payloads are written down once; revisits are checked on them."""
+    found = kept_table(records(files, folder), "warc-records")
+    lost = unmatched_revisits(found).first()
+    if lost is not None:
+        raise ValueError(f"revisit of page {lost['page']!r}: no response has its digest {lost['payload_digest']} and length {lost['payload_bytes']}")
+    return records(files, folder, with_payload=True) if with_payload else found
+
+
+def unmatched_revisits(found: DataFrame) -> DataFrame:
+    """``page`` (that the revisits name), ``payload_digest`` and ``payload_bytes`` of revisits without their response.
+    Both sides are made distinct first: a response that a third of all records revisit is one row."""
+    key = ["page", "payload_digest", "payload_bytes"]
+    named = found.filter("record_type = 'revisit'").select(F.coalesce("refers_to", F.lit("")).alias("page"), *key[1:]).distinct()
+    there = found.filter("record_type = 'response'").select(F.coalesce("page", F.lit("")).alias("page"), *key[1:]).distinct()
+    return named.join(there, key, "left_anti")
+
+
+def records(files: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+    """The records as they stand in the listed files, in the files' order. One task reads a file at a time."""
     names = ["page", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
     kinds = [pa.string()] * 4 + [pa.int64(), pa.string()] + [pa.binary()] * with_payload
 
@@ -161,12 +185,12 @@ def read_archives(files: DataFrame, folder: str, with_payload: bool = False) ->
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, held = [], 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for pieces in members(stream):
                         r = parse(pieces)
                         h = r["head"]
-                        rows.append((h["WARC-Record-ID"][10:-1] or None, h["WARC-Target-URI"], h["WARC-Type"],
-                                     h.get("WARC-Refers-To", "")[10:-1] or None, r["bytes"], r["digest"],
+                        rows.append((unquote(h["WARC-Record-ID"][10:-1]) or None, h["WARC-Target-URI"], h["WARC-Type"],
+                                     unquote(h.get("WARC-Refers-To", "")[10:-1]) or None, r["bytes"], r["digest"],
                                      *[r["payload"]] * with_payload))
                         held += 200 + len(r["payload"]) * with_payload
                         if held > 8 << 20:

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import zlib
 
 import pytest
 
@@ -44,6 +45,20 @@ def test_one_member_per_record_and_foreign_readers(spark):
     assert len([b"".join(m) for m in warc.members(io.BytesIO(two))]) == 2
 
 
+def test_files_are_plain_gzip_members(spark):
+    files, _ = warc.archive(spark, pages(spark, ROWS))
+    starts = 0
+    for f in files.collect():
+        with open(f["path"], "rb") as raw:
+            data = raw.read()
+        assert len(data) == f["bytes"]
+        while data:
+            one = zlib.decompressobj(31)
+            assert one.decompress(data).startswith(b"WARC/1.1\r\n")
+            starts, data = starts + 1, one.unused_data
+    assert starts == len(ROWS)
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
 def test_pieces_of_any_size(monkeypatch, chunk):
     monkeypatch.setattr(warc, "_CHUNK", chunk)
@@ -61,6 +76,35 @@ def test_damage_is_noticed():
             warc.parse(m)
 
 
+def archive_of(spark, folder, *members):
+    path = f"{folder}/one.warc.gz"
+    with open(path, "wb") as f:
+        f.write(b"".join(members))
+    return spark.createDataFrame([(path, len(members), 0)], "path string, records long, bytes long")
+
+
+def test_revisits_have_to_match_their_response(spark, tmp_path):
+    page = BIG.encode()
+    response, revisit = warc.record("9", "u", page, "response", ""), warc.record("1", "u", page, "revisit", "9")
+    assert warc.read_archives(archive_of(spark, tmp_path, revisit, response), str(tmp_path)).count() == 2
+    digest = hashlib.sha1(page).hexdigest().encode()
+    plain = gzip.decompress(revisit)
+    forged = [plain.replace(digest, digest[::-1]), plain.replace(b"Length: %d" % len(page), b"Length: %d" % (len(page) + 10)),
+              plain.replace(b"page:9", b"page:8")]
+    for bad in forged:
+        assert bad != plain and len(bad) == len(plain)
+        with pytest.raises(ValueError, match="revisit"):
+            warc.read_archives(archive_of(spark, tmp_path, response, gzip.compress(bad)), str(tmp_path))
+
+
+def test_text_ids(spark):
+    ids = ["a\r\nX: y", "b>c", "100%", "é 中", "", None, "%20"]
+    rows = spark.createDataFrame([(k, "u", BIG) for k in ids], "page_id string, url string, html string")
+    got = warc.read_archives(*warc.archive(spark, rows)).collect()
+    assert sorted(r["page"] or "" for r in got) == sorted(k or "" for k in ids)
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {max(k for k in ids if k)}
+
+
 def test_files_that_were_not_reported_are_not_read(spark):
     files, folder = warc.archive(spark, pages(spark, ROWS[:2]))
     path = files.first()["path"].rpartition("/")[0]

@@ -38,6 +38,14 @@ def utf8(col: str) -> Column:
     return F.col(col).cast("string").cast("binary")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def blob(col: pa.Array) -> list[bytes]:
     """Bytes of each row; null gives empty bytes."""
     return [x or b"" for x in col.to_pylist()]

@@ -174,7 +174,7 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_counted(counted).select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
-_RULE_NAMES = list(rules.RULES)
+_RULE_NAMES = ["symbols", "lines", "repeats", "lengths"]
 _each = ", ".join
 ORACLES["op3_rules"] = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -192,18 +192,22 @@ c AS MATERIALIZED (
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
     coalesce(hit.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN l USING (rid) LEFT JOIN hit USING (rid)),
-f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, """ + _each(
-    f"({e})::INT AS {r}" for r, e in rules.RULES.items()) + """ FROM c),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    (n_symbols > 0.1 * n_words)::INT AS symbols, (n_dup_lines > 0.02 * n_words)::INT AS lines,
+    (n_repeat_words > 0.1 * n_words)::INT AS repeats,
+    (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 7.5 * n_words))::INT AS lengths,
+    n_symbols > 0.3 * n_words OR n_dup_lines > 0.2 * n_words AS strong FROM c),
 h AS (SELECT source, count(*) AS n, """ + _each(f"sum({r}) AS {r}" for r in _RULE_NAMES) + """ FROM f GROUP BY source),
 a AS (SELECT sum(n) AS n, """ + _each(f"sum({r}) / sum(n) AS m_{r}" for r in _RULE_NAMES) + """ FROM h),
 v AS (SELECT """ + _each(f"sum(h.n * pow({r} / h.n - m_{r}, 2) / a.n - m_{r} * (1 - m_{r}) / a.n) AS v_{r}" for r in _RULE_NAMES) + """ FROM h, a),
 s AS (SELECT """ + _each(
-    f"CASE WHEN v_{r} > 0 THEN greatest(1.0, least(10000.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE 10000.0 END AS s_{r}"
-    for r in _RULE_NAMES) + f""" FROM v, a),
+    f"CASE WHEN v_{r} > 0 THEN greatest(1.0, least(1000.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE 1000.0 END AS s_{r}"
+    for r in _RULE_NAMES) + """ FROM v, a),
+post AS (SELECT source, """ + _each(f"h.n + s_{r} AS w_{r}, ({r} + s_{r} * m_{r}) / (h.n + s_{r}) AS p_{r}, m_{r}" for r in _RULE_NAMES) + """ FROM h, a, s),
 bad AS (SELECT source, """ + _each(
-    f"({r} + s_{r} * m_{r}) / (h.n + s_{r}) > {rules.HOST_LIMIT} AS bad_{r}" for r in _RULE_NAMES) + """ FROM h, a, s)
+    f"p_{r} - m_{r} > 0.6745 * sqrt(p_{r} * (1 - p_{r}) / (w_{r} + 1)) AS bad_{r}" for r in _RULE_NAMES) + """ FROM post)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND """ + " + ".join(_RULE_NAMES) + """ < 2 AND NOT (""" + " OR ".join(
+  NOT base_failed AND NOT strong AND """ + " + ".join(_RULE_NAMES) + """ < 2 AND NOT (""" + " OR ".join(
     f"{r} = 1 AND bad_{r}" for r in _RULE_NAMES) + """) AS kept
 FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source"""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import blob, map_batches, utf8, worker_state
+from tagloom.llm.common import blob, free_name, map_batches, utf8, worker_state
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 PLAIN, AIMED, NEGATED, REPORTED = range(4)      # kinds of a match
@@ -207,7 +207,8 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: tuple[dict, np.ndarray], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the toxicity score; all columns pass through (one of the score's name is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *model))
-    src = docs.drop(score_col).withColumn("_utf8", utf8(text_col))
+    kept = docs.drop(score_col)
+    src = kept.withColumn(free_name(kept, "_utf8"), utf8(text_col))
 
     def run(batch: pa.RecordBatch):
         key, lexicon, weights = shared.value
@@ -216,5 +217,5 @@ def score(docs: DataFrame, model: tuple[dict, np.ndarray], text_col: str = "text
         p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], score_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_utf8")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return map_batches(src, run, f"{schema}, `{score_col}` double")

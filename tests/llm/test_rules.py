@@ -38,7 +38,8 @@ def good(k):
     return " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "of", "to"]) + str(rnd.randint(0, 999)) for _ in range(40))
 
 
-NOISE = "".join(f" #|{k}" for k in range(30))      # many symbols, no repeats
+NOISE = "".join(f" #{k}" for k in range(8))        # some symbols, no repeats: a weak failure
+JUNK = "".join(f" #|{k}" for k in range(30))       # many: a strong one
 
 
 def copied_lines():
@@ -49,7 +50,7 @@ def copied_lines():
 @pytest.fixture
 def hosts(docs):
     rows = [(k, good(k), "clean") for k in range(400)] + [(1000 + k, good(k) + NOISE, "bad") for k in range(60)]
-    rows += [(2000 + k, good(k + 500), "bad") for k in range(40)] + [(3000, good(7) + NOISE, "clean"), (3001, good(8) + NOISE + copied_lines(), "clean")]
+    rows += [(2000 + k, good(k + 500), "bad") for k in range(40)] + [(3000, good(7) + NOISE, "clean"), (3001, good(8) + NOISE + copied_lines(), "clean"), (3002, good(9) + JUNK, "clean")]
     rows += [(4000, good(9) + NOISE, None), (4001, "short", "clean"), (4002, None, "clean"), (4003, good(1) + " " + good(1), "clean")]
     return docs(rows)
 
@@ -59,7 +60,8 @@ def test_verdicts(hosts):
     assert all(got[k]["kept"] for k in [*range(400), *range(2000, 2040)])            # clean texts, on whatever host
     assert not any(got[k]["kept"] for k in range(1000, 1060))                        # failures on a distrusted host
     assert got[3000]["kept"] and not got[3001]["kept"]                               # one failure is forgiven, two are not
-    assert not got[3000]["base_failed"] and not got[3001]["base_failed"]
+    assert not got[3002]["kept"]                                                     # a strong failure goes on any host
+    assert not any(got[k]["base_failed"] for k in (3000, 3001, 3002))
     assert [got[k]["base_failed"] for k in (4001, 4002, 4003)] == [True] * 3 and not got[4001]["kept"]
 
 
@@ -78,3 +80,16 @@ def test_odd_and_empty(odd, docs):
     assert len(got) == odd.count() and set(rules.judge(odd).columns) >= {"doc_id", "text", "source", "kept", *rules.COUNTS}
     assert [tuple(r[c] for c in rules.COUNTS) for r in got] == [brute(r["text"]) for r in got]
     assert rules.judge(docs([])).count() == 0
+
+
+def test_clashing_names(docs):
+    rows = docs([(1, good(1), "a"), (2, good(2) + JUNK, None)]).withColumns({c: F.lit(f"own {c}") for c in ("_utf8", "_host", "_symbols", "kept")})
+    got = {r["doc_id"]: r for r in rules.judge(rows).collect()}
+    assert got[1]["kept"] is True and got[2]["kept"] is False
+    assert all(r[c] == f"own {c}" for r in got.values() for c in ("_utf8", "_host", "_symbols"))
+
+
+def test_equal_hosts_are_trusted(docs):
+    """A single weak failure is forgiven where no host stands out."""
+    rows = [(100 * h + k, good(100 * h + k) + NOISE * (k < 3), f"h{h}") for h in range(4) for k in range(30)]
+    assert all(r["kept"] for r in rules.judge(docs(rows)).collect())

@@ -35,6 +35,28 @@ def test_folders_are_listed_on_executors(spark, tmp_path):
         spark.read.format("tagloom_folder").load().collect()
 
 
+def test_page_folders_are_bounded(spark, tmp_path, monkeypatch):
+    from tagloom.plans import q_misc as Q
+    spark.createDataFrame([(i, f"u{i}", None if i == 7 else "x" * i) for i in range(60)], "page_id long, url string, html string"
+                          ).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, f"{i}-P") for i in range(300)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {q: sorted(map(str, f(spark, str(tmp_path)).collect())) for q, f in
+            (("scan", Q.q_scan_folder), ("captions", Q.q_read_sidecars), ("scores", Q.q_score_files_models))}
+    assert [len(want[q]) for q in ("scan", "captions", "scores")] == [60, 300, 120]
+    monkeypatch.setattr(Q, "FOLDER_BYTES", 180 * Q.FILE_BLOCK)
+    held, real = [], FO.list_folders
+
+    def listed(spark, *folders):
+        held.append((folders[0], len(os.listdir(folders[0]))))
+        return real(spark, *folders)
+    monkeypatch.setattr(FO, "list_folders", listed)
+    for q, f in (("scan", Q.q_scan_folder), ("captions", Q.q_read_sidecars), ("scores", Q.q_score_files_models)):
+        held.clear()
+        assert sorted(map(str, f(spark, str(tmp_path)).collect())) == want[q]
+        assert len(held) == 2 and sum(n for _, n in held) == 360 and max(n for _, n in held) < 240
+        assert not any(os.path.exists(folder) for folder, _ in held)
+
+
 def test_models_are_found_by_prefix(spark, tmp_path):
     registry = ModelRegistry({"a/": lambda repo: lambda c: np.array([[len(x), 1] for x in c])})
     registry.register("a/b-", lambda repo: lambda c: np.array([[len(repo)] for _ in c]))

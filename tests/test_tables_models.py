@@ -116,6 +116,23 @@ def test_bitmaps_hold_any_id(spark):
                       ("none", "a"): 9, ("none", "b"): 4, ("none", "c"): 5, ("none", ""): 1}
 
 
+def test_facets_shuffle_no_pairs_of_bitmaps(spark, monkeypatch):
+    """Selections in several blocks give the counts of one, and no step holds a row for each pair of bitmaps."""
+    rows = [(i, ", ".join(f"t{k}" for k in range(12) if (i >> k) & 1 or i % 5 == k)) for i in range(0, 90_000, 7)]
+    bitmaps = B.tag_bitmaps(spark.createDataFrame(rows, "file_id long, caption string"))
+    sel = spark.createDataFrame([(f"s{k}", [f"t{k}"]) for k in range(12)] + [(None, [])], "selection string, tags array<string>")
+    monkeypatch.setattr(B, "SELECTIONS_HELD", 3)
+    facets = B.selection_facets(bitmaps, B.selected_bitmaps(bitmaps, sel))
+    assert "bitmap_and_agg" not in facets._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for _, caption in rows:
+        tags = caption.split(", ") if caption else [""]
+        for s in [None, *(f"s{t[1:]}" for t in tags if t)]:
+            for t in tags:
+                want[s, t] = want.get((s, t), 0) + 1
+    assert {(r.selection, r.tag): r.n_files for r in facets.collect()} == want
+
+
 def test_search_from_sql_text(spark):
     pages = [(1, 5, "red boat", "a red boat and a blue one"), (2, 1, "blue boat", "blue"), (3, 9, "harbour", "boats of the harbour")]
     wiki = spark.createDataFrame([(i, n, t, t, x) for i, n, t, x in pages], "id int, post_count int, title string, search_title string, search_text string")

@@ -144,3 +144,19 @@ def test_search_from_sql_text(spark):
         assert {r.id: round(r.score, 9) for r in got.collect()} == {r.id: round(r.s, 9) for r in want.collect()}
     assert {r.id for r in spark.sql("SELECT id FROM match_bm25('harbour red', fields => 'search_title, search_text')").collect()} == {1, 3}
     assert spark.sql("SELECT * FROM match_bm25('the of')").count() == spark.sql("SELECT * FROM match_bm25('')").count() == 0
+
+
+def test_pages_of_one_title_are_spread(spark, tmp_path):
+    """Documents are moved once, by id: pages that share a title don't share a file, and a body's text isn't written twice."""
+    from tagloom.sources import fixtures as X
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("documents", [(3 * i + 1, "text", "en", "s", 4) for i in range(64)], "doc_id long, text string, lang string, source string, n_chars long")
+    put("part", [(i, "red widget", "b", "PROMO", 1, 1.0) for i in range(200)],
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    put("customer", [(1, "c", 1, 1.0, "m")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    put("region", [(1, "r")], "r_regionkey int, r_name string")
+    pages = spark.read.parquet(X.pages_file(spark, str(tmp_path))).where("title = 'red_widget'")
+    sizes = [r["count"] for r in pages.groupBy("_metadata.file_path").count().collect()]
+    assert sum(sizes) == 64 and len(sizes) >= 4 and max(sizes) < 32
+    markup = spark.read.parquet(X.markup_file(spark, str(tmp_path)))
+    assert markup.columns == ["id", "title", "body"] and markup.count() == 64

@@ -128,6 +128,33 @@ def test_large_groups_keep_threshold_pairs(spark, percent):
     assert met.select("pair").distinct().count() == 600
 
 
+def test_rows_of_a_near_copy_group_grow_with_its_size(docs, monkeypatch):
+    """Four times the copies make no more than about four times the rows that sketches and full sets travel in."""
+    made = []
+    for name in ("candidate_stars", "linked_stars"):
+        def counted(rows, *more, step=getattr(N, name), **named):
+            made.append(rows.count())
+            return step(rows, *more, **named)
+        monkeypatch.setattr(N, name, counted)
+    total = []
+    for n in (150, 600):
+        rows = [(k, " ".join(f"w{j}" for j in range(60)) + f" end{k}") for k in range(n)]
+        made.clear()
+        assert run(docs(rows), node_rows=40) == brute(rows)
+        total.append(sum(made))
+    assert total[1] < 6 * total[0]
+
+
+def test_large_candidate_groups_meet_in_pairs_of_blocks(docs, monkeypatch):
+    """A group around the threshold, too large for one cell: full sets travel once for a block, not once for a tree."""
+    cells = []
+    confirm = N.linked_stars
+    monkeypatch.setattr(N, "linked_stars", lambda rows, *more: (cells.append(rows.count()), confirm(rows, *more))[1])
+    rows = corpus(11, n=20, group=200)
+    assert run(docs(rows), node_rows=40) == brute(rows)
+    assert cells[-1] < 15 * len(rows)
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = {(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)} | {(k, k + 1) for k in range(400, 460)}

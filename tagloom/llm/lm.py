@@ -34,7 +34,9 @@ WINDOW, LANES, RATE, ROUNDS = 16, 128, 0.08, 2
 LANE_TOKENS = 1024                          # a task has a lane for so many tokens, or for each text if that is more
 COUNTER_KEYS = 300_000                      # distinct tokens a task holds before it passes their counts on
 BUFFER_TOKENS, BUFFER_TEXTS = 3_000_000, 8192
+SIDE, SCORED = 512, 8192                    # texts scored side by side; states that meet the outputs at once, about
 LN10 = float(np.log(10.0))
+ONE = np.float32(1)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -142,46 +144,98 @@ def first_weights(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _parts(x: np.ndarray) -> np.ndarray:
+    """The three parts (keep, look, new) of the last axis, one behind the other: products then write each in one piece."""
+    return np.array(np.moveaxis(x.reshape(*x.shape[:-1], 3, STATE), -2, 0), order="C")
+
+
+def _turned(parts: np.ndarray) -> np.ndarray:
+    """The sign of what goes into the gates is turned: a sigmoid is 1 / (1 + exp of minus its argument)."""
+    np.negative(parts[:2], out=parts[:2])
+    return parts
+
+
+def _advance(h: np.ndarray, into: np.ndarray, again: np.ndarray, gates: np.ndarray, new: np.ndarray, after: np.ndarray) -> None:
+    """One step of the gated unit over ``_turned`` parts. ``gates`` gets keep, look and the old state's share, ``after``
+    the new state."""
+    np.matmul(h, again, out=gates)
+    keep, look, old = gates
+    both = gates[:2]
+    both += into[:2]
+    with np.errstate(over="ignore"):           # an infinite exponential closes the gate
+        np.exp(both, out=both)
+    both += ONE
+    np.divide(ONE, both, out=both)
+    np.multiply(look, old, out=new)
+    new += into[2]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=after)
+    after *= keep
+    after += new
 
 
 def step(h: np.ndarray, into: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One step of the gated unit: the new state, and what the way back needs."""
-    back = h @ again
-    gate = _sigmoid(into[:, :2 * STATE] + back[:, :2 * STATE])
-    keep, look = gate[:, :STATE], gate[:, STATE:]
-    old = back[:, 2 * STATE:]
-    new = np.tanh(into[:, 2 * STATE:] + look * old)
-    return new + keep * (h - new), (h, keep, look, old, new)
+    """One step of the gated unit: the new state, and the gates."""
+    kind = np.result_type(h, into, again)
+    gates, new, after = np.empty((3, *h.shape), kind), np.empty(h.shape, kind), np.empty(h.shape, kind)
+    _advance(h, _turned(_parts(into)), _turned(_parts(again)), gates, new, after)
+    return after, (*gates, new)
 
 
-def _log_shares(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log share of the picked column in each row's softmax, the exponentials and their sums. ``x`` is overwritten."""
-    picked = x[np.arange(len(x)), pick]
+def _exponentials(x: np.ndarray, picked: np.ndarray | None = None) -> np.ndarray:
+    """Puts the exponentials of ``x`` in its place and gives their sums by row; ``picked`` is shifted as its row is."""
     if len(x) and x.max() > 60:                # far from usual; the plain form would overflow
         top = x.max(axis=1)
-        picked -= top
+        if picked is not None:
+            picked -= top
         x -= top[:, None]
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], np.float32)
-    return picked - np.log(total), x, total
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _log_shares(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Log share of the picked column in each row's softmax. ``x`` is overwritten."""
+    picked = x[np.arange(len(x)), pick]
+    total = _exponentials(x, picked)
+    return picked - np.log(total)
+
+
+def _outputs(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of classes and of each class's words, the biases as one row more."""
+    return (np.concatenate((w["class"], w["class_bias"][None])),
+            np.concatenate((w["word"], w["word_bias"][:, None]), axis=1))
+
+
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    out = np.empty((len(h), STATE + 1), h.dtype)      # the last column carries the biases
+    out[:, :STATE], out[:, STATE] = h, 1
+    return out
+
+
+def _by_unit(unit: np.ndarray, head: int, groups: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Places in the order of their units, the units so ordered, and ``class, begin, end`` of the head words in it."""
+    order = np.argsort(unit.astype(np.int16), kind="stable")
+    unit = unit[order]
+    cut = np.searchsorted(unit, np.minimum(np.arange(groups + 1) * GROUP, head)).tolist()
+    return order, unit, [(g, cut[g], cut[g + 1]) for g in range(groups) if cut[g] < cut[g + 1]]
+
+
+def _log_units(h: np.ndarray, unit: np.ndarray, classes: np.ndarray, words: np.ndarray, head: int) -> np.ndarray:
+    h = _with_ones(h)
+    out = _log_shares(h @ classes, np.where(unit < head, unit // GROUP, unit - head + len(words)))
+    order, unit, runs = _by_unit(unit, head, len(words))
+    if runs:
+        at, unit = order[:runs[-1][2]], unit[:runs[-1][2]]
+        some, x = h[at], np.empty((len(at), GROUP), np.result_type(h, words))
+        for g, begin, end in runs:
+            np.matmul(some[begin:end], words[g], out=x[begin:end])
+        out[at] += _log_shares(x, unit % GROUP)
+    return out
 
 
 def log_probability(h: np.ndarray, unit: np.ndarray, w: dict, head: int) -> np.ndarray:
     """Natural log probability of each unit after each state."""
-    group = np.where(unit < head, unit // GROUP, unit - head + len(w["word"]))
-    one = np.ones((len(h), 1), np.float32)
-    h = np.concatenate((h, one), axis=1)       # the last column carries the biases
-    out = _log_shares(h @ np.concatenate((w["class"], w["class_bias"][None])), group)[0]
-    order = np.argsort(group.astype(np.int16), kind="stable")
-    cut = np.searchsorted(group[order], np.arange(len(w["word"]) + 1))
-    for g in range(len(w["word"])):
-        at = order[cut[g]:cut[g + 1]]
-        if len(at):
-            x = h[at] @ np.concatenate((w["word"][g], w["word_bias"][g][None]))
-            out[at] += _log_shares(x, unit[at] - g * GROUP)[0]
-    return out
+    return _log_units(h, unit, *_outputs(w), head)
 
 
 def lay(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,74 +254,135 @@ def lay(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids.reshape(lanes, length), fresh.reshape(lanes, length), live.reshape(lanes, length)
 
 
+def _descend(w: np.ndarray, square: np.ndarray, gradient: np.ndarray, rate: float, split: bool = False) -> None:
+    """A step of Adagrad, in place; ``gradient`` is overwritten. Gradients longer than 5 are shortened: the whole array,
+    or with ``split`` each item of the first axis by itself, and its last row (the biases) apart from the others."""
+    squares = gradient * gradient
+    if split:
+        of_bias = squares[:, -1].sum(axis=1)
+        of_all = squares.reshape(len(squares), -1) @ np.ones(squares[0].size, np.float32)
+        lengths = np.sqrt(np.maximum(np.stack((of_all - of_bias, of_bias), axis=1), 0))
+        if lengths.max() > 5:
+            cut = np.minimum(1, 5 / np.maximum(lengths, 5))
+            gradient[:, :-1] *= cut[:, :1, None].astype(np.float32)
+            gradient[:, -1] *= cut[:, 1:].astype(np.float32)
+            np.multiply(gradient, gradient, out=squares)
+    elif (length := float(np.sqrt(squares.sum()))) > 5:
+        gradient *= np.float32(5 / length)
+        np.multiply(gradient, gradient, out=squares)
+    square += squares
+    np.sqrt(square, out=squares)
+    gradient *= np.float32(rate)
+    gradient /= squares
+    w -= gradient
+
+
 def train(w: dict, texts: list[np.ndarray], head: int, rate: float = RATE) -> int:
     """Truncated backpropagation with Adagrad over all tokens of the texts, side by side in lanes; changes ``w``, gives
-    the number of tokens."""
-    square = {k: np.full(v.shape, 0.1, np.float32) for k, v in w.items()}
+    the number of tokens.
+
+    Arrays run by place in the window, then lane; what can be had for a whole window at once is, so that only the two
+    passes along the state go step by step."""
     ids, fresh, live = lay(texts)
     lanes, length = ids.shape
-    h, groups = np.zeros((lanes, STATE), np.float32), len(w["word"])
-
-    def descend(name: str, gradient: np.ndarray, at=slice(None)) -> None:
-        norm = float(np.sqrt((gradient * gradient).sum()))
-        if norm > 5:
-            gradient = gradient * np.float32(5 / norm)
-        square[name][at] += gradient * gradient
-        w[name][at] -= np.float32(rate) * gradient / np.sqrt(square[name][at])
+    fresh_at, all_live = fresh.any(axis=0).tolist(), bool(live.all())
+    classes, words = _outputs(w)
+    classes, groups = classes[None], len(words)
+    vector, inward, again, bias = w["vector"], w["inward"], w["again"], w["bias"]
+    square = {k: np.full(v.shape, 0.1, np.float32) for k, v in
+              {"classes": classes, "words": words, "vector": vector, "inward": inward, "again": again, "bias": bias}.items()}
+    empty = lambda *shape: np.empty(shape, np.float32)
+    states, gates_all, new_all = empty(WINDOW + 1, lanes, STATE), empty(3, WINDOW, lanes, STATE), empty(WINDOW, lanes, STATE)
+    slope_all, carry_all, back = empty(3, WINDOW, lanes, STATE), empty(WINDOW, lanes, STATE), empty(3, lanes, STATE)
+    d_words, share = empty(*words.shape), np.float32(1 / lanes)
+    h = np.zeros((lanes, STATE), np.float32)
 
     for begin in range(0, length, WINDOW):
-        span = range(begin, min(begin + WINDOW, length))
-        before, kept, into_all = [], [], w["vector"] @ w["inward"] + w["bias"]
-        for t in span:
-            h = np.where(fresh[:, t, None], np.float32(0), h)
-            before.append(h)
-            h, back = step(h, into_all[ids[:, t]], w["again"])
-            kept.append(back)
-        flat, unit = np.concatenate(before), ids[:, span.start:span.stop].T.ravel()
-        on = live[:, span.start:span.stop].T.ravel()
-        group = np.where(unit < head, unit // GROUP, unit - head + groups)
-        _, p, total = _log_shares(flat @ w["class"] + w["class_bias"], group)
-        p *= (on / (total * lanes))[:, None].astype(np.float32)
-        p[np.arange(len(p)), group] -= on / np.float32(lanes)
-        dh, d_class, d_class_bias = p @ w["class"].T, flat.T @ p, p.sum(axis=0)
-        at_head = np.flatnonzero(on & (unit < head))
-        at_head = at_head[np.argsort(group[at_head], kind="stable")]
-        for at in np.split(at_head, np.flatnonzero(np.diff(group[at_head])) + 1):
-            if len(at):
-                g = int(group[at[0]])
-                some = flat[at]
-                _, p, total = _log_shares(some @ w["word"][g] + w["word_bias"][g], unit[at] - g * GROUP)
-                p /= (total * lanes)[:, None]
-                p[np.arange(len(at)), unit[at] - g * GROUP] -= np.float32(1 / lanes)
-                dh[at] += p @ w["word"][g].T
-                descend("word", some.T @ p, g)
-                descend("word_bias", p.sum(axis=0), g)
-        descend("class", d_class)
-        descend("class_bias", d_class_bias)
-        dh = dh.reshape(len(span), lanes, STATE)
-        carry = np.zeros((lanes, STATE), np.float32)
-        d_into = np.empty((len(span), lanes, 3 * STATE), np.float32)
-        d_again = np.zeros_like(w["again"])
-        for j in range(len(span) - 1, -1, -1):
-            prev, keep, look, old, new = kept[j]
-            d_new = carry * (1 - keep) * (1 - new * new)
-            d_into[j, :, :STATE] = carry * (prev - new) * keep * (1 - keep)
-            d_into[j, :, STATE:2 * STATE] = d_new * old * look * (1 - look)
-            d_into[j, :, 2 * STATE:] = d_new
-            d_back = d_into[j].copy()
-            d_back[:, 2 * STATE:] *= look
-            d_again += prev.T @ d_back
-            carry = carry * keep + d_back @ w["again"].T + dh[j]
-            carry[fresh[:, span.start + j]] = 0
-        d_into = d_into.reshape(-1, 3 * STATE)
-        order = np.argsort(unit, kind="stable")
-        first = np.concatenate(([0], np.flatnonzero(np.diff(unit[order])) + 1))
-        seen, per_unit = unit[order][first], np.add.reduceat(d_into[order], first, axis=0)
-        d_inward, d_vector = w["vector"][seen].T @ per_unit, per_unit @ w["inward"].T
-        descend("bias", d_into.sum(axis=0))
-        descend("again", d_again)
-        descend("inward", d_inward)
-        descend("vector", d_vector, seen)
+        n = min(WINDOW, length - begin)
+        unit = ids[:, begin:begin + n].T.ravel()
+        gates, new, slope, carried = gates_all[:, :n], new_all[:n], slope_all[:, :n], carry_all[:n]
+        # along the state
+        order, sorted_unit, runs = _by_unit(unit, head, groups)
+        new_unit = np.concatenate(([True], sorted_unit[1:] != sorted_unit[:-1]))
+        first, which = np.flatnonzero(new_unit), np.empty(len(unit), np.intp)
+        which[order] = np.cumsum(new_unit) - 1
+        seen = sorted_unit[first]
+        of_seen, inward_parts = vector[seen], _parts(inward)
+        into = np.matmul(of_seen, inward_parts)
+        into += _parts(bias)[:, None]
+        into, forth = _turned(into).take(which, axis=1).reshape(3, n, lanes, STATE), _turned(_parts(again))
+        states[0] = h
+        for t in range(n):
+            if fresh_at[begin + t]:
+                states[t][fresh[:, begin + t]] = 0
+            _advance(states[t], into[:, t], forth, gates[:, t], new[t], states[t + 1])
+        h, before = states[n].copy(), states[:n]
+        # outputs
+        flat = _with_ones(before.reshape(-1, STATE))
+        on = share if all_live else live[:, begin:begin + n].T.ravel() * share
+        p = flat @ classes[0]
+        p *= (on / _exponentials(p))[:, None]
+        p[np.arange(len(p)), np.where(unit < head, unit // GROUP, unit - head + groups)] -= on
+        d_classes, dh = (flat.T @ p)[None], p @ classes[0, :-1].T
+        if runs:
+            at = order[:runs[-1][2]]
+            some, p, d_some = flat[at], empty(len(at), GROUP), empty(len(at), STATE)
+            for g, i, j in runs:
+                np.matmul(some[i:j], words[g], out=p[i:j])
+            on = share if all_live else on[at]
+            p *= (on / _exponentials(p))[:, None]
+            p[np.arange(len(at)), sorted_unit[:len(at)] % GROUP] -= on
+            if len(runs) < groups:
+                d_words[:] = 0
+            for g, i, j in runs:
+                np.matmul(some[i:j].T, p[i:j], out=d_words[g])
+                np.matmul(p[i:j], words[g, :-1].T, out=d_some[i:j])
+            dh[at] += d_some
+            _descend(words, square["words"], d_words, rate, split=True)
+        _descend(classes, square["classes"], d_classes, rate, split=True)
+        # back along the state: slopes by keep, look and the old state's share, first for a carry of one
+        keep, look, old = gates
+        lose = 1 - keep
+        np.subtract(before, new, out=slope[0])
+        slope[0] *= keep
+        slope[0] *= lose
+        new *= new
+        np.subtract(1, new, out=new)
+        new *= lose                            # of the new state's argument
+        np.multiply(new, look, out=slope[2])
+        np.subtract(1, look, out=slope[1])
+        slope[1] *= slope[2]
+        slope[1] *= old
+        dh, hence, carry = dh.reshape(n, lanes, STATE), _parts(again).transpose(0, 2, 1), np.zeros((lanes, STATE), np.float32)
+        for t in range(n - 1, -1, -1):
+            carried[t] = carry
+            d_back = slope[:, t]
+            d_back *= carry
+            np.matmul(d_back, hence, out=back)
+            carry *= keep[t]
+            carry += back[0]
+            carry += back[1]
+            carry += back[2]
+            carry += dh[t]
+            if fresh_at[begin + t]:
+                carry[fresh[:, begin + t]] = 0
+        together = lambda x: np.moveaxis(x, 0, -2).reshape(*x.shape[1:-1], 3 * STATE)
+        slope = slope.reshape(3, -1, STATE) if n == WINDOW else slope.copy().reshape(3, -1, STATE)
+        d_again = together(np.matmul(flat[:, :-1].T, slope))
+        np.multiply(new, carried, out=slope[2].reshape(new.shape))
+        d_inward = together(np.matmul(of_seen[which].T, slope))
+        d_given = np.matmul(slope, inward_parts.transpose(0, 2, 1))
+        d_given[0] += d_given[1]
+        d_given[0] += d_given[2]
+        d_vector = np.add.reduceat(d_given[0][order], first, axis=0)
+        _descend(bias, square["bias"], together(np.matmul(np.ones(slope.shape[1], np.float32), slope)), rate)
+        _descend(again, square["again"], d_again, rate)
+        _descend(inward, square["inward"], d_inward, rate)
+        squares_of_seen = square["vector"][seen]
+        _descend(of_seen, squares_of_seen, d_vector, rate)
+        vector[seen], square["vector"][seen] = of_seen, squares_of_seen
+    w["class"][:], w["class_bias"][:] = classes[0, :-1], classes[0, -1]
+    w["word"][:], w["word_bias"][:] = words[:, :-1], words[:, -1]
     return int(live.sum())
 
 
@@ -348,38 +463,38 @@ def _worker(shared) -> tuple[Vocabulary, dict]:
 
 
 def score_units(texts: list[np.ndarray], w: dict, head: int) -> np.ndarray:
-    """Natural log probability of each text (its units, the end included): all texts advance together, a step at a
-    time, longest first, and keep their state until their end."""
+    """Natural log probability of each text (its units, the end included). Texts of like lengths advance together, a
+    block of ``SIDE`` and a step at a time, longest first, and keep their state until their end."""
     order = np.argsort([-len(t) for t in texts], kind="stable")
-    size = np.array([len(texts[i]) for i in order])
-    begin = np.concatenate(([0], np.cumsum(size)))[:-1]
-    flat = np.concatenate([texts[i] for i in order])
-    into_all = w["vector"] @ w["inward"] + w["bias"]
-    h, total = np.zeros((len(texts), STATE), np.float32), np.zeros(len(texts))
-    t, longest = 0, int(size.max())
-    while t < longest:
-        active = int(np.searchsorted(-size, -t, side="left"))       # texts longer than t
-        window = max(1, min(64, 8192 // active))
-        states, units, owner = [], [], []
-        for _ in range(window):
-            active = int(np.searchsorted(-size, -t, side="left"))
-            if not active:
-                break
-            h = h[:active]
-            unit = flat[begin[:active] + t]
-            states.append(h)
-            units.append(unit)
-            owner.append(active)
-            h, _ = step(h, into_all[unit], w["again"])
-            t += 1
-        logs = log_probability(np.concatenate(states), np.concatenate(units), w, head)
-        at = 0
-        for n in owner:
-            total[:n] += logs[at:at + n]
-            at += n
-    out = np.empty(len(texts))
-    out[order] = total
-    return out
+    into_all = _turned(_parts(w["vector"] @ w["inward"] + w["bias"]))
+    again, outputs, total = _turned(_parts(w["again"])), _outputs(w), np.zeros(len(texts))
+    for block in range(0, len(texts), SIDE):
+        rows = order[block:block + SIDE]
+        size = np.array([len(texts[i]) for i in rows])
+        begin, flat = np.cumsum(size) - size, np.concatenate([texts[i] for i in rows])
+        done, longest = np.zeros(len(rows)), int(size[0])
+        active = np.searchsorted(-size, -np.arange(longest), side="left").tolist()      # texts longer than each place
+        h, t = np.zeros((len(rows), STATE), np.float32), 0
+        while t < longest:
+            upto, held = t, 0
+            while upto < longest and (not held or held + active[upto] <= SCORED):
+                held += active[upto]
+                upto += 1
+            states, units = np.empty((held, STATE), np.float32), np.empty(held, np.int32)
+            ends = np.cumsum([0, *active[t:upto]]).tolist()
+            for k, n in enumerate(active[t:upto]):
+                if n < len(h):
+                    h = h[:n].copy()
+                here = slice(ends[k], ends[k + 1])
+                states[here], units[here] = h, flat[begin[:n] + (t + k)]
+                _advance(states[here], into_all[:, units[here]], again, np.empty((3, n, STATE), np.float32),
+                         np.empty((n, STATE), np.float32), h)
+            logs = _log_units(states, units, *outputs, head)
+            for k, n in enumerate(active[t:upto]):
+                done[:n] += logs[ends[k]:ends[k + 1]]
+            t = upto
+        total[rows] = done
+    return total
 
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, w: dict, id_col: str = "doc_id",

@@ -89,6 +89,64 @@ def test_every_token_is_learned(docs, blank):
     assert got == sorted([int(v.unit[index[x]]) for x in (t or "").encode().split()] + [0] for _, t in rows)
 
 
+def test_gradients_of_words_and_vectors_equal_differences(monkeypatch):
+    """The arrays that change by class or by unit, against the difference quotient of the loss."""
+    monkeypatch.setattr(lm, "WINDOW", 8)
+    draw = np.random.default_rng(7)
+    texts = [draw.integers(0, Small.units, 8).astype(np.int32) for _ in range(3)]
+    w = {k: v.astype(np.float64) for k, v in weights(8).items()}
+    moved = {k: v.astype(np.float32) for k, v in w.items()}
+    lm.train(moved, texts, Small.head, rate=1e-3)
+
+    def loss(x):
+        return -sum(plain_score(t, x) for t in texts) / len(texts)
+    for name in ("word", "word_bias", "vector"):
+        change = moved[name] - w[name]
+        for at in [np.unravel_index(i, change.shape) for i in np.argsort(-np.abs(change).ravel())[:3]]:
+            up, down = {k: v.copy() for k, v in w.items()}, {k: v.copy() for k, v in w.items()}
+            up[name][at] += 1e-2
+            down[name][at] -= 1e-2
+            slope = (loss(up) - loss(down)) / 2e-2
+            assert change[at] == pytest.approx(-1e-3 * slope / math.sqrt(0.1 + slope ** 2), rel=0.1)
+
+
+def test_passes_of_a_window_do_not_grow_with_the_classes(monkeypatch):
+    """Softmax and updates run over all classes of a window at once: as many calls for 3 classes as for 24."""
+    def calls(head):
+        class Wide:
+            units, mass = head + 3, np.concatenate((np.linspace(90, 1, head), [50, 20, 5.5]))
+        Wide.head = head
+        seen = Counter()
+
+        class Counting:
+            def __getattr__(self, name):
+                if name in ("exp", "sqrt"):
+                    seen[name] += 1
+                return getattr(np, name)
+        w = lm.first_weights(Wide)
+        texts = [np.random.default_rng(9).permutation(head)[:lm.WINDOW * 8].astype(np.int32)] * 16
+        with monkeypatch.context() as m:
+            m.setattr(lm, "np", Counting())
+            lm.train(w, texts, head)
+        return seen
+    assert calls(300) == calls(3000)
+
+
+def test_long_gradients_are_shortened_item_by_item():
+    draw = np.random.default_rng(10)
+    gradient = draw.normal(0, 1, (4, lm.STATE + 1, 16)).astype(np.float32) * np.array([0.01, 1, 3, 0], np.float32)[:, None, None]
+    gradient[2, -1] *= 5
+    w, square = np.zeros_like(gradient), np.full_like(gradient, 0.1)
+    want = np.zeros_like(w)
+    for g in range(4):
+        for part in (slice(0, -1), slice(-1, None)):
+            x = gradient[g, part].astype(float)
+            x = x * min(1, 5 / max(np.sqrt((x * x).sum()), 1e-9))
+            want[g, part] = -0.1 * x / np.sqrt(0.1 + x * x)
+    lm._descend(w, square, gradient.copy(), 0.1, split=True)
+    assert np.allclose(w, want, atol=1e-5)
+
+
 def test_lanes_hold_every_token_once():
     draw = np.random.default_rng(6)
     for sizes in ([], [0], [5], [40_000], [1] * 300, [0, 3, 0, 70_000, 2, 9, 1], draw.integers(0, 900, 500)):

@@ -57,6 +57,28 @@ def test_page_folders_are_bounded(spark, tmp_path, monkeypatch):
         assert not any(os.path.exists(folder) for folder, _ in held)
 
 
+def test_many_files_lie_in_several_folders(spark, tmp_path, monkeypatch):
+    """A folder takes names one at a time: many files are written, listed and removed in folders of their own."""
+    from tagloom.plans import q_misc as Q
+    spark.createDataFrame([(i, f"u{i}", "x" * i) for i in range(60)], "page_id long, url string, html string"
+                          ).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, f"{i}-P") for i in range(300)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    held, real = [], FO.list_folders
+
+    def listed(spark, *folders):
+        held.append([(f, len(os.listdir(f))) for f in folders])
+        return real(spark, *folders)
+    monkeypatch.setattr(FO, "list_folders", listed)
+    monkeypatch.setattr(Q, "FOLDER_BYTES", 180 * Q.FILE_BLOCK)
+    monkeypatch.setattr(Q, "FOLDER_FILES", 60, raising=False)
+    for q, n in ((Q.q_scan_folder, 60), (Q.q_read_sidecars, 300), (Q.q_score_files_models, 120)):
+        held.clear()
+        assert q(spark, str(tmp_path)).count() == n
+        assert [len(x) for x in held] == [3, 3] and sum(n for x in held for _, n in x) == 360
+        assert max(n for x in held for _, n in x) < 120
+        assert not any(os.path.exists(f) for x in held for f, _ in x)
+
+
 def test_models_are_found_by_prefix(spark, tmp_path):
     registry = ModelRegistry({"a/": lambda repo: lambda c: np.array([[len(x), 1] for x in c])})
     registry.register("a/b-", lambda repo: lambda c: np.array([[len(repo)] for _ in c]))

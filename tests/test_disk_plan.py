@@ -1,4 +1,4 @@
-"""What the tagging statistics leave on disk: one shuffle where a file's rows meet, and no
+"""What the tagging statistics and the search index leave on disk: one shuffle where a file's or a page's rows meet, and no
 shuffle files of a table that is written."""
 
 import random
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tagloom.operators import tags as T
 from tagloom.operators.tags import TagSettings
 from tagloom.plans import dataset as D
+from tagloom.plans import topk as K
+from tagloom.plans import wiki as W
 from tagloom.session import delete_table, materialize, write_table
 
 PRED = "file_id long, category string, tag string, score double"
@@ -52,6 +54,18 @@ def test_results_move_the_predictions_once(spark):
     assert exchanges(D.tag_document_frequency(D.result_scores(pred), pred.select(F.lit(1).alias("n")).limit(1))) <= 3
 
 
+def test_block_index_moves_the_weights_once(spark):
+    rows = [(i, 1 + i, f"t{i}", f"t{i}", " ".join(f"w{chr(97 + i % 7)} x{chr(97 + k)}" for k in range(i % 9))) for i in range(300)]
+    wiki = materialize(spark.createDataFrame(rows, "id int, post_count int, title string, search_title string, search_text string"), "w")
+    postings = materialize(W.build_search_index(wiki), "p", sort_by=["term", "id"])
+    blocks = K.block_index(wiki, postings, materialize(W.corpus_stats(wiki), "s"))
+    assert exchanges(blocks) == 1
+    found = spark.read.parquet(write_table(blocks, "b"))
+    assert found.select(F.sum(F.size("entries"))).first()[0] == postings.select("id", "term").distinct().count()
+    for part in found.select("term", "block").rdd.glom().collect():
+        assert part == sorted(part)
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 

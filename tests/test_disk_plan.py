@@ -62,6 +62,9 @@ def test_block_index_moves_the_weights_once(spark):
     assert exchanges(blocks) == 1
     found = spark.read.parquet(write_table(blocks, "b"))
     assert found.select(F.sum(F.size("entries"))).first()[0] == postings.select("id", "term").distinct().count()
+    twice = K.block_index(wiki.unionByName(wiki.where("id = 8")), postings, materialize(W.corpus_stats(wiki), "s"))
+    assert twice.select(F.explode("entries.id").alias("id")).where("id = 8").groupBy("id").count().first()[1] == \
+        2 * postings.where("id = 8").select("term").distinct().count()      # an entry for each row of a page
     for part in found.select("term", "block").rdd.glom().collect():
         assert part == sorted(part)
 
